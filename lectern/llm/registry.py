@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("line_dedup", "minhash", "mixing")
+MODULES = ("embedding_dedup", "language", "line_dedup", "minhash", "mixing", "secrets", "warc")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
