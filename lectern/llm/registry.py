@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("embedding_dedup", "language", "line_dedup", "minhash", "mixing", "secrets", "warc")
+MODULES = (
+    "embedding_dedup", "html_extraction", "language", "line_dedup", "minhash", "mixing", "packing", "secrets", "warc",
+)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
