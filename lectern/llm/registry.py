@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = (
-    "embedding_dedup", "html_extraction", "language", "line_dedup", "minhash", "mixing", "packing", "secrets", "warc",
+    "embedding_dedup", "html_extraction", "language", "line_dedup", "minhash", "mixing", "neighbours", "packing", "secrets", "warc",
 )
 
 QUERIES: dict = {}
