@@ -1,23 +1,33 @@
-"""A training corpus from raw documents: five stages, each one operator of ``lectern.llm``."""
+"""A training corpus from raw documents: five stages, each one operator of ``lectern.llm``.
+
+A stage takes all rows its predecessor kept and returns the columns of documents; the last returns
+the pieces that the packed windows are made of.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import line_dedup, minhash, mixing
+from lectern.llm import language, line_dedup, minhash, mixing, packing
 from lectern.llm.common import materialize
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is found (no text, or not a letter in it) go."""
+    found = language.predict(docs, language.train(docs), docs.columns)
+    return found.where("lang_pred <> 'und'").select(docs.columns)
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go; documents stay, empty ones too."""
-    return line_dedup.drop_boilerplate(docs)
+    """Boilerplate lines of each source go; documents stay."""
+    return with_length(line_dedup.drop_boilerplate(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    """Of each group of near copies the document with the smallest id stays; rows without an id stay."""
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +35,23 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
-STAGES = [("lines", drop_lines), ("near", drop_near_copies), ("mix", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 2048 tokens, filled with documents that share rare words."""
+    return packing.pack(docs, packing.default_tokenizer())
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    """``n_chars`` as the text now has."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+STAGES = [
+    ("language", identify_language),
+    ("lines", drop_lines),
+    ("near copies", drop_near_copies),
+    ("mix", mix),
+    ("pack", pack),
+]
 
 #: Training, signatures and packing aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -33,8 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
+            docs = materialize(docs, f"stage-{k}")
     return docs

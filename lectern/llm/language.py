@@ -187,24 +187,23 @@ def _remainder(folds: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
 
 
-def _predict(batches, model, dimensions: int):
+def _predict(batches, model, text: str, keep: list[str], dimensions: int):
     model = model.value
     for big in batches:
         for at in range(0, big.num_rows, 256):
             batch = big.slice(at, 256)
-            langs, scores = classify(model, features(batch.column(0).to_pylist(), dimensions))
-            rest = batch.select(batch.schema.names[1:])
-            yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*rest.schema.names, "lang_pred", "lang_score"]
-            )
+            langs, scores = classify(model, features(batch.column(text).to_pylist(), dimensions))
+            columns = [*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "lang_score"])
 
 
-def predict(docs: DataFrame, model: dict, keep: list[str], dimensions=DIMENSIONS) -> DataFrame:
+def predict(docs: DataFrame, model: dict, keep: list[str], text: str = "text", dimensions=DIMENSIONS) -> DataFrame:
     """``keep`` columns with ``lang_pred`` and ``lang_score`` for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (families + pairs within them) x dimensions numbers
-    rows = docs.select(F.col("text").alias("_text"), *keep)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
-    return arrow_map(rows, _predict, f"{fields}lang_pred string, lang_score double", model=shared, dimensions=dimensions)
+    rows = docs.select(*dict.fromkeys([*keep, text]))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in keep)
+    schema = f"{fields}lang_pred string, lang_score double"
+    return arrow_map(rows, _predict, schema, model=shared, text=text, keep=keep, dimensions=dimensions)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

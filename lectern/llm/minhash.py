@@ -11,8 +11,9 @@ similarity of 0.85 a pair exceeds the radius with probability below 1e-4, above
 2. Equal sets are one class, found by grouping on the digest; only the class's smallest id goes on.
 3. Each bucket (chunk and key) links its members to its smallest member: a star, not all pairs. Star
    pairs within the radius and of possible sizes are confirmed on the full sets.
-4. Members of one bucket that are not yet connected are compared in tiles of bounded size by
-   signature and size, and confirmed on the full sets too: no link between different sets is lost.
+4. Buckets that hold more than one component are joined to groups of documents. Each group is compared
+   in pairs of tiles of bounded size, by signature and size, and confirmed on the full sets: no link
+   between different sets is lost, and only links that connect components are given out.
 5. Components of the confirmed links; members of a class take its component.
 
 Full sets come from a second reading of the texts of documents with a candidate pair only.
@@ -38,8 +39,8 @@ SYMBOLS = 64
 RADIUS = 21
 CHUNKS = 11
 SEED = 8_191
-#: Rows of one tile of a bucket; a task compares two tiles at most.
-TILE = 1_024
+#: Documents of one tile; a group of rows to compare is two tiles at most.
+TILE = 512
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -70,7 +71,7 @@ def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.nda
         h = np.full(n - k + 1, np.uint64(n if n < size else size))
         for j in range(k):
             h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + w[j : n - k + 1 + j])
-        sets.append(np.unique(h))
+        sets.append(np.unique(h.view(np.int64)).view(np.uint64))
     lengths = np.array([len(s) for s in sets], dtype=np.int64)
     return (np.concatenate(sets) if sets else words[:0]), np.concatenate(([0], np.cumsum(lengths)))
 
@@ -154,22 +155,44 @@ def _near(batches, symbols: int, radius: int, percent: int):
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
-def _tile_pairs(batches, symbols: int, radius: int, percent: int):
-    """Near pairs in each tile pair of a bucket whose two rows are not connected yet."""
-    for (_, first, second), group in by_group(batches, ["bucket", "first", "second"]):
+def _tile_links(batches, symbols: int, radius: int, percent: int):
+    """Links in each pair of tiles that connect components: confirmed on full sets, nearest signatures first.
+
+    Pairs already connected, also by links just found here, are not compared, so a tile gives fewer links
+    than it has rows."""
+    for (_, first, second), group in by_group(batches, ["group", "first", "second"]):
+        group = group.combine_chunks()
         sigs = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype="<u2").reshape(-1, symbols)
-        rep, comp, n, tile = (group.column(c).to_numpy() for c in ("rep", "comp", "n_shingles", "tile"))
-        left = np.flatnonzero(tile == first)
-        right = np.flatnonzero(tile == second)
+        rep, comp, tile = (group.column(c).to_numpy() for c in ("rep", "comp", "tile"))
+        lists = group.column("shingles").combine_chunks()
+        values = lists.values.to_numpy()
+        starts = lists.offsets.to_numpy()
+        n, comp = np.diff(starts), comp.copy()
+        left, right = np.flatnonzero(tile == first), np.flatnonzero(tile == second)
+        found: list[tuple[int, int]] = []
         for i in left:
-            others = right[rep[right] > rep[i]] if first == second else right
-            others = others[comp[others] != comp[i]]
-            others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
-            others = others[(sigs[others] != sigs[i]).sum(axis=1) <= radius]
-            if len(others):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(rep[i], rep[others])), pa.array(np.maximum(rep[i], rep[others]))], names=["a", "b"]
-                )
+            others = right[right > i] if first == second else right
+            others = others[(comp[others] != comp[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+            apart = (sigs[others] != sigs[i]).sum(axis=1)
+            near = np.flatnonzero(apart <= radius)
+            others = others[near[np.argsort(apart[near], kind="stable")]]
+            mine, at, step = values[starts[i] : starts[i + 1]], 0, 8
+            while at < len(others):
+                some = others[at : at + step]
+                some = some[comp[some] != comp[i]]
+                at, step = at + step, min(4 * step, 512)
+                if not len(some):
+                    continue
+                theirs = np.concatenate([values[starts[o] : starts[o + 1]] for o in some])
+                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(n[some])[:-1])))
+                for o in some[100 * both >= percent * (n[some] + n[i] - both)]:
+                    if comp[o] != comp[i]:
+                        found.append((rep[i], rep[o]))
+                        comp[comp == max(comp[o], comp[i])] = min(comp[o], comp[i])
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _sets(batches, shingle: int):
@@ -178,13 +201,13 @@ def _sets(batches, shingle: int):
             batch = big.slice(at, 256)
             values, starts = shingle_sets(batch.column(1).to_pylist(), shingle)
             sets = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["doc_id", "shingles"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are at least ``percent`` similar."""
-    a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
+    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
+    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     return (
         pairs.join(a, "a")
@@ -226,41 +249,50 @@ def near_duplicates(
     sets = materialize(
         arrow_map(
             texts.join(_ends(star_pairs), F.col("doc_id") == F.col("rep"), "left_semi"), _sets,
-            "rep long, shingles array<long>", shingle=shingle,
-        ).dropDuplicates(["rep"]),
+            "doc_id long, shingles array<long>", shingle=shingle,
+        ).dropDuplicates(["doc_id"]),
         "sets",
     )
     links = materialize(_confirm(star_pairs, sets, percent), "links")
     roots = connected_components(links)
 
-    # buckets in which not all are connected yet
+    # buckets in which not all are connected yet, in groups that share members
     placed = shared.join(roots, shared["rep"] == roots["node"], "left").select(
-        "bucket", "rep", F.coalesce("root", "rep").alias("comp")
+        "bucket", "rep", "pivot", F.coalesce("root", "rep").alias("comp")
+    )
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    opened = placed.join(mixed.select("bucket"), "bucket", "left_semi").where("rep <> pivot")
+    grouped = connected_components(opened.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+    members = materialize(
+        grouped.select(F.col("node").alias("rep"), F.col("root").alias("group"))
+        .unionByName(grouped.select(F.col("root").alias("rep"), F.col("root").alias("group")).distinct())
+        .join(roots, F.col("rep") == F.col("node"), "left")
+        .select("rep", "group", F.coalesce("root", "rep").alias("comp")),
+        "open-members",
     )
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"))
-    mixed = mixed.where("low < high").select("bucket", F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
+    tiles = members.groupBy(F.col("group").alias("of")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    open_sets = arrow_map(
+        texts.join(members.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi"), _sets,
+        "doc_id long, shingles array<long>", shingle=shingle,
+    ).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "set_of")
     tiled = (
-        placed.join(mixed, "bucket")
-        .join(reps, "rep")
+        members.join(tiles, F.col("group") == F.col("of"))
+        .join(reps.select(F.col("rep").alias("sig_of"), "signature"), F.col("rep") == F.col("sig_of"))
+        .join(open_sets, F.col("rep") == F.col("set_of"))
         .withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
         .withColumn("first", F.least("tile", "other"))
         .withColumn("second", F.greatest("tile", "other"))
+        .select("group", "first", "second", "rep", "comp", "tile", "signature", "shingles")
     )
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crossing = arrow_map(
-        tiled.repartition(n_parts, "bucket", "first", "second").sortWithinPartitions("bucket", "first", "second"),
-        _tile_pairs, "a long, b long", **bounds,
-    ).distinct()
-    crossing = materialize(crossing.join(star_pairs, ["a", "b"], "left_anti"), "crossing")
-    new = _ends(crossing).join(sets.select("rep"), "rep", "left_anti")
-    more_sets = sets.unionByName(
+    more = materialize(
         arrow_map(
-            texts.join(new, F.col("doc_id") == F.col("rep"), "left_semi"), _sets, "rep long, shingles array<long>",
-            shingle=shingle,
-        ).dropDuplicates(["rep"])
+            tiled.repartition(n_parts, "group", "first", "second").sortWithinPartitions("group", "first", "second"),
+            _tile_links, "a long, b long", **bounds,
+        ),
+        "more-links",
     )
-    more = materialize(_confirm(crossing, more_sets, percent), "more-links")
     roots = connected_components(links.unionByName(more))
 
     comp = materialize(

@@ -124,23 +124,17 @@ def mix_plan(
 
 
 def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` as mixed: each row as often as the mix takes it, to the nearest whole copy."""
+    """``docs`` as mixed: each row as often as the mix takes it, to the nearest whole copy.
+
+    Rows with equal id, source and size share what they are taken, in even parts.
+    """
     plan = mix_plan(docs, **parameters).where("taken > 0")
-    key = F.xxhash64("doc_id", "source", "size")
-    copies = (
-        plan.withColumn("_mix_key", key)
-        .groupBy("_mix_key")
-        .agg(F.sum(F.col("taken") / F.col("size")).alias("_mix_sum"), F.count("*").alias("_mix_rows"))
-        .select("_mix_key", (F.col("_mix_sum") / F.col("_mix_rows")).alias("_mix_share"))
-    )
-    keyed = docs.withColumn("_mix_key", F.xxhash64("doc_id", "source", words_of(F.col("text"))))
-    times = F.round("_mix_share").cast("int")
-    return (
-        keyed.join(copies, "_mix_key")
-        .where(times > 0)
-        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), times)))
-        .select(*[keyed[c] for c in docs.columns])
-    )
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("source").cast("string"), "size")
+    copies = plan.groupBy(key.alias("_mix_key")).agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_mix_times"))
+    own_key = F.xxhash64(F.col("doc_id").cast("string"), F.col("source").cast("string"), words_of(F.col("text")))
+    keyed = docs.withColumn("_mix_key", own_key)
+    taken = keyed.join(copies.where("_mix_times > 0"), "_mix_key")
+    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
