@@ -16,7 +16,7 @@ similarity of 0.85 a pair exceeds the radius with probability below 1e-4, above
    between different sets is lost, and only links that connect components are given out.
 5. Components of the confirmed links; members of a class take its component.
 
-Full sets come from a second reading of the texts of documents with a candidate pair only.
+Full sets come from a second reading of the texts, for documents that share a bucket only.
 
 Defined results: a null or blank text has an empty set, size 0, and is linked with nothing; a text
 with fewer words than a shingle is one shingle; a null ``doc_id`` is linked with nothing and is its
@@ -246,13 +246,10 @@ def near_duplicates(
     bounds = {"symbols": symbols, "radius": radius, "percent": percent}
     stars = shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star_pairs = materialize(arrow_map(sides(stars), _near, "a long, b long", **bounds), "star-pairs")
-    sets = materialize(
-        arrow_map(
-            texts.join(_ends(star_pairs), F.col("doc_id") == F.col("rep"), "left_semi"), _sets,
-            "doc_id long, shingles array<long>", shingle=shingle,
-        ).dropDuplicates(["doc_id"]),
-        "sets",
-    )
+    # Full sets of documents that share a bucket: they grow with the table, so the join is never a broadcast.
+    sharing = shared.select("rep").distinct().hint("merge")
+    chosen = texts.join(sharing, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = materialize(arrow_map(chosen, _sets, "doc_id long, shingles array<long>", shingle=shingle), "sets")
     links = materialize(_confirm(star_pairs, sets, percent), "links")
     roots = connected_components(links)
 
@@ -271,10 +268,7 @@ def near_duplicates(
         "open-members",
     )
     tiles = members.groupBy(F.col("group").alias("of")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    open_sets = arrow_map(
-        texts.join(members.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi"), _sets,
-        "doc_id long, shingles array<long>", shingle=shingle,
-    ).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "set_of")
+    open_sets = sets.withColumnRenamed("doc_id", "set_of")
     tiled = (
         members.join(tiles, F.col("group") == F.col("of"))
         .join(reps.select(F.col("rep").alias("sig_of"), "signature"), F.col("rep") == F.col("sig_of"))
@@ -311,10 +305,6 @@ def near_duplicates(
     )
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-
-
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

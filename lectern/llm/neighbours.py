@@ -7,8 +7,8 @@ summed product) until the cells taken hold ``PROBED`` of all vectors. These are
 inner products in double precision.
 
 Cells are dealt to units of at most ``UNIT`` vectors; a cell above that is split by hash over units of
-its own. A unit's task holds its vectors and streams the queries that probe it, a product of two matrices for each batch; each
-query gets the unit's best ``k``, and the best of these are the result. Only the number of vectors in
+its own. A unit's task holds its vectors and streams the queries that probe it, a product of two matrices for each batch; a
+partition keeps the best ``k`` of each query over its units, and the best of these are the result. Only the number of vectors in
 each cell is gathered on the driver, ``CENTROIDS ** 2`` numbers at most.
 
 ``PROBED`` is a share because the recall asked for decides it: on vectors without structure, as in the test
@@ -151,7 +151,37 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * x).sum(axis=1)
 
 
-def _rerank(batches, k: int, cells_total: int):
+def _best(rows: list[tuple], k: int) -> tuple:
+    """The best ``k`` of each query among rows of query, vector and score."""
+    query, vector, score = (np.concatenate(c) for c in zip(*rows))
+    order = np.lexsort((vector, -score, query))
+    query, vector, score = query[order], vector[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], vector[keep], score[keep]
+
+
+def _rerank(batches, k: int, cells_total: int, held_rows: int = 400_000):
+    """The best ``k`` of each query among all units of this partition; at most ``held_rows`` rows are held
+    for that, what is above goes out early."""
+    held, n = [], 0
+    for rows in _unit_hits(batches, k, cells_total):
+        held.append(rows)
+        n += len(rows[0])
+        if n > held_rows:
+            held = [_best(held, k)]
+            n = len(held[0][0])
+            if n > held_rows // 2:
+                yield _hit_batch(held.pop())
+                n = 0
+    if held:
+        yield _hit_batch(_best(held, k))
+
+
+def _hit_batch(rows: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["query_id", "vec_id", "score"])
+
+
+def _unit_hits(batches, k: int, cells_total: int):
     unit, ids, vectors, cells = None, [], [], []
     x = None
     for batch in batches:
@@ -186,13 +216,7 @@ def _rerank(batches, k: int, cells_total: int):
                     slack = 1e-9 * np.abs(np.where(np.isfinite(bar), bar, 0)) + 1e-12 * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1).max())
                 r, c = np.nonzero((rough >= (bar - slack)[:, None]) & np.isfinite(rough))
                 exact = products(q[r], x[c])
-                order = np.lexsort((own[c], -exact, r))
-                r, c, exact = r[order], c[order], exact[order]
-                nth = np.arange(len(r)) - np.searchsorted(r, r)
-                best = nth < k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked[r[best]]), pa.array(own[c[best]]), pa.array(exact[best])], names=["query_id", "vec_id", "score"]
-                )
+                yield _best([(asked[r], own[c], exact)], k)
 
 
 def nearest_neighbours(

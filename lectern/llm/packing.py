@@ -18,7 +18,9 @@ a null ``doc_id`` is packed like any other; a text longer than a window spans wi
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,34 +38,89 @@ SEED = 90_001
 CACHED_WORDS = 1_000_000
 
 
+#: Byte-level tokenizers write a byte that has no visible Latin-1 character as one from 256 on.
+_SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
+def _letters(word: bytes) -> bool:
+    """Whether a word is made of small letters alone, composed as they should be."""
+    if word.isalpha():
+        return word.islower()
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+
+class _Numbers(dict):
+    def __missing__(self, word):
+        return -1
+
+
 class WordTokenizer:
-    """Token ids of texts, through a cache of words; for tokenizers that split at ASCII blanks."""
+    """Token ids of texts, through a cache of words; for tokenizers that split at ASCII blanks.
+
+    If the tokenizer also leaves words of ASCII letters to its model as they are, and cuts them from a
+    mark that follows, which is tried out first, such words go to the model directly and words with a
+    mark are put together.
+    """
+
+    MARKS = b",.;:!?"
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached_words = Tokenizer.from_file(path), cached_words
+        tried = ["a", "the", "window", "retrieval", "zzxqjvk", "antidisestablishmentarianism", "été", "über", "año", "дом", "中文"]
+        alone = [self._ids(w) for w in tried]
+        self.simple = all(self._model_ids(w) == ids for w, ids in zip(tried, alone)) and all(
+            self._ids(w + chr(m)) == ids + self._ids(chr(m)) for w, ids in zip(tried, alone) for m in self.MARKS
+        )
         self._forget()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _model_ids(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
     def _forget(self):
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.flat, self.starts, self.used = np.zeros(1024, np.uint32), np.zeros(1024, np.int64), 0
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            ids = [e.ids for e in encoded]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            base = len(self.numbers)
-            self.starts = _room(self.starts, base + len(some) + 1)
-            self.flat = _room(self.flat, self.used + int(lengths.sum()))
-            self.starts[base + 1 : base + len(some) + 1] = self.used + np.cumsum(lengths)
-            self.flat[self.used : self.used + int(lengths.sum())] = np.fromiter(
-                (i for e in ids for i in e), np.uint32, int(lengths.sum())
-            )
-            self.used += int(lengths.sum())
-            self.numbers.update(zip(some, range(base, base + len(some))))
+        """Give each of these unknown words a number and keep its ids."""
+        if self.simple:
+            marked = [w for w in words if w[-1] in self.MARKS and _letters(w[:-1])]
+            parts = {w[:-1] for w in marked} | {w[-1:] for w in marked}
+            self._keep(sorted(w for w in parts if w not in self.numbers))
+            self._keep(sorted(w for w in set(words).difference(marked) if w not in self.numbers))
+            self._keep(marked, [self._of(w[:-1]) + self._of(w[-1:]) for w in marked])
+        else:
+            self._keep(words)
+
+    def _of(self, word: bytes) -> list[int]:
+        n = self.numbers[word]
+        return self.flat[self.starts[n] : self.starts[n + 1]].tolist()
+
+    def _keep(self, words: list[bytes], ids: list[list[int]] | None = None) -> None:
+        if not words:
+            return
+        if ids is None:
+            texts = [w.decode("utf-8", "replace") for w in words]
+            plain = [self.simple and _letters(w) for w in words]
+            odd = [t for t, p in zip(texts, plain) if not p]
+            encoded = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else [])
+            ids = [self._model_ids(t) if p else next(encoded).ids for t, p in zip(texts, plain)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        base, more = len(self.numbers), int(lengths.sum())
+        self.starts = _room(self.starts, base + len(words) + 1)
+        self.flat = _room(self.flat, self.used + more)
+        self.starts[base + 1 : base + len(words) + 1] = self.used + np.cumsum(lengths)
+        self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids), np.uint32, more)
+        self.used += more
+        self.numbers.update(zip(words, range(base, base + len(words))))
 
     def encode(self, text: str) -> np.ndarray:
         data = text.encode("utf-8", "replace")
@@ -73,11 +130,11 @@ class WordTokenizer:
             return np.zeros(0, np.uint32)
         if len(self.numbers) > self.cached_words:
             self._forget()
-        which = list(map(self.numbers.get, words))
-        if None in which:
-            self._learn(sorted({w for w, k in zip(words, which) if k is None}))
-            which = list(map(self.numbers.get, words))
-        which = np.array(which, np.int64)
+        which = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            self._learn(sorted({words[i] for i in new.tolist()}))
+            which[new] = [self.numbers[words[i]] for i in new.tolist()]
         begin = self.starts[which]
         lengths = self.starts[which + 1] - begin
         ends = np.cumsum(lengths)
