@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, let
 
 
 def simple_hash(text) -> Column:
@@ -22,18 +22,24 @@ def simple_hash(text) -> Column:
 
 
 def _tapped(text, dimension: int, weight: float, normalized: bool) -> Column:
-    codes = F.transform(F.filter(F.split(col(text), ""), lambda c: c != ""), lambda c: F.ascii(c))
-    counts = F.transform(F.array_distinct(codes), lambda c: F.struct(c.alias("c"), F.size(F.filter(codes, lambda x: x == c)).alias("n")))
-    sums = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda i: F.aggregate(
+    """Sums of ``weight * code`` by ``code % dimension``: codes are counted first, each distinct one once."""
+
+    def counted(codes):
+        return F.transform(F.array_distinct(codes), lambda c: F.struct(c.alias("c"), F.size(F.filter(codes, lambda x: x == c)).alias("n")))
+
+    def summed(counts):
+        one = lambda i: F.aggregate(
             F.filter(counts, lambda k: F.pmod(k["c"], F.lit(dimension)) == i), F.lit(0.0), lambda s, k: s + k["c"] * k["n"] * F.lit(weight)
-        ),
-    )
-    if not normalized:
-        return sums
-    size = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(size > 0, F.transform(sums, lambda x: x / size)).otherwise(sums)
+        )
+        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), one)
+
+    def unit(sums):
+        size = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
+        return let(F.struct(sums.alias("v"), size.alias("n")), lambda x: F.when(x["n"] > 0, F.transform(x["v"], lambda y: y / x["n"])).otherwise(x["v"]))
+
+    codes = F.transform(F.filter(F.split(col(text), ""), lambda c: c != ""), lambda c: F.ascii(c))
+    sums = let(let(codes, counted), summed)
+    return let(sums, unit) if normalized else sums
 
 
 def plain_embedding(text, dimension: int = 384) -> Column:

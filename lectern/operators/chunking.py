@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import col, first_match, total, trim, words
+from lectern.functions.text import col, first_match, let, total, trim, words
 
 _OUT = "array<string>"
 
@@ -38,12 +38,14 @@ def chunk_pages(text, size: int = 1000, overlap: int = 100) -> Column:
     if overlap <= 0:
         return packed
 
-    def led(chunk, i):
-        lines = F.filter(F.split(F.get(packed, i - 1), "\n"), lambda line: trim(line) != "")
-        tail = F.array_join(F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), F.lit(2)), "\n")
-        return F.when(i == 0, chunk).otherwise(F.concat(tail, F.lit("\n"), chunk))
+    def tail(chunk):
+        lines = F.filter(F.split(chunk, "\n"), lambda line: trim(line) != "")
+        return F.array_join(F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), F.lit(2)), "\n")
 
-    return F.transform(packed, led)
+    return let(
+        packed,
+        lambda p: F.transform(p, lambda c, i: F.when(i == 0, c).otherwise(F.concat(tail(F.get(p, i - 1)), F.lit("\n"), c))),
+    )
 
 
 def paragraphs(text) -> Column:

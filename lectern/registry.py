@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("plans.search",)
+MODULES = ("plans.search", "plans.text")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
