@@ -45,7 +45,7 @@ def session_metrics(interactions: DataFrame) -> DataFrame:
     """Queries, mean response time and relevance, and duration of each session."""
     return interactions.groupBy("session_id").agg(
         F.count("*").alias("queries"), F.avg("response_time").alias("avg_response_time"), F.avg("relevance").alias("avg_relevance"),
-        (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("duration_us"),
+        (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("duration_us"),
     )
 
 

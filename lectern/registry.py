@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("plans.search", "plans.text")
+MODULES = ("plans.search", "plans.text", "plans.observe")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

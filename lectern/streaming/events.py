@@ -44,7 +44,8 @@ def gather_tokens(tokens: DataFrame, by: str = "message_id", seq: str = "seq") -
 
 def windowed_metrics(events: DataFrame, width: str = "2 seconds", late: str = "10 seconds", ts: str = "ts", value: str = "value", kind: str = "event_type") -> DataFrame:
     """Tumbling windows of event time: count, mean value and errors. Works on streams and tables."""
-    timed = events.withWatermark(ts, late) if events.isStreaming else events
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    timed = timed.withWatermark(ts, late) if events.isStreaming else timed
     return timed.groupBy(F.window(ts, width).alias("window")).agg(
         F.count("*").alias("n"), F.avg(value).alias("mean_value"), F.count_if(F.col(kind) == "error").alias("errors")
     )
@@ -52,7 +53,8 @@ def windowed_metrics(events: DataFrame, width: str = "2 seconds", late: str = "1
 
 def session_windows(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour", ts: str = "ts", by: str = "user_id") -> DataFrame:
     """Sessions of a user: events no further apart than ``gap``."""
-    timed = events.withWatermark(ts, late) if events.isStreaming else events
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    timed = timed.withWatermark(ts, late) if events.isStreaming else timed
     return timed.groupBy(by, F.session_window(ts, gap).alias("session")).agg(F.count("*").alias("n"))
 
 
