@@ -35,7 +35,7 @@ SHARD_CHARS = 1_000_000
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 SEED = 90_001
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 
 
 #: Byte-level tokenizers write a byte that has no visible Latin-1 character as one from 256 on.
