@@ -198,6 +198,18 @@ _SURE = r"""least(100, 50 + CASE WHEN length(content) > 100 THEN 20 ELSE 0 END +
  + CASE WHEN regexp_matches(content, '[A-Z]') THEN 10 ELSE 0 END + CASE WHEN len(regexp_split_to_array(content, '\s+')) > 10 THEN 10 ELSE 0 END)"""
 
 
+_OVERLAP = rf"""{trim_sql("""list_reduce(list_prepend('', list_reverse(list_filter(list_transform(regexp_split_to_array(s.cur, '[.!?]+'),
+ lambda z: regexp_replace(z, '^\\s+|\\s+$', '', 'g')), lambda z: z <> ''))), lambda h, z: CASE WHEN length(h) >= least(150, length(s.cur) / 2) THEN h ELSE z || '. ' || h END)""")}"""
+_PARAGRAPHS = rf"""
+SELECT doc_id, list_transform(list_append(s.out, s.cur), lambda z: {trim_sql('z')}) AS c FROM (
+ SELECT doc_id, list_reduce(list_prepend(NULL, list_transform(ps, lambda p: {{'out': []::VARCHAR[], 'cur': p}})), lambda s, x:
+  CASE WHEN s IS NULL THEN x WHEN length(s.cur) + length(x.cur) > 1000 THEN {{'out': list_append(s.out, s.cur), 'cur': {_OVERLAP} || x.cur}}
+  ELSE {{'out': s.out, 'cur': s.cur || chr(10) || chr(10) || x.cur}} END) AS s FROM (
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda z: {trim_sql('z')}),
+   lambda z: z <> '') AS ps FROM documents) WHERE len(ps) > 0)"""
+_PARAGRAPH_ROWS = _ROWS.format(_PARAGRAPHS)
+
+
 def _counts_sql(words):
     return " + ".join(rf"len(regexp_extract_all(s, '\b{w}\b'))" for w in words)
 
@@ -226,6 +238,8 @@ QUERIES = {
 }
 ORACLES = {
     "chunk_pack": _PACK_ROWS,
+    "chunk_paragraph": _PARAGRAPH_ROWS,
+    "clean_response": rf"""SELECT doc_id, {trim_sql("regexp_replace('Rating: ' || text || chr(10) || chr(10) || 'end', '^Rating:', '')")} AS answer FROM documents""",
     "chunk_type": rf"SELECT doc_id, chunk_index, {_TYPE} AS type, {_SURE} AS confidence, len(regexp_split_to_array(content, '\s+')) AS word_count FROM ({_PACK_ROWS})",
     "chunk_overlap": f"""
 WITH p AS (SELECT doc_id, 1 AS page, substr(text, 1, (length(text) // 2)::BIGINT) AS t FROM documents
