@@ -3,10 +3,9 @@
 1. Directories. Each page is paired, within its host, with the page whose path shares most leading
    segments: the first or, for the first itself, the last page of its directory, else of the nearest
    ancestor directory with two pages. Only directory rows are grouped and joined for this, never pages.
-2. Each page and its partner are cut into text lines, one for each block element. Their lines outside
-   ``article`` and ``main`` are aligned by longest common subsequence, and shared lines are deleted.
-   Lines inside those elements are what the page itself declares its article: two pages that share such a line
-   (a quotation, a mirrored article) share content, so these stay.
+2. Each page and its partner are cut into text lines, one for each block element. All their lines are
+   aligned by longest common subsequence, and shared lines are deleted, inside ``article`` and ``main`` as well.
+   If more than half of the lines inside those elements are shared, the article itself is mirrored, and they stay.
 3. Elements that are never article (scripts, forms, menus, asides, adverts, comments ...) go by
    their tag, role or class. If a page has an article or main element, only its lines are kept.
 
@@ -199,24 +198,25 @@ def _middle(a: list[str], b: list[str]) -> list[int]:
 
 
 def main_text(html: str | None, partner_lines: list[str] | None) -> str:
-    """The article of a page; ``partner_lines`` are its partner's lines outside article and main."""
+    """The article of a page; ``partner_lines`` are all lines of its partner."""
     found = blocks(html)
-    outside = [i for i, (_, inside, _) in enumerate(found) if not inside]
-    lines = [found[i][0] for i in outside]
-    shared = {outside[k] for k in common_lines(lines, partner_lines or [])}
+    shared = set(common_lines([text for text, _, _ in found], partner_lines or []))
+    own = {i for i, (_, inside, gone) in enumerate(found) if inside and not gone}
     if len(shared) == len(found):
         shared = set()
+    elif 2 * len(shared & own) > len(own):
+        shared -= own
     left = [(text, inside) for i, (text, inside, gone) in enumerate(found) if not gone and i not in shared]
     if any(inside for _, inside in left):
         left = [(text, inside) for text, inside in left if inside]
     return "\n\n".join(text for text, _ in left)
 
 
-def _outside(batches):
+def _lines(batches):
     for big in batches:
         for at in range(0, big.num_rows, 256):
             batch = big.slice(at, 256)
-            lines = [[t for t, inside, _ in blocks(h) if not inside] for h in batch.column(2).to_pylist()]
+            lines = [[t for t, _, _ in blocks(h)] for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.string()))], names=["dir", "which", "lines"]
             )
@@ -275,7 +275,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     chosen = placed.join(wanted, F.col("_path").eqNullSafe(F.col("path")) & F.col("page_id").eqNullSafe(F.col("id"))).where(
         F.startswith("_dir", F.regexp_extract("dir", "^[^/]*/", 0))
     )
-    lines = arrow_map(chosen.select("dir", "which", "html"), _outside, "dir string, which string, lines array<string>")
+    lines = arrow_map(chosen.select("dir", "which", "html"), _lines, "dir string, which string, lines array<string>")
     both = lines.groupBy(F.col("dir").alias("line_dir")).agg(
         F.max(F.when(F.col("which") == "first", F.col("lines"))).alias("first_lines"),
         F.max(F.when(F.col("which") == "last", F.col("lines"))).alias("last_lines"),

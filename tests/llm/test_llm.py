@@ -235,6 +235,13 @@ def test_main_text():
     assert html_extraction.main_text(None, None) == "" == html_extraction.main_text("<p", None)
 
 
+def test_shared_lines_inside_an_article_go():
+    page = "<nav>Menu</nav><article><p>Read on in our shop</p><p>One</p><p>Two</p></article>"
+    other = ["Menu", "Read on in our shop", "Three", "Four"]
+    assert html_extraction.main_text(page, other) == "One\n\nTwo"
+    assert html_extraction.main_text(page, ["Read on in our shop", "One", "Two", "More"]) == "Read on in our shop\n\nOne\n\nTwo"
+
+
 def test_common_lines_are_longest():
     rng = np.random.default_rng(2)
     for _ in range(40):
