@@ -78,6 +78,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found.values())
 
 
+def test_pipeline_near_copies_equal_brute_force(spark):
+    five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts = [words(k, 200) + words(100 + k, more) for k in range(12) for more in (0, 40, 48, 60)]
+    sets, root = [five(w) for w in texts], list(range(len(texts)))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    left = corpus_pipeline.drop_near_copies(spark, docs_of(spark, [" ".join(w) for w in texts]), "").collect()
+    assert {r["doc_id"] for r in left} == set(root) and (2, 0) in links
+
+
 def test_line_dedup_drops_what_a_host_repeats(spark):
     texts = [f"header\nbody {i}\n \nfooter " for i in range(10)] + [None, ""]
     out = line_dedup.drop_boilerplate(docs_of(spark, texts), ratio=0.5, min_pages=3, counts=True).orderBy("doc_id").collect()
