@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go; documents stay."""
-    return with_length(line_dedup.drop_boilerplate(docs))
+    """Boilerplate lines of each source go; documents stay. Exact copies count as one page, so a group of them stays for the next stage."""
+    return with_length(line_dedup.drop_boilerplate(docs, distinct=True))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ written, is under ``spark.sql.autoBroadcastJoinThreshold``, and else shuffles an
 Defined results: a null text stays null with 0 lines; blank lines count as lines, are never
 boilerplate, and stay; pages of a null host form a host of their own; lines that fewer than
 ``min_pages`` pages of the host hold stay, so that small hosts lose nothing; repeated rows count as
-pages of their own; other columns pass through untouched.
+pages of their own; other columns pass through untouched. With ``distinct``, pages of a host with equal texts count as
+one page, so a group of exact copies doesn't make its own lines boilerplate.
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ def _key(line):
     return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
-def host_boilerplate(pages: DataFrame, host: str, text: str, ratio=RATIO, min_pages=MIN_PAGES) -> DataFrame:
+def host_boilerplate(pages: DataFrame, host: str, text: str, ratio=RATIO, min_pages=MIN_PAGES, distinct: bool = False) -> DataFrame:
     """``host``, ``lines`` (keys of its boilerplate): one row for each host that has any."""
     lines = F.array_distinct(F.filter(F.transform(F.split(F.col(text), "\n"), _bare), lambda x: x != ""))
-    keyed = pages.select(F.col(host).alias("host"), F.transform(lines, _key).alias("keys"))
-    totals = pages.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages"))
+    keyed = pages.select(F.col(host).alias("host"), F.transform(lines, _key).alias("keys"), _key(F.col(text)).alias("page"))
+    if distinct:
+        keyed = materialize(keyed.groupBy("host", "page").agg(F.first("keys").alias("keys")), "distinct-pages")
+    totals = keyed.groupBy("host").agg(F.count("*").alias("pages"))
     counted = keyed.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
     many = counted.where(F.col("n") >= min_pages)
     return (
@@ -52,10 +55,10 @@ def host_boilerplate(pages: DataFrame, host: str, text: str, ratio=RATIO, min_pa
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: str = "source", text: str = "text", ratio=RATIO, min_pages=MIN_PAGES, counts: bool = False
+    pages: DataFrame, host: str = "source", text: str = "text", ratio=RATIO, min_pages=MIN_PAGES, counts: bool = False, distinct: bool = False
 ) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text``; with ``counts`` also ``n_lines`` and ``n_dropped``."""
-    found = materialize(host_boilerplate(pages, host, text, ratio, min_pages), "boilerplate").select(
+    found = materialize(host_boilerplate(pages, host, text, ratio, min_pages, distinct), "boilerplate").select(
         F.col("host").alias("_site"), F.col("lines").alias("_site_lines")
     )
     split = F.split(F.col(text), "\n")

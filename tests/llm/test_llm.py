@@ -99,6 +99,16 @@ def test_line_dedup_drops_what_a_host_repeats(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_pipeline_keeps_one_of_a_group_of_copies(spark):
+    copy = "one line of a copy\nand another line of it"
+    texts = [f"site header\nbody {i} of its own\nmore {i} of it" for i in range(50)] + [copy] * 10
+    lines = corpus_pipeline.materialize(corpus_pipeline.drop_lines(spark, docs_of(spark, texts), ""), "t")
+    assert {r["text"] for r in lines.where("doc_id >= 50").collect()} == {copy}
+    assert {r["text"] for r in lines.where("doc_id = 3").collect()} == {"body 3 of its own\nmore 3 of it"}
+    left = corpus_pipeline.drop_near_copies(spark, lines, "")
+    assert [r["doc_id"] for r in left.where("doc_id >= 50").collect()] == [50]
+
+
 def test_mixing_meets_its_targets(spark):
     rows = [(i, " ".join(["w"] * (i % 37)), None, ["a", "b", "c", None][i % 4], 0, 0) for i in range(2_000)]
     plan = mixing.mix_plan(spark.createDataFrame(rows, DOCS), shard_words=2_000).collect()
