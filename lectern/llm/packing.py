@@ -1,11 +1,17 @@
 """Packing by lexical retrieval: windows of documents that share rare terms.
 
-Documents are dealt by hash to shards of about ``SHARD_CHARS`` characters, so a source or group of
-copies of any size is many tasks. Each shard builds a BM25 inverted index over its documents' tokens. A window starts
+Each text is tokenized once. Document frequencies and the mean length are those of the whole table. Terms in two documents
+or more have one global order: first those in at most as many documents as a shard holds, most frequent first, then the others,
+rarest first. A document's place is its first ``LEADS`` terms in that order, so documents that share them are neighbours, and
+a range of places is a shard of about ``SHARD_CHARS`` characters: a term with more documents is split by the next terms, and
+documents alike in all of them by hash, so a source or group of copies of any size is many tasks. Documents that share
+rare terms but none of their leading ones can still be dealt apart.
+
+Each shard builds a BM25 inverted index over its documents' tokens. A window starts
 with what the last one cut off, or with the next unused document; this seed's best terms query the
 index, and unused neighbours, best first, fill the window greedily. A document that doesn't fit is
-cut, and its rest seeds the next window, so only the last window of a shard needs padding: at most
-one window for about ``SHARD_CHARS`` characters, well under one percent.
+cut, and its rest seeds the next window, so only the last window of a shard needs padding: about
+one window for ``SHARD_CHARS`` characters, well under one percent.
 
 Tokens are those of the tokenizer file for the whole text without special tokens, then the end id.
 The tokenizer never merges across ASCII blanks, so each blank-separated word is encoded once and
@@ -24,14 +30,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_group, table
+from .common import arrow_map, materialize, table
 
 WINDOW = 2_048
 END_ID = 1
 SHARD_CHARS = 1_000_000
+LEADS = 6
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 SEED = 90_001
@@ -150,9 +158,11 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
 
 
 class Bm25:
-    """Inverted index over documents given as arrays of term ids: postings by term, with BM25 weights."""
+    """Inverted index over documents given as arrays of term ids: postings by term, with BM25 weights.
 
-    def __init__(self, docs: list[np.ndarray]):
+    ``corpus``: number of documents, mean length and document frequency by term of the whole corpus, else those of ``docs``."""
+
+    def __init__(self, docs: list[np.ndarray], corpus: tuple[int, float, np.ndarray] | None = None):
         found = [np.unique(d, return_counts=True) for d in docs]
         self.n = len(docs)
         sizes = np.array([len(t) for t, _ in found], np.int64)
@@ -160,12 +170,14 @@ class Bm25:
         tf = np.concatenate([c for _, c in found]).astype(np.float32) if docs else np.zeros(0, np.float32)
         doc = np.repeat(np.arange(self.n), sizes)
         length = np.array([len(d) for d in docs], np.float32)
-        scale = K1 * (1 - B + B * length / max(1.0, float(length.mean()) if self.n else 1.0))
+        total, mean = corpus[:2] if corpus else (self.n, float(length.mean()) if self.n else 1.0)
+        scale = K1 * (1 - B + B * length / max(1.0, mean))
         order = np.argsort(term, kind="stable")
         self.doc = doc[order]
         self.terms, self.first, df = np.unique(term[order], return_index=True, return_counts=True)
         self.first = np.append(self.first, len(order))
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        spread = corpus[2][self.terms] if corpus else df
+        idf = np.log1p((total - spread + 0.5) / (spread + 0.5)).astype(np.float32)
         weight = tf * (K1 + 1) / (tf + scale[doc])
         self.weight = weight[order] * np.repeat(idf, df)
         # each document's best terms that others have too
@@ -187,9 +199,9 @@ class Bm25:
         return found[np.argsort(-scores[found], kind="stable")]
 
 
-def order_by_retrieval(docs: list[np.ndarray], window: int) -> list[int]:
+def order_by_retrieval(docs: list[np.ndarray], window: int, corpus: tuple[int, float, np.ndarray] | None = None) -> list[int]:
     """The order in which documents fill windows one after the other."""
-    index, unused, order = Bm25(docs), np.ones(len(docs), bool), []
+    index, unused, order = Bm25(docs, corpus), np.ones(len(docs), bool), []
     at = following = 0  # tokens laid so far, next document to look at
     while len(order) < len(docs):
         if at % window == 0 or not order:
@@ -225,21 +237,94 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def _pack(batches, path: str, window: int, end_id: int):
+def _tokens(batches, path: str, end_id: int):
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     tokenizer = _tokenizers[path]
-    for (shard,), group in by_group(batches, ["shard"]):
+    end = np.array([end_id], "<u4")
+    for big in batches:
+        for at in range(0, big.num_rows, 256):
+            batch = big.slice(at, 256)
+            docs = [
+                np.concatenate((tokenizer.encode(t), end)).astype("<u4").tobytes() if t else end.tobytes()
+                for t in batch.column("text").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("turn"), batch.column("chars"), pa.array(docs, pa.binary())],
+                names=["doc_id", "turn", "chars", "tokens"],
+            )
+
+
+def _spread(batches):
+    """For each term the number of this partition's documents that have it."""
+    counts = np.zeros(0, np.int64)
+    for batch in batches:
+        for raw in batch.column("tokens").to_pylist():
+            terms = np.unique(np.frombuffer(raw, "<u4"))
+            counts = _room(counts, int(terms[-1]) + 1)
+            counts[terms] += 1
+    found = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["term", "docs"])
+
+
+def places(spread: np.ndarray, many: int) -> np.ndarray:
+    """The rank of each term in the global order, from 0; terms of fewer than two documents come after all others."""
+    order = np.lexsort((np.where(spread <= many, -spread, spread), spread > many, spread < 2))
+    rank = np.empty(len(spread), np.int32)
+    rank[order] = np.arange(len(spread), dtype=np.int32)
+    rank[spread < 2] = len(spread)
+    return rank
+
+
+def leading(terms: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The ranks of a document's first ``LEADS`` terms."""
+    ranks = np.unique(rank[terms])[:LEADS]
+    return np.append(ranks, np.full(LEADS - len(ranks), len(rank), np.int32))
+
+
+def _placed(batches, ranks):
+    rank = ranks.value
+    for big in batches:
+        for at in range(0, big.num_rows, 256):
+            batch = big.slice(at, 256)
+            found = [leading(np.frombuffer(raw, "<u4"), rank) for raw in batch.column("tokens").to_pylist()]
+            # big-endian, so that bytes are in the order of the ranks
+            keys = pa.array([x.astype(">u4").tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "place"])
+
+
+def _shards(batches, shard_chars: int):
+    """Tables of rows in the order given, each of about ``shard_chars`` characters."""
+    held, chars, cut = [], 0, shard_chars + shard_chars // 2
+    for batch in batches:
+        sizes, start = batch.column("chars").to_numpy(), 0
+        for i in range(batch.num_rows):
+            if chars + sizes[i] > cut and chars:
+                held.append(batch.slice(start, i - start))
+                rows = pa.Table.from_batches(held)
+                ends = np.cumsum(rows.column("chars").to_numpy())
+                n = max(1, int(np.searchsorted(ends, shard_chars, "right")))
+                yield rows.slice(0, n)
+                rest = rows.slice(n)
+                held, chars, start = rest.to_batches(), int(ends[-1] - ends[n - 1]), i
+            chars += int(sizes[i])
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def _pack(batches, window: int, shard_chars: int, corpus):
+    part = TaskContext.get().partitionId()
+    for nth, group in enumerate(_shards(batches, shard_chars)):
+        shard = (part << 12) + nth
         ids = group.column("doc_id").to_pylist()
         turn = group.column("turn").to_numpy()
-        docs = [
-            np.append(tokenizer.encode(t) if t else np.zeros(0, np.uint32), np.uint32(end_id)).astype("<u4")
-            for t in group.column("text").to_pylist()
-        ]
+        docs = [np.frombuffer(raw, "<u4") for raw in group.column("tokens").to_pylist()]
         by_turn = sorted(range(len(docs)), key=lambda i: (turn[i], len(docs[i]), ids[i] is None, ids[i] or 0))
         docs, ids = [docs[i] for i in by_turn], [ids[i] for i in by_turn]
         out, at = [], 0
-        for d in order_by_retrieval(docs, window):
+        for d in order_by_retrieval(docs, window, corpus.value):
             start, size = 0, len(docs[d])
             while start < size:
                 length = min(size - start, window - at % window)
@@ -255,14 +340,24 @@ def _pack(batches, path: str, window: int, end_id: int):
 
 def pack(docs: DataFrame, tokenizer: str, window=WINDOW, end_id=END_ID, shard_chars=SHARD_CHARS, seed=SEED) -> DataFrame:
     """Pieces of all ``docs``: ``doc_id`` and ``PIECES``. ``tokenizer`` is the path of a tokenizer file."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
-    turn = F.xxhash64(F.lit(seed), "doc_id", F.length("text"))
-    rows = docs.select("doc_id", "text", turn.alias("turn"), F.pmod(F.xxhash64(turn), F.lit(shards)).cast("long").alias("shard"))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shards, 100_000))
-    dealt = rows.repartition(parts, "shard").sortWithinPartitions("shard")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(dealt, _pack, f"doc_id {kind}, {PIECES}", path=tokenizer, window=window, end_id=end_id)
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", F.length("text")).alias("turn"), chars.alias("chars"), "text")
+    columns = f"doc_id {kind}, turn long, chars long, tokens binary"
+    tokens = materialize(arrow_map(rows, _tokens, columns, path=tokenizer, end_id=end_id), "tokens")
+    n, chars, length = tokens.agg(F.count("*"), F.sum("chars"), F.avg(F.length("tokens") / 4)).first()
+    shards = max(1, -(-(chars or 0) // shard_chars))
+    # one number for each term of the tokenizer
+    found = arrow_map(tokens.select("tokens"), _spread, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).collect()
+    spread = np.zeros(max((r["term"] for r in found), default=0) + 1, np.int64)
+    for r in found:
+        spread[r["term"]] = r["docs"]
+    ranks = spark.sparkContext.broadcast(places(spread, -(-n // shards)))
+    corpus = spark.sparkContext.broadcast((n, length or 1.0, spread))
+    parts = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 64)))
+    placed = arrow_map(tokens, _placed, f"{columns}, place binary", ranks=ranks)
+    dealt = placed.repartitionByRange(parts, "place", "turn").sortWithinPartitions("place", "turn").drop("place")
+    return arrow_map(dealt, _pack, f"doc_id {kind}, {PIECES}", window=window, shard_chars=shard_chars, corpus=corpus)
 
 
 def default_tokenizer() -> str:

@@ -166,6 +166,15 @@ def test_packing_keeps_every_id_once(spark):
         assert group.offset.tolist() == [0, *group.length.cumsum()[:-1]] and group.length.sum() <= 512
 
 
+def test_packing_deals_alike_documents_to_one_shard(spark):
+    texts = [" ".join([*words(i, 20), *words(1000 + i % 60, 100)]) for i in range(240)]
+    pieces = packing.pack(docs_of(spark, texts), packing.default_tokenizer(), window=512, shard_chars=9_000).toPandas()
+    shard = {d: s >> 32 for d, s in zip(pieces.doc_id, pieces.sequence_id)}
+    assert len(set(shard.values())) >= 15
+    pairs = [(i, j) for i in range(240) for j in range(i % 60, i, 60)]
+    assert sum(shard[i] == shard[j] for i, j in pairs) >= 0.5 * len(pairs)
+
+
 def test_packing_brings_like_documents_together():
     docs = [np.array([k * 10 + j for j in range(8)] * 2) for k in (1, 2, 1, 2, 1, 2)]
     order = packing.order_by_retrieval(docs, 48)
