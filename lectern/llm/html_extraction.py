@@ -1,8 +1,9 @@
 """Main text of HTML pages: nearest-URL page differencing over structural blocks.
 
-1. Directories. Each page is paired, within its host, with the page whose path shares most leading
-   segments: the first or, for the first itself, the last page of its directory, else of the nearest
-   ancestor directory with two pages. Only directory rows are grouped and joined for this, never pages.
+1. Pages are dealt by ranges of (host, path, page_id), so a host of any size is many tasks. A page's partner is its
+   neighbour in that order, within its host: the one before or after it, whichever shares more leading segments; if that one has
+   no line in common or is a copy, the other. Pages with null or empty html are passed over. Of each range the first and last page with html
+   go to the next ranges as well, so neighbours meet across borders.
 2. Each page and its partner are cut into text lines, one for each block element. All their lines are
    aligned by longest common subsequence, and shared lines are deleted, inside ``article`` and ``main`` as well.
    If more than half of the lines inside those elements are shared, the article itself is mirrored, and they stay.
@@ -20,15 +21,21 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize, table
 
+#: Sampled pages for each range.
+PER_RANGE = 50
+
 # Element names by what they do to text.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -199,12 +206,19 @@ def _middle(a: list[str], b: list[str]) -> list[int]:
 
 def main_text(html: str | None, partner_lines: list[str] | None) -> str:
     """The article of a page; ``partner_lines`` are all lines of its partner."""
-    found = blocks(html)
-    shared = set(common_lines([text for text, _, _ in found], partner_lines or []))
-    own = {i for i, (_, inside, gone) in enumerate(found) if inside and not gone}
-    if len(shared) == len(found):
+    return _article(blocks(html), [partner_lines or []])
+
+
+def _article(found: list[tuple[str, bool, bool]], partners: list[list[str]]) -> str:
+    """The article among blocks; the first partner that shares some lines, but not all, counts."""
+    shared: set[int] = set()
+    for lines in partners:
+        shared = set(common_lines([text for text, _, _ in found], lines))
+        if 0 < len(shared) < len(found):
+            break
         shared = set()
-    elif 2 * len(shared & own) > len(own):
+    own = {i for i, (_, inside, gone) in enumerate(found) if inside and not gone}
+    if 2 * len(shared & own) > len(own):
         shared -= own
     left = [(text, inside) for i, (text, inside, gone) in enumerate(found) if not gone and i not in shared]
     if any(inside for _, inside in left):
@@ -212,81 +226,125 @@ def main_text(html: str | None, partner_lines: list[str] | None) -> str:
     return "\n\n".join(text for text, _ in left)
 
 
-def _lines(batches):
+class _Run:
+    """Rows of one page, which are never each other's partners."""
+
+    def __init__(self, key: tuple):
+        self.key, self.rows, self.found = key, [], {}
+
+    def add(self, page_id, url, html: str, border: bool) -> None:
+        if html not in self.found:
+            self.found[html] = blocks(html)
+        if not border:
+            self.rows.append((page_id, url, html))
+
+    def lines(self) -> list[str]:
+        return [text for text, _, _ in next(iter(self.found.values()))]
+
+    def texts(self, before: _Run | None, after: _Run | None):
+        near = [r for r in (before, after) if r is not None and r.key[1] == self.key[1]]
+        near.sort(key=lambda r: -_segments(r.key[2], self.key[2]))
+        partners = [r.lines() for r in near] if self.rows else []
+        text = {html: _article(found, partners) for html, found in self.found.items()} if self.rows else {}
+        for page_id, url, html in self.rows:
+            yield page_id, url, text[html]
+
+
+def _segments(a: str, b: str) -> int:
+    """How many leading segments two paths share."""
+    n = 0
+    for x, y in zip(a.split("/"), b.split("/")):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _texts(batches):
+    before = now = None
+    columns = ("part", "host", "path", "id", "border", "page_id", "url", "html")
     for big in batches:
-        for at in range(0, big.num_rows, 256):
-            batch = big.slice(at, 256)
-            lines = [[t for t, _, _ in blocks(h)] for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.string()))], names=["dir", "which", "lines"]
-            )
+        for at in range(0, big.num_rows, 64):
+            batch = big.slice(at, 64)
+            for part, host, path, id, border, page_id, url, html in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if not html:
+                    yield page_id, url, ""
+                    continue
+                key = (part, host, path, id)
+                if now is None or key != now.key:
+                    after = _Run(key)
+                    after.add(page_id, url, html, border)
+                    if now is not None:
+                        yield from now.texts(_same(before, now), _same(after, now))
+                    before, now = now, after
+                else:
+                    now.add(page_id, url, html, border)
+    if now is not None:
+        yield from now.texts(_same(before, now), None)
+
+
+def _same(other: _Run | None, run: _Run) -> _Run | None:
+    return other if other is not None and other.key[0] == run.key[0] else None
 
 
 def _extract(batches):
-    for big in batches:
-        for at in range(0, big.num_rows, 256):
-            batch = big.slice(at, 256)
-            texts = [main_text(h, p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
+    rows = _texts(batches)
+    while some := list(islice(rows, 256)):
+        ids, urls, texts = zip(*some)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+            names=["page_id", "url", "text", "n_chars"],
+        )
 
 
 def _places(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``host``, ``dir`` (segments before the last, as one path) and ``me`` (path, page_id)."""
+    """``pages`` with their place in the order: ``host``, ``path``, ``id`` (a null ``page_id`` is first)."""
     url = F.coalesce(F.col("url"), F.lit(""))
     bare = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
-    host = F.lower(F.regexp_extract(bare, r"^[^/]*", 0))
-    path = F.regexp_replace(F.expr("substring(_bare, length(_host) + 1)"), r"/+$", "")
     return (
         pages.withColumn("_bare", bare)
-        .withColumn("_host", host)
-        .withColumn("_path", path)
-        .withColumn("_dir", F.concat("_host", F.regexp_replace("_path", r"/[^/]*$", ""), F.lit("/")))
-        .withColumn("_me", F.struct(F.col("_path").alias("path"), F.col("page_id").cast("long").alias("page_id")))
+        .withColumn("_site", F.regexp_extract("_bare", r"^[^/]*", 0))
+        .withColumn("host", F.lower("_site"))
+        .withColumn("path", F.regexp_replace(F.expr("substring(_bare, length(_site) + 1)"), r"/+$", ""))
+        .withColumn("id", F.coalesce("page_id", F.lit(-(2**63))))
+        .drop("_bare", "_site")
     )
 
 
-def partners(pages: DataFrame) -> DataFrame:
-    """For each directory the two pages its pages are compared with: ``dir``, ``first``, ``last``."""
-    own = _places(pages).groupBy(F.col("_dir").alias("dir")).agg(F.min("_me").alias("first"), F.max("_me").alias("last"))
-    own = materialize(own, "directories")
-    # a directory and its ancestors, down to the host: "host/a/b/" -> "host/", "host/a/", "host/a/b/"
-    parts = F.split(F.regexp_replace("dir", "/$", ""), "/")
-    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))
-    above = own.select("dir", "first", "last", F.posexplode(up).alias("depth", "above"))
-    wide = above.groupBy(F.col("above").alias("of")).agg(F.min("first").alias("a"), F.max("last").alias("b")).where("a < b")
-    nearest = above.join(wide, F.col("above") == F.col("of")).groupBy("dir")
-    return nearest.agg(F.max_by(F.struct("a", "b"), "depth").alias("pair")).select(
-        "dir", F.col("pair.a").alias("first"), F.col("pair.b").alias("last")
-    )
+def _ranges(keys: DataFrame, parts: int) -> list[tuple]:
+    """Places that cut the order into ``parts`` ranges, from a bounded sample."""
+    n = keys.count()
+    draw = F.pmod(F.xxhash64("host", "path", "id"), F.lit(2**30)) < F.lit(int(2**30 * min(1.0, parts * PER_RANGE / max(1, n))))
+    seen = sorted(tuple(r) for r in keys.where(draw).select("host", "path", "id").limit(4 * parts * PER_RANGE).toLocalIterator())
+    return sorted({seen[len(seen) * k // parts] for k in range(1, parts)}) if seen else []
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` for every row of ``pages``."""
+    spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    pairs = materialize(partners(pages), "partners")
-    sides = pairs.select("dir", F.lit("first").alias("which"), F.col("first").alias("page")).unionByName(
-        pairs.select("dir", F.lit("last").alias("which"), F.col("last").alias("page"))
-    )
-    wanted = sides.select("dir", "which", F.col("page.path").alias("path"), F.col("page.page_id").alias("id"))
     placed = _places(pages)
-    chosen = placed.join(wanted, F.col("_path").eqNullSafe(F.col("path")) & F.col("page_id").eqNullSafe(F.col("id"))).where(
-        F.startswith("_dir", F.regexp_extract("dir", "^[^/]*/", 0))
-    )
-    lines = arrow_map(chosen.select("dir", "which", "html"), _lines, "dir string, which string, lines array<string>")
-    both = lines.groupBy(F.col("dir").alias("line_dir")).agg(
-        F.max(F.when(F.col("which") == "first", F.col("lines"))).alias("first_lines"),
-        F.max(F.when(F.col("which") == "last", F.col("lines"))).alias("last_lines"),
-    )
-    known = materialize(
-        pairs.select("dir", F.col("first").alias("first_page")).join(both, F.col("dir") == F.col("line_dir")).drop("line_dir"),
-        "partner-lines",
-    )
-    partner = F.when(F.col("_me") == F.col("first_page"), F.col("last_lines")).otherwise(F.col("first_lines"))
-    rows = placed.join(known, F.col("_dir") == F.col("dir"), "left").select("page_id", "url", "html", partner.alias("partner"))
-    return arrow_map(rows, _extract, "page_id long, url string, text string, n_chars long")
+    usable = F.coalesce(F.length("html") > 0, F.lit(False))
+    keys = materialize(placed.select("host", "path", "id", usable.alias("usable")), "places")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = spark.sparkContext.broadcast(_ranges(keys, parts))
+
+    @F.pandas_udf("int")
+    def range_of(host: pd.Series, path: pd.Series, id: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(cuts.value, x) for x in zip(host, path, id)], dtype="int32")
+
+    part = range_of("host", "path", "id").alias("part")
+    place = F.struct("host", "path", "id")
+    ends = keys.where("usable").select(part, place.alias("place")).groupBy("part").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    ends = sorted(ends.collect(), key=lambda r: r["part"])  # one row for each range
+    borders = [(*a["high"], b["part"]) for a, b in zip(ends, ends[1:])] + [(*b["low"], a["part"]) for a, b in zip(ends, ends[1:])]
+    borders = F.broadcast(spark.createDataFrame(borders, "host string, path string, id long, part int"))
+    columns = ["part", "host", "path", "id", "border", "page_id", "url", "html"]
+    own = placed.select(part, "host", "path", "id", F.lit(False).alias("border"), "page_id", "url", "html")
+    also = placed.where(usable).join(borders, ["host", "path", "id"]).withColumn("border", F.lit(True)).select(columns)
+    rows = own.unionByName(also.dropDuplicates(["part", "host", "path", "id"]))
+    dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "host", "path", "id", "border")
+    return arrow_map(dealt, _extract, "page_id long, url string, text string, n_chars long")
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

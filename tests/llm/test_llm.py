@@ -273,6 +273,17 @@ def test_shared_lines_inside_an_article_go():
     assert html_extraction.main_text(page, ["Read on in our shop", "One", "Two", "More"]) == "Read on in our shop\n\nOne\n\nTwo"
 
 
+def test_pages_pair_with_their_neighbour(spark):
+    html = lambda i: f"<body><div>Site name</div><p>Own {i}</p><p>Copyright</p></body>"
+    odd = {0: None, 1: "", 40: None, 99: "<p>Another template"}
+    rows = [(i, f"http://h/{i:03}", odd.get(i, html(i))) for i in range(100)] + [(200, "http://g/1", html(200)), (200, "http://g/1", html(200)), (None, None, "<p>x")]
+    found = html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == len(rows)
+    assert all(r["text"] == f"Own {r['page_id']}" for r in found if r["page_id"] in set(range(100)) - set(odd))
+    assert {r["text"] for r in found if r["page_id"] == 200} == {"Site name\n\nOwn 200\n\nCopyright"}
+    assert {r["page_id"]: r["text"] for r in found if r["page_id"] in (*odd, None)} == {0: "", 1: "", 40: "", 99: "Another template", None: "x"}
+
+
 def test_common_lines_are_longest():
     rng = np.random.default_rng(2)
     for _ in range(40):
