@@ -3,11 +3,12 @@
 Base kinds are patterns: ``assign`` (a named value), ``access`` (an access key id), ``hex`` (a long
 run of hex digits). Further spans are reported only after their bytes have been decoded and parsed:
 
-* ``pem``: a PEM block whose body is base64 and holds a private key structure;
+* ``pem``: a PEM block whose body is base64 and holds a private key structure; line ends may be escaped, as in JSON;
 * ``jwt``: three base64url parts of which the first is a JSON object naming an algorithm and the
   second a JSON object;
-* ``key``: a base64 or hex run that decodes to a private key: DER whose nested lengths all fit
-  (PKCS#1, PKCS#8, SEC1), or the OpenSSH format with its length-prefixed strings.
+* ``key``: base64 or hex that decodes to a private key: DER whose nested lengths all fit
+  (PKCS#1, PKCS#8, SEC1, DSA), or the OpenSSH format with its length-prefixed strings. It may start anywhere in a run of such
+  characters and be wrapped over adjacent lines; its own length says where it ends. Wrapped keys within a ``pem`` span aren't given again.
 
 Spans are code points, end exclusive. Defined results: a null or empty text has no spans, zero
 counts and the digest of the empty string; overlapping spans of different kinds are all reported;
@@ -20,7 +21,10 @@ import base64
 import binascii
 import hashlib
 import json
+import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,11 +40,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so a minimum here finds
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "key")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,\-]*?)-----END \1-----", re.ASCII)
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,\\\-]*?)-----END \1-----", re.ASCII)
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-#: How a DER private key (SEQUENCE) or an OpenSSH key starts, in base64 and in hex.
-STARTS = re.compile(r"M[A-P]|b3BlbnNzaC1rZXk|30[0-9a-fA-F]{2}|6f70656e7373682d6b6579")
+#: Adjacent lines of base64 or hex; line ends may be escaped.
+RUNS = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}(?:[\x20\t]*(?:[\r\n]|\\+[rn])+[\x20\t]*[A-Za-z0-9+/_-]+={0,2})*")
+BREAK = re.compile(r"=|[\x20\t]*(?:[\r\n]|\\+[rn])+[\x20\t]*")
+LEAST = 40
+#: How a DER private key (SEQUENCE) or an OpenSSH key starts, in base64 and in hex, at any offset.
+STARTS = re.compile(r"(?=M[A-P]|b3BlbnNzaC1rZXk|30[0-9a-fA-F]{2}|6f70656e7373682d6b6579)")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -93,6 +100,8 @@ def der_private_key(data: bytes) -> bool:
     tags = [t for t, _ in parts]
     if len(tags) == 9 and set(tags) == {0x02}:  # PKCS#1: version, modulus, exponents, primes, coefficients
         return len(parts[1][1]) >= 32
+    if len(tags) == 6 and set(tags) == {0x02} and parts[0][1] == b"\0":  # DSA: version 0, the group, both halves of the key
+        return len(parts[1][1]) >= 32 and len(parts[5][1]) >= 16
     if tags[:2] == [0x02, 0x04] and parts[0][1] == b"\x01":  # SEC1: version 1, the scalar
         return len(parts[1][1]) >= 16
     if tags[:3] == [0x02, 0x30, 0x04]:  # PKCS#8: version, algorithm, the key
@@ -105,10 +114,9 @@ def der_private_key(data: bytes) -> bool:
 
 
 def openssh_private_key(data: bytes) -> bool:
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if not data.startswith(MAGIC):
         return False
-    at = len(magic)
+    at = len(MAGIC)
     for _ in range(3):  # cipher, key derivation, its options
         if at + 4 > len(data):
             return False
@@ -120,6 +128,86 @@ def private_key(data: bytes) -> bool:
     return der_private_key(data) or openssh_private_key(data)
 
 
+def _bytes(chars: str, n: int | None = None) -> bytes:
+    """The first ``n`` bytes of base64, standard or for URLs; all whole ones without ``n``. Fewer if there are no more."""
+    part = chars[: len(chars) // 4 * 4 if n is None else -(-4 * n // 3)].replace("-", "+").replace("_", "/")
+    part = part[:-1] if len(part) % 4 == 1 else part
+    return base64.b64decode(part + "=" * (-len(part) % 4))[:n]
+
+
+def _hex(chars: str, n: int | None = None) -> bytes:
+    m = _HEX.match(chars[: None if n is None else 2 * n])
+    return bytes.fromhex(m[0])
+
+
+_HEX = re.compile(r"(?:[0-9A-Fa-f]{2})*")
+MAGIC = b"openssh-key-v1\0"
+
+
+def key_length(head: bytes) -> int | None:
+    """Bytes of a DER value that starts with ``head`` and can be a private key."""
+    if len(head) < 10 or head[0] != 0x30:
+        return None
+    n, at = head[1], 2
+    if n >= 0x80:
+        wide = n & 0x7F
+        if not 1 <= wide <= 4:
+            return None
+        n, at = int.from_bytes(head[2 : 2 + wide], "big"), 2 + wide
+    return at + n if head[at] == 0x30 or head[at : at + 2] == b"\x02\x01" else None
+
+
+def openssh_length(data: bytes) -> int:
+    """Bytes of an OpenSSH key, as its strings say; all of ``data`` if they don't fit."""
+    at, strings = len(MAGIC), 3
+    while strings and at + 4 <= len(data):
+        at, strings = at + 4 + int.from_bytes(data[at : at + 4], "big"), strings - 1
+    strings, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4  # the public keys and the private part
+    while strings and at + 4 <= len(data):
+        at, strings = at + 4 + int.from_bytes(data[at : at + 4], "big"), strings - 1
+    return len(data) if strings or at > len(data) else at
+
+
+def keys_in(chars: str) -> list[tuple[int, int]]:
+    """Where private keys start and end in joined base64 or hex."""
+    found, end = [], 0
+    for m in STARTS.finditer(chars):
+        at = m.start()
+        if at < end:
+            continue
+        read, a_byte = (_hex, 2) if chars[at] in "36" else (_bytes, 4 / 3)
+        if chars[at] in "b6":
+            data = read(chars[at:])
+            n = openssh_length(data) if openssh_private_key(data) else None
+        else:
+            n = key_length(read(chars[at : at + 24], 10))
+            if n is None or math.ceil(n * a_byte) > len(chars) - at or not der_private_key(read(chars[at : at + math.ceil(n * a_byte)], n)):
+                n = None
+        if n is not None and math.ceil(n * a_byte) >= LEAST:
+            end = min(len(chars), at + math.ceil(n * a_byte))
+            found.append((at, end))
+    return found
+
+
+def key_spans(text: str) -> list[tuple[int, int]]:
+    found = []
+    for m in RUNS.finditer(text):
+        if m.end() - m.start() < LEAST or not STARTS.search(m[0]):
+            continue
+        pieces, at = [], m.start()  # where each piece without line ends and padding starts and ends in the text
+        for b in BREAK.finditer(text, m.start(), m.end()):
+            pieces.append((at, b.start()))
+            at = b.end()
+        pieces = [(a, b) for a, b in [*pieces, (at, m.end())] if a < b]
+        firsts = list(accumulate((b - a for a, b in pieces), initial=0))
+        for start, end in keys_in("".join(text[a:b] for a, b in pieces)):
+            i, j = bisect_right(firsts, start) - 1, bisect_right(firsts, end - 1) - 1
+            last = pieces[j][0] + end - firsts[j]
+            padding = re.compile("={0,2}").match(text, last).end()
+            found.append((pieces[i][0] + start - firsts[i], padding))
+    return found
+
+
 def signed_token(header: str, payload: str) -> bool:
     try:
         head, body = (json.loads(base64.urlsafe_b64decode(x + "=" * (-len(x) % 4))) for x in (header, payload))
@@ -132,15 +220,17 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            body = re.sub(r"^[A-Za-z-]+:.*$", "", m[2], flags=re.MULTILINE)
+            body = re.sub(r"(?:\\+[rn])+", "\n", m[2])
+            body = re.sub(r"^[A-Za-z-]+:.*$", "", body, flags=re.MULTILINE)
             data = decoded("".join(body.split()))
             if any(map(private_key, data)) or ("ENCRYPTED" in m[2] and data):
                 found.append((m.start(), m.end(), "pem"))
     if "eyJ" in text:
         found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if m[1].startswith("eyJ") and signed_token(m[1], m[2])]
-    for m in RUN.finditer(text):
-        if (STARTS.match(m[0])) and any(map(private_key, decoded(m[0]))):
-            found.append((m.start(), m.end(), "key"))
+    blocks = [(a, b) for a, b, kind in found if kind == "pem"]
+    for a, b in key_spans(text):
+        if not (BREAK.search(text[a:b].rstrip("=")) and any(x <= a and b <= y for x, y in blocks)):
+            found.append((a, b, "key"))
     return found
 
 

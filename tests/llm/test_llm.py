@@ -213,6 +213,21 @@ def test_secrets():
     assert [k for _, _, k in secrets.base_spans("token=abcde secret=abcdef")] == ["assign"]
 
 
+def test_secrets_escaped_wrapped_and_dsa():
+    rsa = der(0x30, b"".join(der(2, x) for x in (b"\0", b"\x7f" * 64, b"\1\0\1", *(b"\x11" * 32,) * 6)))
+    dsa = der(0x30, b"".join(der(2, x) for x in (b"\0", b"\x7f" * 128, b"\x71" * 20, b"\x33" * 128, b"\x44" * 128, b"\x11" * 20)))
+    spans = lambda text: sorted((text[a:b], k) for a, b, k in secrets.confirmed_spans(text))
+    for data in (rsa, dsa):
+        key = base64.b64encode(data).decode()
+        lines = [key[i : i + 64] for i in range(0, len(key), 64)]
+        for end in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n"):
+            block = f"-----BEGIN PRIVATE KEY-----{end}{end.join(lines)}{end}-----END PRIVATE KEY-----{end}"
+            assert [k for _, k in spans(f'{{"private_key": "{block}"}}')] == ["pem"]
+            assert spans(f"so: {end.join(lines)}{end}and more") == [(end.join(lines), "key")]
+        assert spans(f"at /x/ab{key} on") == [(key, "key")] and spans(f"a1/{data.hex()}/b") == [(data.hex(), "key")]
+    assert spans("so: " + "\n".join(lines[:-1])) == []
+
+
 def test_embedding_duplicates_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     v = rng.standard_normal((120, 16))
