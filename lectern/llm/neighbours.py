@@ -3,7 +3,7 @@
 Vectors are cut in two halves and each half is quantised by its own centroids; a pair of centroids is a
 cell. The centroids come from a bounded sample; every vector is indexed. A query ranks centroids of
 each half by inner product and a heap walks centroid pairs in order of summed distance (the negative
-summed product) until the cells taken hold ``PROBED`` of all vectors. These are reranked by exact
+summed product) until the cells taken hold ``PROBED`` of all vectors, and ``k`` besides those with the query's id. These are reranked by exact
 inner products in double precision.
 
 Cells are dealt to units of at most ``UNIT`` vectors; a cell above that is split by hash over units of
@@ -17,7 +17,7 @@ tables, 0.9 needs more than half of all cells; clustered vectors need far less.
 Defined results: vectors that are null, zero, hold null or non-finite components, or have no
 ``vec_id`` take no part, nor do vectors of another length than the most frequent one (ties: the
 longer); a query is never its own neighbour, whatever rows repeat its id; rows that repeat an id are
-candidates of their own and a repeated query has one result; fewer than ``k`` other vectors
+candidates of their own and a repeated query has one result, for the smallest of its vectors by bytes; fewer than ``k`` other vectors
 give shorter lists; ties go to the smaller ``vec_id``; an empty table gives an empty result.
 """
 
@@ -117,20 +117,21 @@ def _assign(batches, halves):
 ROW = "unit long, kind int, vec_id long, vector binary, cells array<int>"
 
 
-def _deal(batches, index, every: int, probed: float):
-    """Each vector in its unit (kind 0, its cell); each query in every unit it probes (kind 1, the cells)."""
+def _deal(batches, index, probed: float, k: int):
+    """Each vector in its unit (kind 0, its cell); each query, a row with ``copies``, in every unit it probes (kind 1, the cells)."""
     (c1, c2), counts, first, pieces = index.value
-    wanted, wide = probed * counts.sum(), counts.shape[1]
+    share, wide = probed * counts.sum(), counts.shape[1]
 
     def rows(batch):
-        for vec_id, raw, i, j in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "vector", "c1", "c2"))):
-            unit = int(first[i, j]) + (vec_id * 0x9E3779B1 % 2**32) * int(pieces[i, j]) // 2**32
-            yield unit, 0, vec_id, raw, [i * wide + j]
-            if vec_id % every == 0:
+        for vec_id, raw, i, j, copies in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "vector", "c1", "c2", "copies"))):
+            if not copies:
+                unit = int(first[i, j]) + (vec_id * 0x9E3779B1 % 2**32) * int(pieces[i, j]) // 2**32
+                yield unit, 0, vec_id, raw, [i * wide + j]
+            else:
                 v = np.frombuffer(raw)
                 split = len(v) // 2
                 probes: dict[int, list[int]] = {}
-                for i, j in walk(-(c1 @ v[:split]), -(c2 @ v[split:]), counts, wanted):
+                for i, j in walk(-(c1 @ v[:split]), -(c2 @ v[split:]), counts, max(share, k + copies)):
                     for u in range(int(first[i, j]), int(first[i, j] + pieces[i, j])):
                         probes.setdefault(u, []).append(i * wide + j)
                 for u, cells in probes.items():
@@ -244,7 +245,11 @@ def nearest_neighbours(
     for r in placed.groupBy("c1", "c2").count().collect():  # centroids ** 2 rows at most
         counts[r["c1"], r["c2"]] = r["count"]
     index = spark.sparkContext.broadcast((halves, counts, *deal_units(counts, unit)))
-    dealt = arrow_map(placed, _deal, ROW, index=index, every=every, probed=probed)
+    # rows that repeat a query ask once; their number is that of the vectors which can't be its neighbours
+    asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"), F.count("*").alias("copies"))
+    asked = asked.select("vec_id", "vector", F.lit(0).alias("c1"), F.lit(0).alias("c2"), "copies")
+    rows = placed.withColumn("copies", F.lit(0).cast("long")).unionByName(asked)
+    dealt = arrow_map(rows, _deal, ROW, index=index, probed=probed, k=k)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = dealt.repartition(parts, "unit").sortWithinPartitions("unit", "kind")
     found = arrow_map(grouped, _rerank, "query_id long, vec_id long, score double", k=k, cells_total=counts.size)

@@ -269,6 +269,15 @@ def test_neighbours_recall(spark):
     assert neighbours.nearest_neighbours(df.where("false")).count() == 0
 
 
+def test_neighbours_of_small_tables_are_all_others(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(21)]
+    again = [(0, [x + 0.01 for x in rows[0][1]])] * 60
+    for table, n in ((rows, 20), (rows[:6], 5), (rows + again, 20)):
+        found = neighbours.nearest_neighbours(spark.createDataFrame(table, "vec_id long, embedding array<double>"), k=20, unit=8).toPandas()
+        assert set(found[found.query_id == 0].vec_id) == set(range(1, n + 1))
+
+
 def test_main_text():
     page = (
         "<html><head><title>t</title></head><body><nav><a>Home</a></nav><article><h1>A &amp; B</h1><p>One<br>two <b>three</b><script>x='</p>'</script>"
