@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +96,20 @@ def by_group(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tup
         yield held_key, pa.Table.from_batches(held)
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most ``rows`` rows, and to about ``size`` bytes of a text column where rows are shorter than that."""
+    for big in batches:
+        lengths = pc.fill_null(pc.binary_length(big.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = held = 0
+        for i, n in enumerate(lengths.tolist()):
+            if i > start and (i - start == rows or held + n > size):
+                yield big.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < big.num_rows:
+            yield big.slice(start)
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str, **parameters) -> DataFrame:
     """``mapInArrow`` of a generator ``fn(batches, **parameters)``."""
     return df.mapInArrow(lambda batches: fn(batches, **parameters), schema)

@@ -15,7 +15,7 @@ one window for ``SHARD_CHARS`` characters, well under one percent.
 
 Tokens are those of the tokenizer file for the whole text without special tokens, then the end id.
 The tokenizer never merges across ASCII blanks, so each blank-separated word is encoded once and
-kept in a bounded cache; tests hold this against encoding whole texts.
+kept in a bounded cache under a 64-bit hash; tests hold this against encoding whole texts.
 
 Defined results: a null or empty text is the end id alone; repeated rows are documents of their own;
 a null ``doc_id`` is packed like any other; a text longer than a window spans windows; only
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from bisect import bisect_right
 from itertools import chain
 
 import numpy as np
@@ -34,22 +35,62 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, table
+from .common import arrow_map, materialize, slices, table
 
 WINDOW = 2_048
 END_ID = 1
 SHARD_CHARS = 1_000_000
 LEADS = 6
+#: Sampled documents for each range of places.
+PER_RANGE = 50
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 SEED = 90_001
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_500_000
 
 
 #: Byte-level tokenizers write a byte that has no visible Latin-1 character as one from 256 on.
 _SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
+#: By byte: ASCII blanks; small ASCII letters; the second byte of a Latin-1 letter after 0xC3; ASCII marks and digits.
+_BLANK = np.array([b in b" \t\n\r\v\f" for b in range(256)])
+_SMALL = np.array([chr(b).isascii() and chr(b).islower() for b in range(256)])
+_AFTER_C3 = np.array([0x80 <= b < 0xC0 and chr(b + 0x40).isalpha() for b in range(256)])
+_MARK = np.array([0x20 < b < 0x7F and not chr(b).isalpha() for b in range(256)])
+
+#: Words above this many bytes are encoded each time, shorter ones are kept.
+KEPT_BYTES = 64
+_BLOCK = 1 << 20
+_random = np.random.default_rng(64)
+_BYTE_HASH = _random.integers(0, 2**64, 256, dtype=np.uint64)
+_BASE = int(_random.integers(0, 2**62)) * 4 + 3
+_powers: dict[int, np.ndarray] = {}
+
+
+def _powers_of(base: int) -> np.ndarray:
+    """Powers of ``base`` modulo 2**64, as many as a block has bytes."""
+    if base not in _powers:
+        factors = np.full(_BLOCK + KEPT_BYTES + 1, np.uint64(base % 2**64))
+        factors[0] = 1
+        _powers[base] = np.cumprod(factors)
+    return _powers[base]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of at most ``KEPT_BYTES`` bytes at these places, which rise."""
+    out = np.empty(len(starts), np.uint64)
+    up, down = _powers_of(_BASE), _powers_of(pow(_BASE, -1, 2**64))
+    for block in range(0, len(data), _BLOCK):
+        i, j = np.searchsorted(starts, (block, block + _BLOCK))
+        if i < j:
+            base = starts[i]
+            part = _BYTE_HASH[data[base : ends[j - 1]]]
+            sums = np.append(np.uint64(0), np.cumsum(part * up[: len(part)]))
+            at = starts[i:j] - base
+            out[i:j] = (sums[ends[i:j] - base] - sums[at]) * down[at]
+    return out
+
 
 def _letters(word: bytes) -> bool:
     """Whether a word is made of small letters alone, composed as they should be."""
@@ -59,31 +100,72 @@ def _letters(word: bytes) -> bool:
     return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        return -1
+def mark_places(data: np.ndarray) -> np.ndarray:
+    """Where a mark or digit follows a letter, in bytes of UTF-8: tokenizers that keep letters apart cut there."""
+    letter = _SMALL[data]
+    letter[1:] |= (data[:-1] == 0xC3) & _AFTER_C3[data[1:]]
+    return np.flatnonzero(letter[:-1] & _MARK[data[1:]]) + 1
+
+
+class _Known:
+    """Words by their hashes, and the ids of each in one array: about 40 bytes a word."""
+
+    def __init__(self):
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.starts, self.used = np.zeros(1024, np.uint32), np.zeros(1024, np.int64), 0
+
+    def which(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the words with these sorted hashes; -1 if unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.numbers[at], -1)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        base, more = len(self.keys), len(ids)
+        self.starts = _room(self.starts, base + len(keys) + 1)
+        self.flat = _room(self.flat, self.used + more)
+        self.starts[base + 1 : base + len(keys) + 1] = self.used + np.cumsum(lengths)
+        self.flat[self.used : self.used + more] = ids
+        self.used += more
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.numbers = np.insert(self.numbers, at, np.arange(base, base + len(keys)))
+
+    def places(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of these words are in ``flat``, end to end, and how many each has."""
+        begin = self.starts[which]
+        lengths = self.starts[which + 1] - begin
+        return _runs(begin, lengths), lengths
+
+
+def _runs(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``begin[i] ... begin[i] + lengths[i] - 1`` for each ``i``, end to end."""
+    ends = np.cumsum(lengths)
+    return np.repeat(begin - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class WordTokenizer:
     """Token ids of texts, through a cache of words; for tokenizers that split at ASCII blanks.
 
-    If the tokenizer also leaves words of ASCII letters to its model as they are, and cuts them from a
-    mark that follows, which is tried out first, such words go to the model directly and words with a
-    mark are put together.
+    If the tokenizer also leaves words of letters to its model as they are, and cuts them from a
+    mark that follows, which is tried out first, such words go to the model directly and marks are words of their own.
+    When the cache is full it becomes the older one, and a word found there isn't learnt again.
     """
 
-    MARKS = b",.;:!?"
-
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached_words = Tokenizer.from_file(path), cached_words
         tried = ["a", "the", "window", "retrieval", "zzxqjvk", "antidisestablishmentarianism", "été", "über", "año", "дом", "中文"]
-        alone = [self._ids(w) for w in tried]
-        self.simple = all(self._model_ids(w) == ids for w, ids in zip(tried, alone)) and all(
-            self._ids(w + chr(m)) == ids + self._ids(chr(m)) for w, ids in zip(tried, alone) for m in self.MARKS
+        marks = [chr(b) for b in np.flatnonzero(_MARK)]
+        tails = [*marks, *(m + m for m in marks), *(m + "." for m in marks), "'s", "'ll", "-a", "3b", "...c"]
+        alone = {t: self._ids(t) for t in [*tried, *tails]}
+        self.lowers = all(self._ids(w.upper()) == alone[w] for w in tried)
+        self.simple = self.lowers and all(self._model_ids(w) == alone[w] for w in tried) and all(
+            self._ids(w + t) == alone[w] + alone[t] for w in tried[:9] for t in tails
         )
-        self._forget()
+        self.known, self.older = _Known(), _Known()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -93,60 +175,76 @@ class WordTokenizer:
             word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return [t.id for t in self.tokenizer.model.tokenize(word)]
 
-    def _forget(self):
-        self.numbers = _Numbers()
-        self.flat, self.starts, self.used = np.zeros(1024, np.uint32), np.zeros(1024, np.int64), 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Give each of these unknown words a number and keep its ids."""
-        if self.simple:
-            marked = [w for w in words if w[-1] in self.MARKS and _letters(w[:-1])]
-            parts = {w[:-1] for w in marked} | {w[-1:] for w in marked}
-            self._keep(sorted(w for w in parts if w not in self.numbers))
-            self._keep(sorted(w for w in set(words).difference(marked) if w not in self.numbers))
-            self._keep(marked, [self._of(w[:-1]) + self._of(w[-1:]) for w in marked])
-        else:
-            self._keep(words)
-
-    def _of(self, word: bytes) -> list[int]:
-        n = self.numbers[word]
-        return self.flat[self.starts[n] : self.starts[n + 1]].tolist()
-
-    def _keep(self, words: list[bytes], ids: list[list[int]] | None = None) -> None:
-        if not words:
-            return
-        if ids is None:
-            texts = [w.decode("utf-8", "replace") for w in words]
-            plain = [self.simple and _letters(w) for w in words]
-            odd = [t for t, p in zip(texts, plain) if not p]
-            encoded = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else [])
-            ids = [self._model_ids(t) if p else next(encoded).ids for t, p in zip(texts, plain)]
+    def _encoded(self, words: list[bytes]) -> list[list[int]]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [self.simple and _letters(w) for w in words]
+        odd = [t for t, p in zip(texts, plain) if not p]
+        encoded = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else [])
+        return [self._model_ids(t) if p else next(encoded).ids for t, p in zip(texts, plain)]
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Keep the ids of these unknown words under their hashes, which are sorted."""
+        old = self.older.which(keys)
+        seen = old >= 0
+        if seen.any():
+            at, lengths = self.older.places(old[seen])
+            self.known.add(keys[seen], self.older.flat[at], lengths)
+        new = np.flatnonzero(~seen)
+        ids = self._encoded([words[i] for i in new.tolist()])
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        base, more = len(self.numbers), int(lengths.sum())
-        self.starts = _room(self.starts, base + len(words) + 1)
-        self.flat = _room(self.flat, self.used + more)
-        self.starts[base + 1 : base + len(words) + 1] = self.used + np.cumsum(lengths)
-        self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids), np.uint32, more)
-        self.used += more
-        self.numbers.update(zip(words, range(base, base + len(words))))
-
-    def encode(self, text: str) -> np.ndarray:
-        data = text.encode("utf-8", "replace")
-        # lower-casing ASCII first only makes more words alike; the tokenizer does it anyway, but not in special tokens
-        words = (data if b"<|" in data else data.lower()).split()
-        if not words:
-            return np.zeros(0, np.uint32)
-        if len(self.numbers) > self.cached_words:
-            self._forget()
-        which = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        self.known.add(keys[new], np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; a null text has none."""
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        # what may hold a special token is left to the tokenizer
+        special = [i for i, x in enumerate(raw) if b"<|" in x]
+        apart = {i: np.array(self._ids(texts[i]), np.uint32) for i in special}
+        for i in special:
+            raw[i] = b""
+        # one blank after each text; lower-casing ASCII makes more words alike
+        data = b"".join(x + b"\n" for x in raw)
+        data = data.lower() if self.lowers else data
+        ends = np.cumsum([len(x) + 1 for x in raw])
+        if self.simple and len(data) > 1:
+            places = mark_places(np.frombuffer(data, np.uint8))
+            data = np.insert(np.frombuffer(data, np.uint8), places, 0x20).tobytes()
+            ends = ends + np.searchsorted(places, ends)
+        ids, word_starts, id_ends = self._words(data)
+        first = np.append(0, id_ends)[np.searchsorted(word_starts, np.append(0, ends))]
+        return [apart[i] if i in apart else ids[a:b] for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist()))]
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words end to end, where each word starts, and where its ids end."""
+        array = np.frombuffer(data, np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[array], [True])))) if len(array) else np.zeros(0, np.int64)
+        starts, ends = edges[::2], edges[1::2]
+        if len(self.known.keys) > self.cached_words:
+            self.known, self.older = _Known(), self.known
+        short = np.flatnonzero(ends - starts <= KEPT_BYTES)
+        keys, at, back = np.unique(word_hashes(array, starts[short], ends[short]), return_index=True, return_inverse=True)
+        which = self.known.which(keys)
         new = np.flatnonzero(which < 0)
         if len(new):
-            self._learn(sorted({words[i] for i in new.tolist()}))
-            which[new] = [self.numbers[words[i]] for i in new.tolist()]
-        begin = self.starts[which]
-        lengths = self.starts[which + 1] - begin
-        ends = np.cumsum(lengths)
-        return self.flat[np.repeat(begin - ends + lengths, lengths) + np.arange(ends[-1])]
+            a, b = starts[short[at[new]]].tolist(), ends[short[at[new]]].tolist()
+            self._learn(keys[new], [data[i:j] for i, j in zip(a, b)])
+            which[new] = self.known.which(keys[new])
+        lengths = np.zeros(len(starts), np.int64)
+        places, lengths[short] = self.known.places(which[back])
+        long = np.flatnonzero(ends - starts > KEPT_BYTES).tolist()
+        encoded = self._encoded([data[starts[i] : ends[i]] for i in long])
+        lengths[long] = [len(x) for x in encoded]
+        id_ends = np.cumsum(lengths)
+        if not long:
+            return self.known.flat[places], starts, id_ends
+        ids = np.empty(id_ends[-1], np.uint32)
+        ids[_runs((id_ends - lengths)[short], lengths[short])] = self.known.flat[places]
+        for i, x in zip(long, encoded):
+            ids[id_ends[i] - len(x) : id_ends[i]] = x
+        return ids, starts, id_ends
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
@@ -157,13 +255,20 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
     return larger
 
 
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, sorted, and how often each occurs."""
+    ids = np.sort(ids)
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+    return ids[first], np.diff(np.append(first, len(ids)))
+
+
 class Bm25:
     """Inverted index over documents given as arrays of term ids: postings by term, with BM25 weights.
 
     ``corpus``: number of documents, mean length and document frequency by term of the whole corpus, else those of ``docs``."""
 
     def __init__(self, docs: list[np.ndarray], corpus: tuple[int, float, np.ndarray] | None = None):
-        found = [np.unique(d, return_counts=True) for d in docs]
+        found = [counted(d) for d in docs]
         self.n = len(docs)
         sizes = np.array([len(t) for t, _ in found], np.int64)
         term = np.concatenate([t for t, _ in found]) if docs else np.zeros(0, np.uint32)
@@ -174,14 +279,16 @@ class Bm25:
         scale = K1 * (1 - B + B * length / max(1.0, mean))
         order = np.argsort(term, kind="stable")
         self.doc = doc[order]
-        self.terms, self.first, df = np.unique(term[order], return_index=True, return_counts=True)
-        self.first = np.append(self.first, len(order))
+        self.terms, df = counted(term[order])
+        self.first = np.append(0, np.cumsum(df))
         spread = corpus[2][self.terms] if corpus else df
         idf = np.log1p((total - spread + 0.5) / (spread + 0.5)).astype(np.float32)
         weight = tf * (K1 + 1) / (tf + scale[doc])
         self.weight = weight[order] * np.repeat(idf, df)
         # each document's best terms that others have too
-        at = np.searchsorted(self.terms, term)
+        place = np.zeros(int(self.terms[-1]) + 1 if len(df) else 0, np.int64)
+        place[self.terms] = np.arange(len(df))
+        at = place[term]
         worth = np.where(df[at] > 1, weight * idf[at], 0)
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         self.queries = []
@@ -237,30 +344,27 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def _tokens(batches, path: str, end_id: int):
+def _tokens(batches, path: str, end_id: int, kind: str):
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
-    tokenizer = _tokenizers[path]
-    end = np.array([end_id], "<u4")
-    for big in batches:
-        for at in range(0, big.num_rows, 256):
-            batch = big.slice(at, 256)
-            docs = [
-                np.concatenate((tokenizer.encode(t), end)).astype("<u4").tobytes() if t else end.tobytes()
-                for t in batch.column("text").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("turn"), batch.column("chars"), pa.array(docs, pa.binary())],
-                names=["doc_id", "turn", "chars", "tokens"],
-            )
-
-
-def _spread(batches):
+    tokenizer, end = _tokenizers[path], np.array([end_id], kind).tobytes()
+    row = TaskContext.get().partitionId() << 33
+    for batch in slices(batches, "text"):
+        docs = [x.astype(kind).tobytes() + end for x in tokenizer.encode_all(batch.column("text").to_pylist())]
+        rows = pa.array(np.arange(row, row + len(docs)))
+        row += len(docs)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("turn"), batch.column("chars"), rows, pa.array(docs, pa.binary())],
+            names=["doc_id", "turn", "chars", "row", "tokens"],
+        )
+
+
+def _spread(batches, kind: str):
     """For each term the number of this partition's documents that have it."""
     counts = np.zeros(0, np.int64)
     for batch in batches:
         for raw in batch.column("tokens").to_pylist():
-            terms = np.unique(np.frombuffer(raw, "<u4"))
+            terms, _ = counted(np.frombuffer(raw, kind))
             counts = _room(counts, int(terms[-1]) + 1)
             counts[terms] += 1
     found = np.flatnonzero(counts)
@@ -278,19 +382,25 @@ def places(spread: np.ndarray, many: int) -> np.ndarray:
 
 def leading(terms: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The ranks of a document's first ``LEADS`` terms."""
-    ranks = np.unique(rank[terms])[:LEADS]
-    return np.append(ranks, np.full(LEADS - len(ranks), len(rank), np.int32))
+    ranks, _ = counted(rank[terms])
+    return np.append(ranks[:LEADS], np.full(max(0, LEADS - len(ranks)), len(rank), np.int32))
 
 
-def _placed(batches, ranks):
+def _placed(batches, ranks, kind: str, cuts: list[tuple] | None = None):
+    """Rows with their ``place``, and with ``cuts`` the number of the range it is in; without, places alone."""
     rank = ranks.value
     for big in batches:
-        for at in range(0, big.num_rows, 256):
-            batch = big.slice(at, 256)
-            found = [leading(np.frombuffer(raw, "<u4"), rank) for raw in batch.column("tokens").to_pylist()]
+        for at in range(0, big.num_rows, 1024):
+            batch = big.slice(at, 1024)
             # big-endian, so that bytes are in the order of the ranks
-            keys = pa.array([x.astype(">u4").tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "place"])
+            keys = [leading(np.frombuffer(raw, kind), rank).astype(">u4").tobytes() for raw in batch.column("tokens").to_pylist()]
+            places = pa.array(keys, pa.binary())
+            if cuts is None:
+                yield pa.RecordBatch.from_arrays([places, batch.column("turn"), batch.column("row")], names=["place", "turn", "row"])
+                continue
+            whole = zip(keys, batch.column("turn").to_pylist(), batch.column("row").to_pylist())
+            parts = pa.array([bisect_right(cuts, x) for x in whole], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, places, parts], names=[*batch.schema.names, "place", "part"])
 
 
 def _shards(batches, shard_chars: int):
@@ -314,21 +424,21 @@ def _shards(batches, shard_chars: int):
         yield pa.Table.from_batches(held)
 
 
-def _pack(batches, window: int, shard_chars: int, corpus):
+def _pack(batches, window: int, shard_chars: int, corpus, kind: str):
     part = TaskContext.get().partitionId()
     for nth, group in enumerate(_shards(batches, shard_chars)):
         shard = (part << 12) + nth
         ids = group.column("doc_id").to_pylist()
         turn = group.column("turn").to_numpy()
-        docs = [np.frombuffer(raw, "<u4") for raw in group.column("tokens").to_pylist()]
+        docs = [np.frombuffer(raw, kind) for raw in group.column("tokens").to_pylist()]
         by_turn = sorted(range(len(docs)), key=lambda i: (turn[i], len(docs[i]), ids[i] is None, ids[i] or 0))
         docs, ids = [docs[i] for i in by_turn], [ids[i] for i in by_turn]
         out, at = [], 0
         for d in order_by_retrieval(docs, window, corpus.value):
-            start, size = 0, len(docs[d])
+            start, size, wide = 0, len(docs[d]), docs[d].astype("<u4")
             while start < size:
                 length = min(size - start, window - at % window)
-                crc = zlib.crc32(docs[d][start : start + length].tobytes())
+                crc = zlib.crc32(wide[start : start + length])
                 out.append((ids[d], start, length, crc, size, (shard << 32) + at // window, at % window))
                 start, at = start + length, at + length
         columns = list(zip(*out))
@@ -340,24 +450,32 @@ def _pack(batches, window: int, shard_chars: int, corpus):
 
 def pack(docs: DataFrame, tokenizer: str, window=WINDOW, end_id=END_ID, shard_chars=SHARD_CHARS, seed=SEED) -> DataFrame:
     """Pieces of all ``docs``: ``doc_id`` and ``PIECES``. ``tokenizer`` is the path of a tokenizer file."""
-    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    from tokenizers import Tokenizer
+
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    kind = "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 2**16 else "<u4"
     chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     rows = docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", F.length("text")).alias("turn"), chars.alias("chars"), "text")
-    columns = f"doc_id {kind}, turn long, chars long, tokens binary"
-    tokens = materialize(arrow_map(rows, _tokens, columns, path=tokenizer, end_id=end_id), "tokens")
-    n, chars, length = tokens.agg(F.count("*"), F.sum("chars"), F.avg(F.length("tokens") / 4)).first()
+    columns = f"doc_id {id_type}, turn long, chars long, row long, tokens binary"
+    tokens = materialize(arrow_map(rows, _tokens, columns, path=tokenizer, end_id=end_id, kind=kind), "tokens")
+    n, chars, length = tokens.agg(F.count("*"), F.sum("chars"), F.avg(F.length("tokens"))).first()
     shards = max(1, -(-(chars or 0) // shard_chars))
     # one number for each term of the tokenizer
-    found = arrow_map(tokens.select("tokens"), _spread, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).collect()
+    found = arrow_map(tokens.select("tokens"), _spread, "term long, docs long", kind=kind).groupBy("term").agg(F.sum("docs").alias("docs")).collect()
     spread = np.zeros(max((r["term"] for r in found), default=0) + 1, np.int64)
     for r in found:
         spread[r["term"]] = r["docs"]
     ranks = spark.sparkContext.broadcast(places(spread, -(-n // shards)))
-    corpus = spark.sparkContext.broadcast((n, length or 1.0, spread))
+    corpus = spark.sparkContext.broadcast((n, (length or 4.0) / np.dtype(kind).itemsize, spread))
     parts = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 64)))
-    placed = arrow_map(tokens, _placed, f"{columns}, place binary", ranks=ranks)
-    dealt = placed.repartitionByRange(parts, "place", "turn").sortWithinPartitions("place", "turn").drop("place")
-    return arrow_map(dealt, _pack, f"doc_id {kind}, {PIECES}", window=window, shard_chars=shard_chars, corpus=corpus)
+    # cuts between ranges, from a sample whose size goes with their number
+    draw = F.pmod(F.xxhash64("turn", "row"), F.lit(2**30)) < F.lit(int(2**30 * min(1.0, parts * PER_RANGE / max(1, n))))
+    drawn = arrow_map(tokens.where(draw), _placed, "place binary, turn long, row long", ranks=ranks, kind=kind)
+    seen = sorted((bytes(r["place"]), r["turn"], r["row"]) for r in drawn.limit(4 * parts * PER_RANGE).collect())
+    cuts = sorted({seen[len(seen) * k // parts] for k in range(1, parts)}) if seen else []
+    placed = arrow_map(tokens, _placed, f"{columns}, place binary, part int", ranks=ranks, kind=kind, cuts=cuts)
+    dealt = placed.repartitionById(parts, F.col("part")).sortWithinPartitions("place", "turn", "row").drop("place", "part", "row")
+    return arrow_map(dealt, _pack, f"doc_id {id_type}, {PIECES}", window=window, shard_chars=shard_chars, corpus=corpus, kind=kind)
 
 
 def default_tokenizer() -> str:
