@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's ``spark.checkpoint.dir``, else one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a session in one process can do without and gets one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"file:///tmp/lectern-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -36,6 +38,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete the tables of finished queries; results that are still to be computed need theirs."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lectern")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or that with a number if ``df`` has such a column."""
+    taken, found, n = {c.lower() for c in df.columns}, name, 0
+    while found.lower() in taken:
+        n += 1
+        found = f"{name}_{n}"
+    return found
+
+
 def words_of(text) -> F.Column:
     """Number of words of a text column; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -45,32 +62,33 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as long columns ``a`` and ``b``.
 
     Returns ``node``, ``root`` (the component's smallest node) for every node but the roots. Large-star
-    and small-star rounds alternate until the edges are stars. Each round groups with partial
-    aggregates and joins edges with one row per node; joins on hot nodes are left to AQE to split.
+    and small-star rounds alternate until the edges are stars. Minima by node are tables of their own: joins with them are
+    broadcasts where their files are small, else shuffles of which Spark splits hot nodes.
+    An edge to a node without a smaller neighbour stays as it is.
     """
     now = materialize(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
     )
-    before = None
     while True:
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state[0] == 0 or state == before:
+        low = _least(now)
+        if not low.take(1) or _are_stars(now, low):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            now.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(least, "a")
-            .where("b <> m")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(least.select("a", F.col("m").alias("b")))
-        )
-        now = materialize(small.distinct(), "small-star")
+        of = low.select(F.col("a").alias("of"), "m")
+        large = now.join(of, now["b"] == of["of"], "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = materialize(large.distinct(), "large-star")
+        least = _least(large).select(F.col("a").alias("of"), "m")
+        moved = large.join(least, large["a"] == least["of"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        kept = least.select(F.col("of").alias("a"), F.col("m").alias("b"))
+        now = materialize(moved.unionByName(kept).distinct(), "small-star")
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    return materialize(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+
+
+def _are_stars(edges: DataFrame, low: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour, and that has none."""
+    return not low.where("n > 1").take(1) and not edges.join(low.select(F.col("a").alias("of")), F.col("b") == F.col("of"), "left_semi").take(1)
 
 
 def by_group(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, slices, table
 
 FOLDS = 5
 TRAIN_DOCS = 400
@@ -44,7 +44,9 @@ FAMILIES = {
     "semitic": "ar he mt".split(),
 }
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numbers that aren't decimal digits, such as fractions, are word characters to ``re``, but no letters.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(_NUMBERS)}]+")
 
 
 def family_of(lang: str) -> str:
@@ -152,13 +154,11 @@ def classify(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
 
 
 def _vectors(batches, dimensions: int):
-    for big in batches:
-        for at in range(0, big.num_rows, 256):
-            batch = big.slice(at, 256)
-            rows = features(batch.column(1).to_pylist(), dimensions)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "vector"]
-            )
+    for batch in slices(batches, "text"):
+        rows = features(batch.column("text").to_pylist(), dimensions)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "vector"]
+        )
 
 
 def train(
@@ -167,16 +167,18 @@ def train(
     """A model from the labelled texts outside the held-out fold."""
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (_remainder(folds) != 0)
     labelled = docs.where(usable).select(
-        F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2**30)).alias("draw")
+        F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(2**30)).alias("draw")
     )
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a number for each language
     if not counts:
         return fit(np.zeros((0, dimensions), dtype=np.float32), [])
-    quota = min(train_docs, train_total // len(counts))
+    quota = max(1, min(train_docs, train_total // len(counts)))
     in_sample = F.lit(False)
     for lang, count in sorted(counts.items()):
         in_sample = in_sample | ((F.col("lang") == F.lit(lang)) & (F.col("draw") < F.lit(int(2**30 * min(1.0, quota / count)))))
-    sample = arrow_map(labelled.where(in_sample).select("lang", "text"), _vectors, "lang string, vector binary", dimensions=dimensions)
+    # copies of a row are drawn together, so their number has a bound of its own
+    drawn = labelled.where(in_sample).select("lang", "text").limit(4 * quota * len(counts))
+    sample = arrow_map(drawn, _vectors, "lang string, vector binary", dimensions=dimensions)
     rows = sorted((r["lang"], bytes(r["vector"])) for r in sample.toLocalIterator())
     x = np.frombuffer(b"".join(v for _, v in rows), dtype=np.float32).reshape(-1, dimensions)
     some = x.any(axis=1)
@@ -187,23 +189,23 @@ def _remainder(folds: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
 
 
-def _predict(batches, model, text: str, keep: list[str], dimensions: int):
+def _predict(batches, model, text: str, keep: list[str], names: list[str], dimensions: int):
     model = model.value
-    for big in batches:
-        for at in range(0, big.num_rows, 256):
-            batch = big.slice(at, 256)
-            langs, scores = classify(model, features(batch.column(text).to_pylist(), dimensions))
-            columns = [*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "lang_score"])
+    for batch in slices(batches, text):
+        langs, scores = classify(model, features(batch.column(text).to_pylist(), dimensions))
+        columns = [*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
 
-def predict(docs: DataFrame, model: dict, keep: list[str], text: str = "text", dimensions=DIMENSIONS) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``lang_score`` for every row of ``docs``."""
+def predict(
+    docs: DataFrame, model: dict, keep: list[str], text: str = "text", dimensions=DIMENSIONS, names=("lang_pred", "lang_score")
+) -> DataFrame:
+    """``keep`` columns with two more, ``names``: language and score, for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (families + pairs within them) x dimensions numbers
     rows = docs.select(*dict.fromkeys([*keep, text]))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in keep)
-    schema = f"{fields}lang_pred string, lang_score double"
-    return arrow_map(rows, _predict, schema, model=shared, text=text, keep=keep, dimensions=dimensions)
+    schema = f"{fields}`{names[0]}` string, `{names[1]}` double"
+    return arrow_map(rows, _predict, schema, model=shared, text=text, keep=keep, names=list(names), dimensions=dimensions)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

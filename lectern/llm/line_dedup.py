@@ -11,8 +11,7 @@ host. Pages meet it by host: Spark broadcasts that table when its size, known fr
 written, is under ``spark.sql.autoBroadcastJoinThreshold``, and else shuffles and splits hot hosts.
 
 Defined results: a null text stays null with 0 lines; blank lines count as lines, are never
-boilerplate, and stay; pages of a null host form a host of their own; lines that fewer than
-``min_pages`` pages of the host hold stay, so that small hosts lose nothing; repeated rows count as
+boilerplate, and stay; pages of a null host form a host of their own; a line of a single page stays, so a host of one page loses nothing; repeated rows count as
 pages of their own; other columns pass through untouched. With ``distinct``, pages of a host with equal texts count as
 one page, so a group of exact copies doesn't make its own lines boilerplate.
 """
@@ -22,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 RATIO = 0.08
-MIN_PAGES = 5
+#: A line of one page repeats nothing, whatever its share.
+MIN_PAGES = 2
 
 
 def _bare(line):
@@ -58,17 +58,18 @@ def drop_boilerplate(
     pages: DataFrame, host: str = "source", text: str = "text", ratio=RATIO, min_pages=MIN_PAGES, counts: bool = False, distinct: bool = False
 ) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text``; with ``counts`` also ``n_lines`` and ``n_dropped``."""
+    site, site_lines = fresh(pages, "_site"), fresh(pages, "_site_lines")
     found = materialize(host_boilerplate(pages, host, text, ratio, min_pages, distinct), "boilerplate").select(
-        F.col("host").alias("_site"), F.col("lines").alias("_site_lines")
+        F.col("host").alias(site), F.col("lines").alias(site_lines)
     )
     split = F.split(F.col(text), "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains(F.col("_site_lines"), _key(_bare(x))))
-    joined = pages.join(found, F.col(host).eqNullSafe(F.col("_site")), "left")
-    cleaned = F.when(F.col("_site_lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(split, lambda x: ~F.array_contains(F.col(site_lines), _key(_bare(x))))
+    joined = pages.join(found, F.col(host).eqNullSafe(F.col(site)), "left")
+    cleaned = F.when(F.col(site_lines).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     if counts:
         n = F.coalesce(F.size(split), F.lit(0)).cast("long")
         n = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n)
-        left = F.when(F.col("_site_lines").isNull() | F.col(text).isNull(), n).otherwise(F.size(kept).cast("long"))
+        left = F.when(F.col(site_lines).isNull() | F.col(text).isNull(), n).otherwise(F.size(kept).cast("long"))
         return joined.select(*[cleaned.alias(c) if c == text else pages[c] for c in pages.columns], n.alias("n_lines"), (n - left).alias("n_dropped"))
     return joined.select(*[cleaned.alias(c) if c == text else pages[c] for c in pages.columns])
 

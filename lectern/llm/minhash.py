@@ -8,30 +8,32 @@ differing symbols, the pigeonhole principle leaves some chunk with at most
 similarity of 0.85 a pair exceeds the radius with probability below 1e-4, above it with less.
 
 1. One pass over the texts: set size, a 128-bit digest of the set, the signature.
-2. Equal sets are one class, found by grouping on the digest; only the class's smallest id goes on.
+2. Equal sets are one class, found by grouping on the digest; one row of the class goes on under a number of its own.
 3. Each bucket (chunk and key) links its members to its smallest member: a star, not all pairs. Star
    pairs within the radius and of possible sizes are confirmed on the full sets.
 4. Buckets that hold more than one component are joined to groups of documents. Each group is compared
-   in pairs of tiles of bounded size, by signature and size, and confirmed on the full sets: no link
-   between different sets is lost, and only links that connect components are given out.
+   in pairs of tiles of bounded size, by signature and size, and confirmed on the full sets; only tiles of like sizes
+   meet: no link between different sets is lost, and only links that connect components are given out.
 5. Components of the confirmed links; members of a class take its component.
 
 Full sets come from a second reading of the texts, for documents that share a bucket only.
 
 Defined results: a null or blank text has an empty set, size 0, and is linked with nothing; a text
 with fewer words than a shingle is one shingle; a null ``doc_id`` is linked with nothing and is its
-own component (null); rows that repeat a ``doc_id`` are one document each with the same id and link
-by that id; only ``doc_id`` and ``text`` are read; an empty table gives an empty result.
+own component (null); rows that repeat a ``doc_id`` are documents of their own with that id, and the id alone
+links nothing; only ``doc_id`` and ``text`` are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_group, connected_components, materialize, table
+from .common import arrow_map, by_group, connected_components, materialize, slices, table
 
 SHINGLE = 3
 PERCENT = 85
@@ -94,21 +96,19 @@ SKETCH = "doc_id long, n_shingles long, digest binary, signature binary"
 def _sketch(batches, shingle: int, symbols: int, seed: int):
     import xxhash
 
-    for big in batches:
-        for at in range(0, big.num_rows, 256):
-            batch = big.slice(at, 256)
-            values, starts = shingle_sets(batch.column(1).to_pylist(), shingle)
-            sizes = np.diff(starts)
-            full = np.flatnonzero(sizes)
-            sigs = iter(_signatures(values, np.append(starts[full], starts[-1]), symbols, seed) if len(full) else [])
-            digests, signatures = [], []
-            for i, n in enumerate(sizes):
-                digests.append(xxhash.xxh3_128_digest(values[starts[i] : starts[i + 1]].tobytes()) if n else None)
-                signatures.append(next(sigs).tobytes() if n else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "signature"],
-            )
+    for batch in slices(batches, "text"):
+        values, starts = shingle_sets(batch.column("text").to_pylist(), shingle)
+        sizes = np.diff(starts)
+        full = np.flatnonzero(sizes)
+        sigs = iter(_signatures(values, np.append(starts[full], starts[-1]), symbols, seed) if len(full) else [])
+        digests, signatures = [], []
+        for i, n in enumerate(sizes):
+            digests.append(xxhash.xxh3_128_digest(values[starts[i] : starts[i + 1]].tobytes()) if n else None)
+            signatures.append(next(sigs).tobytes() if n else None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
+            names=["doc_id", "n_shingles", "digest", "signature"],
+        )
 
 
 def chunk_keys(symbols: int, radius: int, chunks: int) -> list[tuple[int, ...]]:
@@ -196,18 +196,19 @@ def _tile_links(batches, symbols: int, radius: int, percent: int):
 
 
 def _sets(batches, shingle: int):
-    for big in batches:
-        for at in range(0, big.num_rows, 256):
-            batch = big.slice(at, 256)
-            values, starts = shingle_sets(batch.column(1).to_pylist(), shingle)
-            sets = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["doc_id", "shingles"])
+    import xxhash
+
+    for batch in slices(batches, "text"):
+        values, starts = shingle_sets(batch.column("text").to_pylist(), shingle)
+        sets = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
+        digests = [xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(starts, starts[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), sets], names=["doc_id", "digest", "shingles"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are at least ``percent`` similar."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
+    b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     return (
         pairs.join(a, "a")
@@ -225,10 +226,12 @@ def near_duplicates(
     sketches = materialize(
         arrow_map(texts, _sketch, SKETCH, shingle=shingle, symbols=symbols, seed=seed), "sketches"
     )
+    # one row for each distinct set; ``rep`` numbers them, as rows that repeat a doc_id can have different sets
     classes = materialize(
         sketches.where("n_shingles > 0 and doc_id is not null")
         .groupBy("digest", "n_shingles")
-        .agg(F.min_by("signature", "doc_id").alias("signature"), F.min("doc_id").alias("rep")),
+        .agg(F.min_by("signature", "doc_id").alias("signature"), F.min("doc_id").alias("lowest"))
+        .withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
     reps = classes.select("rep", "n_shingles", "signature")
@@ -246,10 +249,16 @@ def near_duplicates(
     bounds = {"symbols": symbols, "radius": radius, "percent": percent}
     stars = shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star_pairs = materialize(arrow_map(sides(stars), _near, "a long, b long", **bounds), "star-pairs")
-    # Full sets of documents that share a bucket: they grow with the table, so the join is never a broadcast.
-    sharing = shared.select("rep").distinct().hint("merge")
-    chosen = texts.join(sharing, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = materialize(arrow_map(chosen, _sets, "doc_id long, shingles array<long>", shingle=shingle), "sets")
+    # Full sets of classes that share a bucket: they grow with the table, so the joins are never broadcasts.
+    sharing = materialize(
+        classes.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("digest").alias("of_digest"), F.col("lowest").alias("of")),
+        "sharing",
+    )
+    chosen = texts.join(sharing.hint("merge"), F.col("doc_id") == F.col("of"), "left_semi")
+    chosen = chosen.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).select("doc_id", "text")
+    read = arrow_map(chosen, _sets, "doc_id long, digest binary, shingles array<long>", shingle=shingle)
+    same_set = (F.col("doc_id") == F.col("of")) & (F.col("digest") == F.col("of_digest"))
+    sets = materialize(read.join(sharing.hint("merge"), same_set).select("rep", "shingles"), "sets")
     links = materialize(_confirm(star_pairs, sets, percent), "links")
     roots = connected_components(links)
 
@@ -267,14 +276,22 @@ def near_duplicates(
         .select("rep", "group", F.coalesce("root", "rep").alias("comp")),
         "open-members",
     )
-    tiles = members.groupBy(F.col("group").alias("of")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    open_sets = sets.withColumnRenamed("doc_id", "set_of")
+    # Sets can be similar only if they are of one class of sizes or of adjacent ones; a class is cut in tiles by hash.
+    step = F.floor(F.log(F.col("n_shingles")) / (1.001 * math.log(100 / min(percent, 99)))).cast("long")
+    signed = members.join(reps.withColumn("step", step), "rep")
+    tiles = materialize(
+        signed.groupBy(F.col("group").alias("of"), F.col("step").alias("at")).agg(F.ceil(F.count("*") / tile).cast("long").alias("tiles")), "tiles"
+    )
+    own = tiles.select(F.col("of").alias("own_of"), F.col("at").alias("own_at"), F.col("tiles").alias("own_tiles"))
+    number = lambda step, tile: (step * F.lit(2**32) + tile).cast("long")
     tiled = (
-        members.join(tiles, F.col("group") == F.col("of"))
-        .join(reps.select(F.col("rep").alias("sig_of"), "signature"), F.col("rep") == F.col("sig_of"))
-        .join(open_sets, F.col("rep") == F.col("set_of"))
-        .withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+        signed.join(own, (F.col("group") == F.col("own_of")) & (F.col("step") == F.col("own_at")))
+        .withColumn("tile", number(F.col("step"), F.pmod(F.xxhash64("rep"), F.col("own_tiles"))))
+        .select("group", "rep", "comp", "signature", "step", "tile")
+        .join(sets, "rep")
+        .join(tiles, (F.col("group") == F.col("of")) & F.col("at").between(F.col("step") - 1, F.col("step") + 1))
+        .withColumn("nth", F.explode(F.expr("sequence(0L, tiles - 1)")))
+        .withColumn("other", number(F.col("at"), F.col("nth")))
         .withColumn("first", F.least("tile", "other"))
         .withColumn("second", F.greatest("tile", "other"))
         .select("group", "first", "second", "rep", "comp", "tile", "signature", "shingles")
@@ -287,13 +304,14 @@ def near_duplicates(
         ),
         "more-links",
     )
-    roots = connected_components(links.unionByName(more))
+    roots = materialize(connected_components(links.unionByName(more)), "roots")
 
+    # the smallest doc_id of each component
+    rooted = classes.select("rep", "digest", "n_shingles", "lowest").join(roots, F.col("rep") == F.col("node"), "left")
+    rooted = rooted.select("digest", F.col("n_shingles").alias("size"), "lowest", F.coalesce("root", "rep").alias("comp"))
+    lowest = materialize(rooted.groupBy(F.col("comp").alias("of")).agg(F.min("lowest").alias("component_id")), "lowest")
     comp = materialize(
-        classes.join(roots, classes["rep"] == roots["node"], "left").select(
-            "digest", F.col("n_shingles").alias("size"), F.coalesce("root", "rep").alias("component_id")
-        ),
-        "class-components",
+        rooted.join(lowest, F.col("comp") == F.col("of")).select("digest", "size", "component_id"), "class-components"
     )
     same = (sketches["digest"] == comp["digest"]) & (sketches["n_shingles"] == comp["size"]) & sketches["doc_id"].isNotNull()
     component = F.coalesce(comp["component_id"], sketches["doc_id"])

@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table, words_of
+from .common import fresh, materialize, table, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 BLOCK_WORDS = 8
 SHARD_WORDS = 32_768
+#: Rounds of the search for a divisor, and divisors of each.
+ROUNDS, WAYS = 2, 32
 SEED = 20_240_131
 
 
@@ -64,49 +66,80 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) ->
     )
 
 
-def shard_quotas(shards: DataFrame, targets: DataFrame, block: int) -> DataFrame:
-    """Blocks for each shard (``source``, ``shard``, ``words``) by highest quotients: ``quota``.
+def apportion(parties: DataFrame, group: str, rounds=ROUNDS, ways=WAYS) -> DataFrame:
+    """``parties`` (``group``, ``party``, ``votes``, and ``seats`` of the whole group) with their ``quota``: Sainte-Laguë's.
 
-    Sources: with one seat for each block of targets, the highest quotients go out with the divisor
-    ``block``, which gives each source ``round(target / block)`` seats. Shards of a source share its
-    seats: those that any divisor near the mean would give are granted at once, and the seats around
-    that point compete by quotient, so that only a few rows for each shard are ranked.
+    A party gets its seats by the highest quotients ``votes / (2 * seats + 1)``, ties to the smaller party. The divisor that
+    gives a group its seats is searched for on sums, ``ways`` divisors at once; only the few seats that the last
+    divisors disagree on are ranked, so a group of any size is never in one task.
     """
-    src = W.partitionBy("source")
-    seated = (
-        shards.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("seats", F.round(F.col("target") / F.lit(block)).cast("long"))
-        .withColumn("n", F.count("*").over(src))
-        .withColumn("largest", F.max("words").over(src))
-        .withColumn("due", F.col("seats") * F.col("words") / F.greatest(F.col("source_size"), F.lit(1)))
-        # the divisor moves a shard's due by at most half its share of the number of shards
-        .withColumn("reach", F.ceil(F.lit(2) + F.col("n") * F.col("largest") / F.greatest(F.col("source_size"), F.lit(1)) / 2).cast("long"))
-        .withColumn("sure", F.greatest(F.lit(0).cast("long"), F.floor("due").cast("long") - F.col("reach")))
-        .withColumn("open_seats", F.col("seats") - F.sum("sure").over(src))
+    seats_at = lambda d: F.floor(F.col("votes") / d + 0.5)
+    total, n, most, seats = (F.col(c) for c in ("total", "n", "most", "seats"))
+    bounds = parties.groupBy(group).agg(
+        F.sum("votes").alias("total"), F.count("*").alias("n"), F.max("votes").alias("most"), F.max("seats").alias("seats")
+    )
+    none = 2.000001 * most + 1e-9
+    bounds = bounds.select(
+        F.col(group).alias("of"), "seats", F.greatest(F.lit(1e-12), total / (seats + n / 2 + 1)).alias("low"),
+        F.when(seats > n / 2, F.greatest(F.lit(2e-12), F.least(none, total / (seats - n / 2)))).otherwise(none).alias("high"),
     )
+    bounds = materialize(bounds, "divisors")
+    same = F.col(group).eqNullSafe(F.col("of"))
+    for _ in range(rounds):
+        tried = [F.col("low") + (F.col("high") - F.col("low")) * (k / ways) for k in range(1, ways)]
+        joined = parties.drop("seats").join(bounds, same)
+        sums = joined.groupBy("of", "seats", "low", "high").agg(*[F.sum(seats_at(d)).alias(f"s{k}") for k, d in enumerate(tried)])
+        low = F.greatest("low", *[F.when(F.col(f"s{k}") >= seats, d) for k, d in enumerate(tried)])
+        high = F.least("high", *[F.when(F.col(f"s{k}") < seats, d) for k, d in enumerate(tried)])
+        bounds = materialize(sums.select("of", "seats", low.alias("low"), high.alias("high")), "divisors")
+    sure = F.when(F.col("votes") > 0, seats_at(F.col("high"))).otherwise(0).cast("long")
+    likely = F.when(F.col("votes") > 0, seats_at(F.col("low"))).otherwise(0).cast("long")
+    seated = materialize(parties.drop("seats").join(bounds, same).withColumn("sure", sure).withColumn("likely", likely), "sure-seats")
+    open_seats = seated.groupBy(F.col("of").alias("open_of")).agg((F.max("seats") - F.sum("sure")).alias("open"))
     rivals = (
-        seated.withColumn("seat", F.explode(F.expr("sequence(sure, floor(due) + reach)")))
-        .withColumn("quotient", F.col("words") / (2 * F.col("seat") + 1))
-        .withColumn("rank", F.row_number().over(src.orderBy(F.desc("quotient"), "shard", "seat")))
+        seated.where("likely > sure")
+        .withColumn("seat", F.explode(F.expr("sequence(sure, likely - 1)")))
+        .withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc(F.col("votes") / (2 * F.col("seat") + 1)), "party", "seat")))
+        .join(open_seats, F.col("of").eqNullSafe(F.col("open_of")))
+        .where("rank <= open")
+        .groupBy(F.col("of").alias("won_by"), F.col("party").alias("winner"))
+        .agg(F.count("*").alias("won"))
     )
-    return rivals.groupBy("source", "shard", "words", "source_size", "target").agg(
-        (F.max("sure") + F.count_if(F.col("rank") <= F.col("open_seats"))).alias("quota")
+    won = F.col("of").eqNullSafe(F.col("won_by")) & F.col("party").eqNullSafe(F.col("winner"))
+    quota = (F.col("sure") + F.coalesce("won", F.lit(0))).cast("long").alias("quota")
+    return seated.join(rivals, won, "left").select(group, "party", "votes", quota)
+
+
+def shard_quotas(shards: DataFrame, targets: DataFrame, block: int) -> DataFrame:
+    """Blocks for each shard (``source``, ``shard``, ``words``) by highest quotients: ``quota``.
+
+    All blocks of the targets go to sources by their targets, and those of a source to its shards by their words.
+    """
+    sources = targets.select(F.lit(0).alias("all"), F.col("source").alias("party"), F.col("target").alias("votes"))
+    every = targets.agg(F.round(F.sum("target") / F.lit(block)).cast("long").alias("seats"))
+    of_source = apportion(sources.join(F.broadcast(every)), "all").select(F.col("party").alias("of"), F.col("quota").alias("seats"))
+    parties = shards.join(of_source, F.col("source").eqNullSafe(F.col("of"))).select(
+        "source", F.col("shard").alias("party"), F.col("words").alias("votes"), "seats"
     )
+    found = apportion(parties, "source")
+    return found.select("source", F.col("party").alias("shard"), F.col("votes").alias("words"), "quota")
 
 
 def mix_plan(
     docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK_WORDS, shard_words=SHARD_WORDS, seed=SEED
 ) -> DataFrame:
     """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` for every row of ``docs``."""
-    sizes = materialize(docs.select("doc_id", "source", words_of(F.col("text")).alias("size")), "sizes")
+    size = words_of(F.col("text"))
+    # rows without an id are told apart by where they stand, or equal ones would all be in one shard
+    order = F.xxhash64(F.lit(seed), "doc_id", size, "text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    sizes = materialize(docs.select("doc_id", "source", size.alias("size"), order.alias("order")), "sizes")
     targets = materialize(source_targets(sizes, weights, share, most), "targets")
     dealt = (
         sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size"))
         .withColumn("shard", F.pmod(F.xxhash64("order"), F.ceil((F.col("source_size") + 1) / F.lit(shard_words)).cast("long")))
     )
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"))
-    quotas = materialize(shard_quotas(shards, targets, block), "quotas").select(
+    quotas = materialize(shard_quotas(materialize(shards, "shards"), targets, block), "quotas").select(
         F.col("source").alias("of_source"), F.col("shard").alias("of_shard"), "words", "quota"
     )
     stream = W.partitionBy("source", "shard").orderBy("order", "doc_id", "size")
@@ -129,12 +162,12 @@ def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
     Rows with equal id, source and size share what they are taken, in even parts.
     """
     plan = mix_plan(docs, **parameters).where("taken > 0")
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("source").cast("string"), "size")
-    copies = plan.groupBy(key.alias("_mix_key")).agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_mix_times"))
-    own_key = F.xxhash64(F.col("doc_id").cast("string"), F.col("source").cast("string"), words_of(F.col("text")))
-    keyed = docs.withColumn("_mix_key", own_key)
-    taken = keyed.join(copies.where("_mix_times > 0"), "_mix_key")
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+    key, times, copy = (fresh(docs, x) for x in ("_mix_key", "_mix_times", "_mix_copy"))
+    of_plan = F.xxhash64(F.col("doc_id").cast("string"), F.col("source").cast("string"), "size")
+    copies = plan.groupBy(of_plan.alias(key)).agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias(times))
+    of_doc = F.xxhash64(F.col("doc_id").cast("string"), F.col("source").cast("string"), words_of(F.col("text")))
+    taken = docs.withColumn(key, of_doc).join(copies.where(F.col(times) > 0), key)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

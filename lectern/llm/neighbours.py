@@ -234,7 +234,7 @@ def nearest_neighbours(
         return empty
     sound = sound.where(F.size("vector") == sizes["size"])
     draw = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(2**30)) < F.lit(int(2**30 * min(1.0, sample / sizes["count"])))
-    rows = sorted((r["vec_id"], r["vector"]) for r in sound.where(draw).toLocalIterator())
+    rows = sorted((r["vec_id"], r["vector"]) for r in sound.where(draw).limit(2 * sample).toLocalIterator())
     fitted = np.array([v for _, v in rows] or [sound.first()["vector"]])
     split = sizes["size"] // 2
     halves = (fit_centroids(fitted[:, :split], centroids, seed=seed), fit_centroids(fitted[:, split:], centroids, seed=seed + 1))

@@ -29,7 +29,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, table
+from .common import arrow_map, slices, table
 
 # The patterns of the base kinds.
 ASSIGN = re.compile(
@@ -40,7 +40,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so a minimum here finds
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "key")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,\\\-]*?)-----END \1-----", re.ASCII)
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+BODY = re.compile(r"[A-Za-z0-9+/=\s:,\\\-]*", re.ASCII)
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
 #: Adjacent lines of base64 or hex; line ends may be escaped.
 RUNS = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}(?:[\x20\t]*(?:[\r\n]|\\+[rn])+[\x20\t]*[A-Za-z0-9+/_-]+={0,2})*")
@@ -106,26 +107,54 @@ def der_private_key(data: bytes) -> bool:
         return len(parts[1][1]) >= 16
     if tags[:3] == [0x02, 0x30, 0x04]:  # PKCS#8: version, algorithm, the key
         inner = der_items(parts[1][1])
-        return bool(inner) and inner[0][0] == 0x06 and len(parts[2][1]) >= 16
+        return bool(inner) and inner[0][0] == 0x06 and len(parts[2][1]) >= 16 and wrapped_key(parts[2][1])
     if tags == [0x30, 0x04]:  # PKCS#8 encrypted: algorithm, the ciphertext
         inner = der_items(parts[0][1])
         return bool(inner) and inner[0][0] == 0x06 and len(parts[1][1]) >= 16
     return False
 
 
-def openssh_private_key(data: bytes) -> bool:
-    if not data.startswith(MAGIC):
+def wrapped_key(data: bytes) -> bool:
+    """What PKCS#8 wraps: one integer (DSA), one octet string (Edwards curves), or a SEQUENCE of integers or of a scalar and more."""
+    items = der_items(data)
+    if not items or len(items) != 1:
         return False
-    at = len(MAGIC)
-    for _ in range(3):  # cipher, key derivation, its options
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
+    tag, content = items[0]
+    return tag in (0x02, 0x04) or (tag == 0x30 and bool(inner := der_items(content)) and inner[0][0] == 0x02)
+
+
+def ssh_strings(data: bytes, at: int, n: int) -> list[tuple[int, int]] | None:
+    """Where the next ``n`` length-prefixed strings start and end; None if one doesn't fit."""
+    out = []
+    for _ in range(n):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data) or end > len(data):
+            return None
+        out.append((at + 4, end))
+        at = end
+    return out
+
+
+def openssh_length(data: bytes) -> int | None:
+    """Bytes of an OpenSSH private key that ``data`` starts with: cipher, key derivation and its options, as many public keys
+    as it says, each led by the name of its type, and the private part, whole eight-byte blocks; None if it is none."""
+    if not data.startswith(MAGIC) or not (head := ssh_strings(data, len(MAGIC), 3)):
+        return None
+    at = head[-1][1]
+    n = int.from_bytes(data[at : at + 4], "big")
+    strings = ssh_strings(data, at + 4, n + 1) if 1 <= n <= 64 else None
+    if not strings:
+        return None
+    for a, b in strings[:-1]:
+        name = ssh_strings(data[a:b], 0, 1)
+        if not name or not re.match(rb"(?:sk-)?(?:ssh|ecdsa)-", data[a + 4 : a + name[0][1]]):
+            return None
+    a, b = strings[-1]
+    return b if b > a and (b - a) % 8 == 0 else None
 
 
 def private_key(data: bytes) -> bool:
-    return der_private_key(data) or openssh_private_key(data)
+    return der_private_key(data) or openssh_length(data) is not None
 
 
 def _bytes(chars: str, n: int | None = None) -> bytes:
@@ -157,17 +186,6 @@ def key_length(head: bytes) -> int | None:
     return at + n if head[at] == 0x30 or head[at : at + 2] == b"\x02\x01" else None
 
 
-def openssh_length(data: bytes) -> int:
-    """Bytes of an OpenSSH key, as its strings say; all of ``data`` if they don't fit."""
-    at, strings = len(MAGIC), 3
-    while strings and at + 4 <= len(data):
-        at, strings = at + 4 + int.from_bytes(data[at : at + 4], "big"), strings - 1
-    strings, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4  # the public keys and the private part
-    while strings and at + 4 <= len(data):
-        at, strings = at + 4 + int.from_bytes(data[at : at + 4], "big"), strings - 1
-    return len(data) if strings or at > len(data) else at
-
-
 def keys_in(chars: str) -> list[tuple[int, int]]:
     """Where private keys start and end in joined base64 or hex."""
     found, end = [], 0
@@ -177,8 +195,7 @@ def keys_in(chars: str) -> list[tuple[int, int]]:
             continue
         read, a_byte = (_hex, 2) if chars[at] in "36" else (_bytes, 4 / 3)
         if chars[at] in "b6":
-            data = read(chars[at:])
-            n = openssh_length(data) if openssh_private_key(data) else None
+            n = openssh_length(read(chars[at:]))
         else:
             n = key_length(read(chars[at : at + 24], 10))
             if n is None or math.ceil(n * a_byte) > len(chars) - at or not der_private_key(read(chars[at : at + math.ceil(n * a_byte)], n)):
@@ -216,15 +233,26 @@ def signed_token(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def pem_blocks(text: str):
+    """Start, end and body of each PEM block: an END mark and the last BEGIN mark before it, of one label."""
+    begin = None
+    for m in MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+            continue
+        if begin is not None and begin[2] == m[2] and BODY.fullmatch(text, begin.end(), m.start()):
+            yield begin.start(), m.end(), text[begin.end() : m.start()]
+        begin = None
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
-    if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            body = re.sub(r"(?:\\+[rn])+", "\n", m[2])
-            body = re.sub(r"^[A-Za-z-]+:.*$", "", body, flags=re.MULTILINE)
-            data = decoded("".join(body.split()))
-            if any(map(private_key, data)) or ("ENCRYPTED" in m[2] and data):
-                found.append((m.start(), m.end(), "pem"))
+    for start, end, text_of in pem_blocks(text) if "PRIVATE KEY-----" in text else ():
+        body = re.sub(r"(?:\\+[rn])+", "\n", text_of)
+        body = re.sub(r"^[A-Za-z-]+:.*$", "", body, flags=re.MULTILINE)
+        data = decoded("".join(body.split()))
+        if any(map(private_key, data)) or ("ENCRYPTED" in text_of and data):
+            found.append((start, end, "pem"))
     if "eyJ" in text:
         found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if m[1].startswith("eyJ") and signed_token(m[1], m[2])]
     blocks = [(a, b) for a, b, kind in found if kind == "pem"]
@@ -239,21 +267,19 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
 
 
 def _scan(batches):
-    for big in batches:
-        for at in range(0, big.num_rows, 512):
-            batch = big.slice(at, 512)
-            rows = []
-            for text in batch.column(1).to_pylist():
-                base = base_spans(text or "")
-                n = [sum(k == kind for _, _, k in base) for kind in KINDS[:3]]
-                digest = hashlib.sha256(listed(base).encode()).hexdigest()
-                rows.append((*n, digest, listed(base + confirmed_spans(text or ""))))
-            columns = list(zip(*rows)) or [()] * 5
-            types = [pa.int64()] * 3 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-            )
+    for batch in slices(batches, "text", rows=512):
+        rows = []
+        for text in batch.column("text").to_pylist():
+            base = base_spans(text or "")
+            n = [sum(k == kind for _, _, k in base) for kind in KINDS[:3]]
+            digest = hashlib.sha256(listed(base).encode()).hexdigest()
+            rows.append((*n, digest, listed(base + confirmed_spans(text or ""))))
+        columns = list(zip(*rows))
+        types = [pa.int64()] * 3 + [pa.string()] * 2
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))],
+            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+        )
 
 
 SCANNED = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"

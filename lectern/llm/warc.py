@@ -11,8 +11,8 @@ Equal payloads of at least ``REVISIT_BYTES`` bytes are stored once: the record o
 is a response, others are revisit records that refer to it.
 
 Defined results: a null payload is an empty one; payloads under the limit are always responses; of
-rows with equal payload and equal smallest id one is the response; a null page id sorts last and
-refers to others as they do; an empty table gives no archive and an empty result; null or odd URLs
+equal payloads all rows with the smallest id are responses; a null page id comes after all others and
+refers to them, and is a response if there are none; an empty table gives no archive and an empty result; null or odd URLs
 are percent-encoded; other columns are not stored.
 """
 
@@ -230,20 +230,16 @@ def plan_records(pages: DataFrame, revisit_bytes=REVISIT_BYTES) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")
-    ).select(
-        "*", F.sha2("payload", 256).alias("digest"), F.length("payload").cast("long").alias("payload_bytes"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
+    ).select("*", F.sha2("payload", 256).alias("digest"), F.length("payload").cast("long").alias("payload_bytes"))
     again = materialize(
         rows.where(F.col("payload_bytes") >= revisit_bytes)
         .groupBy("digest")
-        .agg(F.min(order).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select(F.col("digest").alias("again"), F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row")),
+        .agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
+        .where("n > 1 and first_page is not null")
+        .select(F.col("digest").alias("again"), "first_page"),
         "payloads",
     )
-    revisit = F.col("again").isNotNull() & (F.col("row") != F.col("first_row"))
+    revisit = F.col("again").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
     return rows.join(again, F.col("digest") == F.col("again"), "left").select(
         "page_id", "url", "payload", "digest", "payload_bytes",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),

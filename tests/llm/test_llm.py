@@ -4,6 +4,7 @@ import base64
 import json
 import math
 import os
+import time
 import zlib
 
 import numpy as np
@@ -14,6 +15,11 @@ import corpus_pipeline
 from lectern.llm import embedding_dedup, html_extraction, language, line_dedup, minhash, mixing, neighbours, packing, secrets, warc
 from lectern.llm.common import connected_components
 
+#: Names that the operators use themselves.
+CLASHING = (
+    "size", "shard", "rep", "bucket", "_path", "vector", "host", "lang_pred", "lang_score", "_site", "_site_lines", "_mix_key", "_mix_times",
+    "_mix_copy", "_gone", "component_id", "digest", "order", "turn", "tokens", "part", "row",
+)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra int"
 
 
@@ -34,7 +40,7 @@ def odd(spark):
         (1, None, None, None, None, None), (2, "", "en", "s", 0, 1), (None, "no id here", "en", None, 1, 1), (3, "same row twice " * 3, "en", "s", 1, 1),
         (3, "same row twice " * 3, "en", "s", 1, 1), (4, " \n\t ", "de", "s", 1, 1), (5, "long " * 20_000, "de", "t", 1, 1), (6, "123 !!", "fr", "t", 1, 1),
     ]
-    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(7) for c in ("size", "shard", "rep", "bucket", "_path", "vector", "host")})
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(7) for c in CLASHING})
 
 
 def test_components(spark):
@@ -78,6 +84,14 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found.values())
 
 
+def test_rows_that_repeat_an_id_link_by_their_own_text(spark):
+    a, z = " ".join(words(1, 60)), " ".join(words(2, 60))
+    rows = [(1, a), (1, z), (2, z + " one"), (7, z + " one"), (7, " ".join(words(3, 9))), (7, " ".join(words(3, 9)).upper())]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found)
+    assert got == [(1, 58, 1), (1, 58, 1), (2, 59, 1), (7, 7, 7), (7, 7, 7), (7, 59, 1)]
+
+
 def test_pipeline_near_copies_equal_brute_force(spark):
     five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
     texts = [words(k, 200) + words(100 + k, more) for k in range(12) for more in (0, 40, 48, 60)]
@@ -138,6 +152,27 @@ def test_targets_stop_at_twice_the_size(spark):
     assert got["a"] == 20 and got[None] == 80 and got["c"] == 1000 and got["b"] == pytest.approx(1225)
 
 
+def test_blocks_go_to_sources_by_highest_quotients(spark):
+    sizes = {"a": 90, "b": 35, "c": 240, "d": 61, None: 7}
+    shards = spark.createDataFrame([(k, 0, n) for k, n in sizes.items()], "source string, shard long, words long")
+    targets = spark.createDataFrame([(k, n, 1.5 * n) for k, n in sizes.items()], "source string, source_size long, target double")
+    found = {r["source"]: r["quota"] for r in mixing.shard_quotas(shards, targets, 8).collect()}
+    seats = dict.fromkeys(sizes, 0)
+    for _ in range(round(1.5 * sum(sizes.values()) / 8)):
+        seats[max(seats, key=lambda k: 1.5 * sizes[k] / (2 * seats[k] + 1))] += 1
+    assert found == seats
+    none = mixing.apportion(spark.createDataFrame([("x", 1, 0, 0), ("x", 2, 0, 0)], "g string, party long, votes long, seats long"), "g")
+    assert [r["quota"] for r in none.collect()] == [0, 0]
+
+
+def test_rows_without_ids_are_many_shards(spark):
+    rows = spark.createDataFrame([(None, "some words of one text", None, "s", 0, 0)] * 3_000, DOCS)
+    plan = mixing.mix_plan(rows, shard_words=500)
+    assert plan.count() == 3_000 and abs(plan.agg(F.sum("taken")).first()[0] - 22_500) < 200
+    pieces = packing.pack(rows, packing.default_tokenizer(), shard_chars=9_000)
+    assert pieces.select(F.shiftright("sequence_id", 32)).distinct().count() > 4
+
+
 def test_seats_go_by_highest_quotients(spark):
     words = {i: 1000 + 377 * i % 900 for i in range(23)}
     shards = spark.createDataFrame([("a", i, w) for i, w in words.items()], "source string, shard long, words long")
@@ -181,6 +216,38 @@ def test_packing_brings_like_documents_together():
     assert {i % 2 for i in order[:3]} == {0} and {i % 2 for i in order[3:]} == {1}
 
 
+def test_packing_takes_the_best_neighbours_of_plain_bm25():
+    rng = np.random.default_rng(4)
+    docs = [np.concatenate([rng.zipf(1.5, rng.integers(20, 90)) % 500, rng.integers(600 + 40 * (i % 6), 640 + 40 * (i % 6), 12)]) for i in range(40)]
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+    df = {t: sum(t in d for d in docs) for t in {int(t) for d in docs for t in d}}
+
+    def weight(t, d):
+        tf = int((docs[d] == t).sum())
+        idf = math.log1p((n - df[t] + 0.5) / (df[t] + 0.5))
+        return idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean))
+
+    index = packing.Bm25(docs)
+    for d in range(n):
+        shared = sorted((t for t in {int(t) for t in docs[d]} if df[t] > 1), key=lambda t: (-round(weight(t, d), 5), t))[: packing.QUERY_TERMS]
+        scores = {o: sum(weight(t, o) for t in shared if t in docs[o]) for o in range(n)}
+        found = index.neighbours(d, np.ones(n, bool)).tolist()
+        assert set(found) == {o for o, s in scores.items() if s > 0}
+        got = [scores[o] for o in found]
+        assert all(a >= b - 1e-3 for a, b in zip(got, got[1:]))
+
+
+def test_words_are_encoded_as_in_whole_texts():
+    tokenizer = packing.WordTokenizer(packing.default_tokenizer(), cached_words=40)
+    odd = [
+        None, "", " ", "Don't  STOP, ok. é <|endoftext|> x<|endoftext|>y A", "ÉÀ× a×. ß÷! naïve…. 3a4 ≮ a≮ ǅ", "日本語, 中文。 Ⅷ½ a½ ΣΑΣ. İstanbul, İ.",
+        "x" * 300 + " y " + "ü" * 200 + ",, z", "é,́ a'st 'sx'tt it's", "a\x00b \x1c c\x85d", " ".join(words(1, 90)), " ".join(words(2, 90)), " ".join(words(1, 90)),
+    ]
+    for _ in range(2):
+        for text, ids in zip(odd, tokenizer.encode_all(odd)):
+            assert ids.tolist() == tokenizer.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_language_on_held_out_texts(spark):
     kinds = {"en": "the and of this with", "de": "der und nicht schön über", "fr": "le et une être déjà", "es": "el los una niño señor"}
     rows = [(i, " ".join(np.random.default_rng(i).choice(kinds[k].split(), 12)), k, "s", 0, 0) for i in range(160) for k in [list(kinds)[i % 4]]]
@@ -189,6 +256,8 @@ def test_language_on_held_out_texts(spark):
     assert found.count() > 20 and found.where("lang <> lang_pred").count() == 0
     none = language.predict(docs, language.train(docs.withColumn("lang", F.lit(None).cast("string"))), ["doc_id"])
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
+    odd = docs_of(spark, ["½ ② 12", "Ⅷ ² _", "", None]).withColumn("lang_pred", F.lit("x"))
+    assert [r["l"] for r in language.predict(odd, language.train(docs), ["doc_id", "lang_pred"], names=("l", "s")).collect()] == ["und"] * 4
 
 
 def der(tag, data):
@@ -228,6 +297,23 @@ def test_secrets_escaped_wrapped_and_dsa():
     assert spans("so: " + "\n".join(lines[:-1])) == []
 
 
+def test_secrets_nested_structures_and_many_marks():
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    blob = string(b"ssh-ed25519") + string(b"\x11" * 32)
+    ssh = lambda blob, private=b"\x22" * 64: b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + b"\0\0\0\1" + string(blob) + string(private)
+    wrapped = lambda inner: der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, inner))
+    good = [ssh(blob), wrapped(der(4, b"\x33" * 32)), wrapped(der(0x30, der(2, b"\0") + der(2, b"\x7f" * 64)))]
+    bad = [ssh(b"\0\0\0\x0bssh-rsa"), ssh(blob, b"\x22" * 63), ssh(blob)[:-1], wrapped(b"\x33" * 32), wrapped(der(4, b"\x33" * 32) + b"\0")]
+    for data, kinds in [(x, ["key"]) for x in good] + [(x, []) for x in bad]:
+        assert [k for _, _, k in secrets.confirmed_spans(f"k {base64.b64encode(data).decode()} k")] == kinds
+    key = base64.b64encode(good[2]).decode()
+    block = f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----"
+    text = "-----BEGIN PRIVATE KEY-----\n" * 20_000 + block + "\n-----END RSA PRIVATE KEY-----" * 9
+    start = time.perf_counter()
+    assert [text[a:b] for a, b, k in secrets.confirmed_spans(text) if k == "pem"] == [block]
+    assert time.perf_counter() - start < 5
+
+
 def test_embedding_duplicates_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     v = rng.standard_normal((120, 16))
@@ -343,6 +429,11 @@ def test_odd_tables(spark, odd):
     assert mixing.mix_documents(odd).columns == odd.columns
     assert packing.pack(odd, packing.default_tokenizer()).where("doc_id is null").count() == 1
     assert secrets.scan_secrets(odd).where("spans <> ''").count() == 0
+    kept = odd
+    for name, stage in corpus_pipeline.STAGES:
+        kept = corpus_pipeline.materialize(stage(spark, kept, ""), "t")
+        assert name == "pack" or kept.columns == odd.columns
+    odd = odd.drop("lang_pred", "lang_score")
     found = language.predict(odd, language.train(odd), odd.columns)
     assert found.count() == n and found.where("doc_id in (1, 2, 4, 6) and lang_pred <> 'und'").count() == 0
 
