@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import language, line_dedup, minhash, mixing, packing
-from lectern.llm.common import materialize
+from lectern.llm.common import fresh, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found (no text, or not a letter in it) go."""
-    found = language.predict(docs, language.train(docs), docs.columns)
-    return found.where("lang_pred <> 'und'").select(docs.columns)
+    names = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    found = language.predict(docs, language.train(docs), docs.columns, names=names)
+    return found.where(F.col(names[0]) != "und").select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; rows without an id stay."""
-    gone = minhash.near_duplicates(docs, **NEAR).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = minhash.near_duplicates(docs, **NEAR).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
