@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -98,18 +99,20 @@ def by_group(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tup
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
-        rows = list(zip(*columns))
-        start = 0
-        for i in range(1, len(rows) + 1):
-            if i < len(rows) and rows[i] == rows[start]:
-                continue
-            if held and rows[start] != held_key:
+        changes = np.zeros(batch.num_rows - 1, bool)
+        for k in keys:
+            column = batch.column(batch.schema.get_field_index(k))
+            if not pa.types.is_integer(column.type) or column.null_count:
+                column = pc.fill_null(column.dictionary_encode(null_encoding="encode").indices, -1)
+            changes |= np.diff(column.to_numpy(zero_copy_only=False)) != 0
+        starts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+        firsts = batch.take(pa.array(starts[:-1])).select(keys)
+        for start, end, key in zip(starts, starts[1:], zip(*(c.to_pylist() for c in firsts.columns))):
+            if held and key != held_key:
                 yield held_key, pa.Table.from_batches(held)
                 held = []
-            held_key = rows[start]
-            held.append(batch.slice(start, i - start))
-            start = i
+            held_key = key
+            held.append(batch.slice(start, end - start))
     if held:
         yield held_key, pa.Table.from_batches(held)
 

@@ -1,18 +1,19 @@
 """Embedding near-dedup: random-hyperplane sign hashing in several tables, exact cosines, components.
 
-Exact copies of a vector are one class (equal label and equal components); the class's smallest id
-goes on with the number of copies. Each class gets a key of ``bits`` signs in each of as many tables as
+Exact copies of a vector are one class (equal label and equal components); one row of it goes on under a
+number of its own, with the number of copies. Each class gets a key of ``bits`` signs in each of as many tables as
 make the chance to miss a pair at the threshold ``MISS``. Classes that share a label and a key in
 some table are compared by cosine in double precision, one matrix product for each bucket. A bucket
 above ``TILE`` classes is split in tiles, and pairs of tiles are separate groups of rows, so no task
-holds more than two tiles. A pair that meets in several tables counts in the first: every row
-carries its keys of all tables. A group gives each member one row: its number of new links and the smallest
-member it is connected to. So links are counted in full, yet never listed pair by pair.
+holds more than two tiles. Rows without vectors are dealt to buckets; vectors join those that meet
+others. A pair that meets in several tables counts in the first: the keys of those before are computed
+again for rows that have links. A group gives each member one row: its number of new links and the
+smallest member it is connected to. So links are counted in full, yet never listed pair by pair.
 
 Defined results: a null vector or label, a zero vector, and one with null or non-finite components
 link with nothing (0 links, their own component); vectors of different lengths never link; a null
 ``vec_id`` links with nothing and has a null component; rows that repeat a ``vec_id`` are vectors
-of their own and link by that id; extra columns are ignored; an empty table gives an empty result.
+of their own with that id, and the id alone links nothing; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, by_group, connected_components, materialize, table
 
 COSINE = 0.93
-MISS = 1e-6
+MISS = 1e-4
 TILE = 512
 SEED = 4_211
 
@@ -45,53 +46,60 @@ def table_count(bits: int, cosine: float, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log1p(-(same**bits)))
 
 
-def _vectors(column) -> list[np.ndarray]:
-    return [np.asarray(v, dtype=np.float64) for v in column.to_pylist()]
+def _matrix(column) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _signed(batches, bits: int, tables: int, seed: int):
-    """Rows as they are with ``vector`` as doubles in bytes and ``keys``: 32-bit keys of all tables."""
-    planes: dict[int, np.ndarray] = {}
+def signs(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
+    """Keys of the rows of ``x``: one 32-bit number for each table, by the sides of its hyperplanes a row is on."""
+    with np.errstate(over="ignore"):
+        x = x / np.abs(x).max(axis=1, keepdims=True)  # so that products don't overflow
+    planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((tables * bits, x.shape[1]))
     powers = (1 << np.arange(bits)).astype(np.uint32)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        raw, keys = [], []
-        for v in _vectors(batch.column("vector")):
-            if len(v) not in planes:
-                planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((tables * bits, len(v)))
-            signs = (planes[len(v)] @ v > 0).reshape(tables, bits)
-            raw.append(v.tobytes())
-            keys.append((signs @ powers).astype("<u4").view("<i4"))
-        out = {"vector": pa.array(raw, pa.binary()), "keys": pa.array([k.tolist() for k in keys], pa.list_(pa.int32()))}
-        rest = ["rep", "label", "copies", "size"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *out.values()], names=[*rest, *out])
+    # summed in one order whatever the rows beside them, so that equal vectors have equal keys wherever they are
+    sides = np.stack([(x * planes[k]).sum(axis=1) > 0 for k in range(tables * bits)], axis=1)
+    return (sides.reshape(len(x), tables, bits) @ powers).astype("<u4").view("<i4")
+
+
+def _signed(batches, bits: int, tables: int, seed: int):
+    """Rows with ``keys`` of all tables in place of their vectors."""
+    for big in batches:
+        for at in range(0, big.num_rows, 2048):
+            batch = big.slice(at, 2048)
+            sizes = batch.column("size").to_numpy()
+            keys = np.empty((batch.num_rows, tables), "<i4")
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                keys[rows] = signs(_matrix(batch.column("vector").take(pa.array(rows))), bits, tables, seed)
+            offsets = pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "label", "size")), lists], names=["rep", "label", "size", "keys"])
 
 
 GROUP = ["label", "size", "nth", "key", "first", "second"]
 
 
-def _links(batches, cosine: float):
+def _links(batches, cosine: float, bits: int, seed: int):
     """For each group ``rep``, ``n`` (copies newly linked) and ``root`` (smallest member connected)."""
     for group, rows in by_group(batches, GROUP):
         nth, first, second = group[2], group[4], group[5]
         if rows.num_rows < 2:
             continue
-        rows = rows.combine_chunks()
-        v = np.frombuffer(b"".join(rows.column("vector").to_pylist()), dtype=np.float64).reshape(rows.num_rows, -1)
-        with np.errstate(over="ignore"):
-            length = np.abs(v).max(axis=1, keepdims=True)
-        v = v / length  # so that squares neither overflow nor vanish
+        own = _matrix(rows.column("vector"))
+        v = own / np.abs(own).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
         v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
         rep, copies, tile = (rows.column(c).to_numpy() for c in ("rep", "copies", "tile"))
         near = v @ v.T >= cosine
         near &= np.tri(len(rep), k=-1, dtype=bool) if first == second else (tile == first)[:, None] & (tile == second)[None, :]
         i, j = np.nonzero(near)
         if nth and len(i):
-            keys = np.stack(rows.column("keys").to_numpy())[:, :nth]
-            new = np.concatenate([
-                ~(keys[i[at : at + 8192]] == keys[j[at : at + 8192]]).any(axis=1) for at in range(0, len(i), 8192)
-            ])
+            # a pair counts in the first table in which it meets; only rows that have links need their keys of those before
+            some, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+            keys = signs(own[some], bits, nth, seed)
+            a, b = at[: len(i)], at[len(i) :]
+            new = np.concatenate([~(keys[a[k : k + 8192]] == keys[b[k : k + 8192]]).any(axis=1) for k in range(0, len(i), 8192)])
             i, j = i[new], j[new]
         if not len(i):
             continue
@@ -104,9 +112,9 @@ def _links(batches, cosine: float):
             if (low == root).all():
                 break
             root = low
-        some = n > 0
+        linked = n > 0
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rep[some]), pa.array(n[some].astype(np.int64)), pa.array(root[some])], names=["rep", "n", "root"]
+            [pa.array(rep[linked]), pa.array(n[linked].astype(np.int64)), pa.array(root[linked])], names=["rep", "n", "root"]
         )
 
 
@@ -119,24 +127,23 @@ def embedding_duplicates(
         F.col("label").cast("string").alias("label"),
         F.when(usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.col("embedding")).alias("vector"),
     ).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(1), "vector"))
+    # one row for each distinct vector; ``rep`` numbers them, as rows that repeat a vec_id can have different vectors
     classes = materialize(
         own.where("vector is not null")
         .groupBy("label", "h1", "h2")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("vector", "vec_id").alias("vector")),
+        .agg(F.min("vec_id").alias("lowest"), F.count("*").alias("copies"), F.min_by("vector", "vec_id").alias("vector"))
+        .withColumn("rep", F.monotonically_increasing_id()),
         "vector-classes",
     )
     if bits is None:  # buckets stay of one size as vectors grow
-        bits = max(6, math.ceil(math.log2(classes.count() + 1)) - 8)
+        bits = max(6, math.ceil(math.log2(classes.count() + 1)) - 9)
     tables = table_count(bits, cosine, miss)
+    sized = classes.select("rep", "label", F.size("vector").alias("size"), "vector")
     signed = materialize(
-        arrow_map(
-            classes.select("rep", "label", "copies", F.size("vector").alias("size"), "vector"), _signed,
-            "rep long, label string, copies long, size int, vector binary, keys array<int>", bits=bits, tables=tables, seed=seed,
-        ),
-        "signed",
+        arrow_map(sized, _signed, "rep long, label string, size int, keys array<int>", bits=bits, tables=tables, seed=seed), "signed"
     )
     place = ["label", "size", "nth", "key"]
-    placed = signed.select("*", F.posexplode("keys").alias("nth", "key"))
+    placed = signed.select("rep", "label", "size", F.posexplode("keys").alias("nth", "key"))
     counted = materialize(placed.groupBy(*place).agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     tiled = (
         placed.join(counted, place)
@@ -145,27 +152,31 @@ def embedding_duplicates(
         .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
         .withColumn("first", F.least("tile", "other"))
         .withColumn("second", F.greatest("tile", "other"))
-        .select(*GROUP, "rep", "copies", "tile", "vector", "keys")
+        .select(*GROUP, "rep", "tile")
+        .join(classes.select("rep", "copies", "vector"), "rep")
     )
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(
         arrow_map(
-            tiled.repartition(parts, *GROUP).sortWithinPartitions(*GROUP), _links, "rep long, n long, root long", cosine=cosine
+            tiled.repartition(parts, *GROUP).sortWithinPartitions(*GROUP), _links, "rep long, n long, root long",
+            cosine=cosine, bits=bits, seed=seed,
         ),
         "vector-links",
     )
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("rep").agg(F.sum("n").alias("n")).withColumnRenamed("rep", "of")
-    per_class = materialize(
+    rooted = materialize(
         classes.join(linked, F.col("rep") == F.col("of"), "left")
         .join(roots, F.col("rep") == F.col("node"), "left")
         .select(
-            F.col("label").alias("c_label"), F.col("h1").alias("c_h1"), F.col("h2").alias("c_h2"),
+            F.col("label").alias("c_label"), F.col("h1").alias("c_h1"), F.col("h2").alias("c_h2"), "lowest",
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-            F.coalesce("root", "rep").alias("root"),
+            F.coalesce("root", "rep").alias("comp"),
         ),
         "class-links",
     )
+    lowest = materialize(rooted.groupBy(F.col("comp").alias("low_of")).agg(F.min("lowest").alias("root")), "lowest-ids")
+    per_class = rooted.drop("lowest").join(lowest, F.col("comp") == F.col("low_of"))
     same = F.col("vector").isNotNull() & (F.col("label") == F.col("c_label")) & (F.col("h1") == F.col("c_h1")) & (F.col("h2") == F.col("c_h2"))
     component = F.coalesce("root", "vec_id")
     return own.join(per_class, same, "left").select(

@@ -328,7 +328,10 @@ def test_embedding_duplicates_equal_brute_force(spark):
     for _ in range(120):
         for i, j in zip(*np.nonzero(near)):
             root[i] = root[j] = min(root[i], root[j])
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(7) for c in CLASHING})
+    again = spark.createDataFrame([(1, rows[0][1], 9), (1, rows[1][1], 9), (2, rows[1][1], 9)], "vec_id long, embedding array<double>, label int")
+    twice = embedding_dedup.embedding_duplicates(again).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in twice) == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
     found = {r["vec_id"]: r for r in embedding_dedup.embedding_duplicates(df, tile=8).collect()}
     assert [found[i]["n_links"] for i in range(120)] == near.sum(axis=1).tolist()
     assert [found[i]["component_id"] for i in range(120)] == root
