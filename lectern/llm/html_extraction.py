@@ -5,8 +5,9 @@
    no line in common or is a copy, the other. Pages with null or empty html are passed over. Of each range the first and last page with html
    go to the next ranges as well, so neighbours meet across borders.
 2. Each page and its partner are cut into text lines, one for each block element. All their lines are
-   aligned by longest common subsequence, and shared lines are deleted, inside ``article`` and ``main`` as well.
-   If more than half of the lines inside those elements are shared, the article itself is mirrored, and they stay.
+   aligned by longest common subsequence, and shared lines are deleted. Lines inside ``article`` and ``main`` go only if
+   the neighbours on both sides share them: articles repeat sentences (licences, say) here and there, notices of a site are on every
+   page. If more than half of the lines inside those elements are shared, the article itself is mirrored, and they stay.
 3. Elements that are never article (scripts, forms, menus, asides, adverts, comments ...) go by
    their tag, role or class. If a page has an article or main element, only its lines are kept.
 
@@ -204,22 +205,19 @@ def _middle(a: list[str], b: list[str]) -> list[int]:
     return [*_middle(a[:half], b[:cut]), *(half + i for i in _middle(a[half:], b[cut:]))]
 
 
-def main_text(html: str | None, partner_lines: list[str] | None) -> str:
-    """The article of a page; ``partner_lines`` are all lines of its partner."""
-    return _article(blocks(html), [partner_lines or []])
+def main_text(html: str | None, *partners: list[str] | None) -> str:
+    """The article of a page; ``partners`` are all lines of its neighbours, the nearest first."""
+    return _article(blocks(html), [lines or [] for lines in partners])
 
 
 def _article(found: list[tuple[str, bool, bool]], partners: list[list[str]]) -> str:
-    """The article among blocks; the first partner that shares some lines, but not all, counts."""
-    shared: set[int] = set()
-    for lines in partners:
-        shared = set(common_lines([text for text, _, _ in found], lines))
-        if 0 < len(shared) < len(found):
-            break
-        shared = set()
+    """The article among blocks; of the partners, nearest first, those count that share some lines, but not all."""
+    mine = [text for text, _, _ in found]
+    usable = [s for s in (set(common_lines(mine, lines)) for lines in partners) if 0 < len(s) < len(found)]
+    shared = usable[0] if usable else set()
     own = {i for i, (_, inside, gone) in enumerate(found) if inside and not gone}
-    if 2 * len(shared & own) > len(own):
-        shared -= own
+    on_both_sides = shared & own & usable[1] if len(usable) > 1 and 2 * len(shared & own) <= len(own) else set()
+    shared = (shared - own) | on_both_sides
     left = [(text, inside) for i, (text, inside, gone) in enumerate(found) if not gone and i not in shared]
     if any(inside for _, inside in left):
         left = [(text, inside) for text, inside in left if inside]

@@ -382,7 +382,8 @@ def test_main_text():
 def test_shared_lines_inside_an_article_go():
     page = "<nav>Menu</nav><article><p>Read on in our shop</p><p>One</p><p>Two</p></article>"
     other = ["Menu", "Read on in our shop", "Three", "Four"]
-    assert html_extraction.main_text(page, other) == "One\n\nTwo"
+    assert html_extraction.main_text(page, other, ["Read on in our shop", "Five"]) == "One\n\nTwo"
+    assert html_extraction.main_text(page, other, ["Menu", "Five"]) == html_extraction.main_text(page, other) == "Read on in our shop\n\nOne\n\nTwo"
     assert html_extraction.main_text(page, ["Read on in our shop", "One", "Two", "More"]) == "Read on in our shop\n\nOne\n\nTwo"
 
 
@@ -397,6 +398,49 @@ def test_pages_pair_with_their_neighbour(spark):
     assert {r["page_id"]: r["text"] for r in found if r["page_id"] in (*odd, None)} == {0: "", 1: "", 40: "", 99: "Another template", None: "x"}
 
 
+def longest_common(a, b):
+    best = [[[] for _ in range(len(b) + 1)] for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = [*best[i][j], i] if x == y else max(best[i][j + 1], best[i + 1][j], key=len)
+    return best[-1][-1]
+
+
+def test_pages_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(160):
+        host = f"h{i % 5 if i % 3 else 0}"  # one hot host
+        own = "".join(f"<p>own {i} {k}</p>" for k in range(rng.integers(1, 4)))
+        notice = f"<p>notice of {host}</p>" if host == "h0" else ""
+        body = f"<article>{own}{notice}</article>" if i % 4 else own
+        html = f"<body><div>site {host}</div><p>part {i % 2}</p>{body}<p>end of {host}</p></body>"
+        url = f"http://{host}/{rng.integers(0, 9)}/{i}" if i % 29 else None
+        rows.append((i, url, None if i % 17 == 3 else "" if i % 17 == 5 else html, 1))
+    rows += [rows[7], (400, "http://h2/very/long", "<p>" + "y" * 3_000_000, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, path int").repartition(6)
+    found = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(df).collect()}
+
+    place = lambda r: ((r[1] or "").removeprefix("http://").partition("/")[0], "/" + (r[1] or "").removeprefix("http://").partition("/")[2] if r[1] else "", r[0])
+    runs = sorted({(place(r), r[2]) for r in rows if r[2]})
+    for k, (at, html) in enumerate(runs):
+        near = [runs[j] for j in (k - 1, k + 1) if 0 <= j < len(runs) and runs[j][0][0] == at[0]]
+        shares = lambda p: next((n for n, (x, y) in enumerate(zip(p.split("/"), at[1].split("/"))) if x != y), min(p.count("/"), at[1].count("/")) + 1)
+        near.sort(key=lambda r: -shares(r[0][1]))
+        page = html_extraction.blocks(html)
+        sets = [set(longest_common([b[0] for b in page], [b[0] for b in html_extraction.blocks(r[1])])) for r in near]
+        sets = [s for s in sets if 0 < len(s) < len(page)]
+        inside = {i for i, b in enumerate(page) if b[1]}
+        gone = (sets[0] - inside) if sets else set()
+        if len(sets) == 2 and 2 * len(sets[0] & inside) <= len(inside):
+            gone |= sets[0] & sets[1] & inside
+        left = [b for i, b in enumerate(page) if i not in gone]
+        left = [b for b in left if b[1]] or left
+        assert found[at[2]] == "\n\n".join(b[0] for b in left), at
+    assert all(found[r[0]] == "" for r in rows if not r[2])
+    assert sum("notice" in t for t in found.values()) < 30 and sum("site" in t for t in found.values()) < 30
+
+
 def test_common_lines_are_longest():
     rng = np.random.default_rng(2)
     for _ in range(40):
