@@ -42,7 +42,7 @@ RADIUS = 21
 CHUNKS = 11
 SEED = 8_191
 #: Documents of one tile; a group of rows to compare is two tiles at most.
-TILE = 512
+TILE = 192
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -46,7 +46,7 @@ PER_RANGE = 50
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 SEED = 90_001
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 700_000
 
 
 #: Byte-level tokenizers write a byte that has no visible Latin-1 character as one from 256 on.
