@@ -6,6 +6,9 @@ Arrow UDFs over batches: their sums over characters are one ``bincount`` for eac
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -56,11 +59,26 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
 
 
+_powers = np.ones(1, np.uint32)
+
+
+def _raw_hash(text: str) -> int:
+    """The hash ``31 * h + code`` as 32 bits without a sign."""
+    global _powers
+    codes = _codes(text).astype(np.uint32)
+    if len(codes) > len(_powers):
+        factors = np.full(2 * len(codes), np.uint32(31))
+        factors[0] = 1
+        _powers = np.cumprod(factors, dtype=np.uint32)
+    return int((codes * _powers[: len(codes)][::-1]).sum(dtype=np.uint32))
+
+
+def _signed(h):
+    return np.abs((np.asarray(h, np.int64) + 2**31) % 2**32 - 2**31)
+
+
 def _hash(text: str) -> int:
-    h = 0
-    for c in _codes(text).tolist():
-        h = ((31 * h + c + 2**31) & 0xFFFFFFFF) - 2**31
-    return abs(h)
+    return int(_signed(_raw_hash(text)))
 
 
 def _taps(codes: np.ndarray, dimension: int) -> np.ndarray:
@@ -79,21 +97,22 @@ def fallback_vector(text: str | None, dimension: int = 1024) -> list[float]:
     if not text or not text.strip():
         text = "default text"
     out = _taps(_codes(text.lower().strip()), dimension)
-    base = 0
-    for c in _codes(text).tolist():
-        base = ((31 * base + c + 2**31) & 0xFFFFFFFF) - 2**31
-    for i in range(0, dimension, 10):
-        h = base
-        for c in str(i).encode():
-            h = ((31 * h + c + 2**31) & 0xFFFFFFFF) - 2**31
-        out[i] += abs(h) % 100 * 0.001
+    factors, ends = _numbered(dimension)
+    out[::10] += _signed((_raw_hash(text) * factors + ends) % 2**32) % 100 * 0.001
     return _unit(out)
 
 
+@lru_cache
+def _numbered(dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each tenth number what its digits multiply a hash by and add to it."""
+    names = [str(i) for i in range(0, dimension, 10)]
+    return np.array([31 ** len(x) for x in names], np.int64), np.array([_raw_hash(x) for x in names], np.int64)
+
+
 def hashed_vector(text: str | None, dimension: int = 384) -> list[float]:
     text = text or ""
     out = _taps(_codes(text), dimension)
-    for word in pd.Series([text.lower()]).str.split(r"\s+", regex=True)[0]:
+    for word in re.split(r"\s+", text.lower()):
         out[_hash(word) % dimension] += len(word) * 0.3
     return _unit(out)
 

@@ -54,15 +54,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _keyword_score(x: Column) -> Column:
-    asked, there = x["asked"], x["there"]
+def _keyword_score(q: Column, c: Column) -> Column:
+    asked, there, padded = q["words"], c["words"], F.concat(F.lit(" "), c["normal"], F.lit(" "))
     n = F.size(asked)
-    missing = F.filter(asked, lambda w: ~F.array_contains(there, w))
+    missing = F.filter(asked, lambda w: ~F.contains(padded, F.concat(F.lit(" "), w, F.lit(" "))))
     return let(
         F.struct(
             n.alias("n"), (n - F.size(missing)).alias("exact"),
-            F.size(F.filter(missing, lambda w: F.exists(there, lambda t: F.contains(t, w) | F.contains(w, t)))).alias("partly"),
-            ((F.length(x["c"]) - F.length(F.replace(x["c"], x["q"], F.lit("")))) / F.greatest(F.length(x["q"]), F.lit(1))).alias("times"),
+            # words have no blanks, so a word lies within a content word if it lies within the content
+            F.size(F.filter(missing, lambda w: F.contains(c["normal"], w) | F.exists(there, lambda t: F.contains(w, t)))).alias("partly"),
+            ((F.length(c["normal"]) - F.length(F.replace(c["normal"], q["normal"], F.lit("")))) / F.greatest(F.length(q["normal"]), F.lit(1))).alias("times"),
         ),
         _mixed_words,
     )
@@ -75,6 +76,19 @@ def _mixed_words(x: Column) -> Column:
     return F.when(x["n"] == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), base + bonus))
 
 
+def keyword_form(text, query: bool = False) -> Column:
+    """What keyword scores need of a text: its normal form and that form's words, a query's without empty ones."""
+    ws = lambda n: F.filter(F.split(n, " "), lambda w: w != "") if query else F.split(n, " ")
+    return let(normalize(text), lambda n: F.struct(n.alias("normal"), ws(n).alias("words"), (F.coalesce(F.length(col(text)), F.lit(0)) == 0).alias("empty")))
+
+
+def keyword_score_of(query, content, empty_is_zero: bool = False) -> Column:
+    """``keyword_score`` of two keyword forms, for texts that meet many others."""
+    q, c = col(query), col(content)
+    score = _keyword_score(q, c)
+    return F.when(q["empty"] | c["empty"], F.lit(0.0)).otherwise(score) if empty_is_zero else score
+
+
 def keyword_score(query, content, empty_is_zero: bool = False) -> Column:
     """Share of query words found in the content, in 0..1.
 
@@ -82,20 +96,8 @@ def keyword_score(query, content, empty_is_zero: bool = False) -> Column:
     single exact word counts double, and each occurrence of the whole query adds 0.1 up to 0.3.
     With ``empty_is_zero`` an empty query or content scores 0.
     """
-    score = let(
-        F.struct(normalize(query).alias("q"), normalize(content).alias("c")),
-        lambda x: let(
-            F.struct(
-                x["q"].alias("q"), x["c"].alias("c"), F.filter(F.split(x["q"], " "), lambda w: w != "").alias("asked"),
-                F.split(x["c"], " ").alias("there"),
-            ),
-            _keyword_score,
-        ),
-    )
-    if empty_is_zero:
-        missing = F.coalesce(F.length(col(query)), F.lit(0)) * F.coalesce(F.length(col(content)), F.lit(0)) == 0
-        score = F.when(missing, F.lit(0.0)).otherwise(score)
-    return score
+    forms = F.struct(keyword_form(query, True).alias("q"), keyword_form(content).alias("c"))
+    return let(forms, lambda x: keyword_score_of(x["q"], x["c"], empty_is_zero))
 
 
 # -- questions and answers -------------------------------------------------------------------------
@@ -247,13 +249,28 @@ def _ascii_word(word: str) -> str:
 
 
 def detect_language(text) -> Column:
-    """The language with most frequent words in the first 2000 characters, if more than five."""
+    """The language with most frequent words in the first 2000 characters, if more than five.
+
+    The sample is cut into ASCII words once, and each language's words are counted among them; the few words that
+    begin or end with another letter are counted by pattern.
+    """
+
+    def of(x, ws):
+        plain = [w for w in ws if w.isascii()]
+        odd = [F.regexp_count(x["sample"], F.lit(_ascii_word(w))) for w in ws if not w.isascii()]
+        return total([F.size(F.filter(x["runs"], lambda r: r.isin(plain))), *odd])
+
+    def counted(sample):
+        cut = F.struct(sample.alias("sample"), F.split(sample, "[^a-z0-9_]+").alias("runs"))
+        return let(cut, lambda x: F.struct(*[of(x, ws).alias(name) for name, ws in LANGUAGE_WORDS.items()]))
+
+    def named(n):
+        top = F.greatest(*[n[x] for x in LANGUAGE_WORDS])
+        return F.when(top > 5, first_match([(n[x] == top, x) for x in LANGUAGE_WORDS], "Unknown")).otherwise("Unknown")
+
     sample = F.lower(F.substring(col(text), 1, 2000))
-    counts = {name: F.regexp_count(sample, F.lit("|".join(map(_ascii_word, ws)))) for name, ws in LANGUAGE_WORDS.items()}
-    top = F.greatest(*counts.values())
-    named = first_match([(n == top, name) for name, n in counts.items()], "Unknown")
     empty = F.coalesce(F.length(col(text)), F.lit(0)) == 0
-    return F.when(empty, "en").when(top > 5, named).otherwise("Unknown")
+    return F.when(empty, "en").otherwise(let(let(sample, counted), named))
 
 
 def detect_english(text) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.similarity import cosine_of, dot, norm
-from lectern.functions.text import keyword_score, source_document
+from lectern.functions.text import keyword_form, keyword_score_of, source_document
 
 from .filters import Filters, document_filter
 
@@ -67,13 +67,20 @@ def few(df: DataFrame, rows: int = BROADCAST_QUERIES) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def with_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every query and chunk with ``semantic`` and ``keyword`` scores left out where inputs are missing.
+def with_scores(queries: DataFrame, chunks: DataFrame, keyword: str | None = None) -> DataFrame:
+    """Every query and chunk with its ``semantic`` score, and with a profile's name also ``keyword``; null where inputs are missing.
 
-    ``queries``: query_id, question, embedding. ``chunks``: chunk_id, content, embedding and more.
+    ``queries``: query_id, question, embedding. ``chunks``: chunk_id, content, embedding and more. Norms and keyword forms are
+    computed once for each query and each chunk, before they meet.
     """
     asked = queries.select("query_id", "question", F.col("embedding").alias("q_vector"), norm("embedding").alias("q_norm"))
-    pairs = chunks.withColumn("c_norm", norm("embedding")).crossJoin(few(asked))
+    held = chunks.withColumn("c_norm", norm("embedding"))
+    if keyword:
+        asked = asked.withColumn("q_words", keyword_form("question", True))
+        held = held.withColumn("c_words", keyword_form("content"))
+    pairs = held.crossJoin(few(asked))
+    if keyword:
+        pairs = pairs.withColumn("keyword", keyword_score_of("q_words", "c_words", PROFILES[keyword].empty_is_zero)).drop("q_words", "c_words")
     same = F.size("q_vector") == F.size("embedding")
     semantic = F.when(same, cosine_of(dot("q_vector", "embedding"), F.col("q_norm"), F.col("c_norm"))).when(
         F.col("q_vector").isNotNull() & F.col("embedding").isNotNull(), 0.0
@@ -101,9 +108,7 @@ def search(
     """Ranked chunks for each query: ``query_id``, ``rank``, ``score``, both part scores, chunk columns."""
     if filters is not None:
         chunks = chunks.where(document_filter(filters))
-    scored = with_scores(queries, chunks)
-    if mode != "semantic":
-        scored = scored.withColumn("keyword", keyword_score("question", "content", PROFILES[profile].empty_is_zero))
+    scored = with_scores(queries, chunks, None if mode == "semantic" else profile)
     if mode == "semantic":
         scored = scored.where("semantic is not null").withColumn("score", F.col("semantic"))
     elif mode == "keyword":

@@ -79,7 +79,7 @@ def keyword_empty_query(spark, sf_dir):
 def _hybrid(profile):
     def query(spark, sf_dir):
         q = vector_queries(spark, sf_dir, QUESTIONS)
-        scored = S.with_scores(q, chunks(spark, sf_dir)).withColumn("keyword", keyword_score("question", "content", S.PROFILES[profile].empty_is_zero))
+        scored = S.with_scores(q, chunks(spark, sf_dir), profile)
         scored = scored.withColumn("score", F.round(S.mixed_score(profile, F.col("semantic"), F.col("keyword")), 6))
         scored = scored.where(F.col("score") >= S.threshold_of(profile, "hybrid", None))
         return _hits(S.top_k(scored, 10))
