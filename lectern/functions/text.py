@@ -339,6 +339,17 @@ def response_time(ms) -> Column:
     return F.when(x < 1000, F.concat(F.round(x).cast("long").cast("string"), F.lit("ms"))).otherwise(F.format_string("%.1fs", x / 1000))
 
 
+def size_label(n) -> Column:
+    """A count of characters in thousands: ``3.4k``, below a thousand as it is."""
+    x = col(n)
+    return F.when(x < 1000, x.cast("string")).otherwise(F.format_string("%.1fk", x / 1000))
+
+
+def iso_date(ts) -> Column:
+    """The day of a time, as in ISO 8601."""
+    return F.date_format(col(ts), "yyyy-MM-dd")
+
+
 def score_band(score) -> Column:
     return first_match([(col(score) >= 0.8, "green"), (col(score) >= 0.6, "yellow")], "red")
 
@@ -347,18 +358,19 @@ def quality_notice(rating) -> Column:
     return first_match([(col(rating) >= 85, "success"), (col(rating) < 60, "warning")], "none")
 
 
-# What an error message contains and what kind of error that is.
+# What an error message contains, as it is written, and what kind of error that is; the first that fits.
 ERROR_KINDS = {
-    "authentication": ("api key", "unauthorized", "401"),
+    "authentication": ("API key", "401", "Unauthorized"),
+    "model": ("model", "404"),
     "rate_limit": ("rate limit", "429"),
     "network": ("network", "fetch", "timeout"),
     "password": ("password", "encrypted"),
-    "corrupt": ("invalid pdf", "corrupt"),
+    "corrupt": ("Invalid PDF", "corrupt"),
 }
 
 
 def error_kind(message) -> Column:
-    x = F.lower(col(message))
+    x = col(message)
     cases = [(reduce(lambda a, b: a | b, [F.contains(x, F.lit(p)) for p in parts]), kind) for kind, parts in ERROR_KINDS.items()]
     return first_match(cases, "unknown")
 

@@ -13,6 +13,7 @@ from .filters import Filters, document_filter
 from .search import diverse_top_k, token_prefix, with_scores
 
 NO_DOCUMENTS = "No documents are available. Add documents before asking."
+NO_QUESTION = "A question is needed."
 NO_CHUNKS = "No relevant passages were found for this question."
 
 
@@ -27,6 +28,11 @@ def find_relevant_chunks(queries: DataFrame, chunks: DataFrame, k, filters: Filt
     return diverse_top_k(sourced, k, source="label")
 
 
+def query_simple(queries: DataFrame, chunks: DataFrame, **options) -> DataFrame:
+    """Answers of simple level: ``answer``, ``sources``, ``relevance``, ``retrieved``."""
+    return ask(queries, chunks, level="simple", **options).select("query_id", "answer", "sources", "relevance", "retrieved")
+
+
 def context_prompt(question, context) -> Column:
     return F.concat(F.lit("Context:\n"), T.col(context), F.lit("\n\nQuestion: "), T.col(question))
 
@@ -75,10 +81,12 @@ def ask(
     )
     asked = typed.join(gathered, "query_id", "left")
     retrieved = F.coalesce("retrieved", F.array())
-    n, none = F.size("retrieved"), F.col("retrieved").isNull()
+    blank = T.trim(F.coalesce("question", F.lit(""))) == ""
+    n, none = F.size("retrieved"), F.col("retrieved").isNull() | blank
+    refused = F.when(blank, NO_QUESTION).when(F.lit(not chunks.limit(1).count()), NO_DOCUMENTS).otherwise(NO_CHUNKS)
     context = F.array_join(F.transform(retrieved, lambda c: c["content"]), "\n\n")
     first = asked.withColumn("prompt", context_prompt("question", context)).withColumn(
-        "initial", F.when(none, F.lit(NO_CHUNKS)).otherwise(generate(F.col("prompt")))
+        "initial", F.when(none, refused).otherwise(generate(F.col("prompt")))
     )
     simple = F.col("level") == "simple"
     reviewed = first.withColumn("critique", F.when(~simple & ~none, generate(critique_prompt("question", "initial"))))

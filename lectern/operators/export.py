@@ -68,3 +68,10 @@ def share_preview(messages: DataFrame, by: str = "conv_id", order: str = "turn",
 
 def write_text(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).alias("value")).write.text(path, lineSep="\n")
+
+
+def chat_json(messages: DataFrame, by: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """Each conversation as JSON: ``json``."""
+    entry = F.struct(F.col(order).alias("id"), F.col("role"), F.col(text).alias("content"))
+    rows = F.sort_array(F.collect_list(F.struct(order, entry.alias("entry"))))
+    return messages.groupBy(by).agg(F.to_json(F.struct(F.transform(rows, lambda x: x["entry"]).alias("messages"))).alias("json"))

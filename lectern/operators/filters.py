@@ -30,7 +30,7 @@ def all_of(conditions: list[Column]) -> Column:
 
 
 def document_filter(f: Filters, doc_id="doc_id", author="author", tags="tags", date="date") -> Column:
-    """Ids as listed, authors whatever their case, any shared tag, dates inclusive; no date passes."""
+    """Ids as listed, authors whatever their case, any shared tag, dates inclusive, open where one end is missing; no date passes."""
     found = []
     if f.document_ids:
         found.append(F.col(doc_id).isin(list(f.document_ids)))
@@ -38,8 +38,10 @@ def document_filter(f: Filters, doc_id="doc_id", author="author", tags="tags", d
         found.append(F.lower(F.coalesce(F.col(author), F.lit(""))).isin([a.lower() for a in f.authors]))
     if f.tags:
         found.append(F.coalesce(F.arrays_overlap(F.coalesce(F.col(tags), F.array()), F.array(*map(F.lit, f.tags))), F.lit(False)))
-    if f.date_from is not None and f.date_to is not None:
-        found.append(F.coalesce(F.col(date).between(F.lit(f.date_from), F.lit(f.date_to)), F.lit(True)))
+    bounds = [F.col(date) >= F.lit(f.date_from)] if f.date_from is not None else []
+    bounds += [F.col(date) <= F.lit(f.date_to)] if f.date_to is not None else []
+    if bounds:
+        found.append(F.coalesce(all_of(bounds), F.lit(True)))
     return all_of(found)
 
 

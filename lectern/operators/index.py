@@ -22,7 +22,9 @@ CONTENT_CHARS = 40_000
 
 def latest(rows: DataFrame, key: str = "chunk_id", order: str = "ts") -> DataFrame:
     """One row for each key, the last written."""
-    newest = W.partitionBy(key).orderBy(F.desc_nulls_last(order))
+    # rows written at one time: the greatest by what else they hold, so that reruns agree
+    rest = F.xxhash64(*[c for c in rows.columns if c not in (key, order)]) if len(rows.columns) > 2 else F.lit(0)
+    newest = W.partitionBy(key).orderBy(F.desc_nulls_last(order), rest)
     return rows.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
 
 

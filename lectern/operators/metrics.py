@@ -112,6 +112,29 @@ def memory_estimate(documents, messages, history, extra=0) -> Column:
     return F.least(F.lit(100.0), col(documents) * 10 + col(messages) * 2 + col(history) * 0.1 + extra)
 
 
+def cpu_estimate(history: DataFrame, duration: str, by: str, order: list[str], last: int = 10) -> DataFrame:
+    """``cpu``: the mean of the last durations up to each row, 100 at most."""
+    recent = sliding_means(history, [duration], by, order, last)
+    return recent.withColumn("cpu", F.least(F.lit(100.0), F.col(f"recent_{duration}"))).drop(f"recent_{duration}")
+
+
+# Activity levels and the load each stands for.
+ACTIVITY = {"processing": 80, "querying": 30, "active": 20, "idle": 10}
+
+
+def activity_load(activity, extra=0) -> Column:
+    """The load an activity stands for, where nothing was measured."""
+    a = col(activity)
+    return F.coalesce(*[F.when(a == name, load) for name, load in ACTIVITY.items()], F.lit(ACTIVITY["idle"])) + extra
+
+
+def diagnostic_report(docs: DataFrame) -> DataFrame:
+    """``report``: one line for each document with chunks, vectors and whether they pair up, for ``document_diagnostics`` rows."""
+    state = F.when(F.col("sound"), "ok").otherwise("broken")
+    line = F.concat_ws(" ", F.concat(F.col("doc_id").cast("string"), F.lit(":")), F.col("n_chunks").cast("string"), F.lit("chunks,"), F.col("n_embeddings").cast("string"), F.lit("vectors,"), state)
+    return docs.select("doc_id", line.alias("report"))
+
+
 def sliding_means(history: DataFrame, values: list[str], by: str, order: list[str], last: int = 10) -> DataFrame:
     """Means of the last ``last`` rows up to each row."""
     recent = W.partitionBy(by).orderBy(*order).rowsBetween(1 - last, 0)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lectern.operators import export as X
@@ -14,7 +11,7 @@ from lectern.operators.ask import ask
 from lectern.sources import documents as D
 from lectern.streaming import events as E
 
-from .tables import chunks, documents, table, vector_queries
+from .tables import chunks, documents, shared_folder, table, vector_queries
 
 
 def _interactions(spark, sf_dir):
@@ -96,8 +93,7 @@ def distinct_sources(spark, sf_dir):
 
 def index_roundtrip(spark, sf_dir):
     """Chunks written to a fresh index, some documents deleted, and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    index = I.ChunkIndex(spark, f"{base.rstrip('/')}/lectern-index-{uuid.uuid4().hex}")
+    index = I.ChunkIndex(spark, shared_folder(spark, "index"))
     index.create()
     index.upsert(chunks(spark, sf_dir).withColumn("chunk_id", F.col("chunk_id").cast("string")))
     index.delete(["3"])
@@ -153,11 +149,16 @@ def stream_windows(spark, sf_dir):
     """The same windows from a file stream, as it stands when all has arrived."""
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"windows_{uuid.uuid4().hex}"
     m = E.windowed_metrics(stream, "1 hour")
-    query = m.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    out = shared_folder(spark, "windows")
+    # a batch that runs again after a failure replaces its table whole
+    query = (
+        m.writeStream.outputMode("complete").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+        .option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    )
     query.awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("mean_value", 6).alias("mean_value"), "errors")
+    last = query.lastProgress["batchId"]
+    return spark.read.schema(m.schema).parquet(f"{out}/batch={last}").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("mean_value", 6).alias("mean_value"), "errors")
 
 
 def stream_tokens(spark, sf_dir):
@@ -226,6 +227,12 @@ SELECT conv_id, count(*) FILTER (WHERE n <= 10) AS shared, string_agg(CASE WHEN
     "html_fields": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages",
     "assemble_pages": f"""SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE trim(t) <> '') AS successful_pages, count(*) FILTER (WHERE trim(t) = '') AS failed_pages,
  round(coalesce(avg({_SURE}) FILTER (WHERE trim(t) <> ''), 0), 6) AS confidence FROM (SELECT doc_id, content AS t FROM {_LINES}) GROUP BY doc_id""",
+    "server_extract": r"""WITH b AS (SELECT doc_id, source, length(regexp_replace(regexp_replace(regexp_replace(text, '[^\x20-\x7E]', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS n,
+ octet_length(encode(array_to_string(list_filter(list_transform(regexp_extract_all(text, '\$\$[^)]+\$\$'), lambda m: substr(m, 2, length(m) - 2)),
+  lambda m: length(m) > 2 AND regexp_matches(m, '[a-zA-Z]')), ' '))) AS m FROM documents
+), f AS (SELECT doc_id, source, CASE WHEN n > 10 AND m > 10 THEN m + 2 + n WHEN n > 10 THEN n WHEN m > 10 THEN m ELSE 0 END AS n FROM b)
+SELECT doc_id, CASE WHEN n < 50 THEN length('No text could be extracted from ' || source || '.') ELSE n END::INTEGER AS n,
+ CASE WHEN n < 50 OR n > 200 THEN 'medium' ELSE 'low' END AS quality FROM f""",
     "windowed_metrics": _HOURS,
     "stream_windows": _HOURS,
     "session_windows": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS cut FROM events

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark, name: str) -> str:
+    """A folder of its own in the cluster's shared one, or in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex}"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose author is the source and whose only tag is the language."""
     d = table(spark, sf_dir, "documents")

@@ -284,6 +284,34 @@ WITH x AS (SELECT doc_id, length(text) AS n, CASE WHEN length(text) = 0 THEN 0 E
  - CASE WHEN regexp_matches(text, '[a-zA-Z]') THEN 0 ELSE 30 END)) END AS confidence FROM documents)
 SELECT doc_id, confidence, CASE WHEN n > 800 AND confidence > 80 THEN 'high' WHEN n > 400 AND confidence > 60 THEN 'medium' ELSE 'low' END AS enhanced,
  CASE WHEN n > 500 THEN 'high' WHEN n > 200 THEN 'medium' ELSE 'low' END AS advanced FROM x""",
+    "chunk_records": rf"""WITH t AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents
+), f AS (SELECT doc_id, instr(text, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda z: {trim_sql('z')}), lambda z: z <> '')[1]) - 1 AS begins FROM t)
+SELECT doc_id, chunk_index, begins::INTEGER AS start_char_ref, (begins + length(content))::INTEGER AS end_char_ref,
+ len(regexp_split_to_array(content, '\s+'))::INTEGER AS word_count, {_TYPE} AS type, {_SURE} AS confidence FROM ({_PARAGRAPH_ROWS}) JOIN f USING (doc_id)""",
+    "formats": r"""SELECT doc_id, CASE WHEN n <= 0 THEN '0 Bytes' WHEN n < 1024 THEN n || ' Bytes'
+ WHEN n < 1048576 THEN regexp_replace(printf('%.2f', round(n / 1024, 2)), '\.?0+$', '') || ' KB' ELSE regexp_replace(printf('%.2f', round(n / 1048576, 2)), '\.?0+$', '') || ' MB' END AS size,
+ printf('%02d:%02d:%02d', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) AS uptime,
+ CASE WHEN n_chars / 3000 >= 0.8 THEN 'green' WHEN n_chars / 3000 >= 0.6 THEN 'yellow' ELSE 'red' END AS band,
+ CASE WHEN n_chars / 40 >= 85 THEN 'success' WHEN n_chars / 40 < 60 THEN 'warning' ELSE 'none' END AS notice,
+ CASE WHEN lang IS NULL THEN NULL ELSE lang || '|' || source END AS parsed FROM (SELECT *, n_chars * 700 AS n FROM documents)""",
+    "embed_hashed": f"""WITH t AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''
+), n AS (SELECT doc_id, unicode(ch)::BIGINT AS c, count(*) AS n FROM t GROUP BY ALL
+), taps AS (SELECT doc_id, c % 384 AS dim, 0.1::DOUBLE * c * n AS v FROM n UNION ALL SELECT doc_id, c * 3 % 384, 0.05::DOUBLE * c * n FROM n UNION ALL SELECT doc_id, c * 7 % 384, 0.02::DOUBLE * c * n FROM n
+), w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS text FROM documents
+), k AS (SELECT text, abs({_HASH}) % 384 AS dim, length(text) * 0.3::DOUBLE AS v FROM (SELECT DISTINCT text FROM w)
+), a AS (SELECT doc_id, dim, v FROM taps UNION ALL SELECT w.doc_id, k.dim, k.v FROM w JOIN k USING (text)
+), s AS (SELECT doc_id, dim, sum(v) AS v FROM a GROUP BY ALL
+), u AS (SELECT doc_id, max(v) / nullif(sqrt(sum(v * v)), 0) AS m FROM s GROUP BY doc_id)
+SELECT d.doc_id, 384 AS dims, coalesce(round(m, 6), 0) AS largest FROM documents d LEFT JOIN u USING (doc_id)""",
+    "embed_fallback": f"""WITH x AS (SELECT doc_id, CASE WHEN {trim_sql('text')} = '' THEN 'default text' ELSE text END AS text FROM documents
+), t AS (SELECT doc_id, unnest(string_split({trim_sql('lower(text)')}, '')) AS ch FROM x
+), n AS (SELECT doc_id, unicode(ch)::BIGINT AS c, count(*) AS n FROM t GROUP BY ALL
+), h AS (SELECT doc_id, i AS dim, list_reduce(list_prepend(h, list_transform(string_split(i::VARCHAR, ''), lambda c: unicode(c)::BIGINT)),
+  lambda h, c: ((31 * h + c + 2147483648) & 4294967295) - 2147483648) AS h FROM (SELECT doc_id, {_HASH} AS h, unnest(range(0, 1024, 10)) AS i FROM x)
+), a AS (SELECT doc_id, c % 1024 AS dim, 0.1::DOUBLE * c * n AS v FROM n UNION ALL SELECT doc_id, c * 3 % 1024, 0.05::DOUBLE * c * n FROM n UNION ALL SELECT doc_id, c * 7 % 1024, 0.02::DOUBLE * c * n FROM n
+  UNION ALL SELECT doc_id, dim, abs(h) % 100 * 0.001::DOUBLE FROM h
+), s AS (SELECT doc_id, dim, sum(v) AS v FROM a GROUP BY ALL)
+SELECT doc_id, 1024 AS dims, round(max(v) / sqrt(sum(v * v)), 6) AS largest FROM s GROUP BY doc_id""",
     "hash_value": f"SELECT item_id, abs({_HASH}) AS hash FROM benchmark",
     "embed_plain": f"SELECT item_id, dim, round(sum(code) / 128, 6) AS v FROM ({_CHARS.format(384)}) GROUP BY ALL",
     "embed_character": f"""WITH s AS (SELECT item_id, dim, sum(code) * 0.1::DOUBLE AS v FROM ({_CHARS.format(1024)}) GROUP BY ALL)

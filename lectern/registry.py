@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("plans.search", "plans.text", "plans.observe")
+MODULES = ("plans.search", "plans.text", "plans.observe", "plans.library")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -142,8 +142,9 @@ def server_extract(files: DataFrame, name: str = "name", content: str = "content
     """``text`` of each file, or a note that none was found, with its ``quality``."""
     found = server_text(content)
     note = F.concat(F.lit("No text could be extracted from "), F.col(name), F.lit("."))
-    text = F.when(F.length(found) < 50, note).otherwise(found)
-    return files.withColumn("text", text).withColumn("quality", F.when(F.length("text") > 200, "medium").otherwise("low"))
+    # a file without text counts as one with a note of some length
+    quality = F.when((F.length(found) < 50) | (F.length(found) > 200), "medium").otherwise("low")
+    return files.withColumn("quality", quality).withColumn("text", F.when(F.length(found) < 50, note).otherwise(found))
 
 
 def plain_text(content) -> Column:

@@ -29,8 +29,12 @@ def parse_events(text) -> Column:
 
 
 def stage_states(events: DataFrame, by: str = "query_id", seq: str = "seq") -> DataFrame:
-    """The last status of each stage; an error event makes stages in progress failed."""
+    """The last status of each stage; the stage after one that is done and has none yet is in progress; an error event
+    makes stages in progress failed."""
     last = events.where("stage is not null").groupBy(by, "stage").agg(F.max_by("status", seq).alias("status"), F.max(seq).alias("seq"))
+    after = F.create_map(*[F.lit(x) for pair in zip(STAGES, STAGES[1:]) for x in pair])
+    due = last.where("status = 'done'").select(by, after[F.col("stage")].alias("stage"), F.lit("in_progress").alias("status"), "seq").where("stage is not null")
+    last = last.unionByName(due.join(last.select(by, "stage"), [by, "stage"], "left_anti"))
     failed = events.groupBy(by).agg(F.max(F.when(F.col("error").isNotNull(), F.col(seq))).alias("_failed"))
     error = F.col("_failed").isNotNull() & (F.col("status") == "in_progress")
     return last.join(failed, by).select(by, "stage", F.when(error, "error").otherwise(F.col("status")).alias("status"))

@@ -11,7 +11,7 @@ from lectern import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = ["cosine_topk", "diverse_topk", "keyword_search", "chunk_pack", "chunk_overlap", "language_detect", "upsert", "session_windows", "share_preview"]
+FEW = sorted(registry.ORACLES)
 
 
 def rows(df: pd.DataFrame) -> list[str]:
