@@ -18,6 +18,7 @@ and null ids train nothing; ``held_out`` of a null id is false; repeated rows ge
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,29 @@ FAMILIES = {
     "semitic": "ar he mt".split(),
 }
 
-#: Numbers that aren't decimal digits, such as fractions, are word characters to ``re``, but no letters.
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(_NUMBERS)}]+")
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _letter_ranges() -> str:
+    """The letters up to U+FFFF as ranges of a character class; ``re`` keeps such a class as one bitmap."""
+    letter = [chr(c).isalpha() for c in range(0x10000)]
+    starts = [c for c in range(0x10000) if letter[c] and not (c and letter[c - 1])]
+    ends = [c for c in range(0x10000) if letter[c] and not (c < 0xFFFF and letter[c + 1])]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+_NOT_LETTERS = re.compile(f"[^{_letter_ranges()}]+")
+
+
+def letters_of(text: str | None) -> str:
+    """The letters of a text in lower case, runs of anything else as one blank."""
+    if not text:
+        return ""
+    text = text.lower()
+    if not text.isascii() and _ASTRAL.search(text):
+        text = "".join(c if c.isalpha() else " " for c in text)
+        return " ".join(text.split())
+    return _NOT_LETTERS.sub(" ", text).strip()
 
 
 def family_of(lang: str) -> str:
@@ -58,7 +79,7 @@ def features(texts: list[str | None], dimensions: int, ngrams=NGRAMS) -> np.ndar
     """One unit row for each text; a text without letters is a row of zeros."""
     out = np.zeros((len(texts), dimensions), dtype=np.float32)
     for i, text in enumerate(texts):
-        letters = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+        letters = letters_of(text)
         if not letters:
             continue
         data = np.frombuffer(f" {letters} ".encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
@@ -80,7 +101,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int =
     # classes weigh the same, however many examples they have
     penalty = 0.5 / (cost * np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum())))
     alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
-    diagonal = (x * x).sum(axis=1) + penalty
+    diagonal = np.einsum("ij,ij->i", x, x) + penalty
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
@@ -176,10 +197,9 @@ def train(
     in_sample = F.lit(False)
     for lang, count in sorted(counts.items()):
         in_sample = in_sample | ((F.col("lang") == F.lit(lang)) & (F.col("draw") < F.lit(int(2**30 * min(1.0, quota / count)))))
+    sample = arrow_map(labelled.where(in_sample).select("lang", "text"), _vectors, "lang string, vector binary", dimensions=dimensions)
     # copies of a row are drawn together, so their number has a bound of its own
-    drawn = labelled.where(in_sample).select("lang", "text").limit(4 * quota * len(counts))
-    sample = arrow_map(drawn, _vectors, "lang string, vector binary", dimensions=dimensions)
-    rows = sorted((r["lang"], bytes(r["vector"])) for r in sample.toLocalIterator())
+    rows = sorted((r["lang"], bytes(r["vector"])) for r in islice(sample.toLocalIterator(), 4 * quota * len(counts)))
     x = np.frombuffer(b"".join(v for _, v in rows), dtype=np.float32).reshape(-1, dimensions)
     some = x.any(axis=1)
     return fit(x[some], [rows[i][0] for i in np.flatnonzero(some)])

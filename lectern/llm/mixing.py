@@ -28,7 +28,7 @@ MOST = 2.0
 BLOCK_WORDS = 8
 SHARD_WORDS = 32_768
 #: Rounds of the search for a divisor, and divisors of each.
-ROUNDS, WAYS = 2, 32
+ROUNDS, WAYS = 3, 8
 SEED = 20_240_131
 
 

@@ -448,12 +448,18 @@ def _pack(batches, window: int, shard_chars: int, corpus, kind: str):
         )
 
 
-def pack(docs: DataFrame, tokenizer: str, window=WINDOW, end_id=END_ID, shard_chars=SHARD_CHARS, seed=SEED) -> DataFrame:
-    """Pieces of all ``docs``: ``doc_id`` and ``PIECES``. ``tokenizer`` is the path of a tokenizer file."""
+def _vocabulary(batches, path: str):
     from tokenizers import Tokenizer
 
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"size": [Tokenizer.from_file(path).get_vocab_size()] * batch.num_rows})
+
+
+def pack(docs: DataFrame, tokenizer: str, window=WINDOW, end_id=END_ID, shard_chars=SHARD_CHARS, seed=SEED) -> DataFrame:
+    """Pieces of all ``docs``: ``doc_id`` and ``PIECES``. ``tokenizer`` is the path of a tokenizer file."""
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    kind = "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 2**16 else "<u4"
+    size = arrow_map(spark.range(1, numPartitions=1), _vocabulary, "size long", path=tokenizer).first()["size"]
+    kind = "<u2" if max(size, end_id + 1) <= 2**16 else "<u4"
     chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     rows = docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", F.length("text")).alias("turn"), chars.alias("chars"), "text")
     columns = f"doc_id {id_type}, turn long, chars long, row long, tokens binary"
