@@ -297,13 +297,12 @@ def near_duplicates(
         .select("group", "first", "second", "rep", "comp", "tile", "signature", "shingles")
     )
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = materialize(
-        arrow_map(
-            tiled.repartition(n_parts, "group", "first", "second").sortWithinPartitions("group", "first", "second"),
-            _tile_links, "a long, b long", **bounds,
-        ),
-        "more-links",
-    )
+    # pairs of tiles of one group go to partitions one after the other, so a large group is spread evenly
+    nth_of = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1))
+    start = F.xxhash64("group", F.shiftright("first", 32), F.shiftright("second", 32))
+    part = F.pmod(F.pmod(start, F.lit(n_parts)) + nth_of("first") * 1009 + nth_of("second"), F.lit(n_parts)).cast("int")
+    dealt = tiled.repartitionById(n_parts, part).sortWithinPartitions("group", "first", "second")
+    more = materialize(arrow_map(dealt, _tile_links, "a long, b long", **bounds), "more-links")
     roots = materialize(connected_components(links.unionByName(more)), "roots")
 
     # the smallest doc_id of each component
