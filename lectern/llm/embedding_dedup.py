@@ -5,8 +5,10 @@ number of its own, with the number of copies. Each class gets a key of ``bits``
 make the chance to miss a pair at the threshold ``MISS``. Classes that share a label and a key in
 some table are compared by cosine in double precision, one matrix product for each bucket. A bucket
 above ``TILE`` classes is split in tiles, and pairs of tiles are separate groups of rows, so no task
-holds more than two tiles. Rows without vectors are dealt to buckets; vectors join those that meet
-others. A pair that meets in several tables counts in the first: the keys of those before are computed
+holds more than two tiles. Rows are dealt to buckets with the first ``CODE_BITS`` of their signs in place
+of vectors; a pair at the threshold differs in more signs than :func:`reach` allows with probability
+``MISS / 100``. Vectors join only rows that have a pair within reach which no earlier table in these signs holds.
+A pair that meets in several tables counts in the first: the keys of those before are computed
 again for rows that have links. A group gives each member one row: its number of new links and the
 smallest member it is connected to. So links are counted in full, yet never listed pair by pair.
 
@@ -30,6 +32,8 @@ from .common import arrow_map, by_group, connected_components, materialize, tabl
 COSINE = 0.93
 MISS = 1e-4
 TILE = 512
+#: Signs that rows carry to their buckets.
+CODE_BITS = 192
 SEED = 4_211
 
 
@@ -46,41 +50,100 @@ def table_count(bits: int, cosine: float, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log1p(-(same**bits)))
 
 
+def reach(n: int, cosine: float, miss: float) -> int:
+    """The number of ``n`` signs that a pair at ``cosine`` exceeds in differences with probability ``miss`` at most."""
+    p, tail, r = math.acos(cosine) / math.pi, 1.0, -1
+    while tail > miss and r < n:
+        r += 1
+        tail -= math.comb(n, r) * p**r * (1 - p) ** (n - r)
+    return r
+
+
 def _matrix(column) -> np.ndarray:
     """Vectors of one length as rows of doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def signs(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
-    """Keys of the rows of ``x``: one 32-bit number for each table, by the sides of its hyperplanes a row is on."""
+def sides(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
+    """For each row of ``x`` and each hyperplane of the tables, the side the row is on."""
     with np.errstate(over="ignore"):
         x = x / np.abs(x).max(axis=1, keepdims=True)  # so that products don't overflow
     planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((tables * bits, x.shape[1]))
-    powers = (1 << np.arange(bits)).astype(np.uint32)
     # summed in one order whatever the rows beside them, so that equal vectors have equal keys wherever they are
-    sides = np.stack([(x * planes[k]).sum(axis=1) > 0 for k in range(tables * bits)], axis=1)
-    return (sides.reshape(len(x), tables, bits) @ powers).astype("<u4").view("<i4")
+    return np.stack([(x * planes[k]).sum(axis=1) > 0 for k in range(tables * bits)], axis=1)
+
+
+def keys_of(sides: np.ndarray, bits: int) -> np.ndarray:
+    """One 32-bit number for each table, from the sides of its hyperplanes."""
+    powers = (1 << np.arange(bits)).astype(np.uint32)
+    return (sides.reshape(len(sides), -1, bits) @ powers).astype("<u4").view("<i4")
+
+
+def signs(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
+    """Keys of the rows of ``x`` in each table."""
+    return keys_of(sides(x, bits, tables, seed), bits)
 
 
 def _signed(batches, bits: int, tables: int, seed: int):
-    """Rows with ``keys`` of all tables in place of their vectors."""
+    """Rows with ``keys`` of all tables and a ``code`` of their first signs in place of their vectors."""
+    n = min(CODE_BITS, bits * tables)
     for big in batches:
         for at in range(0, big.num_rows, 2048):
             batch = big.slice(at, 2048)
             sizes = batch.column("size").to_numpy()
             keys = np.empty((batch.num_rows, tables), "<i4")
+            codes = np.zeros((batch.num_rows, 8 * -(-n // 64)), np.uint8)
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
-                keys[rows] = signs(_matrix(batch.column("vector").take(pa.array(rows))), bits, tables, seed)
+                found = sides(_matrix(batch.column("vector").take(pa.array(rows))), bits, tables, seed)
+                keys[rows] = keys_of(found, bits)
+                codes[rows, : -(-n // 8)] = np.packbits(found[:, :n], axis=1)
             offsets = pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "label", "size")), lists], names=["rep", "label", "size", "keys"])
+            code = pa.array([c.tobytes() for c in codes], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("rep", "label", "size")), lists, code], names=["rep", "label", "size", "keys", "code"]
+            )
 
 
 GROUP = ["label", "size", "nth", "key", "first", "second"]
 
 
+def _of_group(near: np.ndarray, tile: np.ndarray, first: int, second: int) -> np.ndarray:
+    """The pairs of a group that are its own: each pair once, of one tile with itself or of two tiles."""
+    return near & (np.tri(len(near), k=-1, dtype=bool) if first == second else (tile == first)[:, None] & (tile == second)[None, :])
+
+
+def _not_before(keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs of rows differ in the keys of all these tables."""
+    return np.concatenate([~(keys[i[k : k + 8192]] == keys[j[k : k + 8192]]).any(axis=1) for k in range(0, len(i), 8192)])
+
+
+def _within_reach(batches, most: int, bits: int, n: int):
+    """Rows of a group that have a pair in it with at most ``most`` different signs, not in a table before as far as codes tell."""
+    held: list[pa.Table] = []
+    for group, rows in by_group(batches, GROUP):
+        if rows.num_rows < 2:
+            continue
+        code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        apart = sum(np.bitwise_count(c[:, None] ^ c[None, :]).astype(np.uint16) for c in code.T)
+        i, j = np.nonzero(_of_group(apart <= most, rows.column("tile").to_numpy(), group[4], group[5]))
+        earlier = min(group[2], n // bits)
+        if earlier and len(i):
+            some, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+            found = np.unpackbits(np.ascontiguousarray(code[some]).view(np.uint8), axis=1)[:, : earlier * bits]
+            new = _not_before(keys_of(found, bits), at[: len(i)], at[len(i) :])
+            i, j = i[new], j[new]
+        if len(i):
+            held.append(rows.select([*GROUP, "rep", "tile"]).take(pa.array(np.unique(np.concatenate((i, j))))))
+        if len(held) == 256:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+
 def _links(batches, cosine: float, bits: int, seed: int):
     """For each group ``rep``, ``n`` (copies newly linked) and ``root`` (smallest member connected)."""
     for group, rows in by_group(batches, GROUP):
@@ -91,15 +154,11 @@ def _links(batches, cosine: float, bits: int, seed: int):
         v = own / np.abs(own).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
         v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
         rep, copies, tile = (rows.column(c).to_numpy() for c in ("rep", "copies", "tile"))
-        near = v @ v.T >= cosine
-        near &= np.tri(len(rep), k=-1, dtype=bool) if first == second else (tile == first)[:, None] & (tile == second)[None, :]
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(_of_group(v @ v.T >= cosine, tile, first, second))
         if nth and len(i):
             # a pair counts in the first table in which it meets; only rows that have links need their keys of those before
             some, at = np.unique(np.concatenate((i, j)), return_inverse=True)
-            keys = signs(own[some], bits, nth, seed)
-            a, b = at[: len(i)], at[len(i) :]
-            new = np.concatenate([~(keys[a[k : k + 8192]] == keys[b[k : k + 8192]]).any(axis=1) for k in range(0, len(i), 8192)])
+            new = _not_before(signs(own[some], bits, nth, seed), at[: len(i)], at[len(i) :])
             i, j = i[new], j[new]
         if not len(i):
             continue
@@ -140,10 +199,10 @@ def embedding_duplicates(
     tables = table_count(bits, cosine, miss)
     sized = classes.select("rep", "label", F.size("vector").alias("size"), "vector")
     signed = materialize(
-        arrow_map(sized, _signed, "rep long, label string, size int, keys array<int>", bits=bits, tables=tables, seed=seed), "signed"
+        arrow_map(sized, _signed, "rep long, label string, size int, keys array<int>, code binary", bits=bits, tables=tables, seed=seed), "signed"
     )
     place = ["label", "size", "nth", "key"]
-    placed = signed.select("rep", "label", "size", F.posexplode("keys").alias("nth", "key"))
+    placed = signed.select("rep", "label", "size", "code", F.posexplode("keys").alias("nth", "key"))
     counted = materialize(placed.groupBy(*place).agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     tiled = (
         placed.join(counted, place)
@@ -152,13 +211,22 @@ def embedding_duplicates(
         .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
         .withColumn("first", F.least("tile", "other"))
         .withColumn("second", F.greatest("tile", "other"))
-        .select(*GROUP, "rep", "tile")
-        .join(classes.select("rep", "copies", "vector"), "rep")
+        .select(*GROUP, "rep", "tile", "code")
     )
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(CODE_BITS, bits * tables)
+    grouped = "label string, size int, nth int, key int, first int, second int, rep long, tile int"
+    near = materialize(
+        arrow_map(
+            tiled.repartition(parts, *GROUP).sortWithinPartitions(*GROUP), _within_reach, grouped,
+            most=reach(n, cosine, miss / 100), bits=bits, n=n,
+        ),
+        "vectors-within-reach",
+    )
+    meeting = near.join(classes.select("rep", "copies", "vector"), "rep")
     found = materialize(
         arrow_map(
-            tiled.repartition(parts, *GROUP).sortWithinPartitions(*GROUP), _links, "rep long, n long, root long",
+            meeting.repartition(parts, *GROUP).sortWithinPartitions(*GROUP), _links, "rep long, n long, root long",
             cosine=cosine, bits=bits, seed=seed,
         ),
         "vector-links",

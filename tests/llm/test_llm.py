@@ -338,6 +338,19 @@ def test_embedding_duplicates_equal_brute_force(spark):
     assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in (200, 201, 202, 203, 204, None))
 
 
+def test_signs_reach_pairs_at_the_threshold():
+    rng = np.random.default_rng(9)
+    a, b = rng.standard_normal((2, 4000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.93 * a + math.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    apart = (embedding_dedup.sides(a, 8, 24, 3) != embedding_dedup.sides(b, 8, 24, 3)).sum(axis=1)
+    assert (apart > embedding_dedup.reach(192, 0.93, 1e-6)).sum() == 0
+    assert 10 <= (apart > embedding_dedup.reach(192, 0.93, 1e-2)).sum() <= 80
+    packed = np.unpackbits(np.packbits(embedding_dedup.sides(a, 7, 5, 3), axis=1), axis=1)[:, :35]
+    assert (embedding_dedup.keys_of(packed, 7) == embedding_dedup.signs(a, 7, 5, 3)).all()
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(8)
     v = rng.standard_normal((400, 16))
