@@ -31,7 +31,7 @@ from .common import arrow_map, by_group, connected_components, materialize, tabl
 
 COSINE = 0.93
 MISS = 1e-4
-TILE = 512
+TILE = 192
 #: Signs that rows carry to their buckets.
 CODE_BITS = 192
 SEED = 4_211
@@ -214,11 +214,13 @@ def embedding_duplicates(
         .select(*GROUP, "rep", "tile", "code")
     )
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # pairs of tiles of one bucket go to partitions one after the other, so a large bucket is spread evenly
+    part = F.pmod(F.pmod(F.xxhash64(*place), F.lit(parts)) + F.col("first") * 1009 + F.col("second"), F.lit(parts)).cast("int")
     n = min(CODE_BITS, bits * tables)
     grouped = "label string, size int, nth int, key int, first int, second int, rep long, tile int"
     near = materialize(
         arrow_map(
-            tiled.repartition(parts, *GROUP).sortWithinPartitions(*GROUP), _within_reach, grouped,
+            tiled.repartitionById(parts, part).sortWithinPartitions(*GROUP), _within_reach, grouped,
             most=reach(n, cosine, miss / 100), bits=bits, n=n,
         ),
         "vectors-within-reach",
@@ -226,7 +228,7 @@ def embedding_duplicates(
     meeting = near.join(classes.select("rep", "copies", "vector"), "rep")
     found = materialize(
         arrow_map(
-            meeting.repartition(parts, *GROUP).sortWithinPartitions(*GROUP), _links, "rep long, n long, root long",
+            meeting.repartitionById(parts, part).sortWithinPartitions(*GROUP), _links, "rep long, n long, root long",
             cosine=cosine, bits=bits, seed=seed,
         ),
         "vector-links",
