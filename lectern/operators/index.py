@@ -1,13 +1,13 @@
-"""A durable chunk index in Parquet: create, upsert, append, delete, clear, scan.
+"""A chunk index as a Parquet table: create, upsert, append, delete, clear, scan.
 
-A version is a folder that is written once; a small pointer table names the current one, so readers never
-see a half-written index and a lost executor only repeats its task.
+The table is partitioned by a hash of the chunk id. New rows are appended; upserts and deletes are joins that
+rewrite only the partitions they touch.
 """
 
 from __future__ import annotations
 
-import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,6 +18,8 @@ SCHEMA = (
     "author string, tags array<string>, date timestamp, ts timestamp"
 )
 CONTENT_CHARS = 40_000
+#: Partitions of an index, and tasks that write one of them.
+BUCKETS, WRITERS = 16, 4
 
 
 def latest(rows: DataFrame, key: str = "chunk_id", order: str = "ts") -> DataFrame:
@@ -60,57 +62,82 @@ def validate(rows: DataFrame, dimension: int | None = None) -> DataFrame:
 
 
 class ChunkIndex:
-    """The index in a folder that all executors share."""
+    """The index in a folder that all executors share.
 
-    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None):
-        self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
+    An index keeps its number of ``buckets``; choose it so that rewriting one is cheap. A change is computed in full before
+    it replaces anything, and can be repeated if the driver stops midway. One writer at a time; scan again after a change.
+    """
 
-    def _versions(self) -> list[str]:
-        pointer = f"{self.path}/pointer"
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(pointer)
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return []
-        rows = self.spark.read.schema("at double, version string").json(pointer).orderBy("at").collect()  # one row for each version
-        return [r["version"] for r in rows]
+    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None, buckets: int = BUCKETS):
+        self.spark, self.path, self.dimension, self.buckets = spark, path.rstrip("/"), dimension, buckets
+
+    def _file(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
     def exists(self) -> bool:
-        return bool(self._versions())
+        files, at = self._file(self.path)
+        return files.exists(at)
 
     def create(self) -> None:
         if not self.exists():
-            self._publish(self.spark.createDataFrame([], SCHEMA))
+            self.clear()
 
-    def _publish(self, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(time.time(), version)], "at double, version string").coalesce(1).write.mode("append").json(f"{self.path}/pointer")
+    def _rows(self) -> DataFrame:
+        schema = f"{SCHEMA}, bucket int"
+        return self.spark.read.schema(schema).parquet(self.path) if self.exists() else self.spark.createDataFrame([], schema)
 
     def scan(self) -> DataFrame:
-        versions = self._versions()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{versions[-1]}") if versions else self.spark.createDataFrame([], SCHEMA)
+        return self._rows().drop("bucket")
 
     def _shaped(self, rows: DataFrame) -> DataFrame:
         known = {f.split(" ")[0]: f.split(" ", 1)[1] for f in SCHEMA.split(", ")}
         cols = [(F.col(c) if c in rows.columns else F.current_timestamp() if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in known.items()]
-        return rows.select(*cols).withColumn("content", F.substring("content", 1, CONTENT_CHARS))
+        shaped = rows.select(*cols).withColumn("content", F.substring("content", 1, CONTENT_CHARS))
+        return shaped.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(self.buckets)).cast("int"))
+
+    def _write(self, rows: DataFrame, mode: str, partitions: str = "static") -> None:
+        writer = F.pmod(F.hash("chunk_id", "content"), F.lit(WRITERS))
+        rows.repartition("bucket", writer).write.mode(mode).option("partitionOverwriteMode", partitions).partitionBy("bucket").parquet(self.path)
+
+    def _replace(self, buckets: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
+        """These buckets as ``change`` makes them of their rows; an emptied one goes."""
+        staged = f"{self.path}-staged-{uuid.uuid4().hex}"
+        change(self._rows().where(F.col("bucket").isin(buckets))).write.parquet(staged)
+        rows = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(staged)
+        left = _numbers(rows)
+        self._write(rows, "overwrite", "dynamic")
+        for gone in [staged, *(f"{self.path}/bucket={b}" for b in buckets if b not in left)]:
+            files, at = self._file(gone)
+            files.delete(at, True)
 
     def upsert(self, rows: DataFrame) -> None:
         sound = validate(self._shaped(rows), self.dimension).where("problem is null").drop("problem")
-        self._publish(upsert(self.scan(), sound))
+        staged = f"{self.path}-new-{uuid.uuid4().hex}"
+        latest(sound).write.parquet(staged)
+        new = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(staged)
+        self._replace(sorted(_numbers(new)), lambda old: upsert(old, new))
+        files, at = self._file(staged)
+        files.delete(at, True)
 
     def append(self, rows: DataFrame) -> None:
         """Without looking for equal keys."""
-        self._publish(self.scan().unionByName(self._shaped(rows)))
+        self._write(self._shaped(rows), "append")
 
     def delete(self, doc_ids: list) -> None:
-        self._publish(delete_documents(self.scan(), [str(d) for d in doc_ids]))
+        ids = [str(d) for d in doc_ids]
+        self._replace(sorted(_numbers(self._rows().where(F.col("doc_id").isin(ids)))), lambda old: delete_documents(old, ids))
 
     def clear(self) -> None:
-        self._publish(self.spark.createDataFrame([], SCHEMA))
+        self._write(self._shaped(self.spark.createDataFrame([], SCHEMA)), "overwrite")
 
     def count(self) -> int:
         return self.scan().count()
 
     def test_connection(self) -> bool:
         return self.exists()
+
+
+def _numbers(rows: DataFrame) -> set[int]:
+    """Buckets that have rows: as many numbers as an index has partitions at most."""
+    return {r["bucket"] for r in rows.select("bucket").distinct().collect()}

@@ -70,6 +70,16 @@ def test_index_keeps_the_last_write(spark, tmp_path):
     assert index.count() == 2
     index.delete(["1"])
     assert index.count() == 0
+    index.delete(["1"])
+    many = spark.range(40).selectExpr("cast(id as string) chunk_id", "cast(id % 4 as string) doc_id", "'x' content", "array(1D, 2D) embedding")
+    index.append(many)
+    index.upsert(many.where("chunk_id < '2'").withColumn("content", F.lit("new")))
+    index.delete(["3"])
+    kept = {r["chunk_id"]: r["content"] for r in index.scan().collect()}
+    assert kept == {str(n): "new" if str(n) < "2" else "x" for n in range(40) if n % 4 != 3}
+    assert [x.name for x in tmp_path.iterdir()] == ["index"]
+    index.clear()
+    assert index.exists() and index.count() == 0
 
 
 def test_page_lines_go_from_top_to_bottom(spark):
