@@ -15,11 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.similarity import cosine_of, dot, norm
-from lectern.functions.text import keyword_form, keyword_score_of, source_document
+from lectern.functions.text import keyword_form, keyword_score, keyword_score_of, source_document
 
 from .filters import Filters, document_filter
 
 BROADCAST_QUERIES = 1_000
+BROADCAST_WORDS = 100_000
+#: Reciprocal rank fusion: what is added to ranks, and the semantic ranking's share.
+FUSION_OFFSET, SEMANTIC_SHARE = 60, 0.75
 
 
 @dataclass(frozen=True)
@@ -95,6 +98,32 @@ def top_k(scored: DataFrame, k, score: str = "score", by: str | None = "query_id
     return ranked.where(F.col("rank") <= k)
 
 
+def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``query_id``, ``chunk_id``, ``bm25`` of every chunk that shares a word with a query; a word asked twice counts once.
+
+    Only words that some query asks for leave the chunk side, counted before the shuffle. Scores are rounded to nine
+    places, so that ties don't hang on the order of sums.
+    """
+    forms = chunks.select("chunk_id", keyword_form("content", True)["words"].alias("words"))
+    size = F.coalesce(F.size("words"), F.lit(0))
+    n, mean = forms.agg(F.count("*"), F.avg(size)).first()
+    asked = queries.select("query_id", F.explode(F.array_distinct(keyword_form("question", True)["words"])).alias("word"))
+    posts = forms.select("chunk_id", size.alias("length"), F.explode("words").alias("word"))
+    posts = posts.join(few(asked.select("word").distinct(), BROADCAST_WORDS), "word", "left_semi").groupBy("word", "chunk_id", "length").agg(F.count("*").alias("tf"))
+    spread = posts.groupBy("word").agg(F.count("*").alias("df"))
+    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = asked.join(spread, "word").select("query_id", "word", idf.alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean or 1.0)))
+    return posts.join(few(asked, BROADCAST_WORDS), "word").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("bm25"))
+
+
+def fused_rank(by: str = "query_id", ties=("chunk_id",)) -> Column:
+    """Rows of either ranking, by semantic score and by ``bm25``, fused by reciprocal ranks."""
+    place = lambda c: F.row_number().over(W.partitionBy(by).orderBy(F.desc_nulls_last(c), *ties))
+    part = lambda c, share: F.when(F.col(c).isNotNull(), share / (FUSION_OFFSET + place(c))).otherwise(0.0)
+    return part("semantic", SEMANTIC_SHARE) + part("bm25", 1 - SEMANTIC_SHARE)
+
+
 def search(
     queries: DataFrame,
     chunks: DataFrame,
@@ -105,16 +134,20 @@ def search(
     threshold: float | None = None,
     ties=("doc_id", "chunk_index"),
 ) -> DataFrame:
-    """Ranked chunks for each query: ``query_id``, ``rank``, ``score``, both part scores, chunk columns."""
+    """Ranked chunks for each query: ``query_id``, ``rank``, ``score``, both part scores, chunk columns.
+
+    The ``weaviate`` profile ranks keyword search by BM25 and shows the keyword score of each hit, not sorted again;
+    its hybrid search fuses BM25 with the semantic ranking above the threshold.
+    """
     if filters is not None:
         chunks = chunks.where(document_filter(filters))
+    if profile == "weaviate" and mode != "semantic":
+        return _search_by_words(queries, chunks, mode, limit or 10, threshold, ties)
     scored = with_scores(queries, chunks, None if mode == "semantic" else profile)
     if mode == "semantic":
         scored = scored.where("semantic is not null").withColumn("score", F.col("semantic"))
     elif mode == "keyword":
         scored = scored.withColumn("score", F.col("keyword"))
-    elif profile == "weaviate":
-        scored = scored.withColumn("score", F.coalesce(F.col("semantic"), F.lit(0.0)))
     else:
         semantic = F.coalesce(F.col("semantic"), F.lit(0.0))
         scored = scored.withColumn("score", mixed_score(profile, semantic, F.col("keyword"), F.col("semantic").isNotNull()))
@@ -122,10 +155,28 @@ def search(
     if least is not None:
         scored = scored.where(~F.isnan("score") & (F.col("score") >= least))
     ranked = top_k(scored, limit or 10, ties=ties)
-    if profile == "weaviate" and mode != "keyword":
-        floor = 0.5 if mode == "semantic" else 0.3
-        ranked = ranked.withColumn("score", F.greatest(F.lit(floor), 1 - (F.col("rank") - 1) / F.lit(limit or 10)))
-    return ranked
+    return _ranked_score(ranked, 0.5, limit or 10) if profile == "weaviate" else ranked
+
+
+def _ranked_score(ranked: DataFrame, floor: float, limit: int) -> DataFrame:
+    return ranked.withColumn("score", F.greatest(F.lit(floor), 1 - (F.col("rank") - 1) / F.lit(limit)))
+
+
+def _search_by_words(queries: DataFrame, chunks: DataFrame, mode: str, limit: int, threshold: float | None, ties) -> DataFrame:
+    """Keyword scores are computed for hits only, after ranking."""
+    found = bm25(queries, chunks)
+    if mode == "keyword":
+        keys = list(dict.fromkeys(["chunk_id", *ties]))
+        best = top_k(found.join(chunks.select(*keys), "chunk_id"), limit, "bm25", ties=ties).select("query_id", "chunk_id", "rank", "bm25")
+        ranked = best.join(chunks, "chunk_id")
+    else:
+        pairs = with_scores(queries, chunks).join(found, ["query_id", "chunk_id"], "left")
+        near = F.when(F.col("semantic") >= (threshold or PROFILES["weaviate"].semantic), F.round("semantic", 9))
+        either = pairs.withColumn("semantic", near).where("semantic is not null or bm25 is not null")
+        ranked = top_k(either.withColumn("score", fused_rank(ties=ties)), limit, ties=ties).drop("question")
+    scored = ranked.join(few(queries.select("query_id", "question")), "query_id")
+    scored = scored.withColumn("keyword", keyword_score("question", "content", empty_is_zero=True)).drop("question")
+    return scored.withColumn("score", F.col("keyword")) if mode == "keyword" else _ranked_score(scored, 0.3, limit)
 
 
 def diverse_top_k(

@@ -10,7 +10,7 @@ from lectern.functions.text import keyword_score
 from lectern.operators import search as S
 from lectern.operators.filters import Filters, compile_filter, document_filter
 
-from .tables import CHUNKS_SQL, chunks, documents, keyword_sql, table, vector_queries
+from .tables import CHUNKS_SQL, chunks, documents, keyword_sql, norm_sql, table, vector_queries
 
 QUESTIONS = {0: "the ation of", 7: "hehe", 20: "is the ingeser", 33: "queau le de", 41: "!!!"}
 KEYWORDS = "the ation of hehe"
@@ -94,6 +94,18 @@ def weaviate_rank(spark, sf_dir):
     return _hits(S.search(q, c, "semantic", "weaviate", threshold=0.05, ties=("chunk_id",)))
 
 
+def weaviate_keyword(spark, sf_dir):
+    """Hits by BM25, shown with their keyword scores."""
+    q, c = vector_queries(spark, sf_dir, QUESTIONS), chunks(spark, sf_dir)
+    return _hits(S.search(q, c, "keyword", "weaviate", ties=("chunk_id",)))
+
+
+def weaviate_hybrid(spark, sf_dir):
+    """BM25 and semantic rankings fused; scores follow the fused rank."""
+    q, c = vector_queries(spark, sf_dir, QUESTIONS), chunks(spark, sf_dir)
+    return _hits(S.search(q, c, "hybrid", "weaviate", threshold=0.2, ties=("chunk_id",)))
+
+
 def hybrid_merge(spark, sf_dir):
     """Semantic hits and keyword hits of one question merged by chunk."""
     s = _scored(spark, sf_dir, 0).where("score >= 0.1").select(F.col("vec_id").alias("chunk_id"), "score")
@@ -128,6 +140,14 @@ _QUESTIONS_SQL = " UNION ALL ".join(f"SELECT {k} AS query_id, '{v}' AS question"
 _PAIRS = f"""
 WITH c AS ({CHUNKS_SQL}), q AS (SELECT x.query_id, x.question, e.embedding::DOUBLE[] AS qv FROM ({_QUESTIONS_SQL}) x JOIN embeddings e ON e.vec_id = x.query_id
 ), p AS (SELECT *, list_cosine_similarity(v, qv) AS s FROM c, q)"""
+_BM25 = f"""{_PAIRS}, w AS (SELECT chunk_id, list_filter(string_split({norm_sql('content')}, ' '), lambda w: w <> '') AS w FROM c
+), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w
+), t AS (SELECT chunk_id, len(w) AS length, unnest(w) AS word FROM w
+), tf AS (SELECT chunk_id, length, word, count(*) AS tf FROM t GROUP BY ALL
+), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word
+), a AS (SELECT query_id, unnest(list_distinct(list_filter(string_split({norm_sql('question')}, ' '), lambda w: w <> ''))) AS word FROM q
+), b AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS bm25
+ FROM a JOIN tf USING (word) JOIN df USING (word), n GROUP BY ALL)"""
 _ONE = "SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {}) q"
 _MIXED = {
     "local": "CASE WHEN s > 0 AND k > 0 THEN (s + k) / 2 WHEN s > 0 THEN s ELSE k END",
@@ -157,6 +177,8 @@ QUERIES = {
     "hybrid_chroma": _hybrid("chroma"),
     "hybrid_merge": hybrid_merge,
     "weaviate_rank": weaviate_rank,
+    "weaviate_keyword": weaviate_keyword,
+    "weaviate_hybrid": weaviate_hybrid,
     "filter_ids": _filtered(document_ids=[1, 5, 8, 13, 21]),
     "filter_author": _filtered(authors=["SRC3", "src7"]),
     "filter_tags": _filtered(tags=["fr", "es"]),
@@ -184,6 +206,13 @@ WITH s AS (SELECT vec_id, s FROM ({_ONE.format(0)}) WHERE s >= 0.1
 SELECT chunk_id, round(s, 6) AS semantic_score, round(k, 6) AS keyword_score, round({_MIXED['chroma']}, 6) AS score FROM m""",
     "weaviate_rank": f"""{_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM p WHERE s >= 0.05)
 SELECT query_id, rank, chunk_id, round(greatest(0.5, 1 - (rank - 1) / 10), 6) AS score FROM r WHERE rank <= 10""",
+    "weaviate_keyword": f"""{_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM b)
+SELECT r.query_id, rank, r.chunk_id, round({keyword_sql('p.question', 'p.content')}, 6) AS score FROM r JOIN p USING (query_id, chunk_id) WHERE rank <= 10""",
+    "weaviate_hybrid": f"""{_BM25}, e AS (SELECT query_id, chunk_id, CASE WHEN s >= 0.2 THEN round(s, 9) END AS s, bm25 FROM p LEFT JOIN b USING (query_id, chunk_id)
+), x AS (SELECT *, CASE WHEN s IS NULL THEN 0 ELSE 0.75 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, chunk_id)) END
+ + CASE WHEN bm25 IS NULL THEN 0 ELSE 0.25 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC NULLS LAST, chunk_id)) END AS f
+ FROM e WHERE s IS NOT NULL OR bm25 IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, chunk_id) AS rank FROM x)
+SELECT query_id, rank, chunk_id, round(greatest(0.3, 1 - (rank - 1) / 10), 6) AS score FROM r WHERE rank <= 10""",
     "filter_ids": "SELECT doc_id, source AS author, lang FROM documents WHERE doc_id IN (1, 5, 8, 13, 21)",
     "filter_author": "SELECT doc_id, source AS author, lang FROM documents WHERE lower(source) IN ('src3', 'src7')",
     "filter_tags": "SELECT doc_id, source AS author, lang FROM documents WHERE lang IN ('fr', 'es')",

@@ -1,5 +1,7 @@
 """Operators on small tables, empty ones and odd values."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,17 @@ def test_search_skips_unfit_vectors(spark):
     assert ask(queries, chunks.where("false")).first()["retrieved"] == []
 
 
+def test_bm25(spark):
+    chunks = spark.createDataFrame([(1, "a b"), (2, "a a c"), (3, ""), (4, None), (5, "d")], "chunk_id long, content string")
+    queries = spark.createDataFrame([(7, "A, a c"), (8, "!!"), (9, None)], "query_id long, question string")
+    got = {(r["query_id"], r["chunk_id"]): r["bm25"] for r in S.bm25(queries, chunks).collect()}
+    idf = lambda df: math.log1p((5 - df + 0.5) / (df + 0.5))
+    part = lambda tf, n: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 1.2))
+    assert set(got) == {(7, 1), (7, 2)}
+    assert got[7, 1] == pytest.approx(idf(2) * part(1, 2)) and got[7, 2] == pytest.approx(idf(2) * part(2, 3) + idf(1) * part(1, 3))
+    assert not S.bm25(queries, chunks.where("false")).collect()
+
+
 def test_filters(spark):
     df = spark.createDataFrame(
         [(1, "Ann", ["x"], "2024-01-01"), (2, None, None, None), (3, "bob", ["y"], "2025-01-01")], "doc_id int, author string, tags array<string>, date string"
