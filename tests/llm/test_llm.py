@@ -1,9 +1,11 @@
 """The training-data operators against brute force, round trips and odd tables."""
 
 import base64
+import hashlib
 import json
 import math
 import os
+import re
 import time
 import zlib
 
@@ -467,6 +469,40 @@ def test_common_lines_are_longest():
         assert len(at) == best[-1][-1] and all(a[i] in rest for i in at)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_secrets_query_equals_brute_force(spark, tmp_path):
+    """Base spans of every document by a walk from left to right, and planted keys of which no base kind tells."""
+    rsa = der(0x30, b"".join(der(2, x) for x in (b"\0", b"\x7f" * 64, b"\1\0\1", *(b"\x11" * 32,) * 6)))
+    key = base64.b64encode(rsa).decode()
+    texts = [
+        None, "", "é" * 70_000 + " token=abcdef", "PASSWORD : 'x'y secret=secret=abc", "AKIA" + "Z" * 15 + " AKIA" + "Z" * 16 + "AKIA", "f" * 23 + " " + "F" * 24,
+        "api_key=api_key=api_key=12345", "ſecret=abcdefg toKen=abcdefg", f"see {key} here", "apikey:=12345678 passwd=  'abcdefgh'",
+    ]
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = real.unionByName(spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assign = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [("assign", re.compile(assign), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
+    found = {r["doc_id"]: r for r in secrets.op6_secrets(spark, str(tmp_path)).collect()}
+    assert len(found) == docs.count()
+    for doc_id, text in docs.collect():
+        spans, counts = [], []
+        for rank, (kind, pattern, group, least) in enumerate(kinds):
+            at, n = 0, 0
+            while m := pattern.search(text or "", at):
+                at = m.end()
+                if len(m[group]) >= least:
+                    spans.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+                    n += 1
+            counts.append(n)
+        base = [x for _, _, x in sorted(spans)]
+        got = found[doc_id]
+        assert [got["n_assign"], got["n_access"], got["n_hex"]] == counts, doc_id
+        assert got["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest(), doc_id
+        assert set(base) <= set(got["spans"].split(",")), doc_id
+    assert found[10**9 + 8]["spans"] == f"key:4:{4 + len(key)}" and found[10**9]["spans"] == ""
+
+
 def test_warc_round_trip(spark, tmp_path):
     same = "x" * 200
     rows = [(i, f"http://h/{i} ü", h) for i, h in enumerate([same, "short", same, "short", None, "é" * 99_000, same])]
