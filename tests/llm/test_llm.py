@@ -557,3 +557,28 @@ def test_pipeline_stages(spark):
     root, _ = brute_groups([kept[i] for i in sorted(kept)])
     assert {r["doc_id"] for r in left} <= set(kept) and len(left) >= len(set(root)) - 2
     assert math.isclose(len(left), len(set(root)), rel_tol=0.05)
+
+
+def test_pipeline_mixes_and_packs_what_it_kept(spark):
+    """The last two stages: each document as often as the plan says, and every id of every copy in one piece."""
+    texts = [" ".join(words(i, 20 + 61 * i)) for i in range(40)] + ["", None]
+    docs = docs_of(spark, texts).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")))
+    mixed = corpus_pipeline.materialize(corpus_pipeline.mix(spark, docs, ""), "t")
+    assert mixed.columns == docs.columns
+    times = {r["doc_id"]: math.floor(r["taken"] / r["size"] + 0.5) for r in mixing.mix_plan(docs).where("size > 0").collect()}
+    copies = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert copies == {i: n for i, n in times.items() if n} and max(copies.values()) <= 2
+    pieces = corpus_pipeline.pack(spark, mixed, "").collect()
+    tokenizer = packing.WordTokenizer(packing.default_tokenizer())
+    ids = {i: tokenizer.tokenizer.encode(texts[i], add_special_tokens=False).ids + [1] for i in copies}
+    laid, windows = {}, {}
+    for r in pieces:
+        part = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+        assert zlib.crc32(part.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]]) and len(part) == r["length"]
+        for k in range(r["start"], r["start"] + r["length"]):
+            laid[r["doc_id"], k] = laid.get((r["doc_id"], k), 0) + 1
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert laid == {(i, k): n for i, n in copies.items() for k in range(len(ids[i]))}
+    for held in windows.values():
+        held.sort()
+        assert [a for a, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))] and sum(n for _, n in held) <= packing.WINDOW
