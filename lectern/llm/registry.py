@@ -3,8 +3,8 @@
 from importlib import import_module
 
 MODULES = (
-    "centroids", "embedding_dedup", "html_extraction", "importance", "language", "line_dedup", "minhash", "mixing", "neighbours", "packing", "secrets",
-    "warc",
+    "centroids", "embedding_dedup", "html_extraction", "importance", "language", "line_dedup", "markov", "minhash", "mixing", "neighbours", "packing",
+    "secrets", "warc",
 )
 
 QUERIES: dict = {}
