@@ -49,7 +49,7 @@ def first_centroids(points: DataFrame, k: int = CENTROIDS, seed: int = SEED) ->
     """The vectors whose ids have the smallest hashes, in that order."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = points.select("v", digest.alias("digest")).orderBy(F.asc_nulls_last("digest"), "v").limit(k).collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64)
 
 
 def ball_tree(x: np.ndarray, leaf_rows: int = LEAF_ROWS) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -227,9 +227,9 @@ def cluster(
     sc = vectors.sparkSession.sparkContext
     points = on_grid(vectors, dimensions, grid)
     centroids = first_centroids(points, k, seed)
-    trees = materialize(arrow_map(points, _trees, _TREE, dimensions=dimensions, rows=tree_rows, leaf_rows=leaf_rows), "ball-trees")
     if not len(centroids):
         return points.select("vec_id", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance")), centroids
+    trees = materialize(arrow_map(points, _trees, _TREE, dimensions=dimensions, rows=tree_rows, leaf_rows=leaf_rows), "ball-trees")
     for _ in range(rounds):
         found = arrow_map(trees, _sums, "cluster int, pos int, total long", centroids=sc.broadcast(centroids), dimensions=dimensions)
         after = moved(centroids, found)
