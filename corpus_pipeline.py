@@ -26,10 +26,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows without an id stay."""
-    name = fresh(docs, "_gone")
-    gone = minhash.near_duplicates(docs, **NEAR).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+    """Of each group of near copies the row with the smallest id stays (of several the first read, null ids last).
+
+    Rows are told apart by a number of their own, so rows that repeat an id, or have none, are judged by their texts.
+    """
+    row, group, first = (fresh(docs, x) for x in ("_row", "_group", "_first"))
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), **NEAR)
+    moved = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias(row), F.col("component_id").alias(group)), "copies")
+    grouped = moved.unionByName(moved.select(F.col(group).alias(row), group).distinct())
+    named = materialize(grouped.join(numbered.select(row, F.col("doc_id").alias("id")), row), "grouped")
+    order = F.struct(F.col("id").isNull(), "id", row)
+    stays = materialize(named.groupBy(group).agg(F.min(order)[row].alias(first)), "stay")
+    gone = named.join(stays, group).where(F.col(row) != F.col(first)).select(row)
+    return numbered.join(gone, row, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
