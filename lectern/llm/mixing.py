@@ -9,7 +9,8 @@ seeded choice; no list of blocks is ever made, so the work is one pass over docu
 Shards hold about ``shard_words`` words, so that a source with a third of all rows is many tasks.
 
 Defined results: a null text has no words; a null source is a source of its own, sorted last; empty
-documents take nothing; repeated rows are documents of their own, with any ``doc_id`` (null too);
+documents take nothing; repeated rows are documents of their own, with any ``doc_id`` (null too), whose results don't depend on
+how rows are dealt to tasks;
 an empty table gives an empty result; columns beyond ``doc_id``, ``text`` and ``source`` are ignored
 by ``mix_plan`` and kept by ``mix_documents``.
 """
@@ -30,6 +31,8 @@ SHARD_WORDS = 32_768
 #: Rounds of the search for a divisor, and divisors of each.
 ROUNDS, WAYS = 3, 8
 SEED = 20_240_131
+#: Equal rows are numbered in parts of so many.
+COPIES = 65_536
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
@@ -125,14 +128,26 @@ def shard_quotas(shards: DataFrame, targets: DataFrame, block: int) -> DataFrame
     return found.select("source", F.col("party").alias("shard"), F.col("votes").alias("words"), "quota")
 
 
+def numbered_sizes(docs: DataFrame, seed: int) -> DataFrame:
+    """``doc_id``, ``source``, ``size``, ``order`` for every row; equal rows are numbered, so each has an order of its own.
+
+    The number goes by content and count alone, so the orders are the same however rows are dealt to tasks.
+    """
+    size = words_of(F.col("text"))
+    content = F.xxhash64(F.lit(seed), "doc_id", "text"), F.xxhash64(F.lit(seed + 1), "text")
+    rows = docs.select("doc_id", "source", size.alias("size"), content[0].alias("h1"), content[1].alias("h2"))
+    equal = rows.groupBy("doc_id", "source", "size", "h1", "h2").agg(F.count("*").alias("copies"))
+    some = equal.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    first = F.col("part") * COPIES
+    each = some.withColumn("copy", F.explode(F.sequence(first, F.least(first + COPIES, F.col("copies")) - 1)))
+    return each.select("doc_id", "source", "size", F.xxhash64("h1", "h2", "copy").alias("order"))
+
+
 def mix_plan(
     docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK_WORDS, shard_words=SHARD_WORDS, seed=SEED
 ) -> DataFrame:
     """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` for every row of ``docs``."""
-    size = words_of(F.col("text"))
-    # rows without an id are told apart by where they stand, or equal ones would all be in one shard
-    order = F.xxhash64(F.lit(seed), "doc_id", size, "text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    sizes = materialize(docs.select("doc_id", "source", size.alias("size"), order.alias("order")), "sizes")
+    sizes = materialize(numbered_sizes(docs, seed), "sizes")
     targets = materialize(source_targets(sizes, weights, share, most), "targets")
     dealt = (
         sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))

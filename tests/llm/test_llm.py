@@ -106,6 +106,17 @@ def test_pipeline_near_copies_equal_brute_force(spark):
     assert {r["doc_id"] for r in left} == set(root) and (2, 0) in links
 
 
+def test_pipeline_near_copies_go_by_row(spark):
+    """Rows that repeat an id, or have none, are judged by their own texts; each distinct text survives once."""
+    a, b, c, d = (" ".join(words(i, 80)) for i in range(4))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, d), (None, d), (None, b + " more"), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_row", "_group", "id", "_first", "kept")})
+    out = corpus_pipeline.drop_near_copies(spark, docs.repartition(3), "")
+    assert out.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert found == sorted([(1, a), (5, b), (7, c), (None, d), (9, ""), (9, ""), (None, None)], key=str)
+
+
 def test_line_dedup_drops_what_a_host_repeats(spark):
     texts = [f"header\nbody {i}\n \nfooter " for i in range(10)] + [None, ""]
     out = line_dedup.drop_boilerplate(docs_of(spark, texts), ratio=0.5, min_pages=3, counts=True).orderBy("doc_id").collect()
@@ -147,6 +158,17 @@ def test_mixing_meets_its_targets(spark):
         assert rs[0]["target"] == pytest.approx(min(2 * sizes[k], low * weight[k]))
 
 
+def test_mixing_agrees_however_rows_are_dealt(spark, tmp_path):
+    """Rows without ids and equal rows among them: the same plan from 3 and from 7 files."""
+    rows = [(None if i % 2 else i, " ".join(words(i % 900, 5 + i % 90)), f"s{i % 4}") for i in range(2400)] + [(None, "same words", None)] * 300
+    found = []
+    for n in (3, 7):
+        spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n).write.parquet(f"{tmp_path}/{n}")
+        plan = mixing.mix_plan(spark.read.parquet(f"{tmp_path}/{n}"), shard_words=2048)
+        found.append(sorted((tuple(r) for r in plan.collect()), key=str))
+    assert len(found[0]) == len(rows) and found[0] == found[1]
+
+
 def test_targets_stop_at_twice_the_size(spark):
     rows = [("a", 10), ("b", 1000), ("c", 500), (None, 40)]
     got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long")).collect()}
