@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,16 @@ FOLDS, HELD_OUT = 7, 2
 STATES = 8
 ROUNDS = 6
 SYMBOLS = 65_000
-LOOKUP = 400_000
+LOOKUP = 200_000
 #: Words longer than this many bytes are looked up by the join, so that the table in memory has a bound in bytes too.
 LONGEST = 64
 #: Weight of the words' overall frequencies in the emissions of a state, in tokens.
 PRIOR = 200.0
 SEED = 11
 #: Tokens of texts scored side by side, and numbers kept for a backward recursion.
-BATCH_TOKENS, KEPT = 1 << 20, 1 << 23
+BATCH_TOKENS, KEPT = 1 << 19, 1 << 22
+#: Steps between two scalings of the recursions.
+SCALED = 8
 CLASSES = 256
 #: Rows of expected counts that aren't symbols.
 START, MOVES = -1, -2
@@ -102,7 +105,8 @@ class Vocabulary:
         ).first()
         self.tokens, self.types, ends = row[0], row[1], row[2]
         least = next(s for s, n in zip(steps, row[3]) if n <= lookup)
-        common = sorted(((r["n"], bytes(r["word"])) for r in counts.where(short & (F.col("n") >= least)).collect()), key=lambda x: (-x[0], x[1]))
+        found = counts.where(short & (F.col("n") >= least)).toArrow()
+        common = sorted(zip(found.column("n").to_pylist(), found.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
         by_class = counts.where(size > 0).groupBy(_class_of(F.col("word")).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("types"))
         rest = np.zeros((CLASSES, 2), np.int64)
         for r in by_class.collect():  # a row for each byte
@@ -130,7 +134,7 @@ def _encoded(batches, vocabulary):
         out: dict[str, list] = {c: [] for c in ("symbols", "n_known", "base", "share", "rare")}
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             words = tokens_of(text)
-            at = np.fromiter((find(w, -1) for w in words), np.int64, len(words))
+            at = np.fromiter(map(find, words, repeat(-1)), np.int64, len(words))
             rare = np.flatnonzero(at < 0)
             at = np.maximum(at, 0) if len(v.symbol) else at
             symbols = np.zeros(len(words) + 1, "<u2")
@@ -179,10 +183,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, folds: int = FOLDS, held_out
 
 
 class Model:
-    """Start, moves between states (rows sum to one) and, for each symbol, its probability in each state."""
+    """Start, moves between states (rows sum to one) and, for each symbol, its probability in each state.
 
-    def __init__(self, start: np.ndarray, moves: np.ndarray, emits: np.ndarray):
-        self.start, self.moves, self.emits = start, moves, emits
+    The recursions take a symbol's probability relative to its ``overall`` one, so that states need scaling only every ``SCALED`` steps.
+    """
+
+    def __init__(self, start: np.ndarray, moves: np.ndarray, emits: np.ndarray, overall: np.ndarray):
+        self.start, self.moves, self.emits, self.log_overall = start, moves, emits, np.log(overall)
+        self.ratio = emits / overall[:, None]
 
 
 def first_model(overall: np.ndarray, states: int = STATES, seed: int = SEED) -> Model:
@@ -191,48 +199,61 @@ def first_model(overall: np.ndarray, states: int = STATES, seed: int = SEED) ->
     emits = overall[:, None] * rng.gamma(2.0, size=(len(overall), states))
     moves = np.full((states, states), 0.1 / max(states - 1, 1))
     np.fill_diagonal(moves, 0.9 if states > 1 else 1.0)
-    return Model(np.full(states, 1 / states), moves, emits / emits.sum(axis=0))
-
-
-def side_by_side(symbols: list[bytes]):
-    """Order of the texts by falling length, their symbols by step and text, and how many texts have each step."""
-    texts = [np.frombuffer(s, "<u2") for s in symbols]
-    length = np.array([len(t) for t in texts])
-    order = np.argsort(-length, kind="stable")
-    steps = np.zeros((int(length.max()), len(texts)), "<u2")
-    for j, i in enumerate(order):
-        steps[: length[i], j] = texts[i]
-    active = len(texts) - np.searchsorted(np.sort(length), np.arange(len(steps)), side="right")
-    return order, steps, active
-
-
-def _forward(model: Model, steps: np.ndarray, active: np.ndarray, begin: np.ndarray | None, scales: np.ndarray, keep: np.ndarray | None):
-    """Scaled state probabilities after the last of ``steps``; ``begin`` are those before the first, none at a text's start."""
-    moves, emits = model.moves, model.emits
-    now = begin
-    for t in range(len(steps)):
-        n = active[t]
-        now = (model.start if now is None else now[:n] @ moves) * emits[steps[t, :n]]
-        scale = now.sum(axis=1)
-        now /= scale[:, None]
-        scales[t, :n] = scale
+    return Model(np.full(states, 1 / states), moves, emits / emits.sum(axis=0), overall)
+
+
+class Texts:
+    """Texts side by side: ``order`` by falling length, ``steps`` (step, text) of symbols, and how many texts have each step."""
+
+    def __init__(self, symbols: list[bytes]):
+        texts = [np.frombuffer(s, "<u2") for s in symbols]
+        length = np.array([len(t) for t in texts])
+        self.order = np.argsort(-length, kind="stable")
+        self.steps = np.zeros((int(length.max()), len(texts)), "<u2")
+        for j, i in enumerate(self.order):
+            self.steps[: length[i], j] = texts[i]
+        self.active = np.append(len(texts) - np.searchsorted(np.sort(length), np.arange(len(self.steps)), side="right"), 0)
+
+
+def _forward(model: Model, texts: Texts, first: int, last: int, now: np.ndarray | None, logs: np.ndarray, keep: np.ndarray | None = None, scales: dict | None = None):
+    """State probabilities after step ``last - 1``, up to a factor whose log is in ``logs``; ``now`` are those before ``first``, none at the start.
+
+    A text that ends here has its log likelihood, relative to overall frequencies, in ``logs``.
+    """
+    for t in range(first, last):
+        n, after = texts.active[t], texts.active[t + 1]
+        ratio = model.ratio.take(texts.steps[t, :n], axis=0)
+        now = model.start * ratio if now is None else np.multiply(now[:n] @ model.moves, ratio, out=ratio)
+        if t % SCALED == SCALED - 1:
+            scale = now.sum(axis=1)
+            now /= scale[:, None]
+            logs[:n] += np.log(scale)
+            if scales is not None:
+                scales[t] = scale[:, None]
+        if after < n:
+            logs[after:n] += np.log(now[after:].sum(axis=1))
         if keep is not None:
-            keep[t, :n] = now
+            keep[t - first, :n] = now
     return now
 
 
+def _overall(model: Model, texts: Texts) -> np.ndarray:
+    """Log probability of each text by overall frequencies alone."""
+    out, steps = np.zeros(texts.steps.shape[1]), len(texts.steps)
+    piece = max(1, KEPT // len(out))
+    for at in range(0, steps, piece):
+        logs = model.log_overall[texts.steps[at : at + piece]]
+        out += np.where(np.arange(len(out)) < texts.active[at : at + len(logs), None], logs, 0.0).sum(axis=0)
+    return out
+
+
 def log_likelihoods(model: Model, symbols: list[bytes]) -> np.ndarray:
     """Natural logs of the exact likelihoods of the texts."""
-    order, steps, active = side_by_side(symbols)
-    total, piece = np.zeros(len(symbols)), max(1, KEPT // len(symbols))
-    now = None
-    for at in range(0, len(steps), piece):
-        part = steps[at : at + piece]
-        scales = np.ones(part.shape)
-        now = _forward(model, part, active[at : at + piece], now, scales, None)
-        total += np.log(scales).sum(axis=0)
+    texts = Texts(symbols)
+    logs = _overall(model, texts)
+    _forward(model, texts, 0, len(texts.steps), None, logs)
     out = np.zeros(len(symbols))
-    out[order] = total
+    out[texts.order] = logs
     return out
 
 
@@ -241,36 +262,36 @@ class Expected:
 
     def __init__(self, states: int, symbols: int):
         self.start, self.moves, self.emits = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
-        self.log_likelihood = 0.0
 
     def add(self, model: Model, symbols: list[bytes]) -> None:
         """One forward pass that keeps the states at the borders of pieces, then each piece again, backwards."""
-        _, steps, active = side_by_side(symbols)
-        states, width = len(model.start), steps.shape[1]
-        piece = max(1, KEPT // (width * states))
+        texts = Texts(symbols)
+        states, (steps, width) = len(model.start), texts.steps.shape
+        piece = max(1, KEPT // (width * states * SCALED)) * SCALED
         borders: list[np.ndarray | None] = [None]
-        for at in range(0, len(steps) - piece, piece):
-            part = slice(at, at + piece)
-            borders.append(_forward(model, steps[part], active[part], borders[-1], np.ones(steps[part].shape), None))
-        after, next_n = np.ones((width, states)), 0  # what follows each text's step, and how many texts have a step after it
-        follow = after
+        for at in range(0, steps - piece, piece):
+            borders.append(_forward(model, texts, at, at + piece, borders[-1], np.zeros(width)))
+        after = follow = np.ones((width, states))  # what the rest of a text gives each state now, and each state it moves to
         for k in range(len(borders) - 1, -1, -1):
-            part = slice(k * piece, (k + 1) * piece)
-            own, alive = steps[part], active[part]
-            scales, kept = np.ones(own.shape), np.zeros((*own.shape, states))
-            _forward(model, own, alive, borders[k], scales, kept)
-            self.log_likelihood += np.log(scales).sum()
-            for t in range(len(own) - 1, -1, -1):
-                n = alive[t]
-                if next_n:
-                    self.moves += kept[t, :next_n].T @ follow[:next_n]
-                    after[:next_n] = follow[:next_n] @ model.moves.T
-                follow = model.emits[own[t, :n]] * after[:n] / scales[t, :n, None]
-                next_n = n
-                kept[t, :n] *= after[:n]
+            first, last = k * piece, min(steps, (k + 1) * piece)
+            scales: dict[int, np.ndarray] = {}
+            kept = np.zeros((last - first, width, states))
+            _forward(model, texts, first, last, borders[k], np.zeros(width), kept, scales)
+            for t in range(last - 1, first - 1, -1):
+                now, n, later = kept[t - first], texts.active[t], texts.active[t + 1]
+                if later:
+                    self.moves += now[:later].T @ follow[:later]
+                    np.matmul(follow[:later], model.moves.T, out=after[:later])
+                if later < n:  # so that a text's probabilities sum to one at each of its steps
+                    after[later:n] = 1 / now[later:n].sum(axis=1, keepdims=True)
+                follow = model.ratio.take(texts.steps[t, :n], axis=0)
+                follow *= after[:n]
+                if t in scales:
+                    follow /= scales[t]
+                now[:n] *= after[:n]
             if k == 0:
                 self.start += kept[0].sum(axis=0)
-            flat, weight = own.reshape(-1), kept.reshape(-1, states)
+            flat, weight = texts.steps[first:last].reshape(-1), kept.reshape(-1, states)
             for s in range(states):
                 self.emits[:, s] += np.bincount(flat, weight[:, s], len(self.emits))
 
@@ -304,16 +325,10 @@ def _expected(batches, model, symbols: int):
     yield pa.RecordBatch.from_arrays([pa.array(ids), lists], names=["symbol", "n"])
 
 
-def maximised(expected: dict[int, list[float]], overall: np.ndarray, states: int, prior: float = PRIOR) -> Model:
+def maximised(expected: Expected, overall: np.ndarray, prior: float = PRIOR) -> Model:
     """The model of expected counts; emissions lean to the overall frequencies as if those had been seen ``prior`` times."""
-    start = np.array(expected.get(START, [0.0] * states)) + 1.0
-    moves = np.array([expected.get(MOVES - k, [0.0] * states) for k in range(states)]) + 1.0
-    emits = np.zeros((len(overall), states))
-    for symbol, n in expected.items():
-        if symbol >= 0:
-            emits[symbol] = n
-    emits += prior * overall[:, None]
-    return Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+    start, moves, emits = expected.start + 1.0, expected.moves + 1.0, expected.emits + prior * overall[:, None]
+    return Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0), overall)
 
 
 def train(encoded: DataFrame, overall: np.ndarray, states: int = STATES, rounds: int = ROUNDS, prior: float = PRIOR, seed: int = SEED) -> Model:
@@ -324,7 +339,13 @@ def train(encoded: DataFrame, overall: np.ndarray, states: int = STATES, rounds:
         shared = encoded.sparkSession.sparkContext.broadcast(model)  # ``SYMBOLS`` x states numbers
         found = arrow_map(texts, _expected, "symbol int, n array<float>", model=shared, symbols=len(overall))
         summed = found.groupBy("symbol").agg(*[F.sum(F.col("n")[k].cast("double")).alias(f"n{k}") for k in range(states)])
-        model = maximised({r[0]: list(r[1:]) for r in summed.collect()}, overall, states, prior)
+        sums = summed.toArrow()  # a row for each symbol and state
+        expected = Expected(states, len(overall))
+        symbol, n = sums.column("symbol").to_numpy(), np.stack([sums.column(f"n{k}").to_numpy() for k in range(states)], axis=1)
+        expected.emits[symbol[symbol >= 0]] = n[symbol >= 0]
+        expected.start += n[symbol == START].sum(axis=0)
+        expected.moves[MOVES - symbol[symbol <= MOVES]] = n[symbol <= MOVES]
+        model = maximised(expected, overall, prior)
     return model
 
 
