@@ -23,15 +23,15 @@ def with_chunks(docs: DataFrame, text: str = "text", chunker: Callable[[str], Co
     return cut.withColumn("problem", problem)
 
 
-def embed_chunks(docs: DataFrame, embedder: str = "hashed", chunks: str = "chunks", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each chunk: ``doc_id``, ``chunk_id``, ``chunk_index``, ``content``, its ``embedding`` and which ``embedder`` made it.
+def embed_chunks(docs: DataFrame, embedder: str = "hashed", chunks: str = "chunks", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each chunk: ``doc_id``, ``chunk_id``, ``chunk_index``, ``content``, its ``embedding``, which ``embedder`` made it, and the columns to ``keep``.
 
     A chunk is embedded where it stands, so no join and no count of vectors is needed.
     """
-    rows = docs.select(doc_id, F.posexplode(chunks).alias("chunk_index", "content"))
+    rows = docs.select(doc_id, *keep, F.posexplode(chunks).alias("chunk_index", "content"))
     chunk_id = F.concat_ws("_", F.col(doc_id).cast("string"), F.col("chunk_index").cast("string"))
     return rows.select(
-        F.col(doc_id).alias("doc_id"), chunk_id.alias("chunk_id"), "chunk_index", "content", EMBEDDERS[embedder]("content").alias("embedding"), F.lit(embedder).alias("embedder")
+        F.col(doc_id).alias("doc_id"), chunk_id.alias("chunk_id"), "chunk_index", "content", EMBEDDERS[embedder]("content").alias("embedding"), F.lit(embedder).alias("embedder"), *keep
     )
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("plans.search", "plans.text", "plans.observe", "plans.library")
+MODULES = ("plans.search", "plans.text", "plans.observe", "plans.library", "plans.streams")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
