@@ -96,9 +96,18 @@ def blocks(html: str | None) -> list[tuple[str, bool, bool]]:
     out: list[tuple[str, bool, bool]] = []
     held: list[str] = []
     open_tags: list[tuple[str, bool, bool, bool]] = []  # name, in article, unwanted, unwanted within a line
+    places: dict[str, list[int]] = {}  # where each name is open, so that an end tag costs what it closes
+    open_blocks: list[int] = []
     article = dropped = silent = False
     at, html = 0, html or ""
 
+    def close(depth: int):
+        for i in range(len(open_tags) - 1, depth - 1, -1):
+            places[open_tags[i][0]].pop()
+        del open_tags[depth:]
+        while open_blocks and open_blocks[-1] >= depth:
+            open_blocks.pop()
+
     def flush():
         text = _BLANK.sub(" ", unescape("".join(held))).strip()
         if text:
@@ -116,14 +125,14 @@ def blocks(html: str | None) -> list[tuple[str, bool, bool]]:
         if not tag:
             continue
         if m[1]:
-            depth = max((i for i, x in enumerate(open_tags) if x[0] == tag), default=None)
+            depth = places[tag][-1] if places.get(tag) else None
             if tag in BLOCK and (depth is not None or tag == "p"):
                 flush()
             if depth is None:
                 continue
-            if any(x[0] in BLOCK for x in open_tags[depth:]):
+            if open_blocks and open_blocks[-1] >= depth:
                 flush()
-            del open_tags[depth:]
+            close(depth)
         else:
             if not m[4]:
                 break  # the page ends within this tag
@@ -133,11 +142,14 @@ def blocks(html: str | None) -> list[tuple[str, bool, bool]]:
                 flush()
             if tag in VOID or (m[3].endswith("/") and tag not in BLOCK and tag not in RAW):
                 continue
-            if tag in BLOCK:
-                _end_implied(open_tags, tag)
+            if tag in BLOCK and open_blocks and _ends(open_tags[open_blocks[-1]][0], tag):
+                close(open_blocks[-1])
             _, inside, gone, quiet = open_tags[-1] if open_tags else ("", False, False, False)
             bad = unwanted(tag, m[3], inside)
             inside = inside or tag in ("article", "main") or _main_role(m[3])
+            places.setdefault(tag, []).append(len(open_tags))
+            if tag in BLOCK:
+                open_blocks.append(len(open_tags))
             open_tags.append((tag, inside, gone or (bad and tag in BLOCK), quiet or (bad and tag not in BLOCK)))
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE).search(html, at)
@@ -147,15 +159,9 @@ def blocks(html: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def _end_implied(open_tags: list, tag: str) -> None:
-    """A paragraph ends where the next block begins, an item where the next item of its list does."""
-    for i in range(len(open_tags) - 1, -1, -1):
-        name = open_tags[i][0]
-        if name == "p" or (name == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
-            del open_tags[i:]
-            return
-        if name in BLOCK:
-            return
+def _ends(block: str, tag: str) -> bool:
+    """Whether the innermost block ends where ``tag`` begins: a paragraph at the next block, an item at the next item of its list."""
+    return block == "p" or (block == tag and tag in ("li", "dt", "dd", "tr", "td", "th"))
 
 
 def _main_role(attributes: str) -> bool:

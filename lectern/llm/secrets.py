@@ -71,74 +71,84 @@ def decoded(run: str) -> list[bytes]:
     return out
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """Tag and content of each element that ``data`` is made of; None if a length doesn't fit."""
-    items, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+#: Elements of the widest structure looked for (PKCS#1 with further primes has ten), and more.
+WIDEST = 16
+
+
+def der_items(data, at: int = 0, stop: int | None = None) -> list[tuple[int, int, int]] | None:
+    """Tag, start and end of the content of each element that ``data`` from ``at`` to ``stop`` is made of.
+
+    None if a length doesn't fit, or if there are more than any private key has; only the elements' heads are read.
+    """
+    items, stop = [], len(data) if stop is None else stop
+    while at < stop:
+        head = data[at : min(at + 6, stop)]
+        if len(head) < 2 or len(items) == WIDEST:
             return None
-        tag, n, at = data[at], data[at + 1], at + 2
+        tag, n, at = head[0], head[1], at + 2
         if n >= 0x80:
             wide = n & 0x7F
-            if not 1 <= wide <= 4 or at + wide > len(data):
+            if not 1 <= wide <= 4 or 2 + wide > len(head):
                 return None
-            n, at = int.from_bytes(data[at : at + wide], "big"), at + wide
-        if at + n > len(data):
+            n, at = int.from_bytes(head[2 : 2 + wide], "big"), at + wide
+        if at + n > stop:
             return None
-        items.append((tag, data[at : at + n]))
+        items.append((tag, at, at + n))
         at += n
     return items
 
 
-def der_private_key(data: bytes) -> bool:
+def der_private_key(data, stop: int | None = None) -> bool:
     """One SEQUENCE that is a PKCS#1, PKCS#8 (also encrypted) or SEC1 private key, lengths nested exactly."""
-    top = der_items(data)
+    top = der_items(data, 0, stop)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
-    parts = der_items(top[0][1])
+    parts = der_items(data, *top[0][1:])
     if not parts:
         return False
-    tags = [t for t, _ in parts]
+    tags, sizes = [t for t, _, _ in parts], [b - a for _, a, b in parts]
+    is_number = lambda i, value: sizes[i] == 1 and data[parts[i][1] : parts[i][2]] == bytes([value])
+    names = lambda i: bool(inner := der_items(data, *parts[i][1:])) and inner[0][0] == 0x06
     if len(tags) == 9 and set(tags) == {0x02}:  # PKCS#1: version, modulus, exponents, primes, coefficients
-        return len(parts[1][1]) >= 32
-    if len(tags) == 6 and set(tags) == {0x02} and parts[0][1] == b"\0":  # DSA: version 0, the group, both halves of the key
-        return len(parts[1][1]) >= 32 and len(parts[5][1]) >= 16
-    if tags[:2] == [0x02, 0x04] and parts[0][1] == b"\x01":  # SEC1: version 1, the scalar
-        return len(parts[1][1]) >= 16
+        return sizes[1] >= 32
+    if len(tags) == 6 and set(tags) == {0x02} and is_number(0, 0):  # DSA: version 0, the group, both halves of the key
+        return sizes[1] >= 32 and sizes[5] >= 16
+    if tags[:2] == [0x02, 0x04] and is_number(0, 1):  # SEC1: version 1, the scalar
+        return sizes[1] >= 16
     if tags[:3] == [0x02, 0x30, 0x04]:  # PKCS#8: version, algorithm, the key
-        inner = der_items(parts[1][1])
-        return bool(inner) and inner[0][0] == 0x06 and len(parts[2][1]) >= 16 and wrapped_key(parts[2][1])
+        return names(1) and sizes[2] >= 16 and wrapped_key(data, *parts[2][1:])
     if tags == [0x30, 0x04]:  # PKCS#8 encrypted: algorithm, the ciphertext
-        inner = der_items(parts[0][1])
-        return bool(inner) and inner[0][0] == 0x06 and len(parts[1][1]) >= 16
+        return names(0) and sizes[1] >= 16
     return False
 
 
-def wrapped_key(data: bytes) -> bool:
+def wrapped_key(data, at: int, stop: int) -> bool:
     """What PKCS#8 wraps: one integer (DSA), one octet string (Edwards curves), or a SEQUENCE of integers or of a scalar and more."""
-    items = der_items(data)
+    items = der_items(data, at, stop)
     if not items or len(items) != 1:
         return False
-    tag, content = items[0]
-    return tag in (0x02, 0x04) or (tag == 0x30 and bool(inner := der_items(content)) and inner[0][0] == 0x02)
+    tag, a, b = items[0]
+    return tag in (0x02, 0x04) or (tag == 0x30 and bool(inner := der_items(data, a, b)) and inner[0][0] == 0x02)
 
 
-def ssh_strings(data: bytes, at: int, n: int) -> list[tuple[int, int]] | None:
-    """Where the next ``n`` length-prefixed strings start and end; None if one doesn't fit."""
+def ssh_strings(data, at: int, n: int) -> list[tuple[int, int]] | None:
+    """Where the next ``n`` length-prefixed strings start and end; None if one doesn't fit. Only the lengths are read."""
     out = []
     for _ in range(n):
+        if at + 4 > len(data):
+            return None
         end = at + 4 + int.from_bytes(data[at : at + 4], "big")
-        if at + 4 > len(data) or end > len(data):
+        if end > len(data):
             return None
         out.append((at + 4, end))
         at = end
     return out
 
 
-def openssh_length(data: bytes) -> int | None:
+def openssh_length(data) -> int | None:
     """Bytes of an OpenSSH private key that ``data`` starts with: cipher, key derivation and its options, as many public keys
     as it says, each led by the name of its type, and the private part, whole eight-byte blocks; None if it is none."""
-    if not data.startswith(MAGIC) or not (head := ssh_strings(data, len(MAGIC), 3)):
+    if data[: len(MAGIC)] != MAGIC or not (head := ssh_strings(data, len(MAGIC), 3)):
         return None
     at = head[-1][1]
     n = int.from_bytes(data[at : at + 4], "big")
@@ -146,8 +156,8 @@ def openssh_length(data: bytes) -> int | None:
     if not strings:
         return None
     for a, b in strings[:-1]:
-        name = ssh_strings(data[a:b], 0, 1)
-        if not name or not re.match(rb"(?:sk-)?(?:ssh|ecdsa)-", data[a + 4 : a + name[0][1]]):
+        end = a + 4 + int.from_bytes(data[a : min(a + 4, b)], "big")
+        if a + 4 > b or end > b or not re.match(rb"(?:sk-)?(?:ssh|ecdsa)-", data[a + 4 : min(end, a + 14)]):
             return None
     a, b = strings[-1]
     return b if b > a and (b - a) % 8 == 0 else None
@@ -157,19 +167,32 @@ def private_key(data: bytes) -> bool:
     return der_private_key(data) or openssh_length(data) is not None
 
 
-def _bytes(chars: str, n: int | None = None) -> bytes:
-    """The first ``n`` bytes of base64, standard or for URLs; all whole ones without ``n``. Fewer if there are no more."""
-    part = chars[: len(chars) // 4 * 4 if n is None else -(-4 * n // 3)].replace("-", "+").replace("_", "/")
-    part = part[:-1] if len(part) % 4 == 1 else part
-    return base64.b64decode(part + "=" * (-len(part) % 4))[:n]
+class Encoded:
+    """Bytes that base64 (standard or for URLs) or hex stands for from a place on, decoded only where they are read."""
+
+    def __init__(self, chars: str, at: int, stop: int, hexadecimal: bool):
+        self.chars, self.at, self.hexadecimal = chars, at, hexadecimal
+        self.size = (stop - at) // 2 if hexadecimal else (stop - at) // 4 * 3 + (0, 0, 1, 2)[(stop - at) % 4]
+        self.head = self._read(0, min(48, self.size))
+
+    def __len__(self) -> int:
+        return self.size
 
+    def _read(self, a: int, b: int) -> bytes:
+        if b <= a:
+            return b""
+        if self.hexadecimal:
+            return bytes.fromhex(self.chars[self.at + 2 * a : self.at + 2 * b])
+        first = a // 3
+        part = self.chars[self.at + 4 * first : self.at + -(-4 * b // 3)].replace("-", "+").replace("_", "/")
+        return base64.b64decode(part + "=" * (-len(part) % 4))[a - 3 * first : b - 3 * first]
 
-def _hex(chars: str, n: int | None = None) -> bytes:
-    m = _HEX.match(chars[: None if n is None else 2 * n])
-    return bytes.fromhex(m[0])
+    def __getitem__(self, where: slice) -> bytes:
+        a, b = where.start or 0, self.size if where.stop is None else min(where.stop, self.size)
+        return self.head[a:b] if b <= len(self.head) else self._read(a, b)
 
 
-_HEX = re.compile(r"(?:[0-9A-Fa-f]{2})*")
+_HEX = re.compile(r"[0-9A-Fa-f]*")
 MAGIC = b"openssh-key-v1\0"
 
 
@@ -187,18 +210,21 @@ def key_length(head: bytes) -> int | None:
 
 
 def keys_in(chars: str) -> list[tuple[int, int]]:
-    """Where private keys start and end in joined base64 or hex."""
-    found, end = [], 0
+    """Where private keys start and end in joined base64 or hex. A start costs the heads of a few elements, whatever follows it."""
+    found, end, hex_end = [], 0, 0
     for m in STARTS.finditer(chars):
         at = m.start()
         if at < end:
             continue
-        read, a_byte = (_hex, 2) if chars[at] in "36" else (_bytes, 4 / 3)
+        is_hex = chars[at] in "36"
+        if is_hex and at >= hex_end:
+            hex_end = _HEX.match(chars, at).end()
+        data, a_byte = Encoded(chars, at, hex_end if is_hex else len(chars), is_hex), 2 if is_hex else 4 / 3
         if chars[at] in "b6":
-            n = openssh_length(read(chars[at:]))
+            n = openssh_length(data)
         else:
-            n = key_length(read(chars[at : at + 24], 10))
-            if n is None or math.ceil(n * a_byte) > len(chars) - at or not der_private_key(read(chars[at : at + math.ceil(n * a_byte)], n)):
+            n = key_length(data[:10])
+            if n is None or n > len(data) or not der_private_key(data, n):
                 n = None
         if n is not None and math.ceil(n * a_byte) >= LEAST:
             end = min(len(chars), at + math.ceil(n * a_byte))
@@ -255,9 +281,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             found.append((start, end, "pem"))
     if "eyJ" in text:
         found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if m[1].startswith("eyJ") and signed_token(m[1], m[2])]
-    blocks = [(a, b) for a, b, kind in found if kind == "pem"]
+    blocks = [(a, b) for a, b, kind in found if kind == "pem"]  # one after the other
+    starts = [a for a, _ in blocks]
     for a, b in key_spans(text):
-        if not (BREAK.search(text[a:b].rstrip("=")) and any(x <= a and b <= y for x, y in blocks)):
+        at = bisect_right(starts, a) - 1
+        if not (at >= 0 and b <= blocks[at][1] and BREAK.search(text[a:b].rstrip("="))):
             found.append((a, b, "key"))
     return found
 

@@ -491,6 +491,24 @@ def test_common_lines_are_longest():
         assert len(at) == best[-1][-1] and all(a[i] in rest for i in at)
 
 
+@pytest.mark.parametrize("start", ["b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAAB", "MIIEvQIBADANBgkqhkiG9w0BAQEFAASC", "MIM9CQACAQ", "3082", "6f70656e7373682d6b6579"])
+def test_secrets_of_a_long_text_of_starts(start):
+    """Starts of keys without an end, megabytes of them."""
+    text, began = start * (4_000_000 // len(start)), time.time()
+    assert [k for _, _, k in secrets.confirmed_spans(text)].count("key") == 0
+    assert time.time() - began < 12  # 2 to 4 s alone
+
+
+@pytest.mark.parametrize("piece", ["<b>x</i>", "<span><p>x", "<div>x</u>", "<b><li>x</li>"])
+def test_pages_of_odd_nesting_take_linear_time(piece):
+    took = []
+    for n in (20_000, 40_000):
+        began = time.time()
+        html_extraction.blocks(piece * n)
+        took.append(time.time() - began)
+    assert took[1] < 5 and took[1] < 3.5 * max(took[0], 0.2)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 def test_secrets_query_equals_brute_force(spark, tmp_path):
     """Base spans of every document by a walk from left to right, and planted keys of which no base kind tells."""
