@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out so that each core has a part; a table of many files stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark would read it by, so that others who open it mean the same store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,22 +41,47 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"file:///tmp/lectern-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return qualified(spark, path).rstrip("/")
+
+
+#: Folders of the scopes that ``intermediate`` has opened, innermost last.
+_scopes: list[str] = []
+
+
+def work_dir(spark: SparkSession) -> str:
+    """Where this application writes tables of its own, within the innermost scope."""
+    return "/".join([shared_dir(spark), "lectern", spark.sparkContext.applicationId, *_scopes])
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and the
     files outlive any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern/{uuid.uuid4().hex}-{name}"
+    path = f"{work_dir(spark)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediate(spark: SparkSession):
+    """Tables that operators write within this block go at its end; write their results before that."""
+    _scopes.append(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        path = work_dir(spark)
+        _scopes.pop()
+        _delete(spark, path)
+
+
 def drop_intermediate(spark: SparkSession) -> None:
-    """Delete the tables of finished queries; results that are still to be computed need theirs."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lectern")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete this application's tables; results that are still to be computed need theirs. Those of other applications stay."""
+    _delete(spark, "/".join([shared_dir(spark), "lectern", spark.sparkContext.applicationId]))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

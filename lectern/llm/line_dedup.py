@@ -58,18 +58,19 @@ def drop_boilerplate(
     pages: DataFrame, host: str = "source", text: str = "text", ratio=RATIO, min_pages=MIN_PAGES, counts: bool = False, distinct: bool = False
 ) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text``; with ``counts`` also ``n_lines`` and ``n_dropped``."""
-    site, site_lines = fresh(pages, "_site"), fresh(pages, "_site_lines")
+    site, site_lines, left_over = fresh(pages, "_site"), fresh(pages, "_site_lines"), fresh(pages, "_kept")
     found = materialize(host_boilerplate(pages, host, text, ratio, min_pages, distinct), "boilerplate").select(
         F.col("host").alias(site), F.col("lines").alias(site_lines)
     )
     split = F.split(F.col(text), "\n")
     kept = F.filter(split, lambda x: ~F.array_contains(F.col(site_lines), _key(_bare(x))))
-    joined = pages.join(found, F.col(host).eqNullSafe(F.col(site)), "left")
-    cleaned = F.when(F.col(site_lines).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    # a column of its own, so that lines are hashed once for all that is said about them
+    joined = pages.join(found, F.col(host).eqNullSafe(F.col(site)), "left").withColumn(left_over, F.when(F.col(site_lines).isNotNull(), kept))
+    cleaned = F.when(F.col(site_lines).isNull(), F.col(text)).otherwise(F.array_join(left_over, "\n"))
     if counts:
         n = F.coalesce(F.size(split), F.lit(0)).cast("long")
         n = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n)
-        left = F.when(F.col(site_lines).isNull() | F.col(text).isNull(), n).otherwise(F.size(kept).cast("long"))
+        left = F.when(F.col(site_lines).isNull() | F.col(text).isNull(), n).otherwise(F.size(left_over).cast("long"))
         return joined.select(*[cleaned.alias(c) if c == text else pages[c] for c in pages.columns], n.alias("n_lines"), (n - left).alias("n_dropped"))
     return joined.select(*[cleaned.alias(c) if c == text else pages[c] for c in pages.columns])
 

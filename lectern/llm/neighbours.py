@@ -3,7 +3,7 @@
 Vectors are cut in two halves and each half is quantised by its own centroids; a pair of centroids is a
 cell. The centroids come from a bounded sample; every vector is indexed. A query ranks centroids of
 each half by inner product and a heap walks centroid pairs in order of summed distance (the negative
-summed product) until the cells taken hold ``PROBED`` of all vectors, and ``k`` besides those with the query's id. These are reranked by exact
+summed product) until the cells taken hold a share of all vectors, and ``k`` besides those with the query's id. These are reranked by exact
 inner products in double precision.
 
 Cells are dealt to units of at most ``UNIT`` vectors; a cell above that is split by hash over units of
@@ -11,8 +11,9 @@ its own. A unit's task holds its vectors and streams the queries that probe it,
 partition keeps the best ``k`` of each query over its units, and the best of these are the result. Only the number of vectors in
 each cell is gathered on the driver, ``CENTROIDS ** 2`` numbers at most.
 
-``PROBED`` is a share because the recall asked for decides it: on vectors without structure, as in the test
-tables, 0.9 needs more than half of all cells; clustered vectors need far less.
+The share is fitted to the recall asked for: for some vectors of the sample, the nearest others in it are known exactly, and so is how far
+the walk has to go for each. On vectors without structure, as in the test tables, 0.9 needs more than half of all
+cells; clustered vectors need far less.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have no
 ``vec_id`` take no part, nor do vectors of another length than the most frequent one (ties: the
@@ -36,8 +37,10 @@ from .embedding_dedup import usable
 
 K = 20
 EVERY = 20
-CENTROIDS = 32
-PROBED = 0.65
+#: Centroids of each half: as many as leave about ``UNIT`` vectors a cell, within these bounds.
+CENTROIDS = 32, 256
+#: Share of the nearest vectors of sampled queries that the walk has to reach, and how many such queries.
+RECALL, TRIED = 0.95, 128
 SAMPLE = 16_384
 UNIT = 1_024
 SEED = 515
@@ -79,6 +82,27 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: floa
     return cells
 
 
+def fitted_share(halves, x: np.ndarray, counts: np.ndarray, k: int, recall: float = RECALL, tried: int = TRIED) -> float:
+    """The share of all vectors to probe so that ``recall`` of the nearest vectors are reached, for queries among the sample ``x``.
+
+    The sample is sparser than the table, so fewer neighbours of it count: as many as the table has of the ``k`` nearest in the sample's share.
+    """
+    (c1, c2), total, split = halves, counts.sum(), x.shape[1] // 2
+    k = max(1, min(round(k * len(x) / total), len(x) - 1))
+    one, two = nearest(x[:, :split], c1), nearest(x[:, split:], c2)
+    before = np.zeros(counts.shape)
+    needed = []
+    for q in np.unique(np.linspace(0, len(x) - 1, tried).astype(int)):
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = np.argpartition(-score, k - 1)[:k]
+        cells = walk(-(c1 @ x[q, :split]), -(c2 @ x[q, split:]), counts, total)
+        sizes = np.array([counts[c] for c in cells])
+        before[tuple(np.array(cells).T)] = np.cumsum(sizes) - sizes
+        needed.append(before[one[best], two[best]] / total)
+    return float(min(1.0, np.quantile(np.concatenate(needed), recall) + 1 / total))
+
+
 def deal_units(counts: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray]:
     """For each cell its first unit and how many units it is split over."""
     first, pieces = np.zeros(counts.shape, np.int64), np.ones(counts.shape, np.int64)
@@ -221,9 +245,12 @@ def _unit_hits(batches, k: int, cells_total: int):
 
 
 def nearest_neighbours(
-    vectors: DataFrame, k=K, every=EVERY, centroids=CENTROIDS, probed=PROBED, sample=SAMPLE, unit=UNIT, seed=SEED
+    vectors: DataFrame, k=K, every=EVERY, centroids=None, probed: float | None = None, recall=RECALL, sample=SAMPLE, unit=UNIT, seed=SEED
 ) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id``, ``score`` for queries whose ``vec_id`` is divisible by ``every``."""
+    """``query_id``, ``rank``, ``vec_id``, ``score`` for queries whose ``vec_id`` is divisible by ``every``.
+
+    ``probed`` fixes the share of vectors that a query looks at; else that is fitted to ``recall``.
+    """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sound = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select(
@@ -237,6 +264,7 @@ def nearest_neighbours(
     rows = sorted((r["vec_id"], r["vector"]) for r in sound.where(draw).limit(2 * sample).toLocalIterator())
     fitted = np.array([v for _, v in rows] or [sound.first()["vector"]])
     split = sizes["size"] // 2
+    centroids = centroids or int(np.clip(round((sizes["count"] / unit) ** 0.5), *CENTROIDS))
     halves = (fit_centroids(fitted[:, :split], centroids, seed=seed), fit_centroids(fitted[:, split:], centroids, seed=seed + 1))
     placed = materialize(
         arrow_map(sound, _assign, "vec_id long, vector binary, c1 int, c2 int", halves=spark.sparkContext.broadcast(halves)), "cells"
@@ -244,6 +272,8 @@ def nearest_neighbours(
     counts = np.zeros((len(halves[0]), len(halves[1])), np.int64)
     for r in placed.groupBy("c1", "c2").count().collect():  # centroids ** 2 rows at most
         counts[r["c1"], r["c2"]] = r["count"]
+    if probed is None:
+        probed = fitted_share(halves, fitted, counts, k, recall) if len(fitted) > 1 else 1.0
     index = spark.sparkContext.broadcast((halves, counts, *deal_units(counts, unit)))
     # rows that repeat a query ask once; their number is that of the vectors which can't be its neighbours
     asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"), F.count("*").alias("copies"))

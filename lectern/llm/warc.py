@@ -26,10 +26,11 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, shared_dir, table
+from .common import arrow_map, materialize, qualified, table, work_dir
 
 REVISIT_BYTES = 100
 #: The time that records carry, so that reruns agree, and the revisit profile.
@@ -125,6 +126,8 @@ def _replace(files, root: str, name: str, write) -> None:
     own = f"{root}/.{name}-{uuid.uuid4().hex}"
     with files.open_output_stream(own) as out:
         write(out)
+    if files.get_file_info(f"{root}/{name}").type != FileType.NotFound:  # of a task that ran before; some stores don't move onto it
+        files.delete_file(f"{root}/{name}")
     files.move(own, f"{root}/{name}")
 
 
@@ -249,23 +252,26 @@ def plan_records(pages: DataFrame, revisit_bytes=REVISIT_BYTES) -> DataFrame:
 
 def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
     """Write one archive for each partition; returns the written ``archive`` names and ``records``."""
+    folder = qualified(records.sparkSession, folder)
     return materialize(arrow_map(records, _write, "archive string, records long", folder=folder), "archives")
 
 
 def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrite each archive of ``source`` as one member for each record, with an index, in ``target``."""
     n = max(1, archives.count())
+    source, target = (qualified(archives.sparkSession, x) for x in (source, target))
     spread = archives.repartition(n)
     return materialize(arrow_map(spread, _normalise, "archive string, records long", source=source, target=target), "normalised")
 
 
 def read_records(archives: DataFrame, folder: str) -> DataFrame:
     """Records of normalised archives, read member by member by their index."""
+    folder = qualified(archives.sparkSession, folder)
     return arrow_map(archives.repartition(max(1, archives.count())), _read, READ, folder=folder)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{shared_dir(spark)}/lectern/warc-{uuid.uuid4().hex}"
+    base = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
     archives = write_monolithic(plan_records(table(spark, sf_dir, "pages")), f"{base}/whole")
     members = normalise(archives, f"{base}/whole", f"{base}/members")
     return read_records(members, f"{base}/members").drop("url", "archive", "member_offset", "member_length")

@@ -395,6 +395,29 @@ def test_neighbours_recall(spark):
     assert neighbours.nearest_neighbours(df.where("false")).count() == 0
 
 
+def test_share_of_neighbours_follows_the_vectors():
+    """Clustered vectors need few cells for the same recall, vectors without structure many."""
+    rng, shares = np.random.default_rng(3), []
+    for x in (rng.standard_normal((30, 32))[rng.integers(0, 30, 2000)] + 0.3 * rng.standard_normal((2000, 32)), rng.standard_normal((2000, 32))):
+        halves = tuple(neighbours.fit_centroids(h, 32) for h in (x[:, :16], x[:, 16:]))
+        cells = [neighbours.nearest(h, c) for h, c in zip((x[:, :16], x[:, 16:]), halves)]
+        counts = np.zeros((32, 32), np.int64)
+        np.add.at(counts, tuple(cells), 1)
+        shares.append(neighbours.fitted_share(halves, x, counts, 20))
+    assert shares[0] < 0.1 and 0.3 < shares[1] < 1.0
+
+
+def test_intermediate_tables_go_with_their_block(spark):
+    from lectern.llm import common
+
+    outside = common.materialize(spark.range(3), "t")
+    with common.intermediate(spark):
+        inside = common.materialize(spark.range(4), "t")
+        assert inside.count() == 4
+        folder = common.work_dir(spark)
+    assert outside.count() == 3 and not os.path.exists(folder.removeprefix("file://")) and os.path.exists(common.work_dir(spark).removeprefix("file://"))
+
+
 def test_neighbours_of_small_tables_are_all_others(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(21)]
