@@ -7,10 +7,11 @@ Arrow UDFs over batches: their sums over characters are one ``bincount`` for eac
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,23 +26,26 @@ def simple_hash(text) -> Column:
 
 
 def _tapped(text, dimension: int, weight: float, normalized: bool) -> Column:
-    """Sums of ``weight * code`` by ``code % dimension``: codes are counted first, each distinct one once."""
+    """Sums of ``weight * code`` by ``code % dimension``: each distinct character is counted once, in one pass of a native replace."""
 
-    def counted(codes):
-        return F.transform(F.array_distinct(codes), lambda c: F.struct(c.alias("c"), F.size(F.filter(codes, lambda x: x == c)).alias("n")))
-
-    def summed(counts):
-        one = lambda i: F.aggregate(
-            F.filter(counts, lambda k: F.pmod(k["c"], F.lit(dimension)) == i), F.lit(0.0), lambda s, k: s + k["c"] * k["n"] * F.lit(weight)
+    def counted(t):
+        kinds = F.filter(F.array_distinct(F.split(t, "")), lambda c: c != "")
+        one = lambda c: F.struct(
+            F.pmod(F.ascii(c), F.lit(dimension)).alias("at"), ((F.length(t) - F.length(F.replace(t, c, F.lit("")))) * F.ascii(c) * F.lit(weight)).alias("sum")
         )
-        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), one)
+        return F.transform(kinds, one)
+
+    def summed(sums):
+        by_place = lambda p: F.aggregate(F.filter(sums, lambda k: k["at"] == p), F.lit(0.0), lambda s, k: s + k["sum"])
+        places = F.array_distinct(F.transform(sums, lambda k: k["at"]))
+        spread = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)))
+        return let(F.map_from_arrays(places, F.transform(places, by_place)), spread)
 
     def unit(sums):
         size = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
         return let(F.struct(sums.alias("v"), size.alias("n")), lambda x: F.when(x["n"] > 0, F.transform(x["v"], lambda y: y / x["n"])).otherwise(x["v"]))
 
-    codes = F.transform(F.filter(F.split(col(text), ""), lambda c: c != ""), lambda c: F.ascii(c))
-    sums = let(let(codes, counted), summed)
+    sums = let(let(col(text), counted), summed)
     return let(sums, unit) if normalized else sums
 
 
@@ -88,12 +92,12 @@ def _taps(codes: np.ndarray, dimension: int) -> np.ndarray:
     return out
 
 
-def _unit(v: np.ndarray) -> list[float]:
+def _unit(v: np.ndarray) -> np.ndarray:
     size = np.sqrt(v @ v)
-    return (v / size if size > 0 else v).tolist()
+    return v / size if size > 0 else v
 
 
-def fallback_vector(text: str | None, dimension: int = 1024) -> list[float]:
+def fallback_vector(text: str | None, dimension: int = 1024) -> np.ndarray:
     if not text or not text.strip():
         text = "default text"
     out = _taps(_codes(text.lower().strip()), dimension)
@@ -109,30 +113,35 @@ def _numbered(dimension: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([31 ** len(x) for x in names], np.int64), np.array([_raw_hash(x) for x in names], np.int64)
 
 
-def hashed_vector(text: str | None, dimension: int = 384) -> list[float]:
+def hashed_vector(text: str | None, dimension: int = 384) -> np.ndarray:
     text = text or ""
     out = _taps(_codes(text), dimension)
-    for word in re.split(r"\s+", text.lower()):
-        out[_hash(word) % dimension] += len(word) * 0.3
+    for word, n in Counter(re.split(r"\s+", text.lower())).items():
+        out[_hash(word) % dimension] += n * len(word) * 0.3
     return _unit(out)
 
 
-def _vector_udf(fn):
-    @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(fn, na_action=None)
+def _vector_udf(fn, dimension: int):
+    """An Arrow function of a batch of texts: vectors go out as one block of numbers, not as lists of objects."""
+
+    @F.arrow_udf("array<double>")
+    def embed(texts: pa.Array) -> pa.Array:
+        numbers = np.empty((len(texts), dimension))
+        for i, text in enumerate(texts.to_pylist()):
+            numbers[i] = fn(text, dimension)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, numbers.size + 1, dimension, dtype=np.int32)), pa.array(numbers.reshape(-1)))
 
     return embed
 
 
 def fallback_embedding(text) -> Column:
     """Three taps for each character of the trimmed lower-case text and a small hash term; 1024 numbers."""
-    return _vector_udf(lambda t: fallback_vector(t if isinstance(t, str) else None))(col(text))
+    return _vector_udf(fallback_vector, 1024)(col(text))
 
 
 def hashed_embedding(text) -> Column:
     """Three taps for each character and one for each word; 384 numbers."""
-    return _vector_udf(lambda t: hashed_vector(t if isinstance(t, str) else None))(col(text))
+    return _vector_udf(hashed_vector, 384)(col(text))
 
 
 EMBEDDERS = {

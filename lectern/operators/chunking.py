@@ -11,16 +11,12 @@ _OUT = "array<string>"
 
 
 def pack_words(text, size: int = 1000) -> Column:
-    """Words packed greedily into chunks of at most ``size`` characters; a longer word is a chunk."""
-    start = F.struct(F.array().cast(_OUT).alias("out"), F.lit("").alias("cur"))
-
-    def step(s, w):
-        full = (F.length(s["cur"]) + F.length(w) + 1 > size) & (s["cur"] != "")
-        cur = F.when(full | (s["cur"] == ""), w).otherwise(F.concat(s["cur"], F.lit(" "), w))
-        return F.struct(F.when(full, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]).alias("out"), cur.alias("cur"))
+    """Words packed greedily into chunks of at most ``size`` characters; a longer word is a chunk.
 
-    ws = F.filter(words(trim(text)), lambda w: w != "")
-    return F.aggregate(ws, start, step, lambda s: F.when(s["cur"] != "", F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]))
+    One pass of one pattern over the text with single blanks: the longest run of whole words that fits, else one word.
+    """
+    bare = trim(F.regexp_replace(col(text), r"\s+", " "))
+    return F.regexp_extract_all(bare, F.lit(rf"(?s)[^ ].{{0,{max(size, 1) - 1}}}(?<=[^ ])(?= |\z)|[^ ]+"), F.lit(0))
 
 
 def chunk_pages(text, size: int = 1000, overlap: int = 100) -> Column:
@@ -69,12 +65,9 @@ def chunk_paragraphs(text, size: int = 1000, overlap: int = 150) -> Column:
 
     def step(s, p):
         full = (F.length(s["cur"]) + F.length(p) > size) & (s["cur"] != "")
-        cur = (
-            F.when(full, F.concat(sentence_overlap(s["cur"], overlap), p))
-            .when(s["cur"] == "", p)
-            .otherwise(F.concat(s["cur"], F.lit("\n\n"), p))
-        )
-        return F.struct(F.when(full, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]).alias("out"), cur.alias("cur"))
+        ended = F.struct(F.concat(s["out"], F.array(s["cur"])).alias("out"), F.concat(sentence_overlap(s["cur"], overlap), p).alias("cur"))
+        longer = F.when(s["cur"] == "", p).otherwise(F.concat(s["cur"], F.lit("\n\n"), p))
+        return F.when(full, ended).otherwise(F.struct(s["out"].alias("out"), longer.alias("cur")))
 
     folded = F.aggregate(
         paragraphs(text), start, step, lambda s: F.when(trim(s["cur"]) != "", F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"])
