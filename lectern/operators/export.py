@@ -1,4 +1,4 @@
-"""Exports of documents, libraries, chats and sessions as text columns."""
+"""Exports of documents, libraries, chats and sessions as text columns, and as rows of files (see ``sources.file_export``)."""
 
 from __future__ import annotations
 
@@ -24,8 +24,55 @@ def chunks_markdown(name, chunks, exported) -> Column:
     return F.concat(head, F.array_join(parts, ""))
 
 
-def document_json(*fields: str) -> Column:
-    return F.to_json(F.struct(F.struct(*fields).alias("document")))
+def document_json(*fields: str, exported=None, pretty: bool = False) -> Column:
+    """A document's fields as JSON, with the time of export if given."""
+    parts = [F.struct(*fields).alias("document"), *([col(exported).alias("exportedAt")] if exported is not None else [])]
+    return F.to_json(F.struct(*parts), {"pretty": "true"} if pretty else {})
+
+
+# How files of a document are named, by format.
+ENDINGS = {"txt": "_extracted.txt", "json": "_data.json", "chunks": "_chunks.md"}
+
+
+def document_files(docs: DataFrame, format: str, exported) -> DataFrame:
+    """``name``, ``content`` of one file for each document (``doc_id``, ``name``, ``content``, ``chunks``): its text, its data or its chunks."""
+    name = bare_name("name")
+    contents = {
+        "txt": lambda: F.coalesce("content", F.lit("")),
+        "json": lambda: document_json(F.col("doc_id").alias("id"), "name", "content", "chunks", exported=exported, pretty=True),
+        "chunks": lambda: chunks_markdown("name", "chunks", exported),
+    }
+    return docs.select(F.concat(name, F.lit(ENDINGS[format])).alias("name"), contents[format]().alias("content"))
+
+
+def library_json(docs: DataFrame, method="method", confidence="confidence", quality="quality") -> DataFrame:
+    """A JSON object for each document of a library, with how it was processed: rows of a JSON-lines file, so no row holds the library."""
+    stats = F.struct(F.col(method).alias("method"), F.col(confidence).alias("confidence"), F.coalesce(quality, F.lit("unknown")).alias("quality"))
+    return docs.select(
+        "doc_id",
+        F.to_json(
+            F.struct(
+                F.col("doc_id").alias("id"), "name", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("type", F.lit("unknown")).alias("type"),
+                F.coalesce("chunks", F.array()).alias("chunks"), stats.alias("processingStats"),
+            )
+        ).alias("json"),
+    )
+
+
+def html_escaped(text) -> Column:
+    return F.replace(F.replace(F.replace(col(text), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def chat_html(messages: DataFrame, by: str = "conv_id", order: str = "turn", text: str = "text", title: str = "Chat Export") -> DataFrame:
+    """Each conversation as an HTML page to print: ``html``. Texts are escaped; line ends become breaks."""
+    body = F.replace(html_escaped(F.coalesce(F.col(text), F.lit(""))), F.lit("\n"), F.lit("<br>"))
+    who = F.when(F.col("role") == "user", "User").otherwise("Assistant")
+    entry = F.concat(
+        F.lit('<div class="message '), html_escaped(F.coalesce("role", F.lit(""))), F.lit('"><h3>'), who, F.lit("</h3><p>"), body, F.lit("</p></div>\n")
+    )
+    head = f"<!DOCTYPE html>\n<html>\n<head><title>{title}</title></head>\n<body>\n<h1>{title}</h1>\n"
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(order, entry.alias("entry")))), lambda x: x["entry"])
+    return messages.groupBy(by).agg(F.concat(F.lit(head), F.array_join(rows, ""), F.lit("</body>\n</html>\n")).alias("html"))
 
 
 def library_entry(number, name, size, kind, n_chunks, first_chunk) -> Column:
@@ -66,10 +113,6 @@ def share_preview(messages: DataFrame, by: str = "conv_id", order: str = "turn",
     return recent.groupBy(by).agg(F.count("*").alias("shared"), F.array_join(shown_rows, "\n").alias("preview"), F.base64(F.encode(payload, "UTF-8")).alias("link"))
 
 
-def write_text(df: DataFrame, column: str, path: str) -> None:
-    df.select(F.col(column).alias("value")).write.text(path, lineSep="\n")
-
-
 def chat_json(messages: DataFrame, by: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
     """Each conversation as JSON: ``json``."""
     entry = F.struct(F.col(order).alias("id"), F.col("role"), F.col(text).alias("content"))
