@@ -78,6 +78,9 @@ def export_library_json(spark, sf_dir):
 _LINES = f"""l AS (SELECT doc_id, source, n_chars, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents
  WHERE doc_id % 10 <> 0), p AS (SELECT *, length(line) % 7 = 0 AS bad, {trim_sql("regexp_replace(line, '\\s+', ' ', 'g')")} AS t FROM l)"""
 _TROUBLE = "'ValueError: not a document'"
+#: Bytes of the text between marks that the server's way finds in a plain text.
+_MARKED = r"""octet_length(encode(array_to_string(list_filter(list_transform(regexp_extract_all(text, '\$\$[^)]+\$\$'), lambda m: substr(m, 2, length(m) - 2)),
+ lambda m: length(m) > 2 AND regexp_matches(m, '[a-zA-Z]')), ' ')))"""
 
 QUERIES = {f.__name__: f for f in (pages_isolated, pages_quarantined, export_files, export_library_json)}
 ORACLES = {
@@ -85,7 +88,7 @@ ORACLES = {
  avg({_SURE}) FILTER (NOT bad AND t <> '') AS confidence, min(page) FILTER (bad) AS first_bad,
  {trim_sql("string_agg(chr(10) || chr(10) || '=== Page ' || page || CASE WHEN bad THEN ' (Error) ===' || chr(10) WHEN t = '' THEN ' (No Content) ===' || chr(10) ELSE ' ===' || chr(10) || t END, '' ORDER BY page)")} AS text
  FROM p GROUP BY doc_id), s AS ({OBSERVE['server_extract']}), a AS (
-SELECT d.doc_id, d.source, d.n_chars, g.*, CASE WHEN g.good > 0 THEN 'Enhanced' WHEN d.doc_id % 20 = 0 AND s.n >= 50 THEN 'Server' ELSE 'Enhanced Fallback' END AS method,
+SELECT d.doc_id, d.source, d.n_chars, g.*, CASE WHEN g.good > 0 THEN 'Enhanced' WHEN d.doc_id % 20 = 0 AND s.n >= 50 OR d.doc_id % 10 <> 0 AND {_MARKED.replace('text', 'd.text')} >= {P.LEAST_SERVER_TEXT} THEN 'Server' ELSE 'Enhanced Fallback' END AS method,
  CASE WHEN d.doc_id % 10 = 0 THEN {_TROUBLE} WHEN first_bad IS NOT NULL THEN 'KeyError: ''font''' ELSE 'Unknown error' END AS problem
  FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id JOIN s ON s.doc_id = d.doc_id)
 SELECT doc_id, method, CASE WHEN method = 'Enhanced' THEN pages ELSE 1 END AS pages, CASE method WHEN 'Enhanced' THEN good WHEN 'Server' THEN 1 ELSE 0 END AS successful_pages,

@@ -1,7 +1,8 @@
 """One file for each row: a data source that writes ``name`` and ``content`` (text) into a folder.
 
 Tasks write below a staging folder of the job; the commit moves the folders of the attempts that counted, one for each task, and drops the rest, so
-neither a task that failed, nor one that ran twice, leaves a file. An abort drops all of it.
+neither a task that failed, nor one that ran twice, leaves a file. An abort drops all of it; what a task that still ran
+then writes stays in the staging folder, whose name hides it from readers.
 """
 
 from __future__ import annotations
@@ -102,5 +103,5 @@ def write_files(rows: DataFrame, path: str) -> None:
 
 def read_files_back(spark: SparkSession, path: str) -> DataFrame:
     """``name``, ``content`` of each file written."""
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return found.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))

@@ -40,8 +40,8 @@ def page_reader(pages_of: Callable[[bytes], Iterable], items_of: Callable[[objec
                     page = next(pages)
                 except StopIteration:
                     return
-                except Exception as e:  # what comes after this page can't be told
-                    yield number, None, f"{type(e).__name__}: {e}"
+                except Exception as e:  # what comes from here on can't be told
+                    yield number if number > 1 else 0, None, f"{type(e).__name__}: {e}"
                     return
                 try:
                     items = [(i["str"], float(i["x"]), float(i["y"])) for i in items_of(page)]
@@ -86,18 +86,15 @@ def read_documents(files: DataFrame, pages_of: Callable, items_of: Callable, lay
     """Documents of ``files`` (``doc_id``, ``name``, ``size``, ``content``), one for each, and the quarantine of their pages.
 
     The first way that gives text counts: pages as read (``Enhanced``), text found in the raw bytes (``Server``), the record of
-    the failure. Bytes are read by the table function and, only for files without a good page, once more for the server's way.
-    Write both results, or cache ``files``, if reading is dear.
+    the failure. The server's way is tried for files without a good page only. Both results read the files; cache them if that is dear.
     """
     pages = read_pages(files.select("doc_id", "content"), pages_of, items_of)
     read = assemble_pages(page_texts(pages, layout)).where("successful_pages > 0")
     first = pages.groupBy("doc_id").agg(F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("page"))).alias("problem"))
-    told = files.select("doc_id", "name", "size").join(first, "doc_id", "left")
-    left = files.join(read.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(True).alias("unread"), server_text("content").alias("server"))
-    joined = told.join(read, "doc_id", "left").join(left, "doc_id", "left")
+    joined = files.join(read, "doc_id", "left").withColumn("server", F.when(F.col("pages").isNull(), server_text("content"))).drop("content").join(first, "doc_id", "left")
     by_server = F.coalesce(F.length("server") >= LEAST_SERVER_TEXT, F.lit(False))
     problem = F.coalesce("problem", F.lit("Unknown error"))
-    chosen = lambda read, server, none: F.when(F.col("unread").isNull(), read).when(by_server, server).otherwise(none)
+    chosen = lambda read, server, none: F.when(F.col("pages").isNotNull(), read).when(by_server, server).otherwise(none)
     count = lambda c, server, none: chosen(F.col(c), F.lit(server), F.lit(none)).cast("long").alias(c)
     some_warned = F.when(F.col("failed_pages") > 0, F.array(F.concat(F.col("failed_pages").cast("string"), F.lit(" pages failed to process")))).otherwise(
         F.array().cast("array<string>")
