@@ -35,7 +35,7 @@ def test_a_bad_page_of_three_leaves_two(spark):
     found = {r["doc_id"]: r for r in docs.collect()}
     assert {(r["doc_id"], r["page"], r["problem"]) for r in quarantined.collect()} == {
         (0, 2, "KeyError: 'font'"), (1, 0, "ValueError: no pages"), (2, 2, "OSError: ends here"), (3, 1, "KeyError: 'font'"), (5, 1, "KeyError: 'font'"),
-        (7, 1, "AttributeError: 'NoneType' object has no attribute 'decode'"),
+        (7, 0, "AttributeError: 'NoneType' object has no attribute 'decode'"),
     }
     assert (found[0]["method"], found[0]["successful_pages"], found[0]["failed_pages"]) == ("Enhanced", 2, 1)
     assert "one page" in found[0]["text"] and "three more" in found[0]["text"] and found[0]["warnings"] == ["1 pages failed to process"]
