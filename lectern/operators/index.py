@@ -6,18 +6,20 @@ rewrite only the partitions they touch.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .filters import compile_filter
+
 SCHEMA = (
     "chunk_id string, doc_id string, chunk_index int, source string, content string, embedding array<double>, "
     "author string, tags array<string>, date timestamp, ts timestamp"
 )
-CONTENT_CHARS = 40_000
 #: Partitions of an index, and tasks that write one of them.
 BUCKETS, WRITERS = 16, 4
 
@@ -68,8 +70,31 @@ class ChunkIndex:
     it replaces anything, and can be repeated if the driver stops midway. One writer at a time; scan again after a change.
     """
 
-    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None, buckets: int = BUCKETS):
-        self.spark, self.path, self.dimension, self.buckets = spark, path.rstrip("/"), dimension, buckets
+    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None, buckets: int = BUCKETS, metric: str = "cosine", content_chars: int | None = None):
+        """An index that exists keeps its own dimension, buckets and metric. ``content_chars`` cuts the texts it stores, for
+        the sake of a reader that takes no more; texts are whole without it."""
+        self.spark, self.path, self.content_chars = spark, path.rstrip("/"), content_chars
+        self.dimension, self.buckets, self.metric = dimension, buckets, metric
+        if kept := self._kept():
+            if dimension and kept["dimension"] and dimension != kept["dimension"]:
+                raise ValueError(f"the index has vectors of {kept['dimension']} numbers, not {dimension}")
+            self.dimension, self.buckets, self.metric = kept["dimension"] or dimension, kept["buckets"], kept["metric"]
+
+    def _kept(self) -> dict | None:
+        files, at = self._file(f"{self.path}/_index.json")
+        if not files.exists(at):
+            return None
+        data = files.open(at)
+        try:
+            return json.loads(bytes(data.readAllBytes()))
+        finally:
+            data.close()
+
+    def _keep(self) -> None:
+        files, at = self._file(f"{self.path}/_index.json")
+        out = files.create(at, True)
+        out.write(bytearray(json.dumps({"dimension": self.dimension, "buckets": self.buckets, "metric": self.metric}).encode()))
+        out.close()
 
     def _file(self, path: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -87,18 +112,38 @@ class ChunkIndex:
         schema = f"{SCHEMA}, bucket int"
         return self.spark.read.schema(schema).parquet(self.path) if self.exists() else self.spark.createDataFrame([], schema)
 
-    def scan(self) -> DataFrame:
-        return self._rows().drop("bucket")
+    def scan(self, spec: dict | None = None) -> DataFrame:
+        """Rows, or those that a filter dictionary lets through.
+
+        Chunk ids asked for by ``$in`` or by value say in which partitions they can be, so only those are read; other
+        comparisons reach the files' own statistics, as rows lie in order of their document.
+        """
+        rows = self._rows()
+        asked = (spec or {}).get("chunk_id")
+        ids = asked.get("$in", [asked["$eq"]] if "$eq" in asked else None) if isinstance(asked, dict) else [asked] if asked is not None else None
+        if ids is not None:
+            rows = rows.where(F.col("bucket").isin(self._buckets_of(ids)) if ids else F.lit(False))
+        return rows.where(compile_filter(spec)).drop("bucket") if spec else rows.drop("bucket")
+
+    def _bucket(self, chunk_id) -> Column:
+        return F.pmod(F.xxhash64(chunk_id), F.lit(self.buckets)).cast("int")
+
+    def _buckets_of(self, ids: list) -> list[int]:
+        wanted = self.spark.createDataFrame([(str(i),) for i in ids], "id string")
+        return sorted({r["b"] for r in wanted.select(self._bucket("id").alias("b")).collect()})
 
     def _shaped(self, rows: DataFrame) -> DataFrame:
         known = {f.split(" ")[0]: f.split(" ", 1)[1] for f in SCHEMA.split(", ")}
         cols = [(F.col(c) if c in rows.columns else F.current_timestamp() if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in known.items()]
-        shaped = rows.select(*cols).withColumn("content", F.substring("content", 1, CONTENT_CHARS))
-        return shaped.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(self.buckets)).cast("int"))
+        shaped = rows.select(*cols)
+        if self.content_chars:
+            shaped = shaped.withColumn("content", F.substring("content", 1, self.content_chars))
+        return shaped.withColumn("bucket", self._bucket("chunk_id"))
 
     def _write(self, rows: DataFrame, mode: str, partitions: str = "static") -> None:
         writer = F.pmod(F.hash("chunk_id", "content"), F.lit(WRITERS))
-        rows.repartition("bucket", writer).write.mode(mode).option("partitionOverwriteMode", partitions).partitionBy("bucket").parquet(self.path)
+        ordered = rows.repartition("bucket", writer).sortWithinPartitions("bucket", "doc_id", "chunk_index")
+        ordered.write.mode(mode).option("partitionOverwriteMode", partitions).partitionBy("bucket").parquet(self.path)
 
     def _replace(self, buckets: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
         """These buckets as ``change`` makes them of their rows; an emptied one goes."""
@@ -142,6 +187,7 @@ class ChunkIndex:
 
     def clear(self) -> None:
         self._write(self._shaped(self.spark.createDataFrame([], SCHEMA)), "overwrite")
+        self._keep()
 
     def count(self) -> int:
         return self.scan().count()
@@ -149,6 +195,12 @@ class ChunkIndex:
     def test_connection(self) -> bool:
         return self.exists()
 
+    def check(self) -> DataFrame:
+        """One row: whether the index is there, its rows and documents, and how many rows have a vector of its dimension."""
+        size = F.coalesce(F.size("embedding"), F.lit(0))
+        fits = size == self.dimension if self.dimension else size > 0
+        return self.scan().agg(F.lit(self.exists()).alias("exists"), F.count("*").alias("rows"), F.count_distinct("doc_id").alias("documents"), F.count_if(fits).alias("fitting"))
+
 
 def _numbers(rows: DataFrame) -> set[int]:
     """Buckets that have rows: as many numbers as an index has partitions at most."""

@@ -18,6 +18,7 @@ from lectern.functions.similarity import cosine_of, dot, norm
 from lectern.functions.text import keyword_form, keyword_score, keyword_score_of, source_document
 
 from .filters import Filters, document_filter
+from .requests import candidate_limit
 
 BROADCAST_QUERIES = 1_000
 BROADCAST_WORDS = 100_000
@@ -70,11 +71,11 @@ def few(df: DataFrame, rows: int = BROADCAST_QUERIES) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def with_scores(queries: DataFrame, chunks: DataFrame, keyword: str | None = None) -> DataFrame:
+def with_scores(queries: DataFrame, chunks: DataFrame, keyword: str | None = None, strict: bool = False) -> DataFrame:
     """Every query and chunk with its ``semantic`` score, and with a profile's name also ``keyword``; null where inputs are missing.
 
     ``queries``: query_id, question, embedding. ``chunks``: chunk_id, content, embedding and more. Norms and keyword forms are
-    computed once for each query and each chunk, before they meet.
+    computed once for each query and each chunk, before they meet. Vectors of another length score 0, or null if ``strict``.
     """
     asked = queries.select("query_id", "question", F.col("embedding").alias("q_vector"), norm("embedding").alias("q_norm"))
     held = chunks.withColumn("c_norm", norm("embedding"))
@@ -85,9 +86,9 @@ def with_scores(queries: DataFrame, chunks: DataFrame, keyword: str | None = Non
     if keyword:
         pairs = pairs.withColumn("keyword", keyword_score_of("q_words", "c_words", PROFILES[keyword].empty_is_zero)).drop("q_words", "c_words")
     same = F.size("q_vector") == F.size("embedding")
-    semantic = F.when(same, cosine_of(dot("q_vector", "embedding"), F.col("q_norm"), F.col("c_norm"))).when(
-        F.col("q_vector").isNotNull() & F.col("embedding").isNotNull(), 0.0
-    )
+    semantic = F.when(same, cosine_of(dot("q_vector", "embedding"), F.col("q_norm"), F.col("c_norm")))
+    if not strict:
+        semantic = semantic.when(F.col("q_vector").isNotNull() & F.col("embedding").isNotNull(), 0.0)
     return pairs.withColumn("semantic", semantic).drop("q_norm", "c_norm", "q_vector")
 
 
@@ -179,6 +180,22 @@ def _search_by_words(queries: DataFrame, chunks: DataFrame, mode: str, limit: in
     return scored.withColumn("score", F.col("keyword")) if mode == "keyword" else _ranked_score(scored, 0.3, limit)
 
 
+def two_stage_search(queries: DataFrame, chunks: DataFrame, backend: str, limit: int = 10, ties=("chunk_id",)) -> DataFrame:
+    """Hybrid search as over a remote index, which is asked for more hits than wanted, as many as ``candidate_limit`` says; the mixture ranks those alone.
+
+    A backend that is asked once, by vector, has the keyword score of each candidate; of one that is asked for both parts, a
+    chunk that only one part gave has 0 for the other.
+    """
+    asked = candidate_limit(backend, "hybrid", limit)
+    scored = with_scores(queries, chunks, backend).where("semantic is not null")
+    both = top_k(scored, asked.get("semantic", asked.get("hybrid")), "semantic", ties=ties).select("query_id", *ties, "semantic", "keyword")
+    if "keyword" in asked:
+        worded = top_k(scored.where("keyword > 0"), asked["keyword"], "keyword", ties=ties).select("query_id", *ties, "keyword")
+        both = both.drop("keyword").join(worded, ["query_id", *ties], "full_outer").fillna(0.0, ["semantic", "keyword"])
+    mixed = both.withColumn("score", F.round(mixed_score(backend, F.col("semantic"), F.col("keyword")), 6))
+    return top_k(mixed.where(F.col("score") >= threshold_of(backend, "hybrid", None)), limit, ties=ties)
+
+
 def diverse_top_k(
     scored: DataFrame, k, score: str = "similarity", by: str = "query_id", source: str = "source", ties=("doc_id", "chunk_index")
 ) -> DataFrame:
