@@ -75,8 +75,3 @@ def sound_embedding(chunks: str, embeddings: str, dim: int) -> Column:
     """Documents whose chunks and embeddings pair up and have the query's dimension."""
     c, e = F.col(chunks), F.col(embeddings)
     return F.coalesce((F.size(c) == F.size(e)) & (F.size(e) > 0) & (F.size(F.get(e, F.lit(0))) == dim), F.lit(False))
-
-
-def allowed(value: str, choices: list[str], default: str) -> Column:
-    """A value from a list, or the default."""
-    return F.when(F.col(value).isin(choices), F.col(value)).otherwise(F.lit(default))

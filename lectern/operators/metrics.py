@@ -49,11 +49,31 @@ def session_metrics(interactions: DataFrame) -> DataFrame:
     )
 
 
-def running_metrics(interactions: DataFrame, ties=("ts",)) -> DataFrame:
-    """Session metrics after each interaction."""
-    so_far = W.partitionBy("session_id").orderBy(*ties).rowsBetween(W.unboundedPreceding, 0)
-    return interactions.select(
-        "*", F.count("*").over(so_far).alias("queries_so_far"), F.avg("response_time").over(so_far).alias("avg_response_so_far")
+def in_blocks(rows: DataFrame, by: str, order, block: str, **sums: str) -> DataFrame:
+    """``rows`` with ``_block``, a span of time, and what the earlier blocks of their key held: ``_before`` rows, and the sums asked for.
+
+    Only totals of blocks are put in order by key, so a key that holds a third of all rows is as many tasks as it has blocks. The
+    first column of ``order`` is a time.
+    """
+    start = F.window(F.col(order[0]).cast("timestamp"), block)["start"]
+    placed = rows.withColumn("_block", start)
+    totals = placed.groupBy(by, "_block").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()])
+    earlier = W.partitionBy(by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    carried = totals.select(F.col(by).alias("_key"), F.col("_block").alias("_at"), so_far("_n").alias("_before"), *[so_far(f"_sum_{n}").alias(f"_before_{n}") for n in sums])
+    same = placed[by].eqNullSafe(carried["_key"]) & placed["_block"].eqNullSafe(carried["_at"])
+    return placed.join(carried, same).drop("_key", "_at")
+
+
+def running_metrics(interactions: DataFrame, ties=("ts",), block: str = "1 day") -> DataFrame:
+    """Session metrics after each interaction; sessions are summed by blocks of time, so a long one is many tasks."""
+    given = interactions.withColumn("_given", F.col("response_time").isNotNull().cast("long"))
+    placed = in_blocks(given, "session_id", ties, block, time="response_time", given="_given")
+    so_far = W.partitionBy("session_id", "_block").orderBy(*ties).rowsBetween(W.unboundedPreceding, 0)
+    n = F.col("_before_given") + F.sum("_given").over(so_far)
+    total_time = F.col("_before_time") + F.coalesce(F.sum("response_time").over(so_far), F.lit(0))
+    return placed.select(
+        *interactions.columns, (F.col("_before") + F.count("*").over(so_far)).alias("queries_so_far"), (total_time / F.nullif(n, F.lit(0))).alias("avg_response_so_far")
     )
 
 
@@ -76,14 +96,6 @@ def message_metrics(messages: DataFrame, text: str = "content", failed: str = "e
     )
 
 
-def page_summary(pages: DataFrame) -> DataFrame:
-    """Successful and failed pages and mean confidence of successful ones, for each document."""
-    return pages.groupBy("doc_id").agg(
-        F.count_if("ok").alias("successful_pages"), F.count_if(~F.col("ok")).alias("failed_pages"),
-        F.coalesce(F.avg(F.when(F.col("ok"), F.col("confidence"))), F.lit(0.0)).alias("confidence"),
-    )
-
-
 # What each measure above its bounds costs of a score of 100.
 DEDUCTIONS = {
     "memory": ((80, 20), (60, 10)),
@@ -135,10 +147,25 @@ def diagnostic_report(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", line.alias("report"))
 
 
-def sliding_means(history: DataFrame, values: list[str], by: str, order: list[str], last: int = 10) -> DataFrame:
-    """Means of the last ``last`` rows up to each row."""
-    recent = W.partitionBy(by).orderBy(*order).rowsBetween(1 - last, 0)
-    return history.select("*", *[F.avg(v).over(recent).alias(f"recent_{v}") for v in values])
+#: Rows of a key that are averaged in one task.
+TILE = 8_192
+
+
+def sliding_means(history: DataFrame, values: list[str], by: str, order: list[str], last: int = 10, block: str = "1 day", tile: int = TILE) -> DataFrame:
+    """Means of the last ``last`` rows up to each row.
+
+    Rows of a key are numbered by blocks of time and cut in tiles of ``tile``; a tile has the last rows of the one before as well.
+    """
+    placed = in_blocks(history, by, order, block)
+    within = W.partitionBy(by, "_block").orderBy(*order)
+    nth = (F.col("_before") + F.row_number().over(within) - 1).cast("long")
+    numbered = placed.withColumn("_nth", nth).drop("_block", "_before")
+    own = F.floor(F.col("_nth") / tile)
+    also = F.when(F.col("_nth") % tile > tile - last, F.array(own, own + 1)).otherwise(F.array(own))
+    tiled = numbered.withColumn("_tile", F.explode(also))
+    recent = W.partitionBy(by, "_tile").orderBy("_nth").rowsBetween(1 - last, 0)
+    found = tiled.select("*", *[F.avg(v).over(recent).alias(f"recent_{v}") for v in values])
+    return found.where(F.col("_tile") == own).drop("_nth", "_tile")
 
 
 def last_rows(rows: DataFrame, n: int, by: str, order: list[str]) -> DataFrame:

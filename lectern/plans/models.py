@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.functions.sql import register
 from lectern.operators import models as M
-from lectern.operators.ask import query_simple
+from lectern.operators.ask import NO_CHUNKS, query_simple
 
-from .library import _ANSWERED, _ASKED
+from .library import _ANSWERED, _ASKED, _KIND, _LIMIT, _found
 from .search import ORACLES as SEARCH
 from .tables import chunks, documents, table, trim_sql, vector_queries
 from .text import ORACLES as TEXT
@@ -74,9 +77,36 @@ def cosine_threshold_sql(spark, sf_dir):
  JOIN {embeddings} q ON q.vec_id = 0 WHERE vector_cosine(e.embedding, q.embedding) >= 0.1""")
 
 
+def _offline_sql(prompt: str) -> str:
+    """The stand-in's reply to a prompt, as one SQL expression."""
+    words = rf"regexp_split_to_array(lower({prompt}), '\s+')"
+    return f"""('You asked: "' || substr({prompt}, 1, 100) || CASE WHEN length({prompt}) > 100 THEN '...' ELSE '' END || '"' || chr(10) || chr(10)
+ || CASE WHEN list_has_any({words}, ['summary', 'summarize', 'overview']) THEN 'Summary requested.' WHEN list_has_any({words}, ['find', 'search', 'locate', 'where'])
+  THEN 'Search requested.' ELSE 'No language model is configured.' END)"""
+
+
+_NL = "chr(10) || chr(10)"
+_PREFIX = "CASE query_id WHEN 7 THEN {complex} ELSE {simple} END"
+
+
+def _ask_offline_sql() -> str:
+    share = lambda level: floor(4000 * T.ALLOCATIONS[level][0]) * T.CONTEXT_SHARE
+    prefix = _PREFIX.format(complex=share("complex"), simple=share("simple"))
+    return f"""{_found(_LIMIT)}, u AS (SELECT *, sum(ceil(length(content) / 4)) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM f
+), g AS (SELECT query_id, count(*) AS n, avg(s) AS relevance, string_agg(content, {_NL} ORDER BY rank) AS context FROM u WHERE so_far <= {prefix} GROUP BY query_id
+), i AS (SELECT q.query_id, question, coalesce(n, 0) AS n, coalesce(relevance, 0) AS relevance, 'Context:' || chr(10) || context || {_NL} || 'Question: ' || question AS prompt
+ FROM q LEFT JOIN g ON g.query_id = q.query_id
+), a AS (SELECT *, {_offline_sql('prompt')} AS initial FROM i
+), critiqued AS (SELECT *, {_offline_sql(f"('Review this answer.' || {_NL} || 'Question: ' || question || chr(10) || 'Answer: ' || initial)")} AS critique FROM a
+), r AS (SELECT *, {_offline_sql(f"('Question: ' || question || {_NL} || 'Answer: ' || initial || {_NL} || 'Improve: ' || critique)")} AS refined FROM critiqued)
+SELECT query_id, {_KIND} AS kind, CASE query_id WHEN 7 THEN 'complex' ELSE 'simple' END AS level, n::INTEGER AS n, round(relevance, 6) AS relevance,
+ CASE WHEN n = 0 THEN '{NO_CHUNKS}' WHEN query_id = 7 THEN refined ELSE initial END AS answer FROM r"""
+
+
 _T = "CASE WHEN doc_id % 17 > 0 THEN text ELSE ' ' || chr(10) END"
 QUERIES = {f.__name__: f for f in (embed_by_model, embed_remote_or_local, ask_by_model, chunk_pack_sql, chunk_fixed_sql, chunk_paragraph_sql, cosine_threshold_sql)}
 ORACLES = {
+    "ask_offline": _ask_offline_sql(),
     "embed_by_model": f"""WITH t AS (SELECT doc_id, {_T} AS text FROM documents
 ), k AS (SELECT doc_id, text, CASE WHEN {trim_sql('text')} = '' THEN 'invalid' WHEN length(text) % 11 = 0 OR length(text) % 13 = 0 THEN 'local' ELSE 'model' END AS made_by FROM t
 ), e AS (SELECT doc_id, made_by, text, CASE WHEN made_by = 'local' AND length(text) % 11 = 0 THEN 'ConnectionError: 429' WHEN made_by = 'local' THEN 'unusable value' ELSE '' END AS error FROM k

@@ -1,12 +1,9 @@
-"""Streams: progress events, answer tokens, periodic metrics and arriving documents."""
+"""Events of running questions, answer tokens and periodic metrics."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from lectern.functions.text import col
 
@@ -60,9 +57,3 @@ def session_windows(events: DataFrame, gap: str = "30 minutes", late: str = "1 h
     timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
     timed = timed.withWatermark(ts, late) if events.isStreaming else timed
     return timed.groupBy(by, F.session_window(ts, gap).alias("session")).agg(F.count("*").alias("n"))
-
-
-def each_batch(stream: DataFrame, into: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Run ``into(batch, number)`` for what has arrived, then stop; a restart goes on from the checkpoint."""
-    writer = stream.writeStream.foreachBatch(into).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    return writer.start()
