@@ -350,6 +350,28 @@ def iso_date(ts) -> Column:
     return F.date_format(col(ts), "yyyy-MM-dd")
 
 
+def locale_date(ts) -> Column:
+    """The day of a time as shown in en-US, ``Unknown`` for none."""
+    return F.coalesce(F.date_format(col(ts), "M/d/yyyy"), F.lit("Unknown"))
+
+
+def locale_time(ts) -> Column:
+    """A time as shown in en-US."""
+    return F.date_format(col(ts), "M/d/yyyy, h:mm:ss a")
+
+
+def file_date(text) -> Column:
+    """A time from a file's metadata: ``D:YYYYMMDDHHmmSS`` with an offset, cut off anywhere after the year, or ISO 8601; null if it is neither."""
+    x = F.trim(col(text))
+    digits = F.regexp_extract(x, r"^D:(\d{4,14})", 1)
+    # what isn't given is the first month and day, midnight
+    whole = F.try_to_timestamp(F.concat(digits, F.substring(F.lit("00000101000000"), F.length(digits) + 1, F.lit(14))), F.lit("yyyyMMddHHmmss"))
+    zone = lambda n: F.regexp_extract(x, r"^D:\d{14}([+-])(\d\d)'?(\d\d)?", n)
+    number = lambda n: F.coalesce(F.nullif(zone(n), F.lit("")).cast("int"), F.lit(0))
+    minutes = F.when(zone(1) == "-", -1).otherwise(1) * (number(2) * 60 + number(3))
+    return F.when(digits != "", F.timestamp_add("MINUTE", -minutes, whole)).otherwise(x.try_cast("timestamp"))
+
+
 def score_band(score) -> Column:
     return first_match([(col(score) >= 0.8, "green"), (col(score) >= 0.6, "yellow")], "red")
 

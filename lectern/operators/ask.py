@@ -33,6 +33,25 @@ def query_simple(queries: DataFrame, chunks: DataFrame, **options) -> DataFrame:
     return ask(queries, chunks, level="simple", **options).select("query_id", "answer", "sources", "relevance", "retrieved")
 
 
+INSTRUCTIONS = "Answer from the passages given, cite them, and use Markdown."
+#: How an answer of each kind of question should look.
+FORMATS = {
+    "summary": "Begin with an overview, then sections with headings.",
+    "analysis": "Give the reasoning, its evidence and what follows from it.",
+    "timeline": "List dates and events in order, in a table.",
+    "data": "Put numbers in tables with units.",
+    "process": "Number the steps.",
+    "comparison": "Compare side by side in a table.",
+    "general": "Answer directly, under headings where they help.",
+}
+
+
+def system_prompt(kind) -> Column:
+    """What a model is told before a question of some kind; an unknown kind is a general one."""
+    k = T.col(kind)
+    return F.concat(F.lit(INSTRUCTIONS + "\n\n"), T.first_match([(k == name, form) for name, form in FORMATS.items()], FORMATS["general"]))
+
+
 def context_prompt(question, context) -> Column:
     return F.concat(F.lit("Context:\n"), T.col(context), F.lit("\n\nQuestion: "), T.col(question))
 

@@ -44,3 +44,8 @@ def append(events: DataFrame, path: str) -> None:
 def read_log(spark, path: str, event: str | None = None) -> DataFrame:
     rows = spark.read.schema("session_id string, seq long, event string, payload string").parquet(path)
     return rows.where(F.col("event") == event) if event else rows
+
+
+def clear(spark, path: str) -> None:
+    """An empty log in the place of the old one."""
+    spark.createDataFrame([], "session_id string, seq long, event string, payload string").write.mode("overwrite").parquet(path)

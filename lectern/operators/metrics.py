@@ -151,6 +151,35 @@ def diagnostic_report(docs: DataFrame) -> DataFrame:
 TILE = 8_192
 
 
+def engine_state(initialized, model_ready, documents) -> Column:
+    """Whether questions can be asked, and if not, what is missing first."""
+    return F.when(~col(initialized), "not initialized").when(~col(model_ready), "no model").when(col(documents) == 0, "no documents").otherwise("ready")
+
+
+def system_report(status: DataFrame, diagnostics: DataFrame, provider: str | None, model: str | None, state: Column | None = None) -> DataFrame:
+    """The report on a library as rows of Markdown, ``section``, ``nth``, ``text``: totals, then one row for each document, so no row holds them all.
+
+    ``status`` is of ``library_status``, ``diagnostics`` of ``document_diagnostics``.
+    """
+    line = lambda name, value: F.concat(F.lit(f"- **{name}:** "), value.cast("string"), F.lit("\n"))
+    totals = status.select(
+        F.lit("status").alias("section"), F.lit(0).cast("long").alias("nth"),
+        F.concat(
+            line("State", state if state is not None else engine_state(F.lit(True), F.lit(model is not None), "documents")),
+            line("Provider", F.lit(provider or "Not Set")), line("Model", F.lit(model or "Not Set")), line("Documents", F.col("documents")),
+            line("Total Chunks", F.col("chunks")), line("Total Embeddings", F.col("embeddings")),
+        ).alias("text"),
+    )
+    of_document = diagnostics.select(
+        F.lit("document").alias("section"), F.col("doc_id").cast("long").alias("nth"),
+        F.concat(
+            line("Chunks", F.col("n_chunks")), line("Embeddings", F.col("n_embeddings")), line("Valid Structure", F.when(F.col("sound"), "yes").otherwise("no")),
+            line("Embedding Dimension", F.col("dimension")), line("Preview", F.col("preview")),
+        ).alias("text"),
+    )
+    return totals.unionByName(of_document)
+
+
 def sliding_means(history: DataFrame, values: list[str], by: str, order: list[str], last: int = 10, block: str = "1 day", tile: int = TILE) -> DataFrame:
     """Means of the last ``last`` rows up to each row.
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("plans.search", "plans.text", "plans.observe", "plans.library", "plans.streams", "plans.files", "plans.indexes", "plans.models")
+MODULES = ("plans.search", "plans.text", "plans.observe", "plans.library", "plans.streams", "plans.files", "plans.indexes", "plans.models", "plans.states")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

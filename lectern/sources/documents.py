@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.text import col, extraction_quality, first_given, first_match, text_confidence, trim
+from lectern.functions.text import col, extraction_quality, file_date, first_given, first_match, text_confidence, trim
 
 MEGABYTE = 1024 * 1024
 #: Largest upload by reader.
@@ -152,11 +152,12 @@ def plain_text(content) -> Column:
     return F.decode(col(content), "UTF-8")
 
 
-def document_metadata(title, author, subject, name) -> Column:
-    """Title or file name, author or Unknown, subject or nothing; empty counts as missing."""
+def document_metadata(title, author, subject, name, created=None, modified=None) -> Column:
+    """Title or file name, author or Unknown, subject or nothing; empty counts as missing. Dates, if given, as times, null where they can't be read."""
+    dates = [file_date(x).alias(n) for x, n in ((created, "created"), (modified, "modified")) if x is not None]
     return F.struct(
         first_given(title, name).alias("title"), F.coalesce(first_given(author), F.lit("Unknown")).alias("author"),
-        F.coalesce(col(subject), F.lit("")).alias("subject"),
+        F.coalesce(col(subject), F.lit("")).alias("subject"), *dates,
     )
 
 
