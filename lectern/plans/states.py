@@ -102,7 +102,7 @@ SELECT o_orderkey, 'f.pdf' AS title, strftime(t, '%Y-%m-%d %H:%M:%S') AS created
     "log_cleared": "SELECT user_id::VARCHAR AS session_id, event_id AS seq, event_type AS kind FROM events WHERE event_id % 10 = 0",
     "ingest_vectors": f"""WITH r AS MATERIALIZED (SELECT doc_id, chunk_index, content FROM {_INGESTED}
 ), c AS (SELECT doc_id, chunk_index, unicode(unnest(string_split(content, ''))) AS code FROM r
-), s AS (SELECT doc_id, chunk_index, code % 384 AS at, sum(code) / 128 AS x FROM c GROUP BY ALL
-), m AS (SELECT doc_id, chunk_index, map_from_entries(list(row(at, x))) AS m FROM s GROUP BY ALL)
+), s AS (SELECT doc_id, chunk_index, code % 384 AS place, sum(code) / 128 AS x FROM c GROUP BY ALL
+), m AS (SELECT doc_id, chunk_index, map_from_entries(list(row(place, x))) AS m FROM s GROUP BY ALL)
 SELECT doc_id, chunk_index, md5(array_to_string(list_transform(range(384), lambda i: printf('%.7f', coalesce(m[i], 0.0))), ' ')) AS digest FROM m""",
 }
