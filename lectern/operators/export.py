@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from lectern.functions.text import col, file_size
 
 
+# Fixed values in what follows: the headings and marks of exported files.
+
+
 def bare_name(name) -> Column:
     """A file name without its PDF ending, whatever its case."""
     return F.regexp_replace(col(name), r"(?i)\.pdf$", "")

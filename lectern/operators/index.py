@@ -7,6 +7,7 @@ rewrite only the partitions they touch.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -20,8 +21,8 @@ SCHEMA = (
     "chunk_id string, doc_id string, chunk_index int, source string, content string, embedding array<double>, "
     "author string, tags array<string>, date timestamp, ts timestamp"
 )
-#: Partitions of an index, and tasks that write one of them.
-BUCKETS, WRITERS = 16, 4
+#: Partitions of an index.
+BUCKETS = 16
 
 
 def latest(rows: DataFrame, key: str = "chunk_id", order: str = "ts") -> DataFrame:
@@ -105,6 +106,12 @@ class ChunkIndex:
         return files.exists(at)
 
     def create(self) -> None:
+        """Make the index if it isn't there; what a writer left that stopped midway goes."""
+        files, at = self._file(self.path)
+        if files.exists(at.getParent()):
+            for left in files.listStatus(at.getParent()):
+                if re.fullmatch(rf"{re.escape(at.getName())}-(staged|new)-[0-9a-f]{{32}}", left.getPath().getName()):
+                    files.delete(left.getPath(), True)
         if not self.exists():
             self.clear()
 
@@ -141,8 +148,8 @@ class ChunkIndex:
         return shaped.withColumn("bucket", self._bucket("chunk_id"))
 
     def _write(self, rows: DataFrame, mode: str, partitions: str = "static") -> None:
-        writer = F.pmod(F.hash("chunk_id", "content"), F.lit(WRITERS))
-        ordered = rows.repartition("bucket", writer).sortWithinPartitions("bucket", "doc_id", "chunk_index")
+        # large partitions are written by several tasks, small ones together by one, as their sizes turn out
+        ordered = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "doc_id", "chunk_index")
         ordered.write.mode(mode).option("partitionOverwriteMode", partitions).partitionBy("bucket").parquet(self.path)
 
     def _replace(self, buckets: list[int], change: Callable[[DataFrame], DataFrame]) -> None:

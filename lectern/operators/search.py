@@ -118,11 +118,26 @@ def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75
     return posts.join(few(asked, BROADCAST_WORDS), "word").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("bm25"))
 
 
-def fused_rank(by: str = "query_id", ties=("chunk_id",)) -> Column:
-    """Rows of either ranking, by semantic score and by ``bm25``, fused by reciprocal ranks."""
-    place = lambda c: F.row_number().over(W.partitionBy(by).orderBy(F.desc_nulls_last(c), *ties))
-    part = lambda c, share: F.when(F.col(c).isNotNull(), share / (FUSION_OFFSET + place(c))).otherwise(0.0)
-    return part("semantic", SEMANTIC_SHARE) + part("bm25", 1 - SEMANTIC_SHARE)
+def rank_in_parts(scored: DataFrame, score: str, name: str, step: float, by: str = "query_id", ties=("chunk_id",)) -> DataFrame:
+    """``scored`` with the place of each row in its query's order as ``name``.
+
+    Scores are cut in spans of ``step``; rows are ordered within a span, and only the spans' counts by query, so no task has all rows of a query.
+    """
+    placed = scored.withColumn("_span", F.floor(F.col(score) / step))
+    above = W.partitionBy(by).orderBy(F.desc("_span")).rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy(by, "_span").agg(F.count("*").alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
+    within = W.partitionBy(by, "_span").orderBy(F.desc(score), *ties)
+    return placed.join(counts, [by, "_span"]).withColumn(name, F.col("_above") + F.row_number().over(within)).drop("_span", "_above")
+
+
+def fused(near: DataFrame, worded: DataFrame, ties=("chunk_id",)) -> DataFrame:
+    """Two rankings, by ``semantic`` and by ``bm25``, as one ``score`` by reciprocal ranks; a chunk may be in one of them only."""
+    keys = list(dict.fromkeys(["query_id", "chunk_id", *ties]))
+    a = rank_in_parts(near, "semantic", "_near", 0.001, ties=ties).select(*keys, "semantic", "_near")
+    b = rank_in_parts(worded, "bm25", "_worded", 0.01, ties=ties).select(*keys, "bm25", "_worded")
+    part = lambda place, share: F.coalesce(share / (FUSION_OFFSET + F.col(place)), F.lit(0.0))
+    joined = a.join(b, keys, "full_outer")
+    return joined.withColumn("score", part("_near", SEMANTIC_SHARE) + part("_worded", 1 - SEMANTIC_SHARE)).drop("_near", "_worded")
 
 
 def search(
@@ -164,18 +179,16 @@ def _ranked_score(ranked: DataFrame, floor: float, limit: int) -> DataFrame:
 
 
 def _search_by_words(queries: DataFrame, chunks: DataFrame, mode: str, limit: int, threshold: float | None, ties) -> DataFrame:
-    """Keyword scores are computed for hits only, after ranking."""
-    found = bm25(queries, chunks)
+    """Texts and keyword scores are met by hits only, after ranking."""
+    keys = list(dict.fromkeys(["chunk_id", *ties]))
+    worded = bm25(queries, chunks).join(chunks.select(*keys), "chunk_id")
     if mode == "keyword":
-        keys = list(dict.fromkeys(["chunk_id", *ties]))
-        best = top_k(found.join(chunks.select(*keys), "chunk_id"), limit, "bm25", ties=ties).select("query_id", "chunk_id", "rank", "bm25")
-        ranked = best.join(chunks, "chunk_id")
+        best = top_k(worded, limit, "bm25", ties=ties).select("query_id", "chunk_id", "rank", "bm25")
     else:
-        pairs = with_scores(queries, chunks).join(found, ["query_id", "chunk_id"], "left")
-        near = F.when(F.col("semantic") >= (threshold or PROFILES["weaviate"].semantic), F.round("semantic", 9))
-        either = pairs.withColumn("semantic", near).where("semantic is not null or bm25 is not null")
-        ranked = top_k(either.withColumn("score", fused_rank(ties=ties)), limit, ties=ties).drop("question")
-    scored = ranked.join(few(queries.select("query_id", "question")), "query_id")
+        near = with_scores(queries, chunks.select(*keys, "embedding"))
+        near = near.where(F.col("semantic") >= (threshold or PROFILES["weaviate"].semantic)).select("query_id", *keys, F.round("semantic", 9).alias("semantic"))
+        best = top_k(fused(near, worded, ties), limit, ties=ties).select("query_id", "chunk_id", "rank", "semantic", "bm25", "score")
+    scored = best.join(chunks, "chunk_id").join(few(queries.select("query_id", "question")), "query_id")
     scored = scored.withColumn("keyword", keyword_score("question", "content", empty_is_zero=True)).drop("question")
     return scored.withColumn("score", F.col("keyword")) if mode == "keyword" else _ranked_score(scored, 0.3, limit)
 

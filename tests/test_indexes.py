@@ -87,3 +87,24 @@ def test_long_texts_stay_whole(spark, tmp_path):
     rows = spark.createDataFrame([("a", "1", "y" * 90_000, [1.0])], "chunk_id string, doc_id string, content string, embedding array<double>")
     index.upsert(rows)
     assert len(index.scan().collect()[0]["content"]) == 90_000
+
+
+def test_what_a_stopped_writer_left_goes(spark, tmp_path):
+    index = ChunkIndex(spark, f"{tmp_path}/i")
+    for name in ("i-staged-" + "0" * 32, "i-new-" + "a" * 32, "i-other", "ii-new-" + "a" * 32):
+        (tmp_path / name).mkdir()
+    index.create()
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["i", "i-other", "ii-new-" + "a" * 32]
+
+
+def test_places_by_spans_of_scores(spark):
+    from lectern.operators.search import rank_in_parts
+
+    rng = np.random.default_rng(4)
+    rows = [(q, i, float(rng.integers(-40, 40)) / 16) for q in range(3) for i in range(200)]
+    df = spark.createDataFrame(rows, "query_id long, chunk_id long, score double")
+    for step in (0.001, 0.5, 100.0):
+        found = {(r["query_id"], r["chunk_id"]): r["place"] for r in rank_in_parts(df, "score", "place", step).collect()}
+        for q in range(3):
+            order = sorted((-s, i) for a, i, s in rows if a == q)
+            assert [found[q, i] for _, i in order] == list(range(1, 201))
