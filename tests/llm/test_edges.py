@@ -159,3 +159,76 @@ def test_empty_tables_of_all_that_read_texts(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialize(stage(spark, docs, ""), "t")
     assert docs.count() == 0
+
+
+# -- pipeline --------------------------------------------------------------------------------------
+
+
+def filtered(rows):
+    """Documents and texts after the first three stages, by plain loops. ``rows``: doc_id, text, source."""
+    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    bare = lambda line: line.strip(" \t\n\x0b\f\r")
+    pages, spread = defaultdict(set), defaultdict(set)
+    for _, text, source in rows:
+        pages[source].add(text)
+    for source, texts in pages.items():
+        for text in texts:
+            for line in set(map(bare, text.split("\n"))) - {""}:
+                spread[source, line].add(text)
+    from lectern.llm import line_dedup
+
+    gone = {k for k, v in spread.items() if len(v) >= line_dedup.MIN_PAGES and len(v) > line_dedup.RATIO * len(pages[k[0]])}
+    rows = [(i, "\n".join(x for x in text.split("\n") if (source, bare(x)) not in gone), source) for i, text, source in rows]
+    sets = []
+    for _, text, _ in rows:
+        w = text.encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    best = {}
+    for i, r in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), r), r, key=lambda x: x[0])
+    return sorted((i, text) for i, text, _ in best.values())
+
+
+def test_documents_that_the_pipeline_keeps_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    boiler = "All rights reserved here."
+    copies = [said(77, 60) + "\n" + said(78, 40), said(77, 60) + "\n" + said(78, 39), "12 34"]
+    added = [(10_000 + i, f"{boiler}\n{said(300 + i, 30)}\n \n{boiler}", "en", "made", 1) for i in range(30)]
+    added += [(20_000 + i, t, "en", "made", 1) for i, t in enumerate(copies * 3)] + [(30_000, None, None, None, None), (30_001, "", "en", "made", 0)]
+    docs = docs.unionByName(spark.createDataFrame(added, docs.schema)).repartition(3)
+    want = filtered([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()])
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = corpus_pipeline.materialize(stage(spark, kept, ""), "t")
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    assert all(boiler not in t for _, t in want) and len([1 for i, _ in want if i >= 20_000]) == 1
+
+
+def test_each_stage_takes_all_its_predecessor_kept(spark, tmp_path):
+    """The run as a whole: pieces cover the documents of the mix, each as often as it was taken, whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = corpus_pipeline.materialize(stage(spark, kept, str(tmp_path)), "t")
+    copies = {r["doc_id"]: r["count"] for r in kept.groupBy("doc_id").count().collect()}
+    text = {r["doc_id"]: r["text"] for r in kept.select("doc_id", "text").distinct().collect()}
+    tokenizer = packing.WordTokenizer(packing.default_tokenizer())
+    ids = {i: tokenizer.tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in text.items()}
+    laid = defaultdict(int)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"] and len(part) == r["length"]
+        laid[r["doc_id"]] += r["length"]
+    assert laid == {i: n * len(ids[i]) for i, n in copies.items()}
