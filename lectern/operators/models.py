@@ -114,22 +114,24 @@ def finite_vector(value) -> bool:
         return False
 
 
-def embed_with_model(rows: DataFrame, text: str, call: Callable[[list[str]], list] | None, local: str = "fallback", how: Calls = Calls()) -> DataFrame:
+def embed_with_model(rows: DataFrame, text: str, call: Callable[[list[str]], list] | None, local: str = "fallback", how: Calls = Calls(), most_chars: int | None = None) -> DataFrame:
     """``rows`` with ``embedding``, ``made_by`` (``model``, ``local``, or ``invalid`` for a text that holds nothing) and ``error``.
 
-    A text that the model gave no vector for is embedded locally, as all are if there is no model (``call`` None).
+    A text that the model gave no vector for is embedded locally, as all are if there is no model (``call`` None). Models that take no more than
+    ``most_chars`` get as much of a text; the local embedder has it whole.
     """
     blank = trim(F.coalesce(col(text), F.lit(""))) == ""
-    asked = rows.withColumn("_asked", F.when(~blank, F.col(text)))
+    asked = rows.withColumn("_whole", F.when(~blank, F.col(text)))
+    asked = asked.withColumn("_asked", F.substring("_whole", 1, most_chars) if most_chars else F.col("_whole"))
     if call is None:
         found = asked.withColumns({"value": F.lit(None).cast("array<double>"), "error": F.lit(None).cast("string"), "tries": F.lit(0)})
     else:
         found = call_model(asked, "_asked", call, "array<double>", how, finite_vector)
     # local vectors are made of what the model left; others hand it an empty text
-    left = F.when(F.col("value").isNull(), F.coalesce("_asked", F.lit(INVALID))).otherwise("")
+    left = F.when(F.col("value").isNull(), F.coalesce("_whole", F.lit(INVALID))).otherwise("")
     made_by = F.when(F.col("value").isNotNull(), "model").when(F.col("_asked").isNull(), "invalid").otherwise("local")
     vector = F.coalesce("value", EMBEDDERS[local](left))
-    return found.withColumn("embedding", vector).withColumn("made_by", made_by).drop("_asked", "value", "tries")
+    return found.withColumn("embedding", vector).withColumn("made_by", made_by).drop("_asked", "_whole", "value", "tries")
 
 
 def generator(call: Callable[[list[str]], list], how: Calls = Calls(), otherwise: Callable[[Column], Column] = offline_answer) -> Callable[[Column], Column]:

@@ -32,6 +32,13 @@ def embed_by_model(spark, sf_dir):
     return e.select("doc_id", "made_by", F.coalesce("error", F.lit("")).alias("error"), F.size("embedding").alias("dims"), F.round(F.array_max("embedding"), 6).alias("largest"))
 
 
+def embed_cut(spark, sf_dir):
+    """Vectors of a model that takes 300 characters; the local embedder, for texts it can't do, has all of them."""
+    lengths = lambda texts: [[float(len(t))] if len(t) % 2 == 0 else [] for t in texts]
+    e = M.embed_with_model(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", lengths, "plain", M.Calls(batch=32), 300)
+    return e.select("doc_id", "made_by", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("sum"))
+
+
 def embed_remote_or_local(spark, sf_dir):
     """Passages in calls of a whole part: where a call fails, all its texts are embedded locally; without a model all are."""
     b = table(spark, sf_dir, "benchmark").select("item_id", "text").coalesce(1).sortWithinPartitions("item_id")
@@ -104,7 +111,7 @@ SELECT query_id, {_KIND} AS kind, CASE query_id WHEN 7 THEN 'complex' ELSE 'simp
 
 
 _T = "CASE WHEN doc_id % 17 > 0 THEN text ELSE ' ' || chr(10) END"
-QUERIES = {f.__name__: f for f in (embed_by_model, embed_remote_or_local, ask_by_model, chunk_pack_sql, chunk_fixed_sql, chunk_paragraph_sql, cosine_threshold_sql)}
+QUERIES = {f.__name__: f for f in (embed_by_model, embed_cut, embed_remote_or_local, ask_by_model, chunk_pack_sql, chunk_fixed_sql, chunk_paragraph_sql, cosine_threshold_sql)}
 ORACLES = {
     "ask_offline": _ask_offline_sql(),
     "embed_by_model": f"""WITH t AS (SELECT doc_id, {_T} AS text FROM documents
@@ -114,6 +121,10 @@ ORACLES = {
 ), m AS (SELECT doc_id, max(s) AS largest FROM (SELECT doc_id, code % 384 AS at, sum(code) / 128 AS s FROM c GROUP BY ALL) GROUP BY doc_id)
 SELECT e.doc_id, made_by, error, CASE WHEN made_by = 'model' THEN 2 ELSE 384 END AS dims,
  round(CASE WHEN made_by = 'model' THEN greatest(length(text) / 8, length(text) - length(replace(text, ' ', ''))) ELSE largest END, 6) AS largest FROM e LEFT JOIN m USING (doc_id)""",
+    "embed_cut": """WITH c AS (SELECT doc_id, text, unicode(unnest(string_split(text, ''))) AS code FROM documents WHERE length(text) < 300 AND length(text) % 2 = 1
+), s AS (SELECT doc_id, sum(code) / 128 AS s FROM c GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN 'model' ELSE 'local' END AS made_by, round(CASE WHEN s.doc_id IS NULL THEN least(300, length(text)) ELSE s END, 6)::DOUBLE AS sum
+ FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id""",
     "embed_remote_or_local": f"""SELECT item_id, 'remote' AS way, CASE WHEN {trim_sql('text')} = '' THEN 'invalid' WHEN contains(text, 'the') THEN 'model' ELSE 'local' END AS made_by FROM benchmark
 UNION ALL SELECT item_id, 'local', CASE WHEN {trim_sql('text')} = '' THEN 'invalid' ELSE 'local' END FROM benchmark""",
     "ask_by_model": _ANSWERED.replace("where is it", "where is it, any way") + " SELECT query_id, CASE WHEN question LIKE '%y' THEN 'Offline of ' ELSE 'Source of ' END || p AS answer FROM a",

@@ -62,6 +62,12 @@ def documents_sound(spark, sf_dir):
     return d.withColumn("embeddings", vectors).where(P.sound_embedding("chunks", "embeddings", 2)).select("doc_id")
 
 
+def pages_as_one(spark, sf_dir):
+    """Documents whose pages are their lines' words, joined by blank lines; every ninth page gave nothing."""
+    p = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    return D.joined_pages(p.withColumn("text", F.when((F.col("doc_id") + F.col("page")) % 9 > 0, F.col("text"))))
+
+
 def log_cleared(spark, sf_dir):
     """A log that was cleared holds what was written after that."""
     path = shared_folder(spark, "log")
@@ -83,7 +89,7 @@ def ingest_vectors(spark, sf_dir):
 _FORMATS_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.FORMATS.items())
 QUERIES = {
     f.__name__: f
-    for f in (system_report, engine_states, metadata_dates, prompts_by_kind, message_lines, documents_sound, log_cleared, ingest_vectors)
+    for f in (system_report, engine_states, metadata_dates, prompts_by_kind, message_lines, documents_sound, pages_as_one, log_cleared, ingest_vectors)
 }
 ORACLES = {
     "system_report": """WITH d AS (SELECT doc_id, text, len(string_split(text, chr(10))) AS n FROM documents)
@@ -99,6 +105,8 @@ SELECT o_orderkey, 'f.pdf' AS title, strftime(t, '%Y-%m-%d %H:%M:%S') AS created
  FROM (SELECT conv_id, turn, {_KIND} AS kind FROM conversations WHERE role = 'user')""",
     "message_lines": "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS lines FROM conversations GROUP BY conv_id",
     "documents_sound": "SELECT doc_id FROM documents WHERE len(string_split(text, chr(10))) <= 6 AND doc_id % 3 = 1",
+    "pages_as_one": """SELECT doc_id, string_agg(CASE WHEN (doc_id + page) % 9 > 0 THEN line ELSE '' END, chr(10) || chr(10) ORDER BY page) AS text, count(*) AS pages
+ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents) GROUP BY doc_id""",
     "log_cleared": "SELECT user_id::VARCHAR AS session_id, event_id AS seq, event_type AS kind FROM events WHERE event_id % 10 = 0",
     "ingest_vectors": f"""WITH r AS MATERIALIZED (SELECT doc_id, chunk_index, content FROM {_INGESTED}
 ), c AS (SELECT doc_id, chunk_index, unicode(unnest(string_split(content, ''))) AS code FROM r

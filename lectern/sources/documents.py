@@ -68,6 +68,12 @@ def page_text_joined(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id", "page").agg(F.array_join(F.transform(kept, lambda i: i["str"]), " ").alias("text"))
 
 
+def joined_pages(pages: DataFrame, failed: str = "") -> DataFrame:
+    """Documents as their pages' texts in order, a blank line between, without marks: ``doc_id``, ``text``, ``pages``."""
+    rows = F.sort_array(F.collect_list(F.struct("page", F.coalesce("text", F.lit(failed)).alias("text"))))
+    return pages.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda p: p["text"]), "\n\n").alias("text"), F.count("*").alias("pages"))
+
+
 def page_text_flow(items: DataFrame) -> DataFrame:
     """Pages in item order: a new line where y moves by more than 5, a blank where x leaves a gap over 10;
     then all white space is one blank."""
