@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import export
-from lectern.sources import file_export, pages
+from lectern.sources import documents, file_export, pages
 
 
 def reader():
@@ -47,6 +47,17 @@ def test_a_bad_page_of_three_leaves_two(spark):
     assert len(found) == len(contents)
 
 
+def test_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"first page\fsecond")
+    (tmp_path / "b.pdf").write_bytes(b"broken")
+    (tmp_path / "c.txt").write_bytes(b"not asked for")
+    found = documents.read_files(spark, str(tmp_path), "*.pdf")
+    name = F.regexp_extract("path", r"[^/]*$", 0)
+    docs, bad = pages.read_documents(found.select(name.alias("doc_id"), name.alias("name"), F.col("length").alias("size"), "content"), *reader())
+    assert {r["doc_id"]: r["method"] for r in docs.collect()} == {"a.pdf": "Enhanced", "b.pdf": "Enhanced Fallback"}
+    assert [(r["doc_id"], r["page"]) for r in bad.collect()] == [("b.pdf", 0)]
+
+
 def test_names_of_files():
     assert file_export.file_name("a/b:c?.txt") == "a_b_c_.txt" and file_export.file_name(None) == file_export.file_name(" ..") == "unnamed"
     long = file_export.file_name("é" * 300 + ".json")
