@@ -58,7 +58,7 @@ class Arrivals:
         return rows.join(last, ["doc_id", "batch"], "left_semi").drop("run", "batch")
 
     def problems(self) -> DataFrame:
-        """Documents of which no arrival could be ingested, and why not the last."""
+        """Documents of which no arrival gathered here could be ingested, and why not the last."""
         last = last_written(self.refused.read(self.spark, REFUSED).drop("run"), "doc_id").drop("batch")
         return last.join(self.chunks.read(self.spark, CHUNK).select("doc_id").distinct(), "doc_id", "left_anti")
 
@@ -68,8 +68,7 @@ class Arrivals:
         Repeating it after a failure midway changes nothing. Not while a batch runs.
         """
         index.replace_documents(self.rows())
-        files, at = index._file(f"{self.path}/chunks")
-        files.delete(at, True)
+        self.chunks.drop(self.spark)
 
 
 def arriving(spark: SparkSession, folder: str, schema, files_a_batch: int | None = None) -> DataFrame:

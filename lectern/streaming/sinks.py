@@ -27,8 +27,19 @@ class BatchTable:
         rows.write.mode("overwrite").parquet(f"{self.path}/run={self.run}/batch={number}")
 
     def read(self, spark: SparkSession, schema: str) -> DataFrame:
-        """Rows of all runs, with ``run`` and ``batch``."""
-        return spark.read.schema(f"{schema}, run string, batch long").parquet(self.path)
+        """Rows of all runs, with ``run`` and ``batch``; none if nothing was written yet, or all was dropped."""
+        schema = f"{schema}, run string, batch long"
+        files, at = self._folder(spark)
+        return spark.read.schema(schema).parquet(self.path) if files.exists(at) else spark.createDataFrame([], schema)
+
+    def _folder(self, spark: SparkSession):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def drop(self, spark: SparkSession) -> None:
+        """Delete all batches."""
+        files, at = self._folder(spark)
+        files.delete(at, True)
 
 
 def last_written(rows: DataFrame, *keys: str, order: tuple[str, ...] = ("batch",)) -> DataFrame:

@@ -143,6 +143,11 @@ def test_arrivals_survive_a_batch_that_runs_again(spark, tmp_path):
     index.upsert(a.rows().where("doc_id = '1'").withColumn("chunk_id", F.lit("1_9")))  # of an older, longer form
     a.fold(index)
     assert {(r["chunk_id"], r["content"]) for r in index.scan().where("doc_id is not null").collect()} == {("1_0", "short now"), ("2_0", "two"), ("3_0", "three at last")}
+    assert a.rows().count() == 0
+    spark.createDataFrame([(2, "two again", 4)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    a.run(arrivals.arriving(spark, f"{tmp_path}/in", schema))
+    a.fold(index)
+    assert {(r["chunk_id"], r["content"]) for r in index.scan().where("doc_id is not null").collect()} == {("1_0", "short now"), ("2_0", "two again"), ("3_0", "three at last")}
 
 
 def test_progress_of_a_stream_that_fails(spark, tmp_path):
