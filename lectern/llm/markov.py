@@ -42,6 +42,8 @@ PRIOR = 200.0
 SEED = 11
 #: Tokens of texts scored side by side, and numbers kept for a backward recursion.
 BATCH_TOKENS, KEPT = 1 << 19, 1 << 22
+#: Tokens that a task of a round should have at most, where there are tasks enough for all cores, and at least.
+TASK_TOKENS, LEAST_TOKENS = 1 << 23, 1 << 18
 #: Steps between two scalings of the recursions.
 SCALED = 8
 CLASSES = 256
@@ -189,8 +191,11 @@ class Model:
     """
 
     def __init__(self, start: np.ndarray, moves: np.ndarray, emits: np.ndarray, overall: np.ndarray):
-        self.start, self.moves, self.emits, self.log_overall = start, moves, emits, np.log(overall)
-        self.ratio = emits / overall[:, None]
+        self.start, self.moves, self.ratio, self.log_overall = start, moves, emits / overall[:, None], np.log(overall)
+
+    @property
+    def emits(self) -> np.ndarray:
+        return self.ratio * np.exp(self.log_overall)[:, None]
 
 
 def first_model(overall: np.ndarray, states: int = STATES, seed: int = SEED) -> Model:
@@ -331,10 +336,15 @@ def maximised(expected: Expected, overall: np.ndarray, prior: float = PRIOR) ->
     return Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0), overall)
 
 
-def train(encoded: DataFrame, overall: np.ndarray, states: int = STATES, rounds: int = ROUNDS, prior: float = PRIOR, seed: int = SEED) -> Model:
-    """Baum-Welch over all training rows of ``encoded``."""
+def tasks_for(tokens: int, cores: int) -> int:
+    """Tasks of a round: each sends a number for each symbol and state, so it should have read enough; whole waves of all cores, fewer for little."""
+    return max(1, min(cores * -(-tokens // (TASK_TOKENS * cores)), -(-tokens // LEAST_TOKENS)))
+
+
+def train(encoded: DataFrame, overall: np.ndarray, tokens: int, states: int = STATES, rounds: int = ROUNDS, prior: float = PRIOR, seed: int = SEED) -> Model:
+    """Baum-Welch over all training rows of ``encoded``, which hold so many ``tokens``."""
     model = first_model(overall, states, seed)
-    texts = encoded.where("trains").select("symbols")
+    texts = encoded.where("trains").select("symbols").coalesce(tasks_for(tokens, encoded.sparkSession.sparkContext.defaultParallelism))
     for _ in range(rounds):
         shared = encoded.sparkSession.sparkContext.broadcast(model)  # ``SYMBOLS`` x states numbers
         found = arrow_map(texts, _expected, "symbol int, n array<float>", model=shared, symbols=len(overall))
@@ -346,6 +356,7 @@ def train(encoded: DataFrame, overall: np.ndarray, states: int = STATES, rounds:
         expected.start += n[symbol == START].sum(axis=0)
         expected.moves[MOVES - symbol[symbol <= MOVES]] = n[symbol <= MOVES]
         model = maximised(expected, overall, prior)
+        shared.destroy()
     return model
 
 
@@ -364,7 +375,7 @@ def score_texts(
     counts = materialize(token_counts(docs.where(_remainder(FOLDS) != HELD_OUT)), "token-counts")
     v = Vocabulary(counts, symbols, lookup)
     encoded = materialize(encode(docs, v).sortWithinPartitions("n_tokens"), "symbols")
-    model = train(encoded, v.overall, states, rounds, prior, seed)
+    model = train(encoded, v.overall, v.tokens, states, rounds, prior, seed)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     texts = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "share", "symbols")
     scored = arrow_map(texts, _scored, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double", model=shared)

@@ -185,6 +185,11 @@ def test_recursions_equal_all_paths(monkeypatch, kept):
     assert np.allclose(found.start, start) and np.allclose(found.moves * model.moves, moves) and np.allclose(found.emits, emits)
 
 
+def test_tasks_of_a_round():
+    """Few for little, all cores for more, whole waves of them for much."""
+    assert [markov.tasks_for(n, 6) for n in (0, 1, 300_000, 3_000_000, 40_000_000, 115_000_000)] == [1, 1, 2, 6, 6, 18]
+
+
 def held_out(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
