@@ -41,7 +41,7 @@ LONGEST = 64
 PRIOR = 200.0
 SEED = 11
 #: Tokens of texts scored side by side, and numbers kept for a backward recursion.
-BATCH_TOKENS, KEPT = 1 << 19, 1 << 22
+BATCH_TOKENS, KEPT = 1 << 19, 1 << 23
 #: Tokens that a task of a round should have at most, where there are tasks enough for all cores, and at least.
 TASK_TOKENS, LEAST_TOKENS = 1 << 23, 1 << 18
 #: Steps between two scalings of the recursions.
@@ -239,6 +239,7 @@ def _forward(model: Model, texts: Texts, first: int, last: int, now: np.ndarray
             logs[after:n] += np.log(now[after:].sum(axis=1))
         if keep is not None:
             keep[t - first, :n] = now
+            keep[t - first, n:] = 0.0
     return now
 
 
@@ -267,6 +268,14 @@ class Expected:
 
     def __init__(self, states: int, symbols: int):
         self.start, self.moves, self.emits = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
+        self._kept = np.zeros(0)
+
+    def _room(self, *shape: int) -> np.ndarray:
+        """An array of that shape, in memory that is used again and again; what it holds is left from before."""
+        size = math.prod(shape)
+        if size > len(self._kept):
+            self._kept = np.zeros(size)
+        return self._kept[:size].reshape(shape)
 
     def add(self, model: Model, symbols: list[bytes]) -> None:
         """One forward pass that keeps the states at the borders of pieces, then each piece again, backwards."""
@@ -280,7 +289,7 @@ class Expected:
         for k in range(len(borders) - 1, -1, -1):
             first, last = k * piece, min(steps, (k + 1) * piece)
             scales: dict[int, np.ndarray] = {}
-            kept = np.zeros((last - first, width, states))
+            kept = self._room(last - first, width, states)
             _forward(model, texts, first, last, borders[k], np.zeros(width), kept, scales)
             for t in range(last - 1, first - 1, -1):
                 now, n, later = kept[t - first], texts.active[t], texts.active[t + 1]
@@ -296,7 +305,7 @@ class Expected:
                 now[:n] *= after[:n]
             if k == 0:
                 self.start += kept[0].sum(axis=0)
-            flat, weight = texts.steps[first:last].reshape(-1), kept.reshape(-1, states)
+            flat, weight = texts.steps[first:last].reshape(-1).astype(np.int64), kept.reshape(-1, states)
             for s in range(states):
                 self.emits[:, s] += np.bincount(flat, weight[:, s], len(self.emits))
 
