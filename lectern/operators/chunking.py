@@ -35,8 +35,8 @@ def chunk_pages(text, size: int = 1000, overlap: int = 100) -> Column:
         return packed
 
     def tail(chunk):
-        lines = F.filter(F.split(chunk, "\n"), lambda line: trim(line) != "")
-        return F.array_join(F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), F.lit(2)), "\n")
+        lines = F.filter(F.split(chunk, "\n"), lambda line: line.rlike(r"\S"))
+        return let(lines, lambda x: F.array_join(F.slice(x, F.greatest(F.size(x) - 1, F.lit(1)), F.lit(2)), "\n"))
 
     return let(
         packed,

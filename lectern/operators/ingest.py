@@ -19,8 +19,11 @@ EMBEDDED = ("embedding", "embedder")
 def with_chunks(docs: DataFrame, text: str = "text", chunker: Callable[[str], Column] = chunk_adaptive) -> DataFrame:
     """``docs`` with ``chunks`` and ``problem``: why a document can't be ingested, null if it can."""
     cut = docs.withColumn("chunks", F.coalesce(chunker(text), F.array().cast("array<string>")))
-    problem = F.when(trim(F.coalesce(col(text), F.lit(""))) == "", "no text").when(F.size("chunks") == 0, "no chunks")
-    return cut.withColumn("problem", problem)
+    return cut.withColumn("problem", F.when(_blank(text), "no text").when(F.size("chunks") == 0, "no chunks"))
+
+
+def _blank(text) -> Column:
+    return trim(F.coalesce(col(text), F.lit(""))) == ""
 
 
 def embed_chunks(docs: DataFrame, embedder: str = "hashed", chunks: str = "chunks", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -28,17 +31,22 @@ def embed_chunks(docs: DataFrame, embedder: str = "hashed", chunks: str = "chunk
 
     A chunk is embedded where it stands, so no join and no count of vectors is needed.
     """
-    rows = docs.select(doc_id, *keep, F.posexplode(chunks).alias("chunk_index", "content"))
+    # not ``posexplode``: Spark puts a filter on the size before that, which cuts each text once more
+    rows = docs.select(doc_id, *keep, F.posexplode_outer(chunks).alias("chunk_index", "content")).where("content is not null")
     chunk_id = F.concat_ws("_", F.col(doc_id).cast("string"), F.col("chunk_index").cast("string"))
     return rows.select(
         F.col(doc_id).alias("doc_id"), chunk_id.alias("chunk_id"), "chunk_index", "content", EMBEDDERS[embedder]("content").alias("embedding"), F.lit(embedder).alias("embedder"), *keep
     )
 
 
+def ingested(docs: DataFrame, embedder: str = "hashed", text: str = "text", chunker: Callable[[str], Column] = chunk_adaptive, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chunk rows of sound documents, each text cut once: one without chunks has no rows, so only blank texts are asked for."""
+    return embed_chunks(with_chunks(docs.where(~_blank(text)), text, chunker), embedder, keep=keep)
+
+
 def ingest(docs: DataFrame, embedder: str = "hashed", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Chunk rows of sound documents, and the documents that have a ``problem``."""
-    cut = with_chunks(docs, text)
-    return embed_chunks(cut.where("problem is null"), embedder), cut.where("problem is not null").drop("chunks")
+    return ingested(docs, embedder, text), with_chunks(docs, text).where("problem is not null").drop("chunks")
 
 
 def regenerate(chunks: DataFrame, embedder: str = "hashed", every: bool = False) -> DataFrame:

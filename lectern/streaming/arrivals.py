@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lectern.functions.text import trim
 from lectern.operators.chunking import chunk_adaptive
 from lectern.operators.index import ChunkIndex
-from lectern.operators.ingest import embed_chunks, with_chunks
+from lectern.operators.ingest import ingested, with_chunks
 
 from .sinks import BatchTable, last_written, run_batches
 
@@ -42,10 +42,9 @@ class Arrivals:
         sound = trim(F.coalesce("text", F.lit(""))) != ""
         # a row that can't be ingested doesn't replace one that can
         latest = last_written(shaped.withColumn("sound", sound), "doc_id", order=("sound", "arrived", "text"))
-        cut = with_chunks(latest, chunker=self.chunker)
-        made = embed_chunks(cut.where("problem is null"), self.embedder, keep=("source",))
+        made = ingested(latest, self.embedder, chunker=self.chunker, keep=("source",))
         self.chunks.write(made.select(*[F.col(c.split(" ")[0]).cast(c.split(" ", 1)[1]) for c in CHUNK.split(", ")]), number)
-        self.refused.write(cut.where("problem is not null").select("doc_id", "problem"), number)
+        self.refused.write(with_chunks(latest, chunker=self.chunker).where("problem is not null").select("doc_id", "problem"), number)
 
     def run(self, stream: DataFrame) -> StreamingQuery:
         """Ingest what has arrived since the last call."""
