@@ -172,13 +172,13 @@ def embed_character(spark, sf_dir):
 
 def embed_fallback(spark, sf_dir):
     """The three-tap embedding of each document: its length is 1 and its largest component this one."""
-    rows = _docs(spark, sf_dir).select("doc_id", V.fallback_embedding("text").alias("v"))
+    rows = V.with_vectors(_docs(spark, sf_dir).select("doc_id", "text"), "text", "fallback", "v")
     return rows.select("doc_id", F.size("v").alias("dims"), F.round(F.array_max("v"), 6).alias("largest"))
 
 
 def embed_hashed(spark, sf_dir):
     """The word-hash embedding of each document."""
-    rows = _docs(spark, sf_dir).select("doc_id", V.hashed_embedding("text").alias("v"))
+    rows = V.with_vectors(_docs(spark, sf_dir).select("doc_id", "text"), "text", "hashed", "v")
     return rows.select("doc_id", F.size("v").alias("dims"), F.round(F.array_max("v"), 6).alias("largest"))
 
 
