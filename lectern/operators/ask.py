@@ -18,14 +18,17 @@ NO_CHUNKS = "No relevant passages were found for this question."
 
 
 def find_relevant_chunks(queries: DataFrame, chunks: DataFrame, k, filters: Filters | None = None) -> DataFrame:
-    """For each query the diverse best chunks: sound embeddings, similarity above the bound, ``rank``. Vectors of another length are passed over, whatever the bound."""
+    """For each query the diverse best chunks: sound embeddings, similarity above the bound, ``rank``. Vectors of another length are passed over, whatever the bound.
+
+    ``k`` None gives all of them, without ranks, so that no task has to order all chunks of a query.
+    """
     f = filters or Filters()
     scored = with_scores(queries, chunks.where(document_filter(f)).where(F.size("embedding") > 0), strict=True)
     sound = scored.where(F.col("semantic").isNotNull() & ~F.isnan("semantic") & (F.col("semantic") >= f.similarity()))
     sourced = sound.withColumn("label", T.source_label("source", "chunk_index")).withColumnRenamed("semantic", "similarity")
     carried = [c for c in queries.columns if c not in ("query_id", "question", "embedding")]
     sourced = sourced.join(queries.select("query_id", *carried), "query_id") if carried else sourced
-    return diverse_top_k(sourced, k, source="label")
+    return sourced if k is None else diverse_top_k(sourced, k, source="label")
 
 
 def query_simple(queries: DataFrame, chunks: DataFrame, **options) -> DataFrame:

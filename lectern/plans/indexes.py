@@ -107,7 +107,7 @@ def relevant_filtered(spark, sf_dir):
 def relevant_dimensions(spark, sf_dir):
     """Every third chunk has a vector of another length: it is passed over, though the bound is below 0."""
     c = chunks(spark, sf_dir).withColumn("embedding", F.when(F.col("chunk_id") % 3 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
-    found = find_relevant_chunks(vector_queries(spark, sf_dir, {7: "a", 20: "b"}), c, 10_000, Filters(min_similarity=-1.0))
+    found = find_relevant_chunks(vector_queries(spark, sf_dir, {7: "a", 20: "b"}), c, None, Filters(min_similarity=-1.0))
     return found.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
 
 

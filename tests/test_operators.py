@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import index as I
 from lectern.operators import metrics as M
 from lectern.operators import search as S
-from lectern.operators.ask import ask
+from lectern.operators.ask import ask, find_relevant_chunks
 from lectern.operators.filters import Filters, compile_filter, document_filter
 from lectern.sources import documents as D
 from lectern.streaming import events as E
@@ -131,3 +131,10 @@ def test_events(spark):
 def test_running_metrics_of_an_empty_table(spark):
     df = spark.createDataFrame([], "session_id int, response_time double, relevance double, ts timestamp")
     assert M.running_metrics(df).count() == 0 and M.session_metrics(df).count() == 0
+
+
+def test_all_relevant_chunks(spark):
+    chunks = spark.range(10_050).select(F.col("id").alias("chunk_id"), F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("chunk_index"), F.lit("s").alias("source"), F.array(F.lit(1.0), F.col("id") / 1e4).alias("embedding"), F.lit("x").alias("content"))
+    queries = spark.createDataFrame([(1, "q", [1.0, 0.0])], "query_id long, question string, embedding array<double>")
+    found = find_relevant_chunks(queries, chunks, None, Filters(min_similarity=-1.0))
+    assert found.count() == 10_050 and "Window" not in found._jdf.queryExecution().executedPlan().toString()
