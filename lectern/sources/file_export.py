@@ -1,8 +1,9 @@
-"""One file for each row: a data source that writes ``name`` and ``content`` (text) into a folder.
+"""One file for each row: a data source that writes ``name`` and ``content`` (text) into a folder, and reads them back.
 
 Tasks write below a staging folder of the job; the commit moves the folders of the attempts that counted, one for each task, and drops the rest, so
 neither a task that failed, nor one that ran twice, leaves a file. An abort drops all of it; what a task that still ran
-then writes stays in the staging folder, whose name hides it from readers.
+then writes stays in the staging folder, whose name hides it from readers. Tasks that read list a folder each, so
+the driver knows the folders, as many as tasks have written, but never the files.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 FORMAT = "lectern_files"
@@ -84,11 +85,47 @@ class FileWriter(DataSourceWriter):
             files.delete_dir(self._staging(root))
 
 
+@dataclass
+class Folder(InputPartition):
+    """What one task reads: a folder with all below it, or the files that lie at the top."""
+
+    path: str
+    below: bool
+
+
+class FileReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def partitions(self) -> list[Folder]:
+        from pyarrow.fs import FileSelector, FileType
+
+        files, root = _store(self.path)
+        found = [f for f in files.get_file_info(FileSelector(root)) if not f.base_name.startswith(("_", "."))]
+        folders = [Folder(f.path, True) for f in found if f.type == FileType.Directory]
+        return folders + [Folder(root, False)] * any(f.type == FileType.File for f in found)
+
+    def read(self, folder: Folder) -> Iterator[tuple]:
+        from pyarrow.fs import FileSelector, FileType
+
+        files, _ = _store(self.path)
+        for f in files.get_file_info(FileSelector(folder.path, recursive=folder.below)):
+            if f.type == FileType.File and (folder.below or not f.base_name.startswith(("_", "."))):
+                with files.open_input_stream(f.path, compression=None) as data:
+                    yield f.base_name, data.read().decode("utf-8", "replace")
+
+
 class FileExport(DataSource):
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
+    def schema(self) -> str:
+        return "name string, content string"
+
+    def reader(self, schema: StructType) -> FileReader:
+        return FileReader(self.options["path"])
+
     def writer(self, schema: StructType, overwrite: bool) -> FileWriter:
         if [f.name for f in schema.fields] != ["name", "content"]:
             raise ValueError("rows to write are name, content")
@@ -103,5 +140,5 @@ def write_files(rows: DataFrame, path: str) -> None:
 
 def read_files_back(spark: SparkSession, path: str) -> DataFrame:
     """``name``, ``content`` of each file written."""
-    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return found.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+    spark.dataSource.register(FileExport)
+    return spark.read.format(FORMAT).load(path)
