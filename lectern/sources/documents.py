@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.text import col, extraction_quality, file_date, first_given, first_match, text_confidence, trim
+from lectern.functions.text import col, extraction_quality, file_date, first_given, first_match, let, text_confidence, trim
 
 MEGABYTE = 1024 * 1024
 #: Largest upload by reader.
@@ -86,21 +86,27 @@ def page_text_flow(items: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "page").agg(trim(F.regexp_replace(joined, r"\s+", " ")).alias("text"))
 
 
-def page_text_lines(items: DataFrame) -> DataFrame:
-    """Pages by lines: a line ends where the rounded y moves by more than 3; lines go from top to bottom,
+def lines_of(items) -> Column:
+    """A page's text by lines, from its items in order: a line ends where the rounded y moves by more than 3; lines go from top to bottom,
     equal heights as they came; then all white space is one blank."""
-    solid = items.where(trim("str") != "").withColumn("_y", F.floor(F.col("y") + 0.5))
-    order = W.partitionBy("doc_id", "page").orderBy("pos")
-    starts = F.when(F.abs(F.col("_y") - F.lag("_y").over(order)) > 3, 1).otherwise(0)
-    lined = solid.withColumn("_starts", starts).withColumn("_line", F.sum("_starts").over(order))
-    lines = lined.groupBy("doc_id", "page", "_line").agg(
-        F.min_by("_y", "pos").alias("_top"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "str"))), lambda i: i["str"]), " ").alias("_text"),
-    )
-    stacked = F.sort_array(F.collect_list(F.struct((-F.col("_top")).alias("down"), "_line", "_text")))
-    text = F.array_join(F.transform(stacked, lambda i: i["_text"]), " ")
-    pages = lines.groupBy("doc_id", "page").agg(trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
-    return items.select("doc_id", "page").distinct().join(pages, ["doc_id", "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+    def laid(solid):
+        y = lambda i: F.floor(F.get(solid, i)["y"] + 0.5)
+        starts = F.filter(F.sequence(F.lit(0), F.size(solid) - 1), lambda i: (i == 0) | (F.abs(y(i) - y(i - 1)) > 3))
+        return F.when(F.size(solid) > 0, let(starts, lambda at: stacked(solid, y, at))).otherwise("")
+
+    def stacked(solid, y, at):
+        held = lambda i, n: F.slice(solid, i + 1, F.coalesce(F.get(at, n + 1), F.size(solid)) - i)
+        line = lambda i, n: F.struct((-y(i)).alias("down"), n.alias("n"), F.array_join(F.transform(held(i, n), lambda x: x["str"]), " ").alias("text"))
+        return F.array_join(F.transform(F.sort_array(F.transform(at, line)), lambda x: x["text"]), " ")
+
+    text = let(F.filter(col(items), lambda i: i["str"].rlike(r"\S")), laid)
+    return trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def page_text_lines(items: DataFrame) -> DataFrame:
+    """Pages by lines (``lines_of``) from rows of items: ``doc_id``, ``page``, ``text``."""
+    return items.groupBy("doc_id", "page").agg(lines_of(F.sort_array(F.collect_list(F.struct("pos", "str", "y")))).alias("text"))
 
 
 # How each reader marks pages, empty ones and failed ones.
@@ -111,10 +117,10 @@ PAGE_MARKS = {
 }
 
 
-def assemble_pages(pages: DataFrame, profile: str = "enhanced") -> DataFrame:
+def assemble_pages(pages: DataFrame, profile: str = "enhanced", also: tuple[Column, ...] = ()) -> DataFrame:
     """Documents from ``doc_id``, ``page``, ``text``, ``ok``: marked text, counts, confidence, quality.
 
-    A page that failed or has no text counts as failed, except that the basic reader leaves empty pages out.
+    A page that failed or has no text counts as failed, except that the basic reader leaves empty pages out. ``also``: more aggregates of the pages.
     """
     good, empty, failed = PAGE_MARKS[profile]
     blank = trim(F.coalesce("text", F.lit(""))) == ""
@@ -126,7 +132,7 @@ def assemble_pages(pages: DataFrame, profile: str = "enhanced") -> DataFrame:
     docs = rows.groupBy("doc_id").agg(
         trim(joined).alias("text"), F.count("*").alias("pages"), F.count_if("_good").alias("successful_pages"),
         F.count_if(~F.col("_good")).alias("failed_pages"),
-        F.coalesce(F.avg(F.when(F.col("_good"), F.col("_sure"))), F.lit(0.0)).alias("confidence"),
+        F.coalesce(F.avg(F.when(F.col("_good"), F.col("_sure"))), F.lit(0.0)).alias("confidence"), *also,
     )
     kind = "enhanced" if profile == "enhanced" else "advanced"
     return docs.withColumn("quality", extraction_quality("successful_pages", "pages", F.length("text"), F.col("confidence"), kind))

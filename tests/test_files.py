@@ -93,3 +93,33 @@ def test_exports_of_odd_documents(spark):
     chat = spark.createDataFrame([(1, 2, "assistant", None), (1, 1, "user", "<b>&\nx")], "conv_id long, turn int, role string, text string")
     html = export.chat_html(chat).collect()[0]["html"]
     assert html.index("User") < html.index("Assistant") and "&lt;b&gt;&amp;<br>x" in html
+
+
+def test_files_are_listed_in_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(f"_n{i}.txt", "é\r\n") for i in range(40)], "name string, content string").repartition(4)
+    file_export.write_files(rows, f"{tmp_path}/out")
+    (tmp_path / "out" / "top.txt").write_text("t")
+    folders = file_export.FileReader(f"{tmp_path}/out").partitions()
+    assert len(folders) == 5  # the driver knows what tasks wrote, not each file
+    back = file_export.read_files_back(spark, f"{tmp_path}/out")
+    assert back.rdd.getNumPartitions() == 5
+    assert sorted((r["name"], r["content"]) for r in back.collect()) == sorted([(f"_n{i}.txt", "é\r\n") for i in range(40)] + [("top.txt", "t")])
+
+
+def test_pages_are_laid_out_in_their_row(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, [("low", 0.0, 10.0), (" ", 0.0, 90.0), ("top", 0.0, 700.4), ("right", 50.0, 699.0), (None, 0.0, 0.0)], None), (1, 2, None, "bad"), (1, 3, [], None)],
+        f"doc_id long, page int, items {pages.ITEMS}, problem string",
+    )
+    texts = pages.page_texts(rows)
+    assert [(r["page"], r["text"], r["ok"]) for r in texts.orderBy("page").collect()] == [(1, "top right low", True), (2, "", False), (3, "", True)]
+    by_layout = pages.page_texts(rows, documents.page_text_lines)
+    assert sorted(map(tuple, by_layout.collect()), key=str) == sorted(map(tuple, texts.collect()), key=str)
+    assert "Exchange" not in texts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_result_reads_the_files_once(spark):
+    files = spark.createDataFrame([("a", "n", 1, b"p\nq")], "doc_id string, name string, size long, content binary")
+    docs, _ = pages.read_documents(files, lambda b: b.decode().split("\n"), lambda p: [{"str": p, "x": 0, "y": 0}])
+    assert docs._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [(r["pages"], r["successful_pages"]) for r in docs.collect()] == [(2, 2)]
