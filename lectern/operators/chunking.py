@@ -120,17 +120,26 @@ def chunk_confidence(content) -> Column:
     return F.least(F.lit(100), F.lit(50) + total([F.when(cond, v).otherwise(0) for cond, v in add]))
 
 
+def exploded(docs: DataFrame, chunks, *keep) -> DataFrame:
+    """``keep``, ``chunk_index``, ``content``: one row for each chunk, none for a text without.
+
+    Not ``posexplode``: Spark puts filters on the array before that, for which each text is cut again.
+    """
+    return docs.select(*keep, F.posexplode_outer(chunks).alias("chunk_index", "content")).where("content is not null")
+
+
 def chunk_rows(docs: DataFrame, chunks: Column, text: str = "text") -> DataFrame:
     """One row for each chunk: ``chunk_index``, ``content``, offsets, word count, type and confidence.
 
     ``start_char_ref`` is where the text's first paragraph starts, the offset that every chunk carries
     in the interface this follows; ``start_char`` is where the chunk's last paragraph's text occurs.
     """
-    rows = docs.withColumn("_chunks", chunks).select("*", F.posexplode("_chunks").alias("chunk_index", "content")).drop("_chunks")
-    begin = F.instr(F.col(text), F.get(paragraphs(text), F.lit(0))) - 1
+    # what belongs to the text is found once, not for each of its chunks
+    begun = docs.withColumn("_begin", F.instr(F.col(text), F.get(paragraphs(text), F.lit(0))) - 1)
+    rows, begin = exploded(begun, chunks, "*"), F.col("_begin")
     tail = F.element_at(paragraphs("content"), -1)
     return rows.select(
-        "*",
+        *docs.columns, "chunk_index", "content",
         begin.alias("start_char_ref"),
         (begin + F.length("content")).alias("end_char_ref"),
         (F.instr(F.col(text), tail) - 1).alias("start_char"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions.embedding import EMBEDDERS
 from lectern.functions.text import col, trim
 
-from .chunking import chunk_adaptive
+from .chunking import chunk_adaptive, exploded
 
 #: Vectors and which embedder made them.
 EMBEDDED = ("embedding", "embedder")
@@ -31,8 +31,7 @@ def embed_chunks(docs: DataFrame, embedder: str = "hashed", chunks: str = "chunk
 
     A chunk is embedded where it stands, so no join and no count of vectors is needed.
     """
-    # not ``posexplode``: Spark puts a filter on the size before that, which cuts each text once more
-    rows = docs.select(doc_id, *keep, F.posexplode_outer(chunks).alias("chunk_index", "content")).where("content is not null")
+    rows = exploded(docs, chunks, doc_id, *keep)
     chunk_id = F.concat_ws("_", F.col(doc_id).cast("string"), F.col("chunk_index").cast("string"))
     return rows.select(
         F.col(doc_id).alias("doc_id"), chunk_id.alias("chunk_id"), "chunk_index", "content", EMBEDDERS[embedder]("content").alias("embedding"), F.lit(embedder).alias("embedder"), *keep

@@ -32,7 +32,7 @@ def _docs(spark, sf_dir):
 def _pieces(spark, sf_dir, chunked, text=None):
     d = _docs(spark, sf_dir)
     d = d.withColumn("text", text) if text is not None else d
-    return d.select("doc_id", F.posexplode(chunked).alias("chunk_index", "content"))
+    return C.exploded(d, chunked, "doc_id")
 
 
 def chunk_pack(spark, sf_dir):

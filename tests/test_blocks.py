@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import embedding as V
+from lectern.operators import chunking as C
 from lectern.operators import ingest as N
 
 TEXTS = [None, "", "  ", "a", "Été 中文 😀　İz a", "word " * 40, "x" * 3000, " lead and\ttail\n"]
@@ -57,3 +58,12 @@ def test_a_text_is_cut_once(spark):
     assert plan.count(".{0,399}") == 1
     assert [(r["doc_id"], r["chunk_index"], r["content"]) for r in rows.collect()] == [(1, 0, "one two")]
     assert [(r["doc_id"], r["problem"]) for r in N.ingest(docs, "plain")[1].orderBy("doc_id").collect()] == [(2, "no text"), (3, "no text")]
+
+
+def test_chunk_rows_cut_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "\n\nfirst one.\n\nsecond"), (2, ""), (3, None)], "doc_id long, text string")
+    rows = C.chunk_rows(docs, C.chunk_paragraphs("text", 5, 4))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(filter(transform(split(text") == 1
+    found = [(r["doc_id"], r["chunk_index"], r["start_char_ref"]) for r in rows.orderBy("chunk_index").collect()]
+    assert found == [(1, 0, 2), (1, 1, 2)] and "_begin" not in rows.columns
