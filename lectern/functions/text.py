@@ -34,7 +34,7 @@ def total(parts) -> Column:
 
 def normalize(x) -> Column:
     """Lower case, punctuation to blanks, single blanks, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(col(x)), r"[^\w\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(col(x)), r"\W+", " "))
 
 
 def words(x) -> Column:

@@ -109,7 +109,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75
     size = F.coalesce(F.size("words"), F.lit(0))
     n, mean = forms.agg(F.count("*"), F.avg(size)).first()
     asked = queries.select("query_id", F.explode(F.array_distinct(keyword_form("question", True)["words"])).alias("word"))
-    posts = forms.select("chunk_id", size.alias("length"), F.explode("words").alias("word"))
+    # not ``explode``: Spark puts filters on the array before that, for which each text is cut again
+    posts = forms.select("chunk_id", size.alias("length"), F.explode_outer("words").alias("word")).where("word is not null")
     posts = posts.join(few(asked.select("word").distinct(), BROADCAST_WORDS), "word", "left_semi").groupBy("word", "chunk_id", "length").agg(F.count("*").alias("tf"))
     spread = posts.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -48,7 +48,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as chunks: the label is the document, the vector id the chunk; the text is the document of that id."""
     e = table(spark, sf_dir, "embeddings")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("content"))
+    # texts outside the vectors' ids can't meet one: they stay where they are read, and are neither dealt out nor shuffled
+    ends = e.agg(F.min("vec_id").alias("first"), F.max("vec_id").alias("last")).first()
+    d = spread(d.where(F.col("doc_id").between(ends["first"], ends["last"])))
     return e.join(d, F.col("vec_id") == F.col("doc_id")).select(
         F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("doc_id"), F.col("vec_id").cast("int").alias("chunk_index"),
         F.concat(F.lit("doc"), F.col("label").cast("string")).alias("source"), "content", "embedding",
