@@ -139,18 +139,27 @@ class ChunkIndex:
         wanted = self.spark.createDataFrame([(str(i),) for i in ids], "id string")
         return sorted({r["b"] for r in wanted.select(self._bucket("id").alias("b")).collect()})
 
-    def _shaped(self, rows: DataFrame) -> DataFrame:
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (``chunk_id`` and more) as the index keeps them: dealt by ``bucket`` and in order. Columns that are made of
+        these rows' own afterwards, such as long texts, are then made where they are written, by ``append(dealt=True)``."""
+        order = [c for c in ("bucket", "doc_id", "chunk_index") if c == "bucket" or c in rows.columns]
+        return rows.withColumn("bucket", self._bucket(F.col("chunk_id").cast("string"))).hint("rebalance", "bucket").sortWithinPartitions(*order)
+
+    def _shaped(self, rows: DataFrame, dealt: bool = False) -> DataFrame:
         known = {f.split(" ")[0]: f.split(" ", 1)[1] for f in SCHEMA.split(", ")}
         cols = [(F.col(c) if c in rows.columns else F.current_timestamp() if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in known.items()]
-        shaped = rows.select(*cols)
+        shaped = rows.select(*cols, *(["bucket"] if dealt else []))
         if self.content_chars:
             shaped = shaped.withColumn("content", F.substring("content", 1, self.content_chars))
-        return shaped.withColumn("bucket", self._bucket("chunk_id"))
+        return shaped if dealt else shaped.withColumn("bucket", self._bucket("chunk_id"))
 
     def _write(self, rows: DataFrame, mode: str, partitions: str = "static") -> None:
         # large partitions are written by several tasks, small ones together by one, as their sizes turn out
-        ordered = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "doc_id", "chunk_index")
-        ordered.write.mode(mode).option("partitionOverwriteMode", partitions).partitionBy("bucket").parquet(self.path)
+        self._put(rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "doc_id", "chunk_index"), mode, partitions)
+
+    def _put(self, ordered: DataFrame, mode: str, partitions: str = "static") -> None:
+        # texts of chunks overlap, and long ones repeat themselves farther apart than the usual codec sees
+        ordered.write.mode(mode).option("partitionOverwriteMode", partitions).option("compression", "zstd").partitionBy("bucket").parquet(self.path)
 
     def _replace(self, buckets: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
         """These buckets as ``change`` makes them of their rows; an emptied one goes."""
@@ -184,9 +193,10 @@ class ChunkIndex:
         files, at = self._file(staged)
         files.delete(at, True)
 
-    def append(self, rows: DataFrame) -> None:
-        """Without looking for equal keys."""
-        self._write(self._shaped(rows), "append")
+    def append(self, rows: DataFrame, dealt: bool = False) -> None:
+        """Without looking for equal keys. Rows that were ``dealt`` are written as they lie."""
+        shaped = self._shaped(rows, dealt)
+        self._put(shaped, "append") if dealt else self._write(shaped, "append")
 
     def delete(self, doc_ids: list) -> None:
         ids = [str(d) for d in doc_ids]

@@ -54,12 +54,11 @@ def index_scan_ids(spark, sf_dir):
 
 def index_long_texts(spark, sf_dir):
     """Texts of up to some 100,000 characters in an index as they are, and in one that cuts them."""
-    rows = documents(spark, sf_dir).where("n_chars > 100").select(
-        F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.repeat("text", F.lit(25)).alias("content")
-    )
+    rows = documents(spark, sf_dir).where("n_chars > 100").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     whole, cut = _index(spark, sf_dir), _index(spark, sf_dir, content_chars=40_000)
-    whole.append(rows)
-    cut.append(rows)
+    rows = whole.dealt(rows).withColumn("content", F.repeat("text", F.lit(25)))
+    whole.append(rows, dealt=True)
+    cut.append(rows, dealt=True)
     named = lambda index, name: index.scan().select("chunk_id", F.length("content").alias(name))
     return named(whole, "whole").join(named(cut, "cut"), "chunk_id")
 
