@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import col, keyword_form, keyword_score
+from lectern.functions.text import col, keyword_form, keyword_score_of
 
 from .search import PROFILES, few, threshold_of, top_k
 
@@ -40,8 +40,9 @@ class KeywordIndex:
 
     def build(self, chunks: DataFrame) -> None:
         """Postings of ``chunks`` (``chunk_id``, ``content``)."""
-        words = F.array_distinct(F.coalesce(keyword_form("content", True)["words"], F.array()))
-        posts = chunks.select(F.explode(words).alias("word"), "chunk_id").withColumn("bucket", _bucket("word", self.buckets))
+        # not ``explode``: Spark puts filters on the array before that, for which each text is cut again
+        words = F.array_distinct(keyword_form("content", True)["words"])
+        posts = chunks.select(F.explode_outer(words).alias("word"), "chunk_id").where("word is not null").withColumn("bucket", _bucket("word", self.buckets))
         posts.repartition("bucket", _bucket("chunk_id", 4)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         vocabulary = self._posts().groupBy("word").agg(F.count("*").alias("n"))
         grams = vocabulary.select("word", F.explode(_pieces("word", GRAM)).alias("gram")).withColumn("bucket", _bucket("gram", self.buckets))
@@ -74,7 +75,12 @@ class KeywordIndex:
 
     def search(self, queries: DataFrame, chunks: DataFrame, limit: int = 10, profile: str = "local", threshold: float | None = None, ties=("chunk_id",)) -> DataFrame:
         """The best chunks of each question with a score above 0 and at least the threshold; texts of candidates only are scored."""
-        found = chunks.join(self.candidates(queries), "chunk_id").join(few(queries.select("query_id", "question")), "query_id")
-        scored = found.withColumn("score", keyword_score("question", "content", empty_is_zero=PROFILES[profile].empty_is_zero)).drop("question")
+        # a text meets its questions as one row: its form is made once for all of them, and each score once
+        forms = queries.select("query_id", keyword_form("question", True).alias("form"))
+        asking = self.candidates(queries).join(few(forms), "query_id").groupBy("chunk_id").agg(F.collect_list(F.struct("query_id", "form")).alias("_asking"))
+        held = chunks.join(asking, "chunk_id").withColumn("_form", keyword_form("content"))
+        score = lambda q: keyword_score_of(q["form"], "_form", PROFILES[profile].empty_is_zero)
+        hits = F.transform("_asking", lambda q: F.struct(q["query_id"].alias("query_id"), score(q).alias("score")))
+        scored = held.select(*chunks.columns, F.explode_outer(hits).alias("_hit")).select(*chunks.columns, "_hit.*")
         least = threshold_of(profile, "keyword", threshold) or 0.0
         return top_k(scored.where((F.col("score") > 0) & (F.col("score") >= least)), limit, ties=ties)

@@ -1,5 +1,7 @@
 """Indexes against scoring everything, and what they leave unread."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from lectern.functions.text import keyword_score
 from lectern.operators.index import ChunkIndex
 from lectern.operators.keyword_index import KeywordIndex
 from lectern.operators.vector_index import APART, VectorIndex
+from lectern.plans import tables
 
 VECTORS = "chunk_id long, embedding array<double>"
 
@@ -108,3 +111,39 @@ def test_places_by_spans_of_scores(spark):
         for q in range(3):
             order = sorted((-s, i) for a, i, s in rows if a == q)
             assert [found[q, i] for _, i in order] == list(range(1, 201))
+
+
+def test_texts_made_after_dealing_are_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), str(i % 3), f"t{i} ") for i in range(50)], "chunk_id string, doc_id string, text string")
+    plain, dealt = ChunkIndex(spark, f"{tmp_path}/a"), ChunkIndex(spark, f"{tmp_path}/b")
+    plain.create(), dealt.create()
+    long = lambda r: r.withColumn("content", F.repeat("text", F.lit(25)))
+    plain.append(long(rows))
+    dealt.append(long(dealt.dealt(rows)), dealt=True)
+    held = lambda index: sorted((r["chunk_id"], r["content"]) for r in index.scan().collect())
+    assert held(plain) == held(dealt) and len(held(dealt)) == 50
+    assert [r["chunk_id"] for r in dealt.scan({"chunk_id": {"$in": ["7"]}}).collect()] == ["7"]
+
+
+def test_a_text_has_one_form_for_all_its_questions(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "Red fox, red"), (2, "blue bird"), (3, None), (4, "")], "chunk_id long, content string")
+    asked = spark.createDataFrame([(1, "red bird"), (2, "fox"), (3, "zzz")], "query_id long, question string")
+    index = KeywordIndex(spark, f"{tmp_path}/k")
+    index.build(chunks)
+    found = index.search(asked, chunks, 5)
+    pairs = chunks.where("content <> ''").crossJoin(asked).withColumn("score", keyword_score("question", "content")).where("score > 0")
+    key = lambda r: (r["query_id"], r["chunk_id"], round(r["score"], 9))
+    assert sorted(map(key, found.collect())) == sorted(map(key, pairs.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("lower(content")
+
+
+def test_texts_beyond_the_vectors_stay_where_they_are(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("doc_id"), F.lit("x y").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    for name, n in (("some", 10), ("none", 0)):
+        e = spark.range(3, 3 + n).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), F.lit(1).alias("label"))
+        e.write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        os.symlink(f"{tmp_path}/documents.parquet", f"{tmp_path}/{name}/documents.parquet")
+        found = tables.chunks(spark, f"{tmp_path}/{name}")
+        assert found.count() == n
+        assert not n or "<= 12)" in found._jdf.queryExecution().optimizedPlan().toString()
