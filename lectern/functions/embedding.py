@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import col
 
@@ -157,20 +158,21 @@ def _vector_udf(fn, dimension: int):
     return embed
 
 
-def with_vectors(rows: DataFrame, text: str, embedder: str, name: str = "embedding") -> DataFrame:
-    """``rows`` with the vectors of their texts in the place of these, block by block: a task holds no more than one block's vectors, however large Spark's batches are."""
+def with_vectors(rows: DataFrame, text: str, embedder: str, name: str = "embedding", keep_text: bool = False) -> DataFrame:
+    """``rows`` with the vectors of their texts in the place of these, or beside them, block by block: a task holds no more than one block's vectors, however large Spark's batches are."""
     fn, dimension = BLOCKWISE[embedder]
-    kept = [c for c in rows.columns if c != text]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != text)
+    at_text = rows.columns.index(text)
+    kept = [i for i, c in enumerate(rows.columns) if keep_text or c != text]
+    names = [*(rows.columns[i] for i in kept), name]
+    schema = T.StructType([T.StructField(rows.columns[i], rows.schema.fields[i].dataType) for i in kept] + [T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, BLOCK_ROWS):
                 batch = big.slice(at, BLOCK_ROWS)
-                columns = [batch.column(c) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, _vectors(batch.column(text), fn, dimension)], names=[*kept, name])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), _vectors(batch.column(at_text), fn, dimension)], names=names)
 
-    return rows.mapInArrow(run, f"{fields}, `{name}` array<double>")
+    return rows.mapInArrow(run, schema)
 
 
 def plain_embedding(text, dimension: int = 384) -> Column:

@@ -15,8 +15,19 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: What ``\s`` of a pattern stands for.
+BLANKS = " \t\n\x0b\f\r"
+
+
 def trim(x) -> Column:
-    return F.regexp_replace(col(x), r"^\s+|\s+$", "")
+    """Without white space at the ends; a pattern would look at every character between them."""
+    return F.btrim(col(x), F.lit(BLANKS))
+
+
+def single_blanks(x) -> Column:
+    """White space as single blanks, without any at the ends; a pattern is asked only for texts that have blanks in a row."""
+    x = reduce(lambda y, b: F.replace(y, F.lit(b), F.lit(" ")), BLANKS[1:], col(x))
+    return let(F.trim(x), lambda y: F.when(F.contains(y, F.lit("  ")), F.regexp_replace(y, "  +", " ")).otherwise(y))
 
 
 def first_match(cases, otherwise) -> Column:

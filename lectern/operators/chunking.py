@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import col, first_match, let, total, trim, words
+from lectern.functions.text import col, first_match, let, single_blanks, total, trim, words
 
 _OUT = "array<string>"
 
@@ -15,8 +15,7 @@ def pack_words(text, size: int = 1000) -> Column:
 
     One pass of one pattern over the text with single blanks: the longest run of whole words that fits, else one word.
     """
-    bare = trim(F.regexp_replace(col(text), r"\s+", " "))
-    return F.regexp_extract_all(bare, F.lit(rf"(?s)[^ ].{{0,{max(size, 1) - 1}}}(?<=[^ ])(?= |\z)|[^ ]+"), F.lit(0))
+    return F.regexp_extract_all(single_blanks(text), F.lit(rf"(?s)[^ ].{{0,{max(size, 1) - 1}}}(?<=[^ ])(?= |\z)|[^ ]+"), F.lit(0))
 
 
 def chunk_pages(text, size: int = 1000, overlap: int = 100) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.embedding import EMBEDDERS
-from lectern.functions.text import col, trim
+from lectern.functions.embedding import EMBEDDERS, with_vectors
+from lectern.functions.text import col
 
 from .chunking import chunk_adaptive, exploded
 
@@ -23,7 +23,7 @@ def with_chunks(docs: DataFrame, text: str = "text", chunker: Callable[[str], Co
 
 
 def _blank(text) -> Column:
-    return trim(F.coalesce(col(text), F.lit(""))) == ""
+    return ~F.coalesce(col(text), F.lit("")).rlike(r"\S")
 
 
 def embed_chunks(docs: DataFrame, embedder: str = "hashed", chunks: str = "chunks", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -33,9 +33,9 @@ def embed_chunks(docs: DataFrame, embedder: str = "hashed", chunks: str = "chunk
     """
     rows = exploded(docs, chunks, doc_id, *keep)
     chunk_id = F.concat_ws("_", F.col(doc_id).cast("string"), F.col("chunk_index").cast("string"))
-    return rows.select(
-        F.col(doc_id).alias("doc_id"), chunk_id.alias("chunk_id"), "chunk_index", "content", EMBEDDERS[embedder]("content").alias("embedding"), F.lit(embedder).alias("embedder"), *keep
-    )
+    rows = rows.select(F.col(doc_id).alias("doc_id"), chunk_id.alias("chunk_id"), "chunk_index", "content", *keep)
+    embedded = with_vectors(rows, "content", embedder, keep_text=True)
+    return embedded.select("doc_id", "chunk_id", "chunk_index", "content", "embedding", F.lit(embedder).alias("embedder"), *keep)
 
 
 def ingested(docs: DataFrame, embedder: str = "hashed", text: str = "text", chunker: Callable[[str], Column] = chunk_adaptive, keep: tuple[str, ...] = ()) -> DataFrame:
