@@ -99,24 +99,29 @@ def top_k(scored: DataFrame, k, score: str = "score", by: str | None = "query_id
     return ranked.where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, texts: DataFrame | None = None) -> DataFrame:
     """``query_id``, ``chunk_id``, ``bm25`` of every chunk that shares a word with a query; a word asked twice counts once.
 
-    Only words that some query asks for leave the chunk side, counted before the shuffle. Scores are rounded to nine
-    places, so that ties don't hang on the order of sums.
+    Only words that some query asks for leave the text side, counted before the shuffle; where ``texts`` (chunk_id, content) are held
+    apart from chunks, these meet counts and lengths, not texts. Scores are rounded to nine places, so that ties don't hang on the order of sums.
     """
-    forms = chunks.select("chunk_id", keyword_form("content", True)["words"].alias("words"))
-    size = F.coalesce(F.size("words"), F.lit(0))
-    n, mean = forms.agg(F.count("*"), F.avg(size)).first()
+    forms = (chunks if texts is None else texts).select("chunk_id", keyword_form("content", True)["words"].alias("words"))
+    of_chunks = lambda rows: rows if texts is None else rows.join(chunks.select("chunk_id"), "chunk_id")
+    forms = forms.withColumn("length", F.coalesce(F.size("words"), F.lit(0)))
+    n, mean = of_chunks(forms.select("chunk_id", "length")).agg(F.count("*"), F.avg("length")).first()
     asked = queries.select("query_id", F.explode(F.array_distinct(keyword_form("question", True)["words"])).alias("word"))
+    # counted before words meet their frequencies, for which all texts are read
+    small = F.broadcast if asked.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else (lambda df: df)
     # not ``explode``: Spark puts filters on the array before that, for which each text is cut again
-    posts = forms.select("chunk_id", size.alias("length"), F.explode_outer("words").alias("word")).where("word is not null")
-    posts = posts.join(few(asked.select("word").distinct(), BROADCAST_WORDS), "word", "left_semi").groupBy("word", "chunk_id", "length").agg(F.count("*").alias("tf"))
+    posts = forms.select("chunk_id", "length", F.explode_outer("words").alias("word")).where("word is not null")
+    posts = posts.join(small(asked.select("word").distinct()), "word", "left_semi").groupBy("word", "chunk_id", "length").agg(F.count("*").alias("tf"))
+    if texts is not None:
+        posts = of_chunks(posts).groupBy("word", "chunk_id", "length").agg(F.sum("tf").alias("tf"))
     spread = posts.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = asked.join(spread, "word").select("query_id", "word", idf.alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean or 1.0)))
-    return posts.join(few(asked, BROADCAST_WORDS), "word").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("bm25"))
+    return posts.join(small(asked), "word").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("bm25"))
 
 
 def rank_in_parts(scored: DataFrame, score: str, name: str, step: float, by: str = "query_id", ties=("chunk_id",)) -> DataFrame:
@@ -150,16 +155,21 @@ def search(
     limit: int = 10,
     threshold: float | None = None,
     ties=("doc_id", "chunk_index"),
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked chunks for each query: ``query_id``, ``rank``, ``score``, both part scores, chunk columns.
 
+    ``texts`` (chunk_id, content) may be held apart from chunks; a chunk without a text then takes no part.
+
     The ``weaviate`` profile ranks keyword search by BM25 and shows the keyword score of each hit, not sorted again;
     its hybrid search fuses BM25 with the semantic ranking above the threshold.
     """
     if filters is not None:
         chunks = chunks.where(document_filter(filters))
     if profile == "weaviate" and mode != "semantic":
-        return _search_by_words(queries, chunks, mode, limit or 10, threshold, ties)
+        return _search_by_words(queries, chunks, mode, limit or 10, threshold, ties, texts)
+    if texts is not None:
+        chunks = chunks.join(texts, "chunk_id")
     scored = with_scores(queries, chunks, None if mode == "semantic" else profile)
     if mode == "semantic":
         scored = scored.where("semantic is not null").withColumn("score", F.col("semantic"))
@@ -179,17 +189,26 @@ def _ranked_score(ranked: DataFrame, floor: float, limit: int) -> DataFrame:
     return ranked.withColumn("score", F.greatest(F.lit(floor), 1 - (F.col("rank") - 1) / F.lit(limit)))
 
 
-def _search_by_words(queries: DataFrame, chunks: DataFrame, mode: str, limit: int, threshold: float | None, ties) -> DataFrame:
+def _search_by_words(queries: DataFrame, chunks: DataFrame, mode: str, limit: int, threshold: float | None, ties, texts: DataFrame | None = None) -> DataFrame:
     """Texts and keyword scores are met by hits only, after ranking."""
     keys = list(dict.fromkeys(["chunk_id", *ties]))
-    worded = bm25(queries, chunks).join(chunks.select(*keys), "chunk_id")
+    worded = bm25(queries, chunks, texts=texts)
+    if len(keys) > 1:
+        worded = worded.join(chunks.select(*keys), "chunk_id")
     if mode == "keyword":
         best = top_k(worded, limit, "bm25", ties=ties).select("query_id", "chunk_id", "rank", "bm25")
     else:
         near = with_scores(queries, chunks.select(*keys, "embedding"))
         near = near.where(F.col("semantic") >= (threshold or PROFILES["weaviate"].semantic)).select("query_id", *keys, F.round("semantic", 9).alias("semantic"))
+        if texts is not None:
+            near = near.join(texts.select("chunk_id"), "chunk_id").select(*near.columns)
         best = top_k(fused(near, worded, ties), limit, ties=ties).select("query_id", "chunk_id", "rank", "semantic", "bm25", "score")
-    scored = best.join(chunks, "chunk_id").join(few(queries.select("query_id", "question")), "query_id")
+    # a few hits go to the texts, not the texts to them
+    small = F.broadcast if limit <= BROADCAST_WORDS // BROADCAST_QUERIES and queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else (lambda df: df)
+    scored = small(best).join(chunks, "chunk_id")
+    if texts is not None:
+        scored = small(scored).join(texts, "chunk_id")
+    scored = scored.join(few(queries.select("query_id", "question")), "query_id")
     scored = scored.withColumn("keyword", keyword_score("question", "content", empty_is_zero=True)).drop("question")
     return scored.withColumn("score", F.col("keyword")) if mode == "keyword" else _ranked_score(scored, 0.3, limit)
 

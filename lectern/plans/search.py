@@ -10,7 +10,7 @@ from lectern.functions.text import keyword_score
 from lectern.operators import search as S
 from lectern.operators.filters import Filters, compile_filter, document_filter
 
-from .tables import CHUNKS_SQL, chunks, documents, keyword_sql, norm_sql, table, vector_queries
+from .tables import CHUNKS_SQL, chunks, chunks_apart, documents, keyword_sql, norm_sql, table, vector_queries
 
 QUESTIONS = {0: "the ation of", 7: "hehe", 20: "is the ingeser", 33: "queau le de", 41: "!!!"}
 KEYWORDS = "the ation of hehe"
@@ -96,14 +96,14 @@ def weaviate_rank(spark, sf_dir):
 
 def weaviate_keyword(spark, sf_dir):
     """Hits by BM25, shown with their keyword scores."""
-    q, c = vector_queries(spark, sf_dir, QUESTIONS), chunks(spark, sf_dir)
-    return _hits(S.search(q, c, "keyword", "weaviate", ties=("chunk_id",)))
+    q, (c, texts) = vector_queries(spark, sf_dir, QUESTIONS), chunks_apart(spark, sf_dir)
+    return _hits(S.search(q, c, "keyword", "weaviate", ties=("chunk_id",), texts=texts))
 
 
 def weaviate_hybrid(spark, sf_dir):
     """BM25 and semantic rankings fused; scores follow the fused rank."""
-    q, c = vector_queries(spark, sf_dir, QUESTIONS), chunks(spark, sf_dir)
-    return _hits(S.search(q, c, "hybrid", "weaviate", threshold=0.2, ties=("chunk_id",)))
+    q, (c, texts) = vector_queries(spark, sf_dir, QUESTIONS), chunks_apart(spark, sf_dir)
+    return _hits(S.search(q, c, "hybrid", "weaviate", threshold=0.2, ties=("chunk_id",), texts=texts))
 
 
 def hybrid_merge(spark, sf_dir):

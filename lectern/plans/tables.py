@@ -45,17 +45,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("source").alias("author"), F.array("lang").alias("tags"), "text", "lang", "source", "n_chars")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as chunks: the label is the document, the vector id the chunk; the text is the document of that id."""
+def chunks_apart(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors as chunks, and their texts: the label is the document, the vector id the chunk; the text is the document of that id."""
     e = table(spark, sf_dir, "embeddings")
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("content"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     # texts outside the vectors' ids can't meet one: they stay where they are read, and are neither dealt out nor shuffled
     ends = e.agg(F.min("vec_id").alias("first"), F.max("vec_id").alias("last")).first()
-    d = spread(d.where(F.col("doc_id").between(ends["first"], ends["last"])))
-    return e.join(d, F.col("vec_id") == F.col("doc_id")).select(
+    held = e.select(
         F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("doc_id"), F.col("vec_id").cast("int").alias("chunk_index"),
-        F.concat(F.lit("doc"), F.col("label").cast("string")).alias("source"), "content", "embedding",
+        F.concat(F.lit("doc"), F.col("label").cast("string")).alias("source"), "embedding",
     )
+    return held, spread(d.where(F.col("chunk_id").between(ends["first"], ends["last"])))
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that have a text, with it."""
+    held, texts = chunks_apart(spark, sf_dir)
+    return held.join(texts, "chunk_id").select("chunk_id", "doc_id", "chunk_index", "source", "content", "embedding")
 
 
 def vector_queries(spark: SparkSession, sf_dir: str, questions: dict[int, str]) -> DataFrame:
