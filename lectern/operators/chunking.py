@@ -47,15 +47,22 @@ def paragraphs(text) -> Column:
     return F.filter(F.transform(F.split(col(text), r"\n\s*\n"), trim), lambda p: p != "")
 
 
+def end_paragraph(text, last: bool = False) -> Column:
+    """The first or last of ``paragraphs``, null without any; only this one is trimmed."""
+    bare, at = trim(text), r"\n\s*\n"
+    return F.nullif(trim(F.element_at(F.split(bare, at), -1) if last else F.get(F.split(bare, at, 2), F.lit(0))), F.lit(""))
+
+
 def sentence_overlap(text, overlap: int) -> Column:
     """Last sentences of a text, each with its full stop, until they reach the wanted length."""
-    target = F.least(F.lit(overlap), F.length(text) / 2)
-    sentences = F.reverse(F.filter(F.transform(F.split(text, r"[.!?]+"), trim), lambda s: s != ""))
+    pieces = F.reverse(F.split(text, r"[.!?]+"))
 
-    def step(held, s):
-        return F.when(F.length(held) >= target, held).otherwise(F.concat(s, F.lit(". "), held))
+    def step(held, s, target):
+        longer = let(trim(s), lambda t: F.when(t == "", held).otherwise(F.concat(t, F.lit(". "), held)))
+        return F.when(F.length(held) >= target, held).otherwise(longer)
 
-    return trim(F.aggregate(sentences, F.lit(""), step))
+    target = F.least(F.lit(overlap), F.length(text) / 2)
+    return trim(let(target, lambda n: F.aggregate(pieces, F.lit(""), lambda held, s: step(held, s, n))))
 
 
 def chunk_paragraphs(text, size: int = 1000, overlap: int = 150) -> Column:
@@ -134,14 +141,15 @@ def chunk_rows(docs: DataFrame, chunks: Column, text: str = "text") -> DataFrame
     in the interface this follows; ``start_char`` is where the chunk's last paragraph's text occurs.
     """
     # what belongs to the text is found once, not for each of its chunks
-    begun = docs.withColumn("_begin", F.instr(F.col(text), F.get(paragraphs(text), F.lit(0))) - 1)
+    begun = docs.withColumn("_begin", F.instr(F.col(text), end_paragraph(text)) - 1)
     rows, begin = exploded(begun, chunks, "*"), F.col("_begin")
-    tail = F.element_at(paragraphs("content"), -1)
+    tail = end_paragraph("content", last=True)
     return rows.select(
         *docs.columns, "chunk_index", "content",
         begin.alias("start_char_ref"),
         (begin + F.length("content")).alias("end_char_ref"),
-        (F.instr(F.col(text), tail) - 1).alias("start_char"),
+        # most texts don't hold a paragraph led by sentences of the chunk before: a search by bytes tells, before one by characters
+        (F.when(F.contains(F.col(text), tail), F.instr(F.col(text), tail)).when(tail.isNotNull(), 0) - 1).alias("start_char"),
         F.size(words("content")).alias("word_count"),
         chunk_type("content").alias("type"),
         chunk_confidence("content").alias("confidence"),

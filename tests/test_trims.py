@@ -35,3 +35,21 @@ def test_ingested_texts_stand_beside_their_vectors_batch_by_batch(spark):
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
     found = rows.select("doc_id", "content", "tags", F.size("embedding").alias("n")).collect()
     assert sorted((r["doc_id"], r["content"], r["tags"], r["n"]) for r in found) == [(i, f"text {i}", [str(i)], 384) for i in range(700)]
+
+
+def test_only_the_paragraph_asked_for_is_trimmed(spark):
+    texts = ["one\n\n two. three \n \n", "\n\n a \n\n\n b", "x", " \n\n ", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = docs.select(C.end_paragraph("t").alias("a"), C.end_paragraph("t", last=True).alias("b")).collect()
+    assert [tuple(r) for r in found] == [("one", "two. three"), ("a", "b"), ("x", "x"), (None, None), (None, None), (None, None)]
+    rows = C.chunk_rows(docs.withColumnRenamed("t", "text"), F.array(F.lit("two. three"), F.lit("not there"), F.lit(" ")))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan and "filter(transform(split(" not in plan
+    got = {(r["text"], r["content"]): r["start_char"] for r in rows.collect()}
+    assert got[texts[0], "two. three"] == 6 and got[texts[0], "not there"] == -1 and got["x", " "] is None
+
+
+def test_overlap_of_blank_and_long_sentences(spark):
+    rows = spark.createDataFrame([("a b. . c d! ?e f",), ("....",), ("",), ("one",)], "t string")
+    found = [r[0] for r in rows.select(C.sentence_overlap(F.col("t"), 6)).collect()]
+    assert found == ["c d. e f.", "", "", "one."]
