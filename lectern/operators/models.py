@@ -114,13 +114,14 @@ def finite_vector(value) -> bool:
         return False
 
 
-def embed_with_model(rows: DataFrame, text: str, call: Callable[[list[str]], list] | None, local: str = "fallback", how: Calls = Calls(), most_chars: int | None = None) -> DataFrame:
+def embed_with_model(rows: DataFrame, text: str, call: Callable[[list[str]], list] | None, local: str = "fallback", how: Calls = Calls(), most_chars: int | None = None, blanks: bool = False) -> DataFrame:
     """``rows`` with ``embedding``, ``made_by`` (``model``, ``local``, or ``invalid`` for a text that holds nothing) and ``error``.
 
     A text that the model gave no vector for is embedded locally, as all are if there is no model (``call`` None). Models that take no more than
-    ``most_chars`` get as much of a text; the local embedder has it whole.
+    ``most_chars`` get as much of a text; the local embedder has it whole. Models that take empty texts and white space get these too with ``blanks``;
+    only a null text is invalid then.
     """
-    blank = trim(F.coalesce(col(text), F.lit(""))) == ""
+    blank = col(text).isNull() if blanks else trim(F.coalesce(col(text), F.lit(""))) == ""
     asked = rows.withColumn("_whole", F.when(~blank, F.col(text)))
     asked = asked.withColumn("_asked", F.substring("_whole", 1, most_chars) if most_chars else F.col("_whole"))
     if call is None:

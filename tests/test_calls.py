@@ -49,6 +49,14 @@ def test_vectors_of_a_model_that_is_gone(spark):
     assert M.call_model(rows.where("false"), "text", gone).count() == 0
 
 
+def test_models_that_take_blanks_are_asked_for_them(spark):
+    lengths = lambda texts: [[float(len(t))] if len(t) % 2 == 0 else [] for t in texts]
+    rows = spark.createDataFrame([(1, ""), (2, " "), (3, " \n"), (4, "ab"), (5, None)], "id long, text string")
+    found = {r["id"]: (r["made_by"], sum(r["embedding"])) for r in M.embed_with_model(rows, "text", lengths, "plain", most_chars=300, blanks=True).collect()}
+    assert found == {1: ("model", 0.0), 2: ("local", 0.25), 3: ("model", 2.0), 4: ("model", 2.0), 5: ("invalid", sum(map(ord, M.INVALID)) / 128)}
+    assert {r["made_by"] for r in M.embed_with_model(rows.where("id < 4"), "text", lengths, "plain").collect()} == {"invalid"}
+
+
 def test_chunkers_in_sql_equal_the_columns(spark):
     register(spark)
     register(spark)
