@@ -181,13 +181,16 @@ class ChunkIndex:
         files, at = self._file(staged)
         files.delete(at, True)
 
-    def replace_documents(self, rows: DataFrame) -> None:
-        """The documents of ``rows`` as they are there: their older chunks go, also those beyond the new ones' number."""
+    def replace_documents(self, rows: DataFrame, documents: DataFrame | None = None) -> None:
+        """The documents of ``rows`` as they are there: their older chunks go, also those beyond the new ones' number.
+
+        ``documents`` names them (``doc_id``) if some of them have no rows now; chunks of these go too.
+        """
         staged = f"{self.path}-new-{uuid.uuid4().hex}"
         sound = validate(self._shaped(rows), self.dimension).where("problem is null").drop("problem")
         latest(sound).write.parquet(staged)
         new = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(staged)
-        anew = new.select("doc_id").distinct()
+        anew = (new if documents is None else new.select("doc_id").unionByName(documents.select(F.col("doc_id").cast("string")))).select("doc_id").distinct()
         touched = _numbers(new) | _numbers(self._rows().join(anew, "doc_id", "left_semi"))
         self._replace(sorted(touched), lambda old: old.join(anew, "doc_id", "left_anti").unionByName(new))
         files, at = self._file(staged)

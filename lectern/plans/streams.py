@@ -26,12 +26,13 @@ def _in_batches(spark, rows, name: str, by, run):
 
 
 def arriving_documents(spark, sf_dir):
-    """Documents that arrive in three batches, those of the first also in an older form before, one batch repeated; folded into an index and read back."""
+    """Documents that arrive in three batches, those of the first also in an older form before, one batch repeated; folded into an index and read back.
+    One that has no text in the end has no chunks, whatever its older form had."""
     d = documents(spark, sf_dir).select("doc_id", "text", "source")
     part = F.pmod(F.col("doc_id"), F.lit(BATCHES))
     old = d.where(part > 0).select("doc_id", F.concat(F.lit("old and longer\n\n"), F.repeat("text", F.lit(2))).alias("text"), "source")
     rows = d.withColumn("n", part).unionByName(old.withColumn("n", F.lit(0)))
-    arrivals = A.Arrivals(spark, shared_folder(spark, "arrivals"), "plain")
+    arrivals = A.Arrivals(spark, shared_folder(spark, "arrivals"), "plain", emptied=True)
     _in_batches(spark, rows, "inbox", F.col("n"), arrivals.run)
     arrivals.write(d.where(part == BATCHES - 1), BATCHES - 1)
     index = ChunkIndex(spark, shared_folder(spark, "index"))

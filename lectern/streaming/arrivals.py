@@ -2,7 +2,8 @@
 
 Each batch writes what it made in folders of its own number: chunk rows of sound documents, and those that can't be ingested. A batch that runs
 again replaces its folders, so nothing is there twice and no batch rewrites what others wrote. A document that arrives again
-replaces its older self: readers take the chunks of its last batch. ``fold`` moves what has gathered into a chunk index and drops it.
+replaces its older self: readers take the chunks of its last batch. Whether one that arrives without text does so too is ``emptied``. ``fold`` moves
+what has gathered into a chunk index and drops it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from lectern.operators.chunking import chunk_adaptive
 from lectern.operators.index import ChunkIndex
 from lectern.operators.ingest import ingested, with_chunks
 
-from .sinks import BatchTable, last_written, run_batches
+from .sinks import BatchTable, drop_batches, last_written, run_batches
 
 #: Chunks of a document as they are kept until they are folded into an index.
 CHUNK = "doc_id string, chunk_id string, chunk_index int, content string, embedding array<double>, embedder string, source string"
@@ -26,10 +27,13 @@ REFUSED = "doc_id string, problem string"
 
 
 class Arrivals:
-    """Chunks of documents that arrive in a folder, kept in another one that all executors share."""
+    """Chunks of documents that arrive in a folder, kept in another one that all executors share.
 
-    def __init__(self, spark: SparkSession, path: str, embedder: str = "hashed", chunker: Callable[[str], Column] = chunk_adaptive, run: str = "arrivals"):
-        self.spark, self.path, self.embedder, self.chunker = spark, path.rstrip("/"), embedder, chunker
+    A document that can't be ingested leaves its older self as it is, or takes it away if documents can be ``emptied``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, embedder: str = "hashed", chunker: Callable[[str], Column] = chunk_adaptive, run: str = "arrivals", emptied: bool = False):
+        self.spark, self.path, self.embedder, self.chunker, self.emptied = spark, path.rstrip("/"), embedder, chunker, emptied
         self.chunks, self.refused = BatchTable(f"{self.path}/chunks", run), BatchTable(f"{self.path}/refused", run)
 
     def write(self, docs: DataFrame, number: int) -> None:
@@ -40,8 +44,9 @@ class Arrivals:
             (F.col("arrived") if "arrived" in docs.columns else F.lit(0)).alias("arrived"),
         )
         sound = trim(F.coalesce("text", F.lit(""))) != ""
-        # a row that can't be ingested doesn't replace one that can
-        latest = last_written(shaped.withColumn("sound", sound), "doc_id", order=("sound", "arrived", "text"))
+        # unless documents can be emptied, a row that can't be ingested doesn't replace one that can
+        first = ("arrived", "sound") if self.emptied else ("sound", "arrived")
+        latest = last_written(shaped.withColumn("sound", sound), "doc_id", order=(*first, "text"))
         made = ingested(latest, self.embedder, chunker=self.chunker, keep=("source",))
         self.chunks.write(made.select(*[F.col(c.split(" ")[0]).cast(c.split(" ", 1)[1]) for c in CHUNK.split(", ")]), number)
         self.refused.write(with_chunks(latest, chunker=self.chunker).where("problem is not null").select("doc_id", "problem"), number)
@@ -50,24 +55,30 @@ class Arrivals:
         """Ingest what has arrived since the last call."""
         return run_batches(stream, self.write, f"{self.path}/checkpoint")
 
+    def _arrived(self) -> DataFrame:
+        """Each document that counts, with its last batch."""
+        named = self.chunks.read(self.spark, CHUNK).select("doc_id", "batch")
+        if self.emptied:
+            named = named.unionByName(self.refused.read(self.spark, REFUSED).select("doc_id", "batch"))
+        return named.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+
     def rows(self) -> DataFrame:
         """Chunk rows of each document's last batch."""
-        rows = self.chunks.read(self.spark, CHUNK)
-        last = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-        return rows.join(last, ["doc_id", "batch"], "left_semi").drop("run", "batch")
+        return self.chunks.read(self.spark, CHUNK).join(self._arrived(), ["doc_id", "batch"], "left_semi").drop("run", "batch")
 
     def problems(self) -> DataFrame:
-        """Documents of which no arrival gathered here could be ingested, and why not the last."""
-        last = last_written(self.refused.read(self.spark, REFUSED).drop("run"), "doc_id").drop("batch")
-        return last.join(self.chunks.read(self.spark, CHUNK).select("doc_id").distinct(), "doc_id", "left_anti")
+        """Documents of which no arrival gathered here could be ingested (of those that can be emptied, the last), and why not the last."""
+        last = last_written(self.refused.read(self.spark, REFUSED).drop("run"), "doc_id")
+        held = (self.rows() if self.emptied else self.chunks.read(self.spark, CHUNK)).select("doc_id").distinct()
+        return last.drop("batch").join(held, "doc_id", "left_anti")
 
     def fold(self, index: ChunkIndex) -> None:
         """Put the gathered documents in the place of their older selves in the index, then drop what was gathered.
 
         Repeating it after a failure midway changes nothing. Not while a batch runs.
         """
-        index.replace_documents(self.rows())
-        self.chunks.drop(self.spark)
+        index.replace_documents(self.rows(), self._arrived().select("doc_id") if self.emptied else None)
+        drop_batches(self.spark, self.chunks, *([self.refused] if self.emptied else []))
 
 
 def arriving(spark: SparkSession, folder: str, schema, files_a_batch: int | None = None) -> DataFrame:

@@ -38,7 +38,16 @@ class BatchTable:
 
     def drop(self, spark: SparkSession) -> None:
         """Delete all batches."""
-        files, at = self._folder(spark)
+        drop_batches(spark, self)
+
+
+def drop_batches(spark: SparkSession, *tables: BatchTable) -> None:
+    """Delete all batches of these tables, older ones first: if the driver stops midway, what is left of a key is what was written last."""
+    pattern, found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, []
+    for held in tables:
+        files, at = held._folder(spark)
+        found += [(int(x.getPath().getName().split("=")[1]), files, x.getPath()) for x in files.globStatus(pattern(at, "run=*/batch=*")) or []]
+    for _, files, at in [*sorted(found, key=lambda x: x[0]), *((0, *held._folder(spark)) for held in tables)]:
         files.delete(at, True)
 
 

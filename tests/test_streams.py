@@ -150,6 +150,45 @@ def test_arrivals_survive_a_batch_that_runs_again(spark, tmp_path):
     assert {(r["chunk_id"], r["content"]) for r in index.scan().where("doc_id is not null").collect()} == {("1_0", "short now"), ("2_0", "two again"), ("3_0", "three at last")}
 
 
+def test_documents_that_are_emptied_leave_the_index(spark, tmp_path):
+    schema = "doc_id string, text string, arrived int"
+    a = arrivals.Arrivals(spark, f"{tmp_path}/kept", "plain", emptied=True)
+    index = ChunkIndex(spark, f"{tmp_path}/index", buckets=4)
+    index.create()
+    texts = lambda rows: {(r["doc_id"], r["content"]) for r in rows.collect()}
+    a.write(spark.createDataFrame([("1", "one", 1), ("2", "two", 1), ("5", "five", 1), ("6", "six", 1)], schema), 0)
+    a.fold(index)
+    assert texts(index.scan()) == {("1", "one"), ("2", "two"), ("5", "five"), ("6", "six")} and a.problems().count() == 0
+    a.write(spark.createDataFrame([("1", "one again", 2), ("3", "three", 2), ("4", "four", 3), ("4", "", 4), ("6", " ", 2)], schema), 1)
+    for _ in range(2):  # also if run again
+        a.write(spark.createDataFrame([("1", " \n", 5), ("2", "", 5), ("6", "six again", 5)], schema), 2)
+    assert texts(a.rows()) == {("3", "three"), ("6", "six again")}
+    assert {r["doc_id"]: r["problem"] for r in a.problems().collect()} == dict.fromkeys("124", "no text")
+    a.fold(index)
+    assert texts(index.scan()) == {("3", "three"), ("5", "five"), ("6", "six again")} and a.rows().count() == 0 == a.problems().count()
+
+
+def test_batches_are_dropped_from_the_oldest_on(spark, tmp_path, monkeypatch):
+    """A driver that stops midway leaves later batches, never an older form alone."""
+    one, two = sinks.BatchTable(f"{tmp_path}/one", "r"), sinks.BatchTable(f"{tmp_path}/two", "r")
+    for n in (10, 9, 2):
+        one.write(spark.range(1), n)
+    two.write(spark.range(1), 3)
+    gone, folder = [], sinks.BatchTable._folder
+
+    class Files:
+        def __init__(self, files):
+            self.files, self.globStatus = files, files.globStatus
+
+        def delete(self, at, deep):
+            gone.append(at.getName())
+            return self.files.delete(at, deep)
+
+    monkeypatch.setattr(sinks.BatchTable, "_folder", lambda self, spark: (Files(folder(self, spark)[0]), folder(self, spark)[1]))
+    sinks.drop_batches(spark, one, two)
+    assert gone == ["batch=2", "batch=3", "batch=9", "batch=10", "one", "two"] and not list(tmp_path.iterdir())
+
+
 def test_progress_of_a_stream_that_fails(spark, tmp_path):
     spark.range(10).write.parquet(f"{tmp_path}/in")
     log = sinks.ProgressLog(spark, f"{tmp_path}/log")
