@@ -53,7 +53,9 @@ def merge_partial(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 def validate(rows: DataFrame, dimension: int | None = None) -> DataFrame:
     """``rows`` with ``problem``: why a chunk can't be indexed, null if it can."""
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    inf = F.lit(float("inf"))
+    # the first is null if a number is, and the greatest is NaN if one is: no number is looked at by an expression of its own
+    finite = F.coalesce(~F.array_contains("embedding", inf), F.lit(False)) & (F.array_max("embedding") < inf) & (F.array_min("embedding") > -inf)
     problem = (
         F.when(F.coalesce(F.length("content"), F.lit(0)) == 0, "empty content")
         .when(F.coalesce(F.size("embedding"), F.lit(0)) <= 0, "empty embedding")
@@ -112,6 +114,8 @@ class ChunkIndex:
             for left in files.listStatus(at.getParent()):
                 if re.fullmatch(rf"{re.escape(at.getName())}-(staged|new)-[0-9a-f]{{32}}", left.getPath().getName()):
                     files.delete(left.getPath(), True)
+        for left in files.globStatus(self._file(f"{self.path}/.spark-staging-*")[1]) or []:
+            files.delete(left.getPath(), True)
         if not self.exists():
             self.clear()
 
@@ -161,38 +165,48 @@ class ChunkIndex:
         # texts of chunks overlap, and long ones repeat themselves farther apart than the usual codec sees
         ordered.write.mode(mode).option("partitionOverwriteMode", partitions).option("compression", "zstd").partitionBy("bucket").parquet(self.path)
 
-    def _replace(self, buckets: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
-        """These buckets as ``change`` makes them of their rows; an emptied one goes."""
-        staged = f"{self.path}-staged-{uuid.uuid4().hex}"
-        change(self._rows().where(F.col("bucket").isin(buckets))).write.parquet(staged)
-        rows = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(staged)
-        left = _numbers(rows)
-        self._write(rows, "overwrite", "dynamic")
-        for gone in [staged, *(f"{self.path}/bucket={b}" for b in buckets if b not in left)]:
-            files, at = self._file(gone)
-            files.delete(at, True)
+    def _parts(self, bucket: int) -> set[str]:
+        files, at = self._file(f"{self.path}/bucket={bucket}")
+        return {f.getPath().getName() for f in files.listStatus(at)} if files.exists(at) else set()
+
+    def _replace(self, buckets: list[int], kept: Callable[[DataFrame], DataFrame], new: DataFrame | None = None, dealt: bool = False) -> None:
+        """These buckets with what is ``kept`` of their rows and with ``new`` ones, in one write that replaces them when it is whole; an emptied one goes."""
+        rows = kept(self._rows().where(F.col("bucket").isin(buckets)))
+        rows = rows if new is None else rows.unionByName(new)
+        before = {b: self._parts(b) for b in buckets}
+        if dealt:
+            self._put(rows.sortWithinPartitions("bucket", "doc_id", "chunk_index"), "overwrite", "dynamic")
+        else:
+            self._write(rows, "overwrite", "dynamic")
+        for b, parts in before.items():
+            if parts & self._parts(b):  # no row was written to it
+                files, at = self._file(f"{self.path}/bucket={b}")
+                files.delete(at, True)
 
     def upsert(self, rows: DataFrame) -> None:
         sound = validate(self._shaped(rows), self.dimension).where("problem is null").drop("problem")
         staged = f"{self.path}-new-{uuid.uuid4().hex}"
         latest(sound).write.parquet(staged)
         new = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(staged)
-        self._replace(sorted(_numbers(new)), lambda old: upsert(old, new))
+        self._replace(sorted(_numbers(new)), lambda old: old.join(new.select("chunk_id"), "chunk_id", "left_anti"), new)
         files, at = self._file(staged)
         files.delete(at, True)
 
-    def replace_documents(self, rows: DataFrame, documents: DataFrame | None = None) -> None:
+    def replace_documents(self, rows: DataFrame, documents: DataFrame | None = None, stored: bool = False, dealt: bool = False) -> None:
         """The documents of ``rows`` as they are there: their older chunks go, also those beyond the new ones' number.
 
-        ``documents`` names them (``doc_id``) if some of them have no rows now; chunks of these go too.
+        ``documents`` names them (``doc_id``) if some of them have no rows now; chunks of these go too. Rows that are ``stored``, each
+        chunk once, are read where they lie; others are written apart first, as they are needed more than once. Rows that were ``dealt`` to
+        many tasks are written by these, not dealt again.
         """
-        staged = f"{self.path}-new-{uuid.uuid4().hex}"
-        sound = validate(self._shaped(rows), self.dimension).where("problem is null").drop("problem")
-        latest(sound).write.parquet(staged)
-        new = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(staged)
-        anew = (new if documents is None else new.select("doc_id").unionByName(documents.select(F.col("doc_id").cast("string")))).select("doc_id").distinct()
-        touched = _numbers(new) | _numbers(self._rows().join(anew, "doc_id", "left_semi"))
-        self._replace(sorted(touched), lambda old: old.join(anew, "doc_id", "left_anti").unionByName(new))
+        shaped = self._shaped(rows)
+        new, staged = validate(shaped, self.dimension).where("problem is null").drop("problem"), f"{self.path}-new-{uuid.uuid4().hex}"
+        if not stored:
+            latest(new).write.parquet(staged)
+            shaped = new = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(staged)
+        anew = (new.select("doc_id") if documents is None else shaped.select("doc_id").unionByName(documents.select(F.col("doc_id").cast("string")))).distinct()
+        touched = _numbers(shaped) | _numbers(self._rows().join(anew, "doc_id", "left_semi"))
+        self._replace(sorted(touched), lambda old: old.join(anew, "doc_id", "left_anti"), new, dealt)
         files, at = self._file(staged)
         files.delete(at, True)
 

@@ -18,11 +18,14 @@ BATCHES = 3
 
 
 def _in_batches(spark, rows, name: str, by, run):
-    """Rows arrive in a folder in ``BATCHES`` parts, by a number; ``run(stream)`` is called after each."""
+    """Rows arrive in a folder in ``BATCHES`` parts, by a number; ``run(stream)`` is called after each. Files of a part that is done are not kept."""
     folder = shared_folder(spark, name)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for n in range(BATCHES):
-        rows.where(by == n).write.mode("append").parquet(folder)
+        rows.where(by == n).write.mode("append").option("compression", "zstd").parquet(folder)
         run(A.arriving(spark, folder, rows.schema))
+        files.delete(at, True)
 
 
 def arriving_documents(spark, sf_dir):

@@ -17,13 +17,15 @@ from pyspark.sql.streaming import StreamingQuery
 from lectern.functions.text import trim
 from lectern.operators.chunking import chunk_adaptive
 from lectern.operators.index import ChunkIndex
-from lectern.operators.ingest import ingested, with_chunks
+from lectern.operators.ingest import ingested
 
-from .sinks import BatchTable, drop_batches, last_written, run_batches
+from .sinks import BatchTable, drop_batches, last_written, run_batches, shuffles_dropped
 
 #: Chunks of a document as they are kept until they are folded into an index.
 CHUNK = "doc_id string, chunk_id string, chunk_index int, content string, embedding array<double>, embedder string, source string"
 REFUSED = "doc_id string, problem string"
+#: Ids of documents that each task may hold.
+FEW = 100_000
 
 
 class Arrivals:
@@ -46,25 +48,45 @@ class Arrivals:
         sound = trim(F.coalesce("text", F.lit(""))) != ""
         # unless documents can be emptied, a row that can't be ingested doesn't replace one that can
         first = ("arrived", "sound") if self.emptied else ("sound", "arrived")
-        latest = last_written(shaped.withColumn("sound", sound), "doc_id", order=(*first, "text"))
+        shaped = shaped.withColumn("sound", sound)
+        # where no document is there twice, and each core has a part, texts stay where they are read
+        spread = shaped.rdd.getNumPartitions() >= self.spark.sparkContext.defaultParallelism
+        once = spread and shaped.groupBy("doc_id").count().where("count > 1").isEmpty()
+        latest = shaped if once else last_written(shaped, "doc_id", order=(*first, "text"))
         made = ingested(latest, self.embedder, chunker=self.chunker, keep=("source",))
-        self.chunks.write(made.select(*[F.col(c.split(" ")[0]).cast(c.split(" ", 1)[1]) for c in CHUNK.split(", ")]), number)
-        self.refused.write(with_chunks(latest, chunker=self.chunker).where("problem is not null").select("doc_id", "problem"), number)
+        with shuffles_dropped(self.spark):
+            self.chunks.write(made.select(*[F.col(c.split(" ")[0]).cast(c.split(" ", 1)[1]) for c in CHUNK.split(", ")]), number)
+            # the others, told by their ids: texts are neither shuffled nor cut again
+            told = shaped.groupBy("doc_id").agg(F.max(F.struct(*first))["sound"].alias("sound"))
+            held = self.chunks.read(self.spark, CHUNK).where((F.col("run") == self.chunks.run) & (F.col("batch") == number)).select(F.col("doc_id").alias("_held")).distinct()
+            refused = told.join(held, F.col("doc_id").eqNullSafe(F.col("_held")), "left_anti")
+            self.refused.write(refused.select("doc_id", F.when(F.col("sound"), "no chunks").otherwise("no text").alias("problem")), number)
 
     def run(self, stream: DataFrame) -> StreamingQuery:
         """Ingest what has arrived since the last call."""
         return run_batches(stream, self.write, f"{self.path}/checkpoint")
 
-    def _arrived(self) -> DataFrame:
-        """Each document that counts, with its last batch."""
+    def _named(self) -> DataFrame:
+        """Documents that have arrived and count, with the batches they came in."""
         named = self.chunks.read(self.spark, CHUNK).select("doc_id", "batch")
-        if self.emptied:
-            named = named.unionByName(self.refused.read(self.spark, REFUSED).select("doc_id", "batch"))
-        return named.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+        return named.unionByName(self.refused.read(self.spark, REFUSED).select("doc_id", "batch")) if self.emptied else named
 
     def rows(self) -> DataFrame:
-        """Chunk rows of each document's last batch."""
-        return self.chunks.read(self.spark, CHUNK).join(self._arrived(), ["doc_id", "batch"], "left_semi").drop("run", "batch")
+        """Chunk rows of each document's last batch; documents without an id have none."""
+        return self._last()[0]
+
+    def _last(self) -> tuple[DataFrame, bool]:
+        """``rows``, and whether they are shuffled, as many documents came again."""
+        rows = self.chunks.read(self.spark, CHUNK).drop("run").where("doc_id is not null")
+        came = self._named().groupBy("doc_id").agg(F.sort_array(F.collect_set("batch")).alias("came"))
+        older = came.where(F.size("came") > 1).select("doc_id", F.explode(F.slice("came", F.lit(1), F.size("came") - 1)).alias("batch"))
+        replaced = {r["batch"]: r["count"] for r in older.groupBy("batch").count().collect()}
+        many = sum(replaced.values()) > FEW
+        older = older.hint("shuffle_hash") if many else F.broadcast(older)
+        # batches of which no document came again are read as they lie
+        mixed = F.col("batch").isin(list(replaced))
+        last = rows.where(mixed).join(older, ["doc_id", "batch"], "left_anti").select(rows.columns)
+        return rows.where(~mixed).unionByName(last).drop("batch"), many
 
     def problems(self) -> DataFrame:
         """Documents of which no arrival gathered here could be ingested (of those that can be emptied, the last), and why not the last."""
@@ -77,7 +99,9 @@ class Arrivals:
 
         Repeating it after a failure midway changes nothing. Not while a batch runs.
         """
-        index.replace_documents(self.rows(), self._arrived().select("doc_id") if self.emptied else None)
+        with shuffles_dropped(self.spark):
+            rows, many = self._last()
+            index.replace_documents(rows, self._named().select("doc_id") if self.emptied else None, stored=True, dealt=many)
         drop_batches(self.spark, self.chunks, *([self.refused] if self.emptied else []))
 
 

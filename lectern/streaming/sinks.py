@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+SHUFFLES_DROPPED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The store that keyed state with timers needs.
 KEYED_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -24,7 +25,8 @@ class BatchTable:
         self.path, self.run = path.rstrip("/"), run
 
     def write(self, rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/run={self.run}/batch={number}")
+        # chunks of one text overlap farther apart than the usual codec sees
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/run={self.run}/batch={number}")
 
     def read(self, spark: SparkSession, schema: str) -> DataFrame:
         """Rows of all runs, with ``run`` and ``batch``; none if nothing was written yet, or all was dropped."""
@@ -52,10 +54,11 @@ def drop_batches(spark: SparkSession, *tables: BatchTable) -> None:
 
 
 def last_written(rows: DataFrame, *keys: str, order: tuple[str, ...] = ("batch",)) -> DataFrame:
-    """The row of each key that was written last. An aggregation: partial ones run before the shuffle."""
+    """The row of each key that was written last; of several, the greatest by what else they hold. An aggregation: partial ones run before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
-    return last.select(*keys, "_last.*")
+    # one struct, so that no column is shuffled twice
+    last = rows.groupBy(*keys).agg(F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("_last"))
+    return last.select(*keys, *[f"_last.{c}" for c in rest])
 
 
 @contextmanager
@@ -69,6 +72,17 @@ def keyed_state(spark: SparkSession):
         spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """What statements in this block shuffle leaves the disks when each ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(SHUFFLES_DROPPED, None)
+    spark.conf.set(SHUFFLES_DROPPED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES_DROPPED, before) if before else spark.conf.unset(SHUFFLES_DROPPED)
+
+
 def run_batches(stream: DataFrame, into: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run ``into(batch, number)`` for what has arrived and wait for the end; a later call goes on from the checkpoint."""
     with keyed_state(stream.sparkSession):

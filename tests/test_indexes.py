@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions.text import keyword_score
-from lectern.operators.index import ChunkIndex
+from lectern.operators.index import ChunkIndex, validate
 from lectern.operators.keyword_index import KeywordIndex
 from lectern.operators.vector_index import APART, VectorIndex
 from lectern.plans import tables
@@ -100,6 +100,24 @@ def test_what_a_stopped_writer_left_goes(spark, tmp_path):
     assert sorted(x.name for x in tmp_path.iterdir()) == ["i", "i-other", "ii-new-" + "a" * 32]
 
 
+def test_only_finite_vectors_are_sound(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    vectors = [[1.0, -2.0], [0.0], [None, 1.0], [None, inf], [None], [nan, 1.0], [1.0, inf], [-inf, nan], [-inf], [], None]
+    rows = spark.createDataFrame([(str(i), "text", v) for i, v in enumerate(vectors)], "chunk_id string, content string, embedding array<double>")
+    found = {int(r["chunk_id"]): r["problem"] for r in validate(rows).collect()}
+    assert found == {0: None, 1: None, **dict.fromkeys(range(2, 9), "embedding is not finite"), 9: "empty embedding", 10: "empty embedding"}
+    index = ChunkIndex(spark, f"{tmp_path}/i", buckets=2)
+    index.create()
+    index.upsert(rows.withColumn("doc_id", F.lit("a")))
+    assert index.count() == 2
+    # a document without sound rows stays, unless it is named; then no bucket is left behind
+    named = rows.withColumn("doc_id", F.lit("a"))
+    index.replace_documents(named.where("chunk_id > 1"), stored=True)
+    assert index.count() == 2
+    index.replace_documents(named.where("chunk_id > 1"), named.select("doc_id"), stored=True)
+    assert index.count() == 0 and not list((tmp_path / "i").glob("bucket=*"))
+
+
 def test_places_by_spans_of_scores(spark):
     from lectern.operators.search import rank_in_parts
 

@@ -168,6 +168,37 @@ def test_documents_that_are_emptied_leave_the_index(spark, tmp_path):
     assert texts(index.scan()) == {("3", "three"), ("5", "five"), ("6", "six again")} and a.rows().count() == 0 == a.problems().count()
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_a_fold_copies_and_shuffles_no_more_than_it_must(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(arrivals, "FEW", few)
+    a = arrivals.Arrivals(spark, f"{tmp_path}/kept", "plain")
+    index = ChunkIndex(spark, f"{tmp_path}/index", buckets=4)
+    index.create()
+    docs = lambda ids, text: spark.createDataFrame([(str(i), f"{text} {i}") for i in ids], "doc_id string, text string").repartition(8)
+    a.write(docs(range(3, 43), "before"), 0)
+    a.fold(index)
+    gone = lambda *_, **__: pytest.fail("all rows are shuffled or copied")
+    monkeypatch.setattr(arrivals, "last_written", gone)
+    monkeypatch.setattr("lectern.operators.index.latest", gone)
+    a.write(docs(range(40), "old"), 0)
+    a.write(docs(range(30), "new"), 1)
+    a.write(docs(range(40, 42), "new"), 2)
+    a.fold(index)
+    want = {f"new {i}" for i in [*range(30), 40, 41]} | {f"old {i}" for i in range(30, 40)} | {"before 42"}
+    assert sorted(r["content"] for r in index.scan().collect()) == sorted(want)
+    assert not spark.conf.get(sinks.SHUFFLES_DROPPED, None) == "true" and [x.name for x in tmp_path.iterdir() if "staged" in x.name or "-new-" in x.name] == []
+
+
+def test_what_has_arrived_is_not_kept_in_the_inbox(spark, tmp_path, monkeypatch):
+    from lectern.plans import streams
+
+    monkeypatch.setattr(streams, "shared_folder", lambda spark, name: f"{tmp_path}/{name}")
+    seen = []
+    run = lambda rows: sinks.run_batches(rows, lambda part, n: seen.append(sorted(r["id"] for r in part.collect())), f"{tmp_path}/check")
+    streams._in_batches(spark, spark.range(7), "inbox", F.col("id") % 3, run)
+    assert seen == [[0, 3, 6], [1, 4], [2, 5]] and not (tmp_path / "inbox").exists()
+
+
 def test_batches_are_dropped_from_the_oldest_on(spark, tmp_path, monkeypatch):
     """A driver that stops midway leaves later batches, never an older form alone."""
     one, two = sinks.BatchTable(f"{tmp_path}/one", "r"), sinks.BatchTable(f"{tmp_path}/two", "r")
