@@ -54,7 +54,7 @@ class Arrivals:
         once = spread and shaped.groupBy("doc_id").count().where("count > 1").isEmpty()
         latest = shaped if once else last_written(shaped, "doc_id", order=(*first, "text"))
         made = ingested(latest, self.embedder, chunker=self.chunker, keep=("source",))
-        with shuffles_dropped(self.spark):
+        with shuffles_dropped(docs.sparkSession):  # a stream's batches have a session of their own
             self.chunks.write(made.select(*[F.col(c.split(" ")[0]).cast(c.split(" ", 1)[1]) for c in CHUNK.split(", ")]), number)
             # the others, told by their ids: texts are neither shuffled nor cut again
             told = shaped.groupBy("doc_id").agg(F.max(F.struct(*first))["sound"].alias("sound"))
